@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrift.llm import sharding
+from spindrift.llm import mixing, sharding
 from spindrift.llm.common import read
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return mixing.plan_repeats(documents, mixing.word_count(F.col("text"))).drop("repeats")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"), shards=8)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_sharding,)}
+    return {f.__name__: f for f in (op3_mixing, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
