@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import mixing, sharding
+from spindrift.llm import decontaminate, mixing, sharding
 from spindrift.llm.common import read
 
 
@@ -14,12 +14,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_repeats(documents, mixing.word_count(F.col("text"))).drop("repeats")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(documents, benchmark, window=13, share=20).drop("_h")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"), shards=8)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mixing, op8_sharding)}
+    return {f.__name__: f for f in (op3_mixing, op7_decontamination, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and leave every other character alone."""
-    return F.translate(text, ASCII_UPPER, ASCII_LOWER)
+    ascii_only = F.length(text) == F.octet_length(text)  # there the faster lower() says the same
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
 
 
 def terms(text: Column) -> Column:
