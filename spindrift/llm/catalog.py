@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, mixing, sharding
+from spindrift.llm import decontaminate, licenses, mixing, sharding
 from spindrift.llm.common import read
 
 
@@ -23,8 +23,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mixing, op7_decontamination, op8_sharding)}
+    return {f.__name__: f for f in (op3_mixing, op7_decontamination, op8_sharding, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
