@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, licenses, mixing, sharding
+from spindrift.llm import decontaminate, licenses, mixing, nearest, sharding, toxicity
 from spindrift.llm.common import read
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = toxicity.score_toxicity(documents, toxicity.learn(documents, labels))
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return mixing.plan_repeats(documents, mixing.word_count(F.col("text"))).drop("repeats")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontaminate.contamination(documents, benchmark, window=13, share=20).drop("_h")
@@ -28,8 +38,18 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mixing, op7_decontamination, op8_sharding, op9_licenses)}
+    return {f.__name__: f for f in (op2_toxicity, op3_mixing, op6_nearest, op7_decontamination, op8_sharding, op9_licenses)}
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.x, c.x) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank,
+             vec_id, score FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_nearest": OP6_SQL}
