@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, licenses, mixing, nearest, sharding, toxicity
+from spindrift.llm import decontaminate, licenses, mixing, near_duplicates, nearest, sharding, toxicity
 from spindrift.llm.common import read
 
 
@@ -20,6 +20,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_repeats(documents, mixing.word_count(F.col("text"))).drop("repeats")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -38,7 +42,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_mixing, op6_nearest, op7_decontamination, op8_sharding, op9_licenses)}
+    return {f.__name__: f for f in (op2_toxicity, op3_mixing, op4_near_duplicates, op6_nearest, op7_decontamination, op8_sharding, op9_licenses)}
 
 
 OP6_SQL = """
