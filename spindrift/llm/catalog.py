@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, licenses, mixing, near_duplicates, nearest, sharding, toxicity
+from spindrift.llm import decontaminate, licenses, mixing, near_duplicates, nearest, sharding, suffixes, toxicity
 from spindrift.llm.common import read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"), length=100)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     scored = toxicity.score_toxicity(documents, toxicity.learn(documents, labels))
@@ -42,7 +46,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_mixing, op4_near_duplicates, op6_nearest, op7_decontamination, op8_sharding, op9_licenses)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_mixing, op4_near_duplicates, op6_nearest, op7_decontamination, op8_sharding, op9_licenses)}
 
 
 OP6_SQL = """
