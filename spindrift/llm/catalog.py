@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, licenses, mixing, near_duplicates, nearest, sharding, suffixes, toxicity
+from spindrift.llm import decontaminate, licenses, lines, mixing, near_duplicates, nearest, revisits, sharding, suffixes, toxicity
 from spindrift.llm.common import read
 
 
@@ -25,7 +25,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), percent=85, size=3)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +50,21 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.captures(read(spark, sf_dir, "pages")))
+    listed = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.select(
+        F.col("record_id").alias("revisit_id"),
+        "uri_key",
+        "resolved_id",
+        "status",
+        F.array_join(listed, ";").alias("headers"),
+        F.octet_length("payload").cast("long").alias("n_bytes"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_mixing, op4_near_duplicates, op6_nearest, op7_decontamination, op8_sharding, op9_licenses)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_mixing, op4_near_duplicates, op5_line_dedup, op6_nearest, op7_decontamination, op8_sharding, op9_licenses, op10_revisits)}
 
 
 OP6_SQL = """
@@ -58,6 +76,34 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP10_SQL = r"""
+WITH c AS (
+  SELECT 2 * page_id AS id, url AS uri, 4 * page_id AS ts, 1 AS response, md5(coalesce(html, '')) AS etag, html, page_id
+  FROM pages
+  UNION ALL
+  SELECT 2 * page_id + 1, CASE WHEN page_id % 11 = 0 THEN regexp_replace(url, '[?#].*$', '') || '/missing'
+                               WHEN page_id % 2 = 0 THEN url || '#again' ELSE regexp_replace(url, '^http:', 'https:') END,
+         4 * page_id + 2 + page_id % 3, 0,
+         CASE WHEN page_id % 5 = 0 THEN md5(CAST(page_id AS VARCHAR)) ELSE md5(coalesce(html, '')) END, NULL, page_id
+  FROM pages),
+b AS (SELECT *, regexp_replace(uri, '#.*$', '') AS bare FROM c),
+p AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.|:80$|:443$', '', 'g') AS host,
+      regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+      list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+                lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]*|ref|fbclid|gclid)(=|$)'))) AS args FROM b),
+k AS (SELECT *, host || path || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS uri_key FROM p),
+f AS (SELECT v.id, v.uri_key, v.etag, v.ts, v.page_id,
+      (SELECT max(r.ts) FROM k r WHERE r.response = 1 AND r.uri_key = v.uri_key AND r.ts < v.ts) AS rts
+      FROM k v WHERE v.response = 0),
+j AS (SELECT f.*, r.id AS rid, r.etag AS retag, r.html, r.ts AS r_ts FROM f LEFT JOIN k r
+      ON r.response = 1 AND r.uri_key = f.uri_key AND r.ts = f.rts),
+s AS (SELECT *, CASE WHEN rid IS NULL THEN 'orphan' WHEN etag <> retag THEN 'stale' ELSE 'resolved' END AS status FROM j)
+SELECT id AS revisit_id, uri_key, rid AS resolved_id, status,
+       CASE WHEN status = 'resolved' THEN 'cache-control=max-age=60;content-type=text/html;date=' || ts || ';etag=' || retag END AS headers,
+       CASE WHEN status = 'resolved' THEN CAST(strlen(html) AS BIGINT) END AS n_bytes
+FROM s
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_nearest": OP6_SQL}
+    return {"op6_nearest": OP6_SQL, "op10_revisits": OP10_SQL}

@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.components import components
 from spindrift.session import durable, shuffle_width
 
-BANDS, ROWS = 24, 6
-HASHES = BANDS * ROWS
-BATCH = 36
+HASHES, BATCH = 144, 36
 #: Members of a block of a bucket, and of a cluster.
 BUCKET_BLOCK, CLUSTER_BLOCK = 1024, 256
 #: Posterior probability at which a pair may be dropped.
@@ -169,14 +167,14 @@ def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _sketch(documents: DataFrame, key: str, text: str) -> DataFrame:
+def _sketch(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """doc, _n (set size), _f1, _f2 (fingerprint of the set) and _sig (null for an empty set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 512):
                 part = pdf.iloc[lo : lo + 512]
-                sets = [shingles(t if isinstance(t, str) else None) for t in part["t"]]
+                sets = [shingles(t if isinstance(t, str) else None, size) for t in part["t"]]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = signatures([sets[i] for i in full])
                 col: list[bytes | None] = [None] * len(sets)
@@ -192,10 +190,15 @@ def _sketch(documents: DataFrame, key: str, text: str) -> DataFrame:
     return slim.mapInPandas(run, f"doc {kind}, _n long, _f1 long, _f2 long, _sig binary")
 
 
-def _bucket_edges(classes: DataFrame, table: dict[int, int]) -> DataFrame:
+def band_rows(percent: int) -> int:
+    """Hashes in a band, so that a pair at the threshold meets in some band but for about 1e-5."""
+    return next((r for r in (6, 5, 4, 3, 2) if (1 - (percent / 100) ** r) ** (HASHES // r) < 2e-5), 1)
+
+
+def _bucket_edges(classes: DataFrame, table: dict[int, int], rows_in_band: int) -> DataFrame:
     """A spanning forest of the surviving pairs of every bucket: columns a, b."""
-    width = 2 * ROWS
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
+    width = 2 * rows_in_band
+    band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // rows_in_band - 1)))
     members = classes.select("cid", "_sig", band.alias("_band")).select(
         "cid", F.expr(f"xxhash64(_band, substring(_sig, 1 + _band * {width}, {width}))").alias("_bucket")
     )
@@ -243,7 +246,7 @@ def _bucket_edges(classes: DataFrame, table: dict[int, int]) -> DataFrame:
 
 
 def _verified_links(
-    documents: DataFrame, key: str, text: str, classes: DataFrame, clusters: DataFrame, table: dict[int, int], percent: int
+    documents: DataFrame, key: str, text: str, classes: DataFrame, clusters: DataFrame, table: dict[int, int], percent: int, size: int
 ) -> DataFrame:
     """A spanning forest of the pairs of each cluster whose full sets are similar enough: columns a, b."""
     sizes = clusters.groupBy("root").agg(F.count("*").alias("_m"))
@@ -257,7 +260,7 @@ def _verified_links(
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [shingles(t) for t in pdf["t"]]
+            found = [shingles(t, size) for t in pdf["t"]]
             with np.errstate(over="ignore"):
                 own = [int(mix(s).sum(dtype=_U).astype(np.int64)) for s in found]
             out = pdf.drop(columns=["t"])
@@ -307,22 +310,24 @@ def _verified_links(
     return dealt.mapInPandas(verify, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text", miss: float = MISS) -> DataFrame:
+def near_duplicates(
+    documents: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text", miss: float = MISS
+) -> DataFrame:
     """One row a document: key, n_shingles, component_id (the least id reachable), kept (the id is its own).
 
-    Documents are linked where 100 * intersection >= percent * union of their sets of 3-word shingles. A link is
-    missed only if no band agrees (about 1e-5 at 0.85) or by the chosen ``miss``; other links usually join the
+    Documents are linked where 100 * intersection >= percent * union of their sets of shingles of ``size`` words. A link
+    is missed only if no band agrees (about 1e-5 at the threshold) or by the chosen ``miss``; other links usually join the
     same documents anyway. Null, empty and blank texts have no set and no links. A null id has a null component
     and is kept. Rows that repeat an id keep their own sets, and the id may then be kept more than once.
     """
-    sketch = durable(_sketch(documents, key, text))
+    sketch = durable(_sketch(documents, key, text, size))
     filled = sketch.where("_n > 0 AND doc IS NOT NULL")
     same = ["_n", "_f1", "_f2"]
     classes = filled.groupBy(*same).agg(F.min("doc").alias("_doc"), F.first("_sig").alias("_sig"))
     classes = durable(classes.withColumn("cid", F.xxhash64(*same)))
     table = least_matches(percent / 100, miss)
-    clusters = components(_bucket_edges(classes, table))
-    links = _verified_links(documents, key, text, classes, clusters, table, percent)
+    clusters = components(_bucket_edges(classes, table, band_rows(percent)))
+    links = _verified_links(documents, key, text, classes, clusters, table, percent, size)
     joined = components(links)
     named = joined.join(classes.select(F.col("cid").alias("node"), "_doc"), "node")
     least = named.groupBy("root").agg(F.min("_doc").alias("_least"))

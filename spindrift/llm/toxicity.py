@@ -200,14 +200,17 @@ def score_toxicity(documents: DataFrame, model: Scorer, keep: list[str] | None =
     keep = keep or ["doc_id"]
     names = [f"k{i}" for i in range(len(keep))]
     fields = {f.name: f.dataType.simpleString() for f in documents.schema}
+    source = names[keep.index("text")] if "text" in keep else "_text"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf.drop(columns=["_text"])
-            out["score"] = [model.score(t) if isinstance(t, str) else model.score("") for t in pdf["_text"]]
+            out = pdf[names].copy()
+            out["score"] = [model.score(t if isinstance(t, str) else "") for t in pdf[source]]
             yield out
 
-    slim = documents.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("_text"))
+    slim = documents.select(
+        *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *([] if "text" in keep else [F.col("text").alias("_text")])
+    )
     schema = ", ".join(f"{n} {fields[c]}" for c, n in zip(keep, names, strict=True)) + ", score double"
     scored = slim.mapInPandas(score, schema)
     return scored.select(
@@ -219,5 +222,5 @@ def score_toxicity(documents: DataFrame, model: Scorer, keep: list[str] | None =
 
 def civil_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
-    scored = score_toxicity(documents, learn(documents, labels), keep=documents.columns + ["text"] * ("text" not in documents.columns))
+    scored = score_toxicity(documents, learn(documents, labels), keep=documents.columns)
     return scored.where("predicted = 0").select(*documents.columns)
