@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spindrift.plans import groups
+from spindrift.plans import groups, preparation
 
-PARTS = (groups,)
+PARTS = (groups, preparation)
 
 
 def queries() -> dict:

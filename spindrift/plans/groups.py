@@ -79,10 +79,10 @@ def _(spark, d):
 
 @query(
     "g6_grpo_centered",
-    f"WITH {ROLLOUTS} SELECT uid, row_id, round(reward - avg(reward) OVER (PARTITION BY uid), 9) AS advantage FROM r",
+    f"WITH {ROLLOUTS} SELECT uid, row_id, round(reward - avg(reward) OVER (PARTITION BY uid), 12) AS advantage FROM r",
 )
 def _(spark, d):
-    return adv.grpo(rollouts(spark, d), normalize=False).select("uid", "row_id", F.round("advantage", 9).alias("advantage"))
+    return adv.grpo(rollouts(spark, d), normalize=False).select("uid", "row_id", F.round("advantage", 12).alias("advantage"))
 
 
 @query(
@@ -208,10 +208,10 @@ def _(spark, d):
 
 @query(
     "g20_leave_one_out",
-    f"WITH {ROLLOUTS} SELECT uid, row_id, round(reward - (sum(reward) OVER w - reward) / (count(*) OVER w - 1), 9) AS advantage FROM r WINDOW w AS (PARTITION BY uid)",
+    f"WITH {ROLLOUTS} SELECT uid, row_id, round(reward - (sum(reward) OVER w - reward) / (count(*) OVER w - 1), 12) AS advantage FROM r WINDOW w AS (PARTITION BY uid)",
 )
 def _(spark, d):
-    return adv.leave_one_out(rollouts(spark, d)).select("uid", "row_id", F.round("advantage", 9).alias("advantage"))
+    return adv.leave_one_out(rollouts(spark, d)).select("uid", "row_id", F.round("advantage", 12).alias("advantage"))
 
 
 @query(
