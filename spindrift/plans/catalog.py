@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spindrift.plans import groups, preparation
+from spindrift.plans import evaluation, groups, preparation, repository
 
-PARTS = (groups, preparation)
+PARTS = (groups, preparation, evaluation, repository)
 
 
 def queries() -> dict:
