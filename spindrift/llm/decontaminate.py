@@ -216,5 +216,7 @@ def clean_rows(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     """The documents that are not contaminated, with their own columns."""
     bad = contamination(documents, benchmark, key=key, **options).where("contaminated")
     bad = bad.select(F.col(key).alias("_k"), F.col("_h").alias("_kh"))
-    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return documents.join(_maybe_broadcast(durable(bad)), F.col(key).eqNullSafe(F.col("_k")) & (own == F.col("_kh")), "left_anti")
+    rows = documents.select(F.struct("*").alias("row"))
+    own = F.xxhash64(F.coalesce(F.col(f"row.{text}"), F.lit("")))
+    same = F.col(f"row.{key}").eqNullSafe(F.col("_k")) & (own == F.col("_kh"))
+    return rows.join(_maybe_broadcast(durable(bad)), same, "left_anti").select("row.*")

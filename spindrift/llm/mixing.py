@@ -170,11 +170,12 @@ def word_count(text: Column) -> Column:
 
 def mix_rows(df: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: each row of df as often as the mix takes it, with df's columns."""
-    placed = df.withColumn("_at", F.monotonically_increasing_id())
-    plan = plan_repeats(placed, word_count(F.col("text")), keep=["_at"], **options)
+    placed = df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_at"))
+    names = {"key": "row." + options.pop("key", "doc_id"), "source": "row." + options.pop("source", "source")}
+    plan = plan_repeats(placed, word_count(F.col("row.text")), keep=["_at"], **names, **options)
     copies = plan.where("repeats > 0").select("_at", F.col("repeats").alias("_copies"))
     return (
         placed.join(copies, "_at")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*df.columns)
+        .select("row.*")
     )

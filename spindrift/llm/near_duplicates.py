@@ -347,4 +347,5 @@ def near_duplicates(
 def distinct_rows(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """One document of each group of near-duplicates, with the columns of documents."""
     gone = near_duplicates(documents, key=key, **options).where("NOT kept").select(F.col(key).alias("_k")).distinct()
-    return documents.join(gone, documents[key] == F.col("_k"), "left_anti")
+    rows = documents.select(F.struct("*").alias("row"))
+    return rows.join(gone, F.col(f"row.{key}") == F.col("_k"), "left_anti").select("row.*")

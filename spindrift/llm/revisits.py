@@ -55,7 +55,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     orphans; other kinds are ignored. Repeated revisits are answered each. Columns of other names are ignored.
     """
     spark = records.sparkSession
-    keyed = records.withColumn("uri_key", canonical_url(F.col("uri")))
+    own = ("record_id", "uri", "ts", "kind", "etag", "last_modified", "headers", "payload")
+    keyed = records.select(*own, canonical_url(F.col("uri")).alias("uri_key"))
     responses = keyed.where("kind = 'response' AND uri_key IS NOT NULL AND ts IS NOT NULL AND record_id IS NOT NULL")
     revisits = keyed.where("kind = 'revisit'")
     slim = F.struct("record_id", "etag", "last_modified")

@@ -61,13 +61,14 @@ def shard_by_bytes(
     dropped unless named in keep.
     """
     content = F.coalesce(F.col(text), F.lit(""))
+    kept = [F.struct(*keep).alias("_keep")] if keep else []
     slim = df.select(
-        F.col(key),
-        *[F.col(c) for c in keep or []],
+        F.col(key).alias("_key"),
+        *kept,
         (F.octet_length(content) + F.lit(1)).cast("long").alias("_size"),
         F.crc32(content).alias("_crc"),
     )
-    rows = positioned(slim, key, F.col("_size"))
+    rows = positioned(slim, "_key", F.col("_size"))
     total = rows.agg(F.sum("_weight").alias("_total"))
     sharded = rows.join(F.broadcast(total)).withColumn(
         "_shard",
@@ -76,8 +77,8 @@ def shard_by_bytes(
     sharded = durable(sharded)
     first = sharded.groupBy("_shard").agg(F.min("_index").alias("_first"))
     return sharded.join(F.broadcast(first), "_shard").select(
-        key,
-        *(keep or []),
+        F.col("_key").alias(key),
+        *(["_keep.*"] if keep else []),
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),
