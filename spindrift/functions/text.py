@@ -61,10 +61,14 @@ def canonical_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
 
+def sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
 def identity_of(problem, problem_type, anchors: list[str]) -> str:
     """SHA-256 of what is asked and its media; the answer is left out (I4)."""
     payload = {"media": list(anchors), "problem": fold_text(problem), "problem_type": fold_text(problem_type)}
-    return hashlib.sha256(canonical_json(payload).encode("utf-8")).hexdigest()
+    return sha256(canonical_json(payload))
 
 
 def has_content(value) -> bool:
@@ -104,7 +108,7 @@ def identity_udf(problem: pd.Series, problem_type: pd.Series, anchors: pd.Series
 @F.pandas_udf(T.StringType())
 def digest_udf(records: pd.Series) -> pd.Series:
     """SHA-256 of a JSON text in canonical form."""
-    return records.map(lambda r: hashlib.sha256(canonical_json(json.loads(r)).encode("utf-8")).hexdigest())
+    return records.map(lambda r: sha256(canonical_json(json.loads(r))))
 
 
 @F.pandas_udf(T.BooleanType())

@@ -471,3 +471,69 @@ def _(spark, d):
     means = read(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"))
     nested = means.select(F.create_map("event_type", F.create_map(F.lit("mean"), "m")).alias("metrics"))
     return ev.flatten_metrics(nested).select("metric", F.round("value", 6).alias("value"))
+
+
+@query("x3_true_letter", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'B' ELSE 'A' END AS letter FROM events")
+def _(spark, d):
+    answer = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), F.upper("event_type"))).otherwise("A. none of it")
+    options = F.array(F.lit("A. none of it"), F.col("event_type"))
+
+    @F.pandas_udf("string")
+    def letter(answers: pd.Series, choices: pd.Series) -> pd.Series:
+        return pd.Series([an.true_letter(a, list(c)) for a, c in zip(answers, choices, strict=True)])
+
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), letter(answer, options).alias("letter"))
+
+
+@query("x4_numeric_score", "SELECT event_id AS id, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS score FROM events")
+def _(spark, d):
+    n = F.col("user_id").cast("string")
+    said = F.concat(F.lit("<answer>"), n, F.when(F.col("event_id") % 3 == 0, ".5").otherwise(".001"), F.lit("</answer>"))
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([an.same_to_cents(x, y) for x, y in zip(a, b, strict=True)])
+
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), score(said, n).alias("score"))
+
+
+@query("x5_spatial_score", "SELECT event_id AS id, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM events")
+def _(spark, d):
+    n = (F.col("user_id") + 1).cast("string")
+    said = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("about "), n, F.lit(" m"))).otherwise("unknown")
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([an.spatial_score("object_abs_distance", x, y)[2] for x, y in zip(a, b, strict=True)])
+
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), score(said, n).alias("score"))
+
+
+@query("x6_loose_parsers", "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS number, 'B' AS token FROM events")
+def _(spark, d):
+    n = F.col("user_id").cast("string")
+    number = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("A. "), n)).otherwise(F.concat(F.lit("The final answer is "), n))
+    token = F.when(F.col("event_id") % 2 == 0, "</think> B.").otherwise("answer: B")
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(an.loose_number)(number).alias("number"), _series(an.loose_token)(token).alias("token"))
+
+
+@query("x9_balanced_json", "SELECT event_id AS id, event_type AS kind FROM events")
+def _(spark, d):
+    text = F.concat(F.lit('so {"a": {"kind": "'), "event_type", F.lit('"}} and {'))
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(lambda t: an.balanced_object(t)["a"]["kind"])(text).alias("kind"))
+
+
+@query("x10_frame_ious", "SELECT event_id AS id, 0.5 ::DOUBLE AS strict, 1.0::DOUBLE AS common, 0.5::DOUBLE AS coverage FROM events")
+def _(spark, d):
+    box = F.array(F.col("value"), F.lit(0.0), F.col("value") + 5, F.lit(9.0))
+    target, said = F.create_map(F.lit("1"), box, F.lit("2"), box), F.create_map(F.lit("1"), box)
+    return read(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.round(geo.mean_or_zero(geo.frame_ious(said, target)), 6).alias("strict"),
+        F.round(geo.common_frame_iou(said, target), 6).alias("common"), geo.coverage(said, target).alias("coverage"),
+    )
+
+
+@query("x17_letters", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'A,B,C' ELSE 'A,B,C,D' END AS letters FROM events")
+def _(spark, d):
+    text = F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit("? A. x B. y C. z"))).otherwise("which?")
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(lambda t: ",".join(an.listed_letters(t)))(text).alias("letters"))

@@ -298,3 +298,24 @@ def _(spark, d):
     both = docs.select("lang").intersect(docs.where("doc_id % 2 = 0").select("lang"))
     only = docs.select("source").subtract(docs.where("doc_id % 3 = 0").select("source"))
     return both.select(F.lit("both").alias("side"), "lang").union(only.select(F.lit("only"), "source"))
+
+
+@query("f5_keep_answers", "SELECT event_id FROM events WHERE chr(CAST(65 + event_id % 10 AS INTEGER)) IN ('A', 'B', 'C', 'D')")
+def _(spark, d):
+    rows = read(spark, d, "events").select("event_id", F.char(65 + F.col("event_id") % 10).alias("answer"))
+    return ds.keep_answers(rows, "ABCD").select("event_id")
+
+
+@query("f6_usable_segments", "SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND doc_id % 2 = 0 AND doc_id % 5 <> 0")
+def _(spark, d):
+    own, none = F.col("doc_id"), F.array().cast("array<string>")
+    rows = read(spark, d, "documents").select(
+        own, F.col("lang").alias("problem_type"), F.when(own % 2 == 0, "image").otherwise("video").alias("data_type"),
+        F.when(own % 5 == 0, none).otherwise(F.array("source")).alias("media"),
+    )
+    return ds.usable_segments(rows, ["en", "fr"], "image").select("doc_id")
+
+
+@query("f7_overlong", "SELECT doc_id FROM documents WHERE n_chars <= 2000")
+def _(spark, d):
+    return ds.drop_overlong(read(spark, d, "documents"), 2000, "n_chars").select("doc_id")

@@ -53,7 +53,7 @@ def flatten_container(text: str) -> list[dict]:
     return value
 
 
-def read_documents(spark: SparkSession, path: str, parse=unwrap) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str], parse=unwrap) -> DataFrame:
     """path, ordinal, record (JSON text) of whole JSON files; each file is parsed by one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

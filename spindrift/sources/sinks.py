@@ -32,6 +32,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     _replace(path, (canonical_json(r.asDict(recursive=True)) + "\n" for r in df.toLocalIterator()))
 
 
+def write_lines(df: DataFrame, path: str) -> None:
+    """One file of the texts of df's only column, in df's order; they are JSON already (K1)."""
+    _replace(path, (r[0] + "\n" for r in df.toLocalIterator()))
+
+
 def write_manifest(value: dict, path: str) -> None:
     """An indented JSON document with sorted keys (K2)."""
     _replace(path, [json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False) + "\n"])

@@ -176,3 +176,40 @@ def test_sinks_are_atomic_and_stable(spark, tmp_path):
     for step in (1, 2):
         sinks.log_metrics(table, str(tmp_path / "log"), step)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+SOURCE_ROWS = [
+    {"problem": "Prompt one", "answer": "A", "videos": ["a.mp4"]},
+    {"problem": "  PROMPT   ONE ", "answer": "A2", "videos": ["./a.mp4"]},
+    {"problem": "Prompt two", "answer": "B", "videos": ["b.mp4"]},
+    {"problem": "Prompt three", "answer": "C", "videos": ["c.mp4"]},
+    {"problem": "Training prompt on benchmark media", "answer": "D", "videos": ["benchmark.mp4"]},
+]
+
+
+def test_whole_build(spark, tmp_path):
+    from spindrift.operators import build
+
+    (tmp_path / "source.jsonl").write_text("".join(json.dumps(r) + "\n" for r in SOURCE_ROWS))
+    (tmp_path / "benchmarks.jsonl").write_text(json.dumps({"problem": "Prompt two?", "path": "benchmark.mp4", "problem_type": "x"}) + "\n")
+    source = build.Source("video_source", str(tmp_path / "source.jsonl"), "video_qa_mc", 2, "video_qa", str(tmp_path))
+    run = lambda s, **o: build.build_dataset(spark, [s], [str(tmp_path / "benchmarks.jsonl")], seed=17, cap=1, canary_size=1, **o)
+    parts = run(source)
+    assert parts["train"].count() == 2 and parts["canary"].count() == 1
+    audit = {(r.section, r.metric): r.value for r in parts["audit"].collect()}
+    assert audit["leakage", "candidate_rows_excluded"] == 1 and audit["leakage", "candidate_media_rows"] == 1
+    assert audit["duplicates", "duplicate_rows"] == 1
+    assert all(v == 0 for (s, _), v in audit.items() if s == "output_leakage")
+    written = []
+    for name in ("one", "two"):
+        build.write_dataset(run(source), str(tmp_path / name))
+        written.append([(tmp_path / name / f).read_bytes() for f in ("train.jsonl", "canary.jsonl", "manifest.json")])
+    assert written[0] == written[1]
+    rows = [json.loads(line) for line in written[0][0].decode().splitlines()]
+    assert all(r["source"] == "video_source" and r["problem_type"] == "video_qa_mc" and r["family"] == "video_qa" for r in rows)
+    wide = build.Source("video_source", source.input, source.task, 4, None, source.media_root)
+    with pytest.raises(ValueError, match="video_source short by 1"):
+        run(wide)
+    assert run(wide, allow_shortfall=True)["train"].count() == 3
+    with pytest.raises(ValueError, match="target"):
+        run(source, target=5)
