@@ -50,13 +50,28 @@ class Trie:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-        self.heads = {w[:2] for w in words}
-        self.tails = {w[-2:] for w in words}
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[int, set[str]] = {}
+        for w in words:
+            half = (len(w) - 1) // 2
+            self.heads.setdefault(len(w), set()).add(w[:half])
+            self.tails.setdefault(len(w), set()).add(w[len(w) - half :])
+
+    def possible(self, word: str) -> bool:
+        """One edit leaves the first or the last half of a lexicon word alone; a cheap test before the walk."""
+        if self.edits > 1:
+            return True
+        for n in (len(word) - 1, len(word), len(word) + 1):
+            if n in self.heads:
+                half = (n - 1) // 2
+                if word[:half] in self.heads[n] or word[len(word) - half :] in self.tails[n]:
+                    return True
+        return False
 
     def near(self, word: str) -> list[str]:
         """Lexicon words within the edit bound. States are the live (column, errors) pairs of the automaton."""
-        if self.edits == 1 and len(word) >= 4 and word[:2] not in self.heads and word[-2:] not in self.tails:
-            return []  # one edit leaves the first or the last two letters alone
+        if not self.possible(word):
+            return []
         found: list[str] = []
         self._walk(self.root, {i: i for i in range(min(self.edits, len(word)) + 1)}, word, found)
         return found
@@ -89,6 +104,8 @@ class Scorer:
         ranked = sorted((w for w in self.words if len(w) >= 5), key=lambda w: (-self.words[w], w))
         self.trie = Trie(ranked[:TRIE_WORDS])
         self.bias, self.misspelt, self.seen = bias, misspelt, {}
+        self.weighed: set[str] = set()
+        self.heavy: dict[str, float] = {}
 
     def misspelling(self, word: str) -> str | None:
         if word not in self.seen:
@@ -115,16 +132,30 @@ class Scorer:
         closed = min((i for c in CLOSING if (i := after.find(c)) >= 0), default=-1)
         return QUOTED if opened >= 0 and closed >= 0 and before.count('"') % 2 == (before[opened] == '"') else 1.0
 
-    def score(self, text: str) -> float:
-        lowered = text.lower()
-        words = set(WORD.findall(lowered))
-        hits = {w: v for w in words if (v := self.weight(w)) > 0}
+    def hits(self, word_sets: list[set[str]]) -> list[set[str]]:
+        """Words of each set that carry weight; a word is weighed once for many texts."""
+        new = set().union(*word_sets) - self.weighed
+        if len(self.weighed) + len(new) > 400_000:
+            self.weighed, self.heavy = set(), {}
+            new = set().union(*word_sets)
+        self.heavy.update((w, v) for w in new if (v := self.weight(w)) > 0)
+        self.weighed |= new
+        heavy = self.heavy.keys()
+        return [words & heavy for words in word_sets]
+
+    def score_all(self, texts: list[str], step: int = 200) -> list[float]:
+        out = []
+        for i in range(0, len(texts), step):
+            lowered = [t.lower() for t in texts[i : i + step]]
+            found = self.hits([set(WORD.findall(t)) for t in lowered])
+            out += [self.score(t, h) for t, h in zip(lowered, found, strict=True)]
+        return out
+
+    def score(self, lowered: str, hits: set[str]) -> float:
         total = 0.0
         if hits:
-            values = []
-            for m in WORD.finditer(lowered):
-                if (v := hits.get(m[0])) is not None:
-                    values.append(v * self.context(lowered, m.start(), m.end()))
+            pattern = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(hits, key=len, reverse=True))) + r")(?![^\W_])")
+            values = [self.heavy[m[0]] * self.context(lowered, m.start(), m.end()) for m in pattern.finditer(lowered)]
             values.sort(reverse=True)
             total = values[0] + 0.25 * sum(values[1:4])
         return 1 / (1 + math.exp(-min(30.0, self.bias + total)))
@@ -205,7 +236,7 @@ def score_toxicity(documents: DataFrame, model: Scorer, keep: list[str] | None =
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[names].copy()
-            out["score"] = [model.score(t if isinstance(t, str) else "") for t in pdf[source]]
+            out["score"] = model.score_all([t if isinstance(t, str) else "" for t in pdf[source]])
             yield out
 
     slim = documents.select(
