@@ -24,7 +24,9 @@ _SPAN = 1 << 40
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(ascii_lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words of a lower-cased line; none of a blank one."""
+    bare = F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+    return F.when(bare != "", F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
 def _half_keys(words: Column) -> Column:
@@ -42,8 +44,8 @@ def _half_keys(words: Column) -> Column:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    parts = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n"))
-    return texts.select("ord", parts.alias("ln", "line")).withColumn("words", _words(F.col("line")))
+    parts = F.posexplode(F.split(ascii_lower(F.coalesce("text", F.lit(""))), "\n"))
+    return texts.select("ord", parts.alias("ln", "line"))
 
 
 def _earliest(df: DataFrame) -> DataFrame:
@@ -52,25 +54,29 @@ def _earliest(df: DataFrame) -> DataFrame:
 
 def repeated_lines(texts: DataFrame) -> DataFrame:
     """(ord, ln, near) for every line of (ord, text) that falls to an earlier line; blank lines never do."""
-    lines = _lines(texts).where(F.size("words") > 0)
-    named = lines.select(
-        "ord", "ln", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("h2"), F.size("words").alias("w"), "words"
-    )
-    keyed = named.select("ord", "ln", "h", "h2", "w", F.when(F.col("w") >= MIN_WORDS, _half_keys(F.col("words"))).alias("k"))
+    named = _lines(texts).select("ord", "ln", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+    keyed = named.select(
+        "ord", "ln", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("h2"), F.size("words").alias("w"),
+        F.when(F.size("words") >= MIN_WORDS, _half_keys(F.col("words"))).alias("k"),
+    )
+    keyed = durable(keyed)  # a few hashes a line: the texts are tokenised once
     classes = durable(_earliest(keyed))
 
-    halves = classes.select("h", "h2", F.explode(F.array_distinct("k")).alias("half"))
+    halves = classes.select("h", "h2", F.posexplode("k").alias("place", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    paired = durable(halves.join(shared, "half").select("h", "h2").distinct().join(classes.select("h", "h2", "first"), ["h", "h2"]))
-    told = F.broadcast(paired) if paired.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else paired
-    opened = durable(
-        named.join(told, ["h", "h2"]).where((F.col("ord") == F.col("first.ord")) & (F.col("ln") == F.col("first.ln"))).select("h", "h2", "first", "words")
+    paired = halves.join(shared, "half").groupBy("h", "h2").agg(
+        F.max(F.col("place") % 2 == 0).alias("head"), F.max(F.col("place") % 2 == 1).alias("tail")
     )
+    paired = durable(paired.join(classes.select("h", "h2", "first"), ["h", "h2"]))
+    told = paired.select("h", "h2", "first", "head", "tail", F.col("first.ord").alias("_o"), F.col("first.ln").alias("_l"))
+    told = F.broadcast(told) if told.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else told
+    opened = _lines(texts).join(told, (F.col("ord") == F.col("_o")) & (F.col("ln") == F.col("_l")))
+    opened = durable(opened.select("h", "h2", "first", "head", "tail", _words(F.col("line")).alias("words")))
 
     def sums(place: Column, salt: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(salt), "word", place), F.lit(_SPAN))
 
-    word = opened.select("h", "h2", "first", F.posexplode("words").alias("i", "word"))
+    word = opened.select("h", "h2", "first", "head", "tail", F.size("words").alias("w"), F.posexplode("words").alias("i", "word"))
     line = Window.partitionBy("h", "h2")
     before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     after = line.orderBy("i").rowsBetween(1, Window.unboundedFollowing)
@@ -83,16 +89,18 @@ def repeated_lines(texts: DataFrame) -> DataFrame:
             .withColumn(f"out{salt}", F.col(f"all{salt}") - F.col(f"a{salt}"))
             .withColumn(f"cut{salt}", F.coalesce(F.sum(f"a{salt}").over(before), zero) + F.coalesce(F.sum(f"b{salt}").over(after), zero))
         )
+    # a line that only shares its head with others can only be edited behind it, and the other way round
+    open_ = (F.col("head") & (F.col("i") >= F.floor((F.col("w") - 1) / 2))) | (F.col("tail") & (F.col("i") <= F.floor(F.col("w") / 2)))
     variants = F.array(
-        F.struct(F.lit("s").alias("role"), F.xxhash64(F.lit("s"), F.col("i"), F.col("out1"), F.col("out2")).alias("key")),
-        F.struct(F.lit("d").alias("role"), F.xxhash64(F.lit("d"), F.col("cut1"), F.col("cut2")).alias("key")),
+        F.struct(F.lit("s").alias("role"), F.when(open_, F.xxhash64(F.lit("s"), F.col("i"), F.col("out1"), F.col("out2"))).alias("key")),
+        F.struct(F.lit("d").alias("role"), F.when(open_, F.xxhash64(F.lit("d"), F.col("cut1"), F.col("cut2"))).alias("key")),
         F.struct(
             F.lit("w").alias("role"),
             F.when(F.col("i") == 0, F.xxhash64(F.lit("d"), F.col("all1"), F.col("all2"))).alias("key"),
         ),
     )
-    emitted = word.select("h", "h2", "first", "i", F.explode(variants).alias("v")).select("h", "h2", "first", "i", "v.role", "v.key")
-    emitted = emitted.where("key IS NOT NULL")
+    emitted = word.select("h", "h2", "first", "i", F.explode(F.filter(variants, lambda v: v["key"].isNotNull())).alias("v"))
+    emitted = emitted.select("h", "h2", "first", "v.role", "v.key")
     own = F.struct("first", "h", "h2")
     least = emitted.groupBy("key").agg(
         F.count("*").alias("n"), *[F.min(F.when(F.col("role") == r, own)).alias(f"min_{r}") for r in "sdw"]
