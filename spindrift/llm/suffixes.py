@@ -179,9 +179,33 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 BLOBS = "kind int, part int, blob binary"
 
 
+def _repeats(x: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted suffix tuples: which are the first of their stretch, and the spans of the others."""
+    new = np.concatenate(([True], (x["name"][1:] != x["name"][:-1]) | (x["stretch"][1:] != x["stretch"][:-1])))
+    old = x[~new]
+    spans = np.empty(len(old), dtype=SPAN)
+    spans["ord"], spans["lo"] = old["ord"], old["at"] - old["lo"]
+    spans["hi"] = old["at"] - old["hi"] + length
+    return new, spans
+
+
 def _level_one(texts: DataFrame, parts: int, length: int) -> DataFrame:
+    """Kind 0: suffix tuples by name. Kind 1: spans that repeat a stretch of the same run of texts.
+
+    A run sends one tuple for each stretch at most, so copies of a text are combined before the shuffle.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            x = np.concatenate(held)
+            x = x[np.lexsort((x["at"], x["ord"], x["stretch"], x["name"]))]
+            new, spans = _repeats(x, length)
+            first = x[new]
+            rows = [(0, *r) for r in _dealt(first, _part_of(first["name"], parts), parts)]
+            return _frame(rows + [(1, *r) for r in _dealt(spans, _part_of(spans["ord"], parts), parts)])
+
         for pdf in batches:
             for order, text in zip(pdf["ord"], pdf["text"], strict=True):
                 if isinstance(text, str):
@@ -189,11 +213,10 @@ def _level_one(texts: DataFrame, parts: int, length: int) -> DataFrame:
                     held.append(x)
                     size += len(x)
                 if size > 250_000:
-                    x, held, size = np.concatenate(held), [], 0
-                    yield _frame([(0, *r) for r in _dealt(x, _part_of(x["name"], parts), parts)])
+                    yield flush()
+                    held, size = [], 0
         if size:
-            x = np.concatenate(held)
-            yield _frame([(0, *r) for r in _dealt(x, _part_of(x["name"], parts), parts)])
+            yield flush()
 
     return texts.mapInPandas(run, BLOBS)
 
@@ -202,14 +225,10 @@ def _settle_suffixes(blobs: DataFrame, parts: int, length: int, hot: int) -> Dat
     """Kind 1: spans that repeat an earlier stretch. Kind 2: stretches to be opened."""
 
     def settle(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new, spans = _repeats(x, length)
         new_name = np.concatenate(([True], x["name"][1:] != x["name"][:-1]))
-        new = new_name | np.concatenate(([True], x["stretch"][1:] != x["stretch"][:-1]))
         group = np.cumsum(new_name) - 1
         several = np.bincount(group[new], minlength=group[-1] + 1)
-        old = x[~new]
-        spans = np.empty(len(old), dtype=SPAN)
-        spans["ord"], spans["lo"] = old["ord"], old["at"] - old["lo"]
-        spans["hi"] = old["at"] - old["hi"] + length
         first, count = x[new], several[group[new]]
         opened = []
         for y, crowded in ((first[(count > 1) & (count <= hot)], False), (first[count > hot], True)):
@@ -231,7 +250,10 @@ def _settle_suffixes(blobs: DataFrame, parts: int, length: int, hot: int) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sorter = ExternalSorter(["name", "stretch", "ord", "at"])
         for pdf in batches:
-            for blob in pdf["blob"]:
+            known = pdf["kind"] == 1
+            if known.any():
+                yield pdf[known]
+            for blob in pdf["blob"][~known]:
                 sorter.add(np.frombuffer(blob, dtype=SUFFIX))
         for x in by_name(sorter.merged()):
             for kind, y in enumerate(settle(x), 1):
