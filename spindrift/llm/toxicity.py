@@ -96,32 +96,52 @@ class Trie:
 
 
 class Scorer:
-    """A learned model: weights of words and stems, weights of misspelled words, and the bias."""
+    """A learned model: weights of words and stems, of misspellings by term and by word, and the bias."""
 
-    def __init__(self, weights: dict[str, float], bias: float, misspelt: float):
+    def __init__(self, weights: dict[str, float], bias: float):
         self.words = {w: v for w, v in weights.items() if not w.endswith("*")}
         self.stems = {n: {w[:n]: v for w, v in weights.items() if w == w[:n] + "*"} for n in STEMS}
         ranked = sorted((w for w in self.words if len(w) >= 5), key=lambda w: (-self.words[w], w))
         self.trie = Trie(ranked[:TRIE_WORDS])
-        self.bias, self.misspelt, self.seen = bias, misspelt, {}
+        self.bias, self.seen = bias, {}
+        self.rows = (0, 0)
+        #: Misspellings of a term believed beforehand, at most one.
+        self.believed: dict[str, float] = {}
+        #: Toxic and clean rows of words near a term that only one row has, by term.
+        self.rare: dict[str, tuple[int, int]] = {}
+        #: Words near a term that clean rows use too often for a mark of toxic ones.
+        self.ordinary: set[str] = set()
         self.weighed: set[str] = set()
         self.heavy: dict[str, float] = {}
 
-    def misspelling(self, word: str) -> str | None:
+    def misspelling(self, word: str) -> list[str]:
+        """The terms that an unknown word may be a misspelling of."""
         if word not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            near = self.trie.near(word) if len(word) >= 4 else []
-            self.seen[word] = near[0] if near else None
+            self.seen[word] = self.trie.near(word) if len(word) >= 4 else []
         return self.seen[word]
 
-    def weight(self, word: str) -> float:
+    def misspelt(self, term: str) -> float:
+        """Weight of an unknown word as a misspelling of a term.
+
+        Misspellings are believed beforehand in proportion to the term's toxic rows. Clean rows with rare words near
+        the term take that back: they tell how often a new word is one by accident.
+        """
+        (t, c), (toxic, clean) = self.rare.get(term, (0, 0)), self.rows
+        return math.log((t + self.believed.get(term, 1.0)) / (toxic + 10)) - math.log((c + 0.1) / (clean + 10))
+
+    def learned(self, word: str) -> float:
         best = self.words.get(word, 0.0)
         for n, stems in self.stems.items():
             if len(word) > n:
                 best = max(best, stems.get(word[:n], 0.0))
-        if not best and self.misspelt > 0 and self.misspelling(word):
-            best = self.misspelt
+        return best
+
+    def weight(self, word: str) -> float:
+        best = self.learned(word)
+        if not best and word not in self.ordinary:
+            best = max((self.misspelt(term) for term in self.misspelling(word)), default=0.0)
         return best
 
     def context(self, text: str, start: int, end: int) -> float:
@@ -179,8 +199,9 @@ def _count(batches: Iterator[pd.DataFrame], wanted: frozenset[str] | None) -> It
 def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Scorer:
     """Learn the lexicon from at most ``rows`` labelled rows that are not held out.
 
-    The sample is bounded, so what reaches the driver is too: LEXICON weights and four counts. Without labelled
-    rows, or without toxic ones, nothing is learned and every text scores the bias.
+    The sample is bounded, so what reaches the driver is too: LEXICON weights, two counts a term, and the ordinary
+    words of the sample that are one edit from a term. Without labelled rows, or without toxic ones, nothing is
+    learned and every text scores the bias.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -190,7 +211,7 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
     toxic, clean = size.get(1, 0), size.get(0, 0)
     bias = math.log((toxic + 1) / (clean + 9)) - 0.3
     if not toxic:
-        return Scorer({}, bias, 0.0)
+        return Scorer({}, bias)
     least = max(3, math.ceil(0.01 * toxic))
 
     def counts(df: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
@@ -204,21 +225,26 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
         f: math.log((t + 0.1) / (toxic + 1)) - math.log((against.get(f, 0) + 0.5) / (clean + 1)) for f, t in marks.items()
     }
     strong = sorted((f for f in odds if odds[f] >= 3.0 and marks[f] >= 20 * against.get(f, 0)), key=lambda f: (-odds[f], f))
-    model = Scorer({f: odds[f] for f in strong[:LEXICON]}, bias, 1.0)
+    model = Scorer({f: odds[f] for f in strong[:LEXICON]}, bias)
+    model.rows = (toxic, clean)
+    most = max((marks[w] for w in model.words), default=1)
+    model.believed = {w: marks[w] / most for w in model.words}
 
     def fuzzy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = c = 0
+        found: dict[str, list[int]] = {}
         for pdf in batches:
             for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
-                words = set(WORD.findall((text or "").lower()))
-                hit = any(model.misspelling(w) for w in words if w not in model.words)
-                t, c = t + bool(hit and label), c + bool(hit and not label)
-        yield pd.DataFrame({"t": [t], "c": [c]})
-
-    seen = train.mapInPandas(fuzzy, "t long, c long").agg(F.sum("t"), F.sum("c")).first()
-    t, c = (seen[0] or 0), (seen[1] or 0)
-    # one misspelling is believed beforehand; rows that prove it common in clean text take that back
-    model.misspelt = max(0.0, math.log((t + 1) / (toxic + 10)) - math.log((c + 0.1) / (clean + 10)))
+                for w in set(WORD.findall((text or "").lower())):
+                    if w in found or (not model.learned(w) and model.misspelling(w)):
+                        found.setdefault(w, [0, 0])[not label] += 1
+        pairs = [(w, v, t, c) for w, (t, c) in found.items() for v in model.misspelling(w)]
+        yield pd.DataFrame(pairs, columns=["w", "v", "t", "c"])
+
+    sums = [F.sum("t").alias("t"), F.sum("c").alias("c")]
+    pairs = durable(train.mapInPandas(fuzzy, "w string, v string, t long, c long").groupBy("w", "v").agg(*sums))
+    once = F.col("t") + F.col("c") == 1
+    model.rare = {r["v"]: (r["t"], r["c"]) for r in pairs.where(once).groupBy("v").agg(*sums).collect()}
+    model.ordinary = {r["w"] for r in pairs.where(~once & (F.col("t") < 20 * F.col("c"))).select("w").distinct().collect()}
     model.seen.clear()
     return model
 

@@ -200,6 +200,17 @@ def test_held_out_rows_are_judged_right(judged):
     assert got[900].predicted == got[901].predicted == 0
 
 
+def test_clean_neighbour_of_a_term_leaves_other_misspellings_alone(judged):
+    docs, labels, truth = judged
+    clean = {i for i, _, x in truth if not x and i % 3 == 0}  # a common clean word one edit from a term
+    text = F.when(F.col("doc_id").isin(clean), F.concat("text", F.lit(" dimwip"))).otherwise(F.col("text"))
+    docs = docs.withColumn("text", text)
+    more = make(docs.sparkSession, [(906, "such a dimwip here", "s"), (907, "you nitwittid thing", "s"), (908, "the grumblefo day", "s")])
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs.union(more), toxicity.learn(docs, labels)).collect()}
+    assert got[906] == 0 and got[902] == got[907] == 1
+    assert not any(got[i] for i in clean)
+
+
 def test_nothing_is_learned_without_toxic_labels(judged):
     docs, labels, _ = judged
     model = toxicity.learn(docs, labels.where("toxic = 0"))
