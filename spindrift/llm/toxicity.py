@@ -2,13 +2,14 @@
 
 Method: words and word stems that mark toxic rows are learned from labelled rows. A trie of the learned words is
 walked together with a Levenshtein automaton of each unknown word, which catches misspelled terms. Every hit is
-weighed by the window around it: a term inside quotation marks, or after a reporting verb, counts for little.
+weighed by what stands around it: a term inside quotation marks, or after a reporting verb, counts for little.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,10 +26,11 @@ STEMS = (4, 5)
 TRAINING_ROWS = 20_000
 #: At most so many learned words and stems, and so many words in the trie.
 LEXICON, TRIE_WORDS = 5_000, 200
-#: Characters around a hit that decide whether it is a quotation, and what a quoted hit is worth.
+#: Characters before a hit in which a reporting verb is looked for, and what a quoted hit is worth.
 CONTEXT, QUOTED = 60, 0.1
-# Quotation marks and reporting words.
-OPENING, CLOSING = "\"“«„‘", "\"”»“’"
+# Quotation marks with the marks that they close, and reporting words.
+OPENING, CLOSING = "\"“«„‘", {"\"": "\"", "”": "“„", "»": "«", "“": "„", "’": "‘"}
+MARK = re.compile("[" + OPENING + "".join(CLOSING) + "]")
 REPORTING = re.compile(r"\b(?:said|says|called|quoted|wrote|quote|term|word)\W{0,3}$", re.I)
 
 
@@ -40,6 +42,38 @@ def features(text: str) -> set[str]:
     return out
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Outermost quotations (places of both marks), paired over the whole text.
+
+    A mark that stands free on one side only can open or only close; one that closes nothing and does not open is
+    passed over, and so are open ones that an outer mark closes over. A ’ between letters is an apostrophe.
+    """
+    spans: list[tuple[int, int]] = []
+    opened: list[tuple[str, int]] = []
+    for m in MARK.finditer(text):
+        c, i = m[0], m.start()
+        free_before = i == 0 or not (text[i - 1].isalnum() or text[i - 1] in ".,;:!?…)]")
+        free_after = i + 1 == len(text) or not text[i + 1].isalnum()
+        if c == "’" and not free_after:
+            continue
+        both = c in OPENING and c in CLOSING
+        opens = both and free_before and not free_after
+        partner = None
+        if c in CLOSING and not opens:
+            partner = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] in CLOSING[c]), None)
+        if partner is not None:
+            start = opened[partner][1]
+            del opened[partner:]
+            while spans and spans[-1][0] > start:
+                spans.pop()
+            spans.append((start, i))
+        elif c in OPENING and not (both and free_after and not free_before):
+            if c == '"':  # does not nest: an earlier one that nothing closed is a stray
+                opened = [o for o in opened if o[0] != c]
+            opened.append((c, i))
+    return spans
+
+
 class Trie:
     """A lexicon walked with the automaton that accepts all words within ``edits`` of a given one."""
 
@@ -144,13 +178,11 @@ class Scorer:
             best = max((self.misspelt(term) for term in self.misspelling(word)), default=0.0)
         return best
 
-    def context(self, text: str, start: int, end: int) -> float:
-        before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-        if REPORTING.search(before):
+    def context(self, text: str, start: int, quoted: list[tuple[int, int]]) -> float:
+        if REPORTING.search(text[max(0, start - CONTEXT) : start]):
             return QUOTED
-        opened = max(before.rfind(c) for c in OPENING)
-        closed = min((i for c in CLOSING if (i := after.find(c)) >= 0), default=-1)
-        return QUOTED if opened >= 0 and closed >= 0 and before.count('"') % 2 == (before[opened] == '"') else 1.0
+        k = bisect_left(quoted, (start,)) - 1
+        return QUOTED if k >= 0 and start < quoted[k][1] else 1.0
 
     def hits(self, word_sets: list[set[str]]) -> list[set[str]]:
         """Words of each set that carry weight; a word is weighed once for many texts."""
@@ -175,7 +207,8 @@ class Scorer:
         total = 0.0
         if hits:
             pattern = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(hits, key=len, reverse=True))) + r")(?![^\W_])")
-            values = [self.heavy[m[0]] * self.context(lowered, m.start(), m.end()) for m in pattern.finditer(lowered)]
+            quoted = quotations(lowered)
+            values = [self.heavy[m[0]] * self.context(lowered, m.start(), quoted) for m in pattern.finditer(lowered)]
             values.sort(reverse=True)
             total = values[0] + 0.25 * sum(values[1:4])
         return 1 / (1 + math.exp(-min(30.0, self.bias + total)))

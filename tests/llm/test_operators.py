@@ -211,6 +211,33 @@ def test_clean_neighbour_of_a_term_leaves_other_misspellings_alone(judged):
     assert not any(got[i] for i in clean)
 
 
+@pytest.mark.parametrize(
+    ("text", "quoted"),
+    [
+        ("he told her “come in” and then you dimwit left and “closed the door”", False),
+        ('"' + "word " * 20 + 'word" you dimwit "closed the door"', False),
+        ('"come in," and you dimwit, "closed"', False),
+        ('a 5" pipe, you dimwit, and a 6" pipe', False),
+        ("don’t you dimwit say it isn’t", False),
+        ("„komm“ du dimwit „geh“", False),
+        ("«viens» dimwit «va»", False),
+        ("‘come’ you dimwit ‘go’", False),
+        ("“ never closed, you dimwit", False),
+        ("you dimwit", False),
+        ('"you dimwit"', True),
+        ('a 5" pipe and "you dimwit" there', True),
+        ("“" + "word " * 30 + "dimwit" + " word" * 30 + "”", True),
+        ("„du “so” dimwit“", True),
+        ("„du dimwit“ und «du»", True),
+        ("« un dimwit » là", True),
+        ("‘you don’t, dimwit’ it was", True),
+    ],
+)
+def test_only_hits_inside_one_quotation_are_discounted(text, quoted):
+    model = toxicity.Scorer({"dimwit": 7.0}, -2.0)
+    assert (model.score_all([text])[0] < 0.3) == quoted
+
+
 def test_nothing_is_learned_without_toxic_labels(judged):
     docs, labels, _ = judged
     model = toxicity.learn(docs, labels.where("toxic = 0"))
