@@ -24,8 +24,10 @@ WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5)
 #: At most so many labelled rows are learned from: those of the smallest hash of their id.
 TRAINING_ROWS = 20_000
-#: At most so many learned words and stems, and so many words in the trie.
-LEXICON, TRIE_WORDS = 5_000, 200
+#: At most so many learned words and stems.
+LEXICON = 5_000
+#: Clean rows with rare words near a term that are believed beforehand, by the term's length; a short one has more neighbours.
+CHANCE = {3: 1.6, 4: 0.4}
 #: Characters before a hit in which a reporting verb is looked for, and what a quoted hit is worth.
 CONTEXT, QUOTED = 60, 0.1
 # Quotation marks with the marks that they close, and reporting words.
@@ -135,8 +137,7 @@ class Scorer:
     def __init__(self, weights: dict[str, float], bias: float):
         self.words = {w: v for w, v in weights.items() if not w.endswith("*")}
         self.stems = {n: {w[:n]: v for w, v in weights.items() if w == w[:n] + "*"} for n in STEMS}
-        ranked = sorted((w for w in self.words if len(w) >= 5), key=lambda w: (-self.words[w], w))
-        self.trie = Trie(ranked[:TRIE_WORDS])
+        self.trie = Trie(sorted(self.words))
         self.bias, self.seen = bias, {}
         self.rows = (0, 0)
         #: Misspellings of a term believed beforehand, at most one.
@@ -153,7 +154,7 @@ class Scorer:
         if word not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            self.seen[word] = self.trie.near(word) if len(word) >= 4 else []
+            self.seen[word] = self.trie.near(word)
         return self.seen[word]
 
     def misspelt(self, term: str) -> float:
@@ -163,7 +164,7 @@ class Scorer:
         the term take that back: they tell how often a new word is one by accident.
         """
         (t, c), (toxic, clean) = self.rare.get(term, (0, 0)), self.rows
-        return math.log((t + self.believed.get(term, 1.0)) / (toxic + 10)) - math.log((c + 0.1) / (clean + 10))
+        return math.log((t + self.believed.get(term, 1.0)) / (toxic + 10)) - math.log((c + CHANCE.get(len(term), 0.1)) / (clean + 10))
 
     def learned(self, word: str) -> float:
         best = self.words.get(word, 0.0)

@@ -211,6 +211,19 @@ def test_clean_neighbour_of_a_term_leaves_other_misspellings_alone(judged):
     assert not any(got[i] for i in clean)
 
 
+def test_misspellings_of_every_learned_word_are_looked_up(judged):
+    short = toxicity.Scorer({"scum": 7.0, "git": 7.0}, -2.0)
+    assert {w: short.misspelling(w) for w in ("scumm", "scm", "gitt", "gi", "word")} == {"scumm": ["scum"], "scm": ["scum"], "gitt": ["git"], "gi": ["git"], "word": []}
+    many = [f"{a}{b}{c}{'xyzw' * 2}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uv"] + ["pqrstlmn"] * 2 + [f"zz{a}{b}qqqq" for a in "abcdefghij" for b in "klmnopqrst"]
+    wide = toxicity.Scorer({w: 7.0 - k / 1000 for k, w in enumerate(many)}, -2.0)
+    assert all(w in wide.misspelling(w[:-1] + "#") for w in many)
+    docs, labels, _ = judged
+    text = F.regexp_replace("text", "dimwit", "scum")
+    docs = docs.withColumn("text", text).union(make(docs.sparkSession, [(906, "such scumm here", "s")]))
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, toxicity.learn(docs, labels)).collect()}
+    assert got[906] == 1 and got[905] == 1 and got[901] == 0
+
+
 @pytest.mark.parametrize(
     ("text", "quoted"),
     [
