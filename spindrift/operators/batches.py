@@ -187,14 +187,18 @@ def concat(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def append_oracles(policy: DataFrame, oracles: DataFrame, n: int, groups: int | None = None, group: str = "uid", row: str = "row_id") -> DataFrame:
+def append_oracles(policy: DataFrame, oracles: DataFrame, n: int | None = None, groups: int | None = None, group: str = "uid", row: str = "row_id") -> DataFrame:
     """Policy rows and one oracle row behind each group (J12): adds is_oracle_row and ``position``.
 
-    With ``groups`` the result is cut to that many full groups, in order of their ids.
+    Groups are kept whole; with ``n`` each is cut to its first n policy rows, and never loses its oracle. With
+    ``groups`` the result is cut to that many full groups, in order of their ids.
     """
+    if n is not None:
+        order = Window.partitionBy(group).orderBy(row)
+        policy = policy.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
     both = policy.withColumn("is_oracle_row", F.lit(False)).unionByName(oracles.withColumn("is_oracle_row", F.lit(True)))
     inside = Window.partitionBy(group).orderBy("is_oracle_row", row)
-    out = both.withColumn("position", F.row_number().over(inside) - 1).where(F.col("position") <= n)
+    out = both.withColumn("position", F.row_number().over(inside) - 1)
     if groups is None:
         return out
     first = policy.select(group).distinct().orderBy(group).limit(groups)

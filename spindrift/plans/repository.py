@@ -163,7 +163,7 @@ def _(spark, d):
     events = read(spark, d, "events")
     policy = events.where("event_id % 2 = 0").select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"))
     oracles = events.select(F.col("user_id").alias("uid")).distinct().withColumn("row_id", -F.col("uid") - 1)
-    return bt.append_oracles(policy, oracles, 100)
+    return bt.append_oracles(policy, oracles)
 
 
 PATHS = "p AS (SELECT page_id AS row_id, CASE page_id % 6 WHEN 0 THEN 'media/' || page_id WHEN 1 THEN '/abs/' || page_id WHEN 2 THEN 'a/../' || page_id WHEN 3 THEN url WHEN 4 THEN 'a//b' ELSE '' END AS path FROM pages)"

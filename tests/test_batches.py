@@ -34,6 +34,15 @@ def test_union_columns_must_agree(spark):
         bt.concat([frame(spark, 1), right])
 
 
+def test_large_groups_keep_their_rows_and_their_oracle(spark):
+    policy = spark.createDataFrame([(u, r) for u, n in ((1, 5), (2, 2)) for r in range(n)], "uid long, row_id long")
+    oracles = spark.createDataFrame([(1, 90), (2, 91)], "uid long, row_id long")
+    rows = lambda *a: sorted((r.uid, r.position, r.row_id, r.is_oracle_row) for r in bt.append_oracles(policy, oracles, *a).collect())
+    two = [(2, 0, 0, False), (2, 1, 1, False), (2, 2, 91, True)]
+    assert rows() == [*((1, i, i, False) for i in range(5)), (1, 5, 90, True), *two]
+    assert rows(3) == [(1, 0, 0, False), (1, 1, 1, False), (1, 2, 2, False), (1, 3, 90, True), *two]
+
+
 def spread(lengths, parts):
     loads = [sum(lengths[i] for i in p) for p in parts]
     return max(loads) - min(loads)
