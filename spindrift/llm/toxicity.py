@@ -105,30 +105,31 @@ class Trie:
         return False
 
     def near(self, word: str) -> list[str]:
-        """Lexicon words within the edit bound. States are the live (column, errors) pairs of the automaton."""
+        """Lexicon words within the edit bound, in order: the automaton's paths, errors tried only from an exact prefix."""
         if not self.possible(word):
             return []
-        found: list[str] = []
-        self._walk(self.root, {i: i for i in range(min(self.edits, len(word)) + 1)}, word, found)
-        return found
-
-    def _walk(self, node: dict, states: dict[int, int], word: str, found: list[str]) -> None:
-        if "" in node and states.get(len(word), self.edits + 1) <= self.edits:
-            found.append(node[""])
-        for c, child in node.items():
-            if not c:
-                continue
-            after: dict[int, int] = {}
-            for i, e in sorted(states.items()):
-                moves = [(i, e + 1)]
-                if i < len(word):
-                    moves.append((i + 1, e + (word[i] != c)))
-                for j, cost in moves:
-                    while cost <= self.edits and j <= len(word) and cost < after.get(j, self.edits + 1):
-                        after[j] = cost
-                        j, cost = j + 1, cost + 1
-            if after:
-                self._walk(child, after, word, found)
+        found: set[str] = set()
+        self._walk(self.root, word, 0, self.edits, found)
+        return sorted(found)
+
+    def _walk(self, node: dict, word: str, i: int, left: int, found: set[str]) -> None:
+        """From a node and a place in the word: follow the letters, and branch with one error less at every step."""
+        size = len(word)
+        while True:
+            if "" in node and size - i <= left:
+                found.add(node[""])
+            if left:
+                for c, child in node.items():
+                    if c:
+                        if i < size and (i + 1 == size or word[i + 1] in child or left > 1):  # replaced
+                            self._walk(child, word, i + 1, left - 1, found)
+                        if i == size or word[i] in child or left > 1:  # left out of the word
+                            self._walk(child, word, i, left - 1, found)
+                if i < size and (i + 1 == size or word[i + 1] in node or left > 1):  # added to the word
+                    self._walk(node, word, i + 1, left - 1, found)
+            if i == size or word[i] not in node:
+                return
+            node, i = node[word[i]], i + 1
 
 
 class Scorer:
