@@ -12,6 +12,11 @@ ASCII_LOWER = ASCII_UPPER.lower()
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 TERM_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: A side is broadcast only if it has at most so many rows and bytes; else it is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
+#: A key with more than one in so many rows is dealt over several tasks.
+SALT_SHARE = 500
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -25,8 +30,31 @@ def ascii_lower(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Array of the lower-cased terms of a text; null and blank texts have none."""
-    parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), TERM_BREAK)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), TERM_BREAK), "")
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast df where it is proven to have at most ``rows`` rows of ``size`` bytes together, as JSON."""
+    few = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return F.broadcast(df) if few["n"] <= rows and (few["b"] or 0) <= size else df
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], count: str = "n", share: int | None = None) -> DataFrame:
+    """Inner join of big with small, whose keys are unique and non-null and whose ``count`` says how many rows of big each has.
+
+    Keys with more than one in ``share`` of the counted rows are dealt over several tasks: those are ``share`` keys at
+    most, whatever the input, so that they may be broadcast. small must be materialised; ``count`` is dropped.
+    """
+    share = share or SALT_SHARE
+    total = small.agg(F.sum(count)).first()[0] or 0
+    most = max(1, -(-total // share))
+    hot = small.where(F.col(count) > most).select(*on, F.expr(f"1 + {count} div {most}").cast("int").alias("_ways"))
+    rest = [c for c in big.columns if c not in on]
+    spread = F.when(F.col("_ways").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.col("_ways"))).cast("int")
+    left = big.join(F.broadcast(hot), on, "left").withColumn("_salt", spread).drop("_ways")
+    ways = F.when(F.col(count) > most, F.expr(f"1 + {count} div {most}").cast("int")).otherwise(1)
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1))).drop(count)
+    return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
 def row_key(df: DataFrame, name: str = "_row") -> DataFrame:

@@ -4,117 +4,148 @@ Method: equal lines form classes. A class that shares its first or last half wit
 within the bound as hashed keys: the line without its i-th word (for a substitution at i, and for a deletion), and
 the line itself. Equal keys join; each key keeps only its earliest lines, so no pair list is made. The words of the
 joined lines are compared, and a line falls to any earlier one within the bound.
+
+Two lines within one edit share a half, so a class that shares none has no partner and emits nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import ascii_lower
+from spindrift.llm.common import ascii_lower, maybe_broadcast, salted_join
 from spindrift.llm.suffixes import ordered_texts
 from spindrift.session import durable
 
-#: Lines of fewer words are only compared for equality: one edit would change too much of them.
+#: Lines of fewer words are only compared for equality: one edit would change too much of them. 1 compares all.
 MIN_WORDS = 5
-#: Classes that a broadcast may tell of; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 #: Place hashes stay below this, so that their sums fit a long for lines of millions of words.
 _SPAN = 1 << 40
+#: Words whose hashes are added up one by one; longer sums go by blocks of so many.
+_BLOCK = 64
 
 
-def _words(line: Column) -> Column:
-    """Words of a lower-cased line; none of a blank one."""
-    bare = F.btrim(line, F.lit(" \t\r\x0b\x0c"))
-    return F.when(bare != "", F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
-
+def _lines(texts: DataFrame) -> DataFrame:
+    """ord and the lines of each text, lower-cased, with single blanks between words and none around them."""
+    odd = F.contains("text", F.lit("\t")) | F.contains("text", F.lit("\r")) | F.contains("text", F.lit("\x0b")) | F.contains("text", F.lit("\x0c"))
+    flat = texts.select("ord", F.coalesce("text", F.lit("")).alias("text")).select("ord", ascii_lower(F.col("text")).alias("text"))
+    flat = flat.select("ord", F.when(odd, F.translate("text", "\t\r\x0b\x0c", "    ")).otherwise(F.col("text")).alias("text"))
+    wide = F.contains("text", F.lit("  "))
+    flat = flat.select("ord", F.when(wide, F.regexp_replace("text", " {2,}", " ")).otherwise(F.col("text")).alias("text"))
+    return flat.select("ord", F.split("text", "\n").alias("lines"))
 
-def _half_keys(words: Column) -> Column:
-    """Keys of the halves: two lines within one edit share one of them."""
-    n = F.size(words)
 
-    def pair(total: Column) -> list[Column]:
-        half = F.floor(total / 2).cast("int")
-        return [
-            F.xxhash64(F.lit(1), total, F.slice(words, F.lit(1), half)),
-            F.xxhash64(F.lit(2), total, F.slice(words, n - half + 1, half)),
-        ]
+def _half_keys(line: Column, n: Column) -> Column:
+    """Keys of the halves, told apart by side: two lines of n and m words within one edit share one of them.
 
-    return F.array(*pair(n), *pair(n - 1))
+    With b = n div 2 and b = (n + 1) div 2, such lines agree on a b, and in their first or in their last b words.
+    """
 
+    def pair(b: Column) -> list[Column]:
+        sides = ((True, F.call_function("substring_index", line, F.lit(" "), b)), (False, F.call_function("substring_index", line, F.lit(" "), -b)))
+        return [F.struct(F.lit(head).alias("head"), F.xxhash64(F.lit(head), b, part).alias("half")) for head, part in sides]
 
-def _lines(texts: DataFrame) -> DataFrame:
-    parts = F.posexplode(F.split(ascii_lower(F.coalesce("text", F.lit(""))), "\n"))
-    return texts.select("ord", parts.alias("ln", "line"))
+    low, high = F.expr("w div 2").cast("int"), F.expr("(w + 1) div 2").cast("int")
+    return F.when(n % 2 == 0, F.array(*pair(low))).otherwise(F.array(*pair(low), *pair(high)))
 
 
-def _earliest(df: DataFrame) -> DataFrame:
-    return df.groupBy("h", "h2").agg(F.min(F.struct("ord", "ln")).alias("first"), F.first("w").alias("w"), F.first("k").alias("k"))
+def _keyed_lines(texts: DataFrame, min_words: int) -> DataFrame:
+    """One row for each line with words: ord, ln, two hashes of its words (h, h2) and the keys of its halves (k)."""
+    lines = _lines(texts).select("ord", F.posexplode("lines").alias("ln", "line"))
+    lines = lines.select("ord", "ln", F.trim("line").alias("line")).where("line <> ''")
+    count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    lines = lines.select("ord", "ln", "line", count.cast("int").alias("w"))
+    halves = F.when(F.col("w") >= min_words, _half_keys(F.col("line"), F.col("w")))
+    return lines.select("ord", "ln", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"), halves.alias("k"))
 
 
-def repeated_lines(texts: DataFrame) -> DataFrame:
-    """(ord, ln, near) for every line of (ord, text) that falls to an earlier line; blank lines never do."""
-    named = _lines(texts).select("ord", "ln", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
-    keyed = named.select(
-        "ord", "ln", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("h2"), F.size("words").alias("w"),
-        F.when(F.size("words") >= MIN_WORDS, _half_keys(F.col("words"))).alias("k"),
-    )
-    keyed = durable(keyed)  # a few hashes a line: the texts are tokenised once
-    classes = durable(_earliest(keyed))
-
-    halves = classes.select("h", "h2", F.posexplode("k").alias("place", "half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    paired = halves.join(shared, "half").groupBy("h", "h2").agg(
-        F.max(F.col("place") % 2 == 0).alias("head"), F.max(F.col("place") % 2 == 1).alias("tail")
+def _opened(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The words of the earliest line of each class that shares a half: h, h2, first, head, tail, words."""
+    halves = classes.where("k IS NOT NULL").select("h", "h2", F.explode("k").alias("x")).select("h", "h2", "x.head", "x.half")
+    shared = durable(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"))
+    paired = salted_join(halves, shared, ["half"]).groupBy("h", "h2").agg(
+        F.max("head").alias("head"), F.max(~F.col("head")).alias("tail")
     )
-    paired = durable(paired.join(classes.select("h", "h2", "first"), ["h", "h2"]))
-    told = paired.select("h", "h2", "first", "head", "tail", F.col("first.ord").alias("_o"), F.col("first.ln").alias("_l"))
-    told = F.broadcast(told) if told.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else told
-    opened = _lines(texts).join(told, (F.col("ord") == F.col("_o")) & (F.col("ln") == F.col("_l")))
-    opened = durable(opened.select("h", "h2", "first", "head", "tail", _words(F.col("line")).alias("words")))
-
-    def sums(place: Column, salt: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(salt), "word", place), F.lit(_SPAN))
-
-    word = opened.select("h", "h2", "first", "head", "tail", F.size("words").alias("w"), F.posexplode("words").alias("i", "word"))
-    line = Window.partitionBy("h", "h2")
-    before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    after = line.orderBy("i").rowsBetween(1, Window.unboundedFollowing)
-    zero = F.lit(0).cast("long")
-    for salt in (1, 2):
-        word = word.withColumn(f"a{salt}", sums(F.col("i"), salt)).withColumn(f"b{salt}", sums(F.col("i") - 1, salt))
-    for salt in (1, 2):
-        word = (
-            word.withColumn(f"all{salt}", F.sum(f"a{salt}").over(line))
-            .withColumn(f"out{salt}", F.col(f"all{salt}") - F.col(f"a{salt}"))
-            .withColumn(f"cut{salt}", F.coalesce(F.sum(f"a{salt}").over(before), zero) + F.coalesce(F.sum(f"b{salt}").over(after), zero))
-        )
-    # a line that only shares its head with others can only be edited behind it, and the other way round
-    open_ = (F.col("head") & (F.col("i") >= F.floor((F.col("w") - 1) / 2))) | (F.col("tail") & (F.col("i") <= F.floor(F.col("w") / 2)))
-    variants = F.array(
-        F.struct(F.lit("s").alias("role"), F.when(open_, F.xxhash64(F.lit("s"), F.col("i"), F.col("out1"), F.col("out2"))).alias("key")),
-        F.struct(F.lit("d").alias("role"), F.when(open_, F.xxhash64(F.lit("d"), F.col("cut1"), F.col("cut2"))).alias("key")),
-        F.struct(
-            F.lit("w").alias("role"),
-            F.when(F.col("i") == 0, F.xxhash64(F.lit("d"), F.col("all1"), F.col("all2"))).alias("key"),
-        ),
+    paired = paired.join(classes.select("h", "h2", "first"), ["h", "h2"])
+    wanted = F.struct(F.col("first.ln").alias("ln"), "h", "h2", "first", "head", "tail")
+    told = durable(paired.groupBy(F.col("first.ord").alias("_o")).agg(F.collect_list(wanted).alias("wanted")))  # lines of one text
+    rows = _lines(texts).join(maybe_broadcast(told), F.col("ord") == F.col("_o"))
+    line = lambda x: F.trim(F.element_at(F.col("lines"), x["ln"] + 1))
+    rows = rows.select(F.explode(F.transform("wanted", lambda x: F.struct(x.alias("x"), F.split(line(x), " ").alias("words")))).alias("y"))
+    return durable(rows.select("y.x.h", "y.x.h2", "y.x.first", "y.x.head", "y.x.tail", "y.words"))
+
+
+def _add(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def _place_sums(rows: DataFrame, s: int) -> DataFrame:
+    """With salt s: a (hash of each word at its place), c (what moving it down by one adds), the total of a, and the
+    sum of c over all blocks behind each block."""
+    at = lambda w, i: F.pmod(F.xxhash64(F.lit(s), w, i), F.lit(_SPAN))
+    rows = rows.withColumn(f"a{s}", F.transform("words", at))
+    rows = rows.withColumn(f"c{s}", F.transform("words", lambda w, i: at(w, i - 1) - at(w, i)))
+    rows = rows.withColumn(f"t{s}", _add(F.col(f"a{s}")))
+    rows = rows.withColumn(f"sums{s}", F.transform("q", lambda q: _add(F.slice(F.col(f"c{s}"), q * _BLOCK + 1, F.lit(_BLOCK)))))
+    return rows.withColumn(f"behind{s}", F.transform("q", lambda q: _add(F.slice(F.col(f"sums{s}"), q + 2, F.size("q")))))
+
+
+def _variants(opened: DataFrame) -> DataFrame:
+    """The hashed keys of every opened line: h, h2, first, role (s: a word replaced, d: a word left out, w: whole), key.
+
+    A line that only shares its head with others can only be edited behind it, and the other way round. The hash of
+    a line is the sum of the hashes of its words at their places (a), so leaving one out is a subtraction; behind
+    it the places move down by one, which adds their differences c.
+    """
+    rows = opened.select("*", F.size("words").alias("n"), F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {_BLOCK}").cast("int")).alias("q"))
+    for s in (1, 2):
+        rows = _place_sums(rows, s)
+    begin = F.when(F.col("tail"), F.lit(0)).otherwise(F.expr("n div 2").cast("int"))
+    end = F.when(F.col("head"), F.col("n") - 1).otherwise(F.expr("(n - 1) div 2").cast("int"))
+    rows = rows.withColumn("open", F.sequence(begin, end))
+
+    def out(i: Column, s: int) -> Column:
+        return F.col(f"t{s}") - F.get(F.col(f"a{s}"), i)
+
+    def cut(i: Column, s: int) -> Column:
+        block = F.floor(i / _BLOCK).cast("int")
+        return out(i, s) + F.get(F.col(f"behind{s}"), block) + _add(F.slice(F.col(f"c{s}"), i + 2, _BLOCK * (block + 1) - i - 1))
+
+    role = lambda r, key: F.struct(F.lit(r).alias("role"), key.alias("key"))
+    keys = F.concat(
+        F.transform("open", lambda i: role("s", F.xxhash64(F.lit("s"), i, out(i, 1), out(i, 2)))),
+        F.transform("open", lambda i: role("d", F.xxhash64(F.lit("d"), cut(i, 1), cut(i, 2)))),
+        F.array(role("w", F.xxhash64(F.lit("d"), F.col("t1"), F.col("t2")))),
     )
-    emitted = word.select("h", "h2", "first", "i", F.explode(F.filter(variants, lambda v: v["key"].isNotNull())).alias("v"))
-    emitted = emitted.select("h", "h2", "first", "v.role", "v.key")
+    return rows.select("h", "h2", "first", F.explode(keys).alias("v")).select("h", "h2", "first", "v.role", "v.key")
+
+
+def _near_classes(opened: DataFrame) -> DataFrame:
+    """(h, h2) of the classes that have an earlier line within the bound."""
+    emitted = _variants(opened)
+    equal = durable(emitted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    joined = durable(salted_join(emitted, equal, ["key"]))
     own = F.struct("first", "h", "h2")
-    least = emitted.groupBy("key").agg(
-        F.count("*").alias("n"), *[F.min(F.when(F.col("role") == r, own)).alias(f"min_{r}") for r in "sdw"]
-    )
-    least = durable(least.where("n > 1").drop("n"))
-    told = F.broadcast(least) if least.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else least
+    least = joined.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.when(F.col("role") == r, own)).alias(f"min_{r}") for r in "sdw"])
     partner = F.when(F.col("role") == "s", F.col("min_s")).when(F.col("role") == "d", F.col("min_w")).otherwise(F.col("min_d"))
-    met = emitted.join(told, "key").withColumn("p", partner).where(F.col("p.first") < F.col("first"))
-    met = met.select("h", "h2", F.col("p.h").alias("ph"), F.col("p.h2").alias("ph2")).distinct()
+    met = salted_join(joined, durable(least), ["key"]).withColumn("p", partner).where(F.col("p.first") < F.col("first"))
+    met = durable(met.select("h", "h2", F.col("p.h").alias("ph"), F.col("p.h2").alias("ph2")).distinct())
+    partners = met.groupBy("ph", "ph2").agg(F.count("*").alias("n"))
     other = opened.select(F.col("h").alias("ph"), F.col("h2").alias("ph2"), F.col("words").alias("pw"))
-    compared = met.join(opened.select("h", "h2", "words"), ["h", "h2"]).join(other, ["ph", "ph2"])
-    near = compared.where(within_one_word(F.col("words"), F.col("pw"))).select("h", "h2").distinct().withColumn("near", F.lit(True))
-    verdict = classes.select("h", "h2", "first").join(near, ["h", "h2"], "left")
-    judged = keyed.select("ord", "ln", "h", "h2").join(verdict, ["h", "h2"])
+    mine = met.join(opened.select("h", "h2", "words"), ["h", "h2"])
+    compared = salted_join(mine, durable(partners.join(other, ["ph", "ph2"])), ["ph", "ph2"])
+    return compared.where(within_one_word(F.col("words"), F.col("pw"))).select("h", "h2").distinct()
+
+
+def repeated_lines(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(ord, ln, near) for every line of (ord, text) that falls to an earlier line; blank lines never do."""
+    keyed = durable(_keyed_lines(texts, min_words))  # a few hashes a line
+    classes = durable(
+        keyed.groupBy("h", "h2").agg(F.min(F.struct("ord", "ln")).alias("first"), F.count("*").alias("n"), F.first("k").alias("k"))
+    )
+    near = _near_classes(_opened(texts, classes)).withColumn("near", F.lit(True))
+    verdict = classes.select("h", "h2", "first", "n").join(near, ["h", "h2"], "left").where("n > 1 OR near")
+    judged = salted_join(keyed.select("ord", "ln", "h", "h2"), durable(verdict), ["h", "h2"])
     again = (F.col("ord") != F.col("first.ord")) | (F.col("ln") != F.col("first.ln"))
     return judged.where(again | F.col("near")).select("ord", "ln", (~again).alias("near"))
 
@@ -130,30 +161,32 @@ def within_one_word(a: Column, b: Column) -> Column:
     return F.when(n == m, differ <= 1).otherwise((F.abs(n - m) == 1) & tail)
 
 
-def dedup_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row a document: key, n_lines, n_exact, n_near and kept_text (its lines that are left, in order).
 
-    A line falls if an earlier line (smaller id, or higher up) has the same words, or, from MIN_WORDS words on,
-    words within one substitution, insertion or deletion; A-Z are lower-cased and blanks separate. It falls
-    whether or not that earlier line stays. Blank lines stay. A null text is one blank line. Rows of equal or null
-    ids follow their place in the input.
+    A line falls if an earlier line (smaller id, or higher up) has the same words, or, where both have at least
+    ``min_words`` words, words within one substitution, insertion or deletion of a word; A-Z are lower-cased and
+    blanks separate. With ``min_words=1`` lines of every length take part. It falls whether or not that earlier line
+    stays; of equal lines the first stays. Blank lines stay. A null or empty text is one blank line, an empty table
+    gives no rows. Lines may be as long as a text may be. Rows of equal or null ids follow their place in the input
+    (nulls first) and are judged each. Columns other than key and text are neither used nor returned, so their names
+    cannot clash.
     """
     texts, keys = ordered_texts(documents, key, text)
-    gone = repeated_lines(texts).groupBy("ord").agg(
+    gone = repeated_lines(texts, min_words).groupBy("ord").agg(
         F.collect_list("ln").alias("gone"), F.count(F.when(F.col("near"), 1)).alias("n_near"), F.count("*").alias("n_gone")
     )  # a document's own lines: no more than it has
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    kept = F.when(F.col("gone").isNull(), split).otherwise(
-        F.transform(
-            F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone")), lambda i: F.element_at(split, i + 1)
-        )
-    )
-    out = texts.join(gone, "ord", "left").select(
+    whole = texts.select("ord", F.coalesce("text", F.lit("")).alias("text"))
+    count = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.element_at(F.col("lines"), i + 1)), "\n")
+    joined = whole.join(gone, "ord", "left").select("*", F.when(F.col("gone").isNotNull(), F.split("text", "\n")).alias("lines"))
+    out = joined.select(
         "ord",
-        F.size(split).cast("long").alias("n_lines"),
+        count.cast("long").alias("n_lines"),
         (F.coalesce("n_gone", F.lit(0)) - F.coalesce("n_near", F.lit(0))).cast("long").alias("n_exact"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-        F.array_join(kept, "\n").alias("kept_text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
     )
     names = ["n_lines", "n_exact", "n_near", "kept_text"]
     if keys is None:

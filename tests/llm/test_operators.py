@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.llm import (
+    common,
     components,
     decontaminate,
     licenses,
@@ -385,11 +386,11 @@ def test_components_of_a_long_chain(spark):
 # Lines -------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows):
+def brute_lines(rows, min_words=lines.MIN_WORDS):
     earlier, out = [], {}
 
     def near(a, b):
-        return min(len(a), len(b)) >= lines.MIN_WORDS and abs(len(a) - len(b)) < 2 and distance(a, b) <= 1
+        return min(len(a), len(b)) >= min_words and abs(len(a) - len(b)) < 2 and distance(a, b) <= 1
 
     for i, t, _ in sorted(rows, key=lambda r: r[0]):
         kept, exact, close = [], 0, 0
@@ -407,9 +408,10 @@ def brute_lines(rows):
     return out
 
 
-def test_lines_match_brute_force(spark):
+@pytest.mark.parametrize("min_words", [5, 2, 1])
+def test_lines_match_brute_force(spark, min_words):
     rng = random.Random(8)
-    base = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 12))) for _ in range(15)]
+    base = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in [*range(1, 13), 2, 3, 4, 90, 200, 63, 64, 65]]
     rows = [(0, None, "s"), (1, "", "s"), (2, " \n\n", "s")]
     for i in range(3, 40):
         out = []
@@ -418,14 +420,27 @@ def test_lines_match_brute_force(spark):
             k = rng.randrange(len(w))
             edit = rng.randrange(5)
             w = w[:k] + w[k + 1 :] if edit == 0 else w[:k] + ["new"] + w[k + (edit == 1) :] if edit < 3 else w
-            out.append(" ".join(w) if edit != 4 else "  ".join(w).upper())
+            out.append(" ".join(w) if edit != 4 else "\t ".join(w).upper() + "\r")
         rows.append((i, "\n".join(out), "s"))
-    got = {r.doc_id: tuple(r)[1:] for r in lines.dedup_lines(make(spark, rows)).collect()}
-    assert got == brute_lines(rows)
+    got = {r.doc_id: tuple(r)[1:] for r in lines.dedup_lines(make(spark, rows), min_words=min_words).collect()}
+    assert got == brute_lines(rows, min_words)
     assert sum(v[2] for v in got.values()) > 0
     assert lines.dedup_lines(make(spark, rows).where("false")).count() == 0
 
 
+def test_a_hot_line_and_a_very_long_one(spark, monkeypatch):
+    monkeypatch.setattr(common, "SALT_SHARE", 4)
+    rng = random.Random(12)
+    long = [rng.choice(WORDS) for _ in range(5000)]
+    hot = "the same line of words again"
+    rows = [(i, f"{hot}\n{hot} {i}\nthe same {i} of words again", "s") for i in range(60)]
+    rows += [(100, " ".join(long), "s"), (101, " ".join(long[:4000] + long[4001:]), "s"), (102, " ".join([*long[:9], "x", *long[9:]]), "s")]
+    got = {r.doc_id: tuple(r)[1:] for r in lines.dedup_lines(make(spark, rows)).collect()}
+    assert got == brute_lines([r for r in rows if r[0] < 100]) | {
+        100: (1, 0, 0, " ".join(long)), 101: (1, 0, 1, ""), 102: (1, 0, 1, ""),
+    }
+
+
 def test_lines_with_null_and_repeated_ids(spark):
     text = "a line of five words\nsecond"
     rows = [(None, text, "s"), (4, text, "s"), (4, text, "s")]
