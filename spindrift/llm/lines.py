@@ -19,20 +19,25 @@ from spindrift.session import durable
 
 #: Lines of fewer words are only compared for equality: one edit would change too much of them. 1 compares all.
 MIN_WORDS = 5
-#: Place hashes stay below this, so that their sums fit a long for lines of millions of words.
-_SPAN = 1 << 40
-#: Words whose hashes are added up one by one; longer sums go by blocks of so many.
+#: Place hashes are added modulo this, so that no sum leaves a long.
+_SPAN = 1 << 61
+#: Words whose hashes are added up one by one, a power of two; longer sums go by blocks of so many.
 _BLOCK = 64
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    """ord and the lines of each text, lower-cased, with single blanks between words and none around them."""
+def _lines(texts: DataFrame, *more: str) -> DataFrame:
+    """ord, more, and the lines of each text, lower-cased, with single blanks between words (one at an end may be left)."""
     odd = F.contains("text", F.lit("\t")) | F.contains("text", F.lit("\r")) | F.contains("text", F.lit("\x0b")) | F.contains("text", F.lit("\x0c"))
-    flat = texts.select("ord", F.coalesce("text", F.lit("")).alias("text")).select("ord", ascii_lower(F.col("text")).alias("text"))
-    flat = flat.select("ord", F.when(odd, F.translate("text", "\t\r\x0b\x0c", "    ")).otherwise(F.col("text")).alias("text"))
     wide = F.contains("text", F.lit("  "))
-    flat = flat.select("ord", F.when(wide, F.regexp_replace("text", " {2,}", " ")).otherwise(F.col("text")).alias("text"))
-    return flat.select("ord", F.split("text", "\n").alias("lines"))
+    flat = texts
+    for text in (
+        F.coalesce("text", F.lit("")),
+        ascii_lower(F.col("text")),
+        F.when(odd, F.translate("text", "\t\r\x0b\x0c", "    ")).otherwise(F.col("text")),
+        F.when(wide, F.regexp_replace("text", " {2,}", " ")).otherwise(F.col("text")),
+    ):
+        flat = flat.select("ord", *more, text.alias("text"))
+    return flat.select("ord", *more, F.split("text", "\n").alias("lines"))
 
 
 def _half_keys(line: Column, n: Column) -> Column:
@@ -51,7 +56,8 @@ def _half_keys(line: Column, n: Column) -> Column:
 
 def _keyed_lines(texts: DataFrame, min_words: int) -> DataFrame:
     """One row for each line with words: ord, ln, two hashes of its words (h, h2) and the keys of its halves (k)."""
-    lines = _lines(texts).select("ord", F.posexplode("lines").alias("ln", "line"))
+    # no text is without lines; the outer form only keeps the optimiser from testing that, which would normalise twice
+    lines = _lines(texts).select("ord", F.posexplode_outer("lines").alias("ln", "line"))
     lines = lines.select("ord", "ln", F.trim("line").alias("line")).where("line <> ''")
     count = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     lines = lines.select("ord", "ln", "line", count.cast("int").alias("w"))
@@ -71,23 +77,13 @@ def _opened(texts: DataFrame, classes: DataFrame) -> DataFrame:
     told = durable(paired.groupBy(F.col("first.ord").alias("_o")).agg(F.collect_list(wanted).alias("wanted")))  # lines of one text
     rows = _lines(texts).join(maybe_broadcast(told), F.col("ord") == F.col("_o"))
     line = lambda x: F.trim(F.element_at(F.col("lines"), x["ln"] + 1))
-    rows = rows.select(F.explode(F.transform("wanted", lambda x: F.struct(x.alias("x"), F.split(line(x), " ").alias("words")))).alias("y"))
+    rows = rows.select(F.explode_outer(F.transform("wanted", lambda x: F.struct(x.alias("x"), F.split(line(x), " ").alias("words")))).alias("y"))
     return durable(rows.select("y.x.h", "y.x.h2", "y.x.first", "y.x.head", "y.x.tail", "y.words"))
 
 
 def _add(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
-
-
-def _place_sums(rows: DataFrame, s: int) -> DataFrame:
-    """With salt s: a (hash of each word at its place), c (what moving it down by one adds), the total of a, and the
-    sum of c over all blocks behind each block."""
-    at = lambda w, i: F.pmod(F.xxhash64(F.lit(s), w, i), F.lit(_SPAN))
-    rows = rows.withColumn(f"a{s}", F.transform("words", at))
-    rows = rows.withColumn(f"c{s}", F.transform("words", lambda w, i: at(w, i - 1) - at(w, i)))
-    rows = rows.withColumn(f"t{s}", _add(F.col(f"a{s}")))
-    rows = rows.withColumn(f"sums{s}", F.transform("q", lambda q: _add(F.slice(F.col(f"c{s}"), q * _BLOCK + 1, F.lit(_BLOCK)))))
-    return rows.withColumn(f"behind{s}", F.transform("q", lambda q: _add(F.slice(F.col(f"sums{s}"), q + 2, F.size("q")))))
+    """Sum modulo _SPAN."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: F.pmod(s + x, F.lit(_SPAN)))
 
 
 def _variants(opened: DataFrame) -> DataFrame:
@@ -95,29 +91,31 @@ def _variants(opened: DataFrame) -> DataFrame:
 
     A line that only shares its head with others can only be edited behind it, and the other way round. The hash of
     a line is the sum of the hashes of its words at their places (a), so leaving one out is a subtraction; behind
-    it the places move down by one, which adds their differences c.
+    it the places move down by one, which adds their differences c. Those are summed by blocks.
     """
+    at = lambda w, i: F.pmod(F.xxhash64(w, i), F.lit(_SPAN))
     rows = opened.select("*", F.size("words").alias("n"), F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {_BLOCK}").cast("int")).alias("q"))
-    for s in (1, 2):
-        rows = _place_sums(rows, s)
+    rows = rows.withColumn("a", F.transform("words", at))
+    rows = rows.withColumn("c", F.transform("words", lambda w, i: F.pmod(at(w, i - 1) - F.get("a", i), F.lit(_SPAN))))
+    rows = rows.withColumn("total", _add(F.col("a")))
+    rows = rows.withColumn("sums", F.transform("q", lambda q: _add(F.slice(F.col("c"), q * _BLOCK + 1, F.lit(_BLOCK)))))
+    rows = rows.withColumn("behind", F.transform("q", lambda q: _add(F.slice(F.col("sums"), q + 2, F.size("q")))))
     begin = F.when(F.col("tail"), F.lit(0)).otherwise(F.expr("n div 2").cast("int"))
     end = F.when(F.col("head"), F.col("n") - 1).otherwise(F.expr("(n - 1) div 2").cast("int"))
     rows = rows.withColumn("open", F.sequence(begin, end))
 
-    def out(i: Column, s: int) -> Column:
-        return F.col(f"t{s}") - F.get(F.col(f"a{s}"), i)
-
-    def cut(i: Column, s: int) -> Column:
-        block = F.floor(i / _BLOCK).cast("int")
-        return out(i, s) + F.get(F.col(f"behind{s}"), block) + _add(F.slice(F.col(f"c{s}"), i + 2, _BLOCK * (block + 1) - i - 1))
+    def cut(i: Column) -> Column:
+        block = F.shiftright(i, _BLOCK.bit_length() - 1)
+        near = _add(F.slice(F.col("c"), i + 2, _BLOCK * (block + 1) - i - 1))
+        return F.pmod(F.col("total") - F.get("a", i) + F.get("behind", block) + near, F.lit(_SPAN))
 
     role = lambda r, key: F.struct(F.lit(r).alias("role"), key.alias("key"))
     keys = F.concat(
-        F.transform("open", lambda i: role("s", F.xxhash64(F.lit("s"), i, out(i, 1), out(i, 2)))),
-        F.transform("open", lambda i: role("d", F.xxhash64(F.lit("d"), cut(i, 1), cut(i, 2)))),
-        F.array(role("w", F.xxhash64(F.lit("d"), F.col("t1"), F.col("t2")))),
+        F.transform("open", lambda i: role("s", F.xxhash64(F.lit("s"), i, F.pmod(F.col("total") - F.get("a", i), F.lit(_SPAN))))),
+        F.transform("open", lambda i: role("d", F.xxhash64(F.lit("d"), cut(i)))),
+        F.array(role("w", F.xxhash64(F.lit("d"), F.col("total")))),
     )
-    return rows.select("h", "h2", "first", F.explode(keys).alias("v")).select("h", "h2", "first", "v.role", "v.key")
+    return rows.select("h", "h2", "first", F.explode_outer(keys).alias("v")).select("h", "h2", "first", "v.role", "v.key")
 
 
 def _near_classes(opened: DataFrame) -> DataFrame:
