@@ -75,7 +75,7 @@ def _opened(texts: DataFrame, classes: DataFrame) -> DataFrame:
     paired = paired.join(classes.select("h", "h2", "first"), ["h", "h2"])
     wanted = F.struct(F.col("first.ln").alias("ln"), "h", "h2", "first", "head", "tail")
     told = durable(paired.groupBy(F.col("first.ord").alias("_o")).agg(F.collect_list(wanted).alias("wanted")))  # lines of one text
-    rows = _lines(texts).join(maybe_broadcast(told), F.col("ord") == F.col("_o"))
+    rows = _lines(texts.join(maybe_broadcast(told), F.col("ord") == F.col("_o")), "wanted")
     line = lambda x: F.trim(F.element_at(F.col("lines"), x["ln"] + 1))
     rows = rows.select(F.explode_outer(F.transform("wanted", lambda x: F.struct(x.alias("x"), F.split(line(x), " ").alias("words")))).alias("y"))
     return durable(rows.select("y.x.h", "y.x.h2", "y.x.first", "y.x.head", "y.x.tail", "y.words"))
