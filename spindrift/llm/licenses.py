@@ -1,133 +1,141 @@
 """Licence scans with a positional rare-token index.
 
 Method: every file is reduced to the licence words it holds, which gives their document frequencies over the
-whole corpus. Each template is looked up by its highest-IDF word; files that hold it are opened for postings of
-the template's words, which are intersected by relative position. A template counts where enough of its words
-stand at their places and its mandatory key phrase is there word for word.
+whole corpus. A file is looked up by its own highest-IDF licence words: for each template that it may hold, the
+rarest ones of which at least one must stand in place. Postings of the template's words are intersected by relative
+position around those; a template counts where enough of its words stand at their places, one of the rare words
+among them, and its mandatory key phrases stand word for word at theirs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import terms
+from spindrift.llm.common import maybe_broadcast, terms
+from spindrift.llm.licence_texts import BASE_PHRASES, TEMPLATES
 from spindrift.session import durable
 
-# Phrases of the base labels.
-BASE_PHRASES = (
-    ("mit license", "mit"),
-    ("apache license", "apache"),
-    ("general public license", "gpl"),
-)
-
-# Notices of common licences, the label each gives, and the phrase that must be there verbatim.
-TEMPLATES = (
-    ("released under the mit license", "notice:mit", "mit license"),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "text:mit", "permission is hereby granted"),
-    ("licensed under the apache license version 2 0", "notice:apache-2.0", "apache license"),
-    ("this work is licensed under the gnu general public license version 3", "notice:gpl-3.0", "general public license"),
-    ("this work is licensed under the gnu general public license version 2", "notice:gpl-2.0", "general public license version 2"),
-    ("redistribution and use in source and binary forms with or without modification", "text:bsd", "source and binary forms"),
-    ("subject to the terms of the mozilla public license v 2 0", "notice:mpl-2.0", "mozilla public license"),
-    ("licensed under a creative commons attribution 4 0 international license", "notice:cc-by-4.0", "creative commons attribution"),
-    ("all rights reserved", "notice:all-rights-reserved", "all rights reserved"),
-)
-
-#: Share of a template's words that must stand at their places.
+#: Share of a template's words that must stand at their places; of a base phrase all must.
 MATCH_SHARE = 0.8
 #: At most so many opened files are told to the scan by broadcast; more are matched by a shuffle.
 BROADCAST_ROWS = 50_000
 
 
-def _patterns(spark) -> tuple[DataFrame, int]:
-    """One row for each word of each pattern: _t (pattern), _o (place), _word. Fixed and small."""
-    rows = []
-    for t, (phrase, _) in enumerate(BASE_PHRASES):
-        rows += [(t, o, w) for o, w in enumerate(phrase.split())]
-    for t, (text, _, _) in enumerate(TEMPLATES, len(BASE_PHRASES)):
-        rows += [(t, o, w) for o, w in enumerate(text.split())]
-    for t, (_, _, phrase) in enumerate(TEMPLATES, len(BASE_PHRASES) + len(TEMPLATES)):
-        rows += [(t, o, w) for o, w in enumerate(phrase.split())]
-    return spark.createDataFrame(rows, "_t int, _o int, _word string"), len(rows)
+class Pattern:
+    """A sentence to be found: its words, the places that are mandatory, and how many places must agree."""
+
+    def __init__(self, sentence: str, label: str, phrases: tuple[str, ...], share: float):
+        self.words, self.label = sentence.split(), label
+        self.must: set[int] = set()
+        for phrase in phrases:
+            part = phrase.split()
+            at = next(i for i in range(len(self.words)) if self.words[i : i + len(part)] == part)
+            self.must.update(range(at, at + len(part)))
+        self.need = max(1, math.ceil(share * len(self.words) - 1e-9))
+        self.spare = len(self.words) - self.need
+
+
+def patterns() -> list[Pattern]:
+    """Base phrases first, then the templates. At most 63 words each: places are bits of a long."""
+    base = [Pattern(p, label, (p,), 1.0) for p, label in BASE_PHRASES]
+    return base + [Pattern(s, label, phrases, MATCH_SHARE) for s, label, phrases in TEMPLATES]
+
+
+def _text_array(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
 def scan_licenses(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``n_base`` counts all places where a base phrase stands; ``first_word`` and ``last_word`` are the smallest and
-    largest start. ``labels`` adds those of the templates. ``score`` is the largest share of a template's words
-    found in place (1 for a base phrase, 0 for none). Null and blank texts have no words and no labels. Rows that
-    repeat key and text get the same result each; an empty table gives none.
+    largest start. ``labels`` adds those of the templates. ``score`` is the largest share of a pattern's words
+    found in place where the pattern counts (1 for a base phrase, 0 for none). Null, empty and blank texts have no
+    words, no labels and a score of 0; texts are read whole, however long. Rows that repeat key and text get the same
+    result each; rows of one key and different texts are told apart; an empty table gives none. Labels of equal share
+    are all given. Other columns are not used, so their names cannot clash.
     """
-    spark = documents.sparkSession
-    patterns, _ = _patterns(spark)
-    spelled = [p.split() for p, _ in BASE_PHRASES] + [p.split() for p, _, _ in TEMPLATES] + [p.split() for _, _, p in TEMPLATES]
-    vocabulary = sorted({w for p in spelled for w in p})
-    content = F.coalesce(F.col(text), F.lit(""))
-    files = documents.select(F.col(key), F.xxhash64(content).alias("_h"), terms(F.col(text)).alias("_w"))
-    held = F.array_intersect("_w", F.array(*[F.lit(w) for w in vocabulary]))
+    spark, known = documents.sparkSession, patterns()
+    vocabulary = sorted({w for p in known for w in p.words})
+    row = F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")))
+    files = documents.select(F.col(key), row.alias("_h"), terms(F.col(text)).alias("_w"))
+    held = F.array_intersect("_w", _text_array(vocabulary))
     index = durable(files.select(key, "_h", F.size("_w").cast("long").alias("n_words"), held.alias("_held")))
 
     counts = {r["w"]: r["n"] for r in index.select(F.explode("_held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    anchors = [min(p, key=lambda w: (counts.get(w, 0), w)) for p in spelled]  # highest IDF first
-    open_for = [
-        t for t, p in enumerate(spelled) if counts.get(anchors[t], 0)
-    ]
-    wanted = sorted({anchors[t] for t in open_for}) or [""]
-    opened = index.where(F.arrays_overlap("_held", F.array(*[F.lit(w) for w in wanted]))).select(
-        F.col(key).alias("_k"), F.col("_h").alias("_kh")
-    ).distinct()
-    opened = durable(opened)
-    if opened.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        opened = F.broadcast(opened)
-    own = documents.select(F.col(key), F.xxhash64(content).alias("_h"), F.col(text).alias("_text"))
-    own = own.join(opened, (F.col("_h") == F.col("_kh")) & F.col(key).eqNullSafe(F.col("_k")), "left_semi")
-    listed = F.filter(
-        F.transform(terms(F.col("_text")), lambda w, p: F.struct(p.alias("p"), w.alias("w"))),
-        lambda x: x["w"].isin(vocabulary),
+    entrance = sorted({min((p.words[o] for o in p.must), key=lambda w: (counts.get(w, 0), w)) for p in known})
+    possible = F.array(*[
+        F.struct(
+            F.lit(t).alias("t"), _text_array(sorted(set(p.words))).alias("words"), _text_array(sorted({p.words[o] for o in p.must})).alias("must"),
+            F.lit(len(set(p.words)) - p.spare).alias("least"), F.lit(p.spare + 1).alias("keys"),
+        )
+        for t, p in enumerate(known)
+    ])
+    may_hold = F.filter(
+        possible,
+        lambda p: (F.size(F.array_except(p["must"], F.col("_held"))) == 0)
+        & (F.size(F.array_intersect(F.col("_held"), p["words"])) >= p["least"]),
     )
-    postings = own.select(key, "_h", F.explode(listed).alias("_x")).select(
-        key, "_h", F.col("_x.p").alias("_pos"), F.col("_x.w").alias("_word")
+    rarity = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(counts.get(w, 0)))])
+    ranked = F.transform(F.array_sort(F.transform("_held", lambda w: F.struct(F.element_at(rarity, w).alias("n"), w.alias("w")))), lambda x: x["w"])
+    looked_up = F.transform(
+        "_may", lambda p: F.struct(p["t"].alias("t"), F.slice(F.array_intersect(F.col("_ranked"), p["words"]), 1, p["keys"]).alias("keys"))
     )
-    lengths = F.create_map(*[F.lit(x) for t, p in enumerate(spelled) for x in (t, len(p))])
-    found = (
-        postings.join(F.broadcast(patterns), "_word")  # a fixed list of under 200 words
-        .groupBy(key, "_h", "_t", (F.col("_pos") - F.col("_o")).alias("_start"))
-        .agg(F.count_distinct("_o").alias("_n"))
-        .withColumn("_share", F.col("_n") / F.element_at(lengths, F.col("_t")))
-        .where(F.col("_share") >= MATCH_SHARE)
+    opened = (
+        index.where(F.arrays_overlap("_held", _text_array(entrance)))
+        .select(F.col(key).alias("_k"), F.col("_h").alias("_kh"), "_held", may_hold.alias("_may"))
+        .where(F.size("_may") > 0)
+        .dropDuplicates(["_kh"])
+        .select("_k", "_kh", "_may", ranked.alias("_ranked"))
+        .select("_k", "_kh", looked_up.alias("_plan"))
     )
-    base, own_t = len(BASE_PHRASES), len(TEMPLATES)
-    label = F.element_at(
-        F.create_map(
-            *[F.lit(x) for t, (_, name) in enumerate(BASE_PHRASES) for x in (t, name)],
-            *[F.lit(x) for t, (_, name, _) in enumerate(TEMPLATES, base) for x in (t, name)],
-        ),
-        F.col("_t"),
+    opened = maybe_broadcast(durable(opened), rows=BROADCAST_ROWS)
+    same = (F.col("_h") == F.col("_kh")) & F.col(key).eqNullSafe(F.col("_k"))
+
+    cells = ", ".join(f"({t}, {o}, '{w}')" for t, p in enumerate(known) for o, w in enumerate(p.words))
+    places = spark.sql(f"SELECT * FROM VALUES {cells} AS p(_t, _o, _word)")  # fixed, under a thousand short rows
+    rules = ", ".join(
+        f"({t}, {p.need}, {sum(1 << o for o in p.must)}L, {len(p.words)}, '{p.label}', {t < len(BASE_PHRASES)})" for t, p in enumerate(known)
     )
-    exact, is_base = F.col("_share") == 1, F.col("_t") < base
-    is_key = F.col("_t") >= base + own_t
-    hits = found.groupBy(key, "_h").agg(
-        F.count(F.when(is_base & exact, 1)).alias("_base"),
-        F.min(F.when(is_base & exact, F.col("_start"))).alias("_first"),
-        F.max(F.when(is_base & exact, F.col("_start"))).alias("_last"),
-        F.collect_set(F.when(is_base & exact, label)).alias("_bl"),
-        F.collect_set(F.when(~is_base & ~is_key, F.struct(F.col("_t").alias("t"), label.alias("l")))).alias("_tl"),
-        F.collect_set(F.when(is_key & exact, F.col("_t") - own_t)).alias("_keys"),
-        F.max(F.when(~is_key & (~is_base | exact), F.col("_share"))).alias("_score"),
+    rules = spark.sql(f"SELECT * FROM VALUES {rules} AS r(_t, _need, _must, _m, _label, _base)")
+    postings = (
+        documents.select(F.col(key), row.alias("_h"), F.col(text).alias("_text"))
+        .join(opened, same)
+        .select(key, "_h", "_plan", F.posexplode_outer(terms(F.col("_text"))).alias("_pos", "_word"))
+        .where(F.col("_word").isin(vocabulary))
+    )
+    own = F.filter("_plan", lambda p: p["t"] == F.col("_t"))
+    placed = (
+        postings.join(F.broadcast(places), "_word")
+        .withColumn("_own", own)
+        .where(F.size("_own") > 0)
+        .groupBy(key, "_h", "_t", (F.col("_pos") - F.col("_o")).alias("_start"))
+        .agg(
+            F.bit_or(F.expr("shiftleft(1L, _o)")).alias("_bits"),
+            F.max(F.array_contains(F.col("_own")[0]["keys"], F.col("_word")).cast("int")).alias("_rare"),
+        )
+        .where("_rare = 1")
+        .join(F.broadcast(rules), "_t")
+        .where("bit_count(_bits) >= _need AND (_bits & _must) = _must")
     )
-    verified = F.transform(F.filter("_tl", lambda x: F.array_contains(F.col("_keys"), x["t"])), lambda x: x["l"])
-    hits = hits.select(
-        F.col(key).alias("_k"), F.col("_h").alias("_kh"), "_base", "_first", "_last", "_bl",
-        F.array_distinct(F.concat("_bl", verified)).alias("_all"), "_score",
-    )
+    hits = placed.groupBy(key, "_h").agg(
+        F.count(F.when(F.col("_base"), 1)).alias("_n"),
+        F.min(F.when(F.col("_base"), F.col("_start"))).alias("_first"),
+        F.max(F.when(F.col("_base"), F.col("_start"))).alias("_last"),
+        F.collect_set(F.when(F.col("_base"), F.col("_label"))).alias("_bl"),
+        F.collect_set("_label").alias("_all"),
+        F.max(F.expr("bit_count(_bits) / _m")).alias("_score"),
+    )  # at most one label for each pattern
+    hits = hits.withColumnRenamed(key, "_k").withColumnRenamed("_h", "_kh")
     none = F.array().cast("array<string>")
-    joined = index.join(hits, (F.col("_h") == F.col("_kh")) & F.col(key).eqNullSafe(F.col("_k")), "left")
+    joined = index.drop("_held").join(hits, same, "left")
     return joined.select(
         key,
         "n_words",
-        F.coalesce("_base", F.lit(0)).cast("long").alias("n_base"),
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_base"),
         F.col("_first").cast("long").alias("first_word"),
         F.col("_last").cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.coalesce("_bl", none)), ",").alias("base_labels"),

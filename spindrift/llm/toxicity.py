@@ -24,8 +24,6 @@ WORD = re.compile(r"[^\W_]+")
 STEMS = (4, 5)
 #: At most so many labelled rows are learned from: those of the smallest hash of their id.
 TRAINING_ROWS = 20_000
-#: At most so many learned words and stems.
-LEXICON = 5_000
 #: Clean rows with rare words near a term that are believed beforehand, by the term's length; a short one has more neighbours.
 CHANCE = {3: 1.6, 4: 0.4}
 #: Characters before a hit in which a reporting verb is looked for, and what a quoted hit is worth.
@@ -212,7 +210,7 @@ class Scorer:
             quoted = quotations(lowered)
             values = [self.heavy[m[0]] * self.context(lowered, m.start(), quoted) for m in pattern.finditer(lowered)]
             values.sort(reverse=True)
-            total = values[0] + 0.25 * sum(values[1:4])
+            total = values[0] + sum(v / 2 ** min(k, 60) for k, v in enumerate(values[1:], 2))
         return 1 / (1 + math.exp(-min(30.0, self.bias + total)))
 
 
@@ -234,7 +232,8 @@ def _count(batches: Iterator[pd.DataFrame], wanted: frozenset[str] | None) -> It
 def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Scorer:
     """Learn the lexicon from at most ``rows`` labelled rows that are not held out.
 
-    The sample is bounded, so what reaches the driver is too: LEXICON weights, two counts a term, and the ordinary
+    The sample is bounded, so what reaches the driver is too: weights of features that one toxic row in a hundred
+    has, of which there are at most a hundred times those of an average row; two counts a term; and the ordinary
     words of the sample that are one edit from a term. Without labelled rows, or without toxic ones, nothing is
     learned and every text scores the bias.
     """
@@ -253,14 +252,13 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
         parts = df.mapInPandas(lambda b: _count(b, wanted), "f string, t long, c long")
         return parts.groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
-    marks = counts(train.where("toxic = 1"), None).where(F.col("t") >= least).orderBy(F.desc("t"), "f").limit(20 * LEXICON)
+    marks = counts(train.where("toxic = 1"), None).where(F.col("t") >= least)
     marks = {r["f"]: r["t"] for r in marks.collect()}
     against = {r["f"]: r["c"] for r in counts(train.where("toxic = 0"), frozenset(marks)).collect()}
     odds = {
         f: math.log((t + 0.1) / (toxic + 1)) - math.log((against.get(f, 0) + 0.5) / (clean + 1)) for f, t in marks.items()
     }
-    strong = sorted((f for f in odds if odds[f] >= 3.0 and marks[f] >= 20 * against.get(f, 0)), key=lambda f: (-odds[f], f))
-    model = Scorer({f: odds[f] for f in strong[:LEXICON]}, bias)
+    model = Scorer({f: v for f, v in sorted(odds.items()) if v >= 3.0 and marks[f] >= 20 * against.get(f, 0)}, bias)
     model.rows = (toxic, clean)
     most = max((marks[w] for w in model.words), default=1)
     model.believed = {w: marks[w] / most for w in model.words}
@@ -284,12 +282,12 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
     return model
 
 
-def score_toxicity(documents: DataFrame, model: Scorer, keep: list[str] | None = None) -> DataFrame:
-    """Score every whole text: columns keep (default doc_id), score, predicted (1 from 0.3).
+#: A text is predicted toxic from this score.
+CUT = 0.3
 
-    Null and empty texts score the bias. Rows are scored one by one, so repeated rows agree.
-    """
-    keep = keep or ["doc_id"]
+
+def _scored(documents: DataFrame, model: Scorer, keep: list[str]) -> tuple[DataFrame, list[Column]]:
+    """score beside the columns keep under other names, and those columns under their own."""
     names = [f"k{i}" for i in range(len(keep))]
     fields = {f.name: f.dataType.simpleString() for f in documents.schema}
     source = names[keep.index("text")] if "text" in keep else "_text"
@@ -300,19 +298,29 @@ def score_toxicity(documents: DataFrame, model: Scorer, keep: list[str] | None =
             out["score"] = model.score_all([t if isinstance(t, str) else "" for t in pdf[source]])
             yield out
 
-    slim = documents.select(
-        *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *([] if "text" in keep else [F.col("text").alias("_text")])
-    )
+    own = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)]
+    slim = documents.select(*own, *([] if "text" in keep else [F.col("text").alias("_text")]))
     schema = ", ".join(f"{n} {fields[c]}" for c, n in zip(keep, names, strict=True)) + ", score double"
-    scored = slim.mapInPandas(score, schema)
-    return scored.select(
-        *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)],
-        "score",
-        (F.col("score") >= 0.3).cast("int").alias("predicted"),
-    )
+    return slim.mapInPandas(score, schema), [F.col(n).alias(c) for c, n in zip(keep, names, strict=True)]
+
+
+def score_toxicity(documents: DataFrame, model: Scorer, keep: list[str] | None = None) -> DataFrame:
+    """Score every whole text: columns keep (default doc_id), score, predicted (1 from CUT).
+
+    The heaviest hit counts in full, the next a quarter, and every further one half of the one before. Null and
+    empty texts score the bias; texts are read whole, however long. Rows are scored one by one, so repeated rows
+    agree, and an empty table gives none. Of several terms that a word may be a misspelling of, the heaviest weight
+    counts, so that ties do not matter. Columns that are not kept may have any name.
+    """
+    scored, own = _scored(documents, model, keep or ["doc_id"])
+    return scored.select(*own, "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def civil_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns."""
-    scored = score_toxicity(documents, learn(documents, labels), keep=documents.columns)
-    return scored.where("predicted = 0").select(*documents.columns)
+    """The documents that are not predicted toxic, with their own columns, whatever those are called.
+
+    Null, empty and repeated rows are judged like any other and stay as often as they come, if they stay; an empty
+    table gives no rows.
+    """
+    scored, own = _scored(documents, learn(documents, labels), documents.columns)
+    return scored.where(F.col("score") < CUT).select(*own)
