@@ -11,20 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import terms
+from spindrift.llm.common import maybe_broadcast, terms
 from spindrift.session import durable
 
 #: Terms are first tested against a table of this many bits, whatever the size of the benchmark.
 FILTER_BITS = 1 << 16
 #: Terms kept for each window before the corpus counts choose between them.
 RARE_TERMS = 3
-#: A side is broadcast only if it has at most so many rows (of under 100 bytes each); else it is shuffled.
+#: A side is broadcast only if it has at most so many rows, and its bytes are few too; else it is shuffled.
 BROADCAST_ROWS = 50_000
 
 
-def _maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast df where a count proves it small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _maybe_broadcast(df: DataFrame) -> DataFrame:
+    return maybe_broadcast(df, rows=BROADCAST_ROWS)
+
+
+def _row_hash(key: Column, text: Column) -> Column:
+    """The same for rows that repeat key and text, and only for those (but for chance)."""
+    return F.xxhash64(key, F.coalesce(text, F.lit("")))
 
 
 def _slot(term: Column) -> Column:
@@ -71,8 +75,10 @@ def find_passages(
 
     Returns ``words`` (one row a document: key, _h, n_words), ``exact`` (key, _h, item, word positions covered)
     and ``near`` (key, _h, item: the item's rarest terms stand within slop words of their places). ``_h`` is a
-    hash of the text: rows that repeat key and text share their matches. Null or blank texts have no words and
-    match nothing; an item of fewer words than the window is one window; items without words are left out.
+    hash of key and text: rows that repeat both share their matches. Null, empty or blank texts have no words and
+    match nothing; an item of fewer words than the window is one window; items without words are left out, and a
+    null item id counts as an empty one. Texts are read whole, however long; an empty table on either side matches
+    nothing. Other columns of documents are not used, so their names cannot clash.
     """
     items = durable(_items(benchmark, item, text, window))
     choices = durable(_window_terms(items))
@@ -83,17 +89,18 @@ def find_passages(
         table[slot // 64] |= 1 << (slot % 64)
     mask = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in table])
 
-    tokens = documents.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), terms(F.col(text)).alias("_t"))
-    listed = F.filter(
-        F.transform("_t", lambda w, p: F.struct(p.alias("p"), w.alias("w"), _slot(w).alias("s"))),
-        lambda x: F.getbit(F.get(mask, F.shiftright(x["s"], 6)), x["s"].bitwiseAND(63)) == 1,
-    )
-    scanned = tokens.select(key, "_h", F.size("_t").cast("long").alias("n_words"), listed.alias("_l"))
-    words = scanned.select(key, "_h", "n_words")
-    postings = scanned.select(key, "_h", F.explode("_l").alias("_x")).select(
-        key, "_h", F.col("_x.p").alias("_pos"), F.col("_x.w").alias("_term")
+    slot = _slot(F.col("_term"))
+    listed = F.getbit(F.get(mask, F.shiftright(slot, 6)), slot.bitwiseAND(63)) == 1
+    first_word = F.coalesce("_pos", F.lit(0)) == 0  # kept for every document: it tells the number of words
+    scanned = (
+        documents.select(F.col(key), _row_hash(F.col(key), F.col(text)).alias("_h"), terms(F.col(text)).alias("_t"))
+        .select(key, "_h", F.size("_t").cast("long").alias("n_words"), F.posexplode_outer("_t").alias("_pos", "_term"))
+        .where(first_word | listed)
     )
-    postings = durable(postings.join(_maybe_broadcast(vocabulary), "_term"))
+    scanned = durable(scanned)
+    words = scanned.where(first_word).select(key, "_h", "n_words")
+    postings = scanned.select(key, "_h", "_pos", "_term").join(_maybe_broadcast(vocabulary), "_term").dropDuplicates(["_h", "_pos"])
+    postings = durable(postings)
 
     frequency = postings.groupBy("_term").agg(F.count("*").alias("_df"))
     ranked = Window.partitionBy("_i", "_start").orderBy(F.coalesce("_df", F.lit(0)), "_term", "_p")
@@ -140,7 +147,7 @@ def find_passages(
 
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keys = wanted.select(F.col(key).alias("_k"), F.col("_h").alias("_kh"))
-    source = documents.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), F.col(text).alias("_text"))
+    source = documents.select(F.col(key), _row_hash(F.col(key), F.col(text)).alias("_h"), F.col(text).alias("_text"))
     same = (F.col("_h") == F.col("_kh")) & F.col(key).eqNullSafe(F.col("_k"))
     if small:
         source = source.join(F.broadcast(keys), same, "left_semi")
@@ -153,7 +160,7 @@ def find_passages(
     segments = (
         source.join(named, same)
         .select(key, "_h", terms(F.col("_text")).alias("_t"), "_c")
-        .select(key, "_h", F.explode(F.transform("_c", cut)).alias("_x"))
+        .select(key, "_h", F.explode_outer(F.transform("_c", cut)).alias("_x"))
         .select(key, "_h", "_x.*")
     )
     skipped = F.greatest(-F.col("_d"), F.lit(0))
@@ -186,7 +193,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     """One row a document: n_words, n_hit, n_items, items_sha256, n_near_items, contaminated.
 
     A word is hit if it lies inside an occurrence of a benchmark window; a document is contaminated where hit
-    words are at least one in ``share``. An empty benchmark contaminates nothing.
+    words are at least one in ``share``. An empty benchmark contaminates nothing, an empty documents table gives
+    no rows, and null or blank texts have no words and are clean. Rows that repeat key and text get the same
+    result each. ``_h`` comes along as a hash of key and text.
     """
     found = find_passages(documents, benchmark, key=key, **options)
     exact = found["exact"]
@@ -213,10 +222,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
 
 def clean_rows(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
+    """The documents that are not contaminated, with their own columns, repeated rows as often as they come."""
     bad = contamination(documents, benchmark, key=key, **options).where("contaminated")
     bad = bad.select(F.col(key).alias("_k"), F.col("_h").alias("_kh"))
     rows = documents.select(F.struct("*").alias("row"))
-    own = F.xxhash64(F.coalesce(F.col(f"row.{text}"), F.lit("")))
+    own = _row_hash(F.col(f"row.{key}"), F.col(f"row.{text}"))
     same = F.col(f"row.{key}").eqNullSafe(F.col("_k")) & (own == F.col("_kh"))
     return rows.join(_maybe_broadcast(durable(bad)), same, "left_anti").select("row.*")
