@@ -3,8 +3,11 @@
 Method: documents of equal shingle sets form classes. The class signatures are banded into buckets; members of a
 bucket are compared in batches of hashes, and a pair is dropped once the posterior probability that its
 similarity reaches the threshold is below the chosen miss probability. What survives joins classes into clusters;
-in a cluster every surviving pair is verified exactly on the full shingle sets. Large buckets and clusters are cut
-into blocks and handled block by block, so no pair list is ever made and no group meets in one task.
+in a cluster surviving pairs are verified exactly on the full shingle sets.
+
+Only connections matter, so large buckets and clusters are cut into blocks: the first block meets every block, which
+settles most members, and only those outside the largest part that is then connected meet all blocks. No pair list
+is ever made, and no group meets in one task.
 """
 
 from __future__ import annotations
@@ -13,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import maybe_broadcast, salted_join
 from spindrift.llm.components import components
 from spindrift.session import durable, shuffle_width
 
@@ -167,8 +171,12 @@ def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def _row_hash(key: Column, text: Column) -> Column:
+    return F.xxhash64(key, text)
+
+
 def _sketch(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """doc, _n (set size), _f1, _f2 (fingerprint of the set) and _sig (null for an empty set)."""
+    """doc, _h (hash of id and text), _n (set size), _f1, _f2 (fingerprint of the set), _sig (null for an empty set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -183,11 +191,11 @@ def _sketch(documents: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     f1 = [int(mix(s).sum(dtype=_U).astype(np.int64)) for s in sets]
                     f2 = [int(mix(s ^ _STEP).sum(dtype=_U).astype(np.int64)) for s in sets]
-                yield pd.DataFrame({"doc": part["doc"], "_n": [len(s) for s in sets], "_f1": f1, "_f2": f2, "_sig": col})
+                yield pd.DataFrame({"doc": part["doc"], "_h": part["_h"], "_n": [len(s) for s in sets], "_f1": f1, "_f2": f2, "_sig": col})
 
-    slim = documents.select(F.col(key).alias("doc"), F.col(text).alias("t"))
+    slim = documents.select(F.col(key).alias("doc"), _row_hash(F.col(key), F.col(text)).alias("_h"), F.col(text).alias("t"))
     kind = dict(slim.dtypes)["doc"]
-    return slim.mapInPandas(run, f"doc {kind}, _n long, _f1 long, _f2 long, _sig binary")
+    return slim.mapInPandas(run, f"doc {kind}, _h long, _n long, _f1 long, _f2 long, _sig binary")
 
 
 def band_rows(percent: int) -> int:
@@ -195,119 +203,158 @@ def band_rows(percent: int) -> int:
     return next((r for r in (6, 5, 4, 3, 2) if (1 - (percent / 100) ** r) ** (HASHES // r) < 2e-5), 1)
 
 
-def _bucket_edges(classes: DataFrame, table: dict[int, int], rows_in_band: int) -> DataFrame:
-    """A spanning forest of the surviving pairs of every bucket: columns a, b."""
-    width = 2 * rows_in_band
-    band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // rows_in_band - 1)))
-    members = classes.select("cid", "_sig", band.alias("_band")).select(
-        "cid", F.expr(f"xxhash64(_band, substring(_sig, 1 + _band * {width}, {width}))").alias("_bucket")
-    )
-    sizes = members.groupBy("_bucket").agg(F.count("*").alias("_m")).where("_m > 1")
-    blocks = F.expr(f"(_m + {BUCKET_BLOCK - 1}) div {BUCKET_BLOCK}")
-    dealt = (
-        members.join(sizes, "_bucket")
-        .withColumn("_nb", blocks)
-        .groupBy("_bucket", "_nb", F.pmod(F.xxhash64("cid"), F.col("_nb")).alias("_block"))
-        .agg(F.array_sort(F.collect_list("cid")).alias("_ids"))  # a block: BUCKET_BLOCK members on average
-    )
-    dealt = durable(dealt)
-    whole = dealt.where("_nb = 1").select(F.col("_ids").alias("_l"), F.array().cast("array<long>").alias("_r"))
-    cut = dealt.where("_nb > 1")
-    other = cut.select("_bucket", F.col("_block").alias("_other"), F.col("_ids").alias("_r"))
-    crossed = cut.join(other, "_bucket").where("_other >= _block").select(
-        F.col("_ids").alias("_l"), F.when(F.col("_other") == F.col("_block"), F.array().cast("array<long>")).otherwise(F.col("_r")).alias("_r")
-    )
-    groups = whole.union(crossed).withColumn("_g", F.xxhash64("_l", "_r")).dropDuplicates(["_g"])
-    sides = groups.select("_g", F.explode(F.concat(
-        F.transform("_l", lambda c: F.struct(F.lit(0).alias("side"), c.alias("cid"))),
-        F.transform("_r", lambda c: F.struct(F.lit(1).alias("side"), c.alias("cid"))),
-    )).alias("_x")).select("_g", "_x.side", "_x.cid")
-    rows = sides.join(classes.select("cid", "_sig"), "cid")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compared(groups: DataFrame, pairs_of, columns: list[str]) -> DataFrame:
+    """Edges a, b that pairs_of finds in each group: rows of _g, side (0 or 1), cid and columns.
+
+    A group without rows of side 1 meets itself.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
         for pdf in _groups(batches, "_g"):
-            ids = pdf["cid"].to_numpy()
+            ids = pdf["cid"].tolist()
             sig = np.frombuffer(b"".join(pdf["_sig"]), dtype=np.uint16).reshape(len(pdf), HASHES)
             split = int((pdf["side"].to_numpy() == 0).sum())
             right = 0 if split == len(pdf) else split
-            forest = Forest(len(pdf))
-            for a, b in surviving(sig[:split], sig[right:], table):
-                for i, j in zip(a.tolist(), (b + right).tolist(), strict=True):
-                    if i != j and forest.join(i, j):
-                        out.append((int(ids[i]), int(ids[j])))
+            out += [(ids[i], ids[j]) for i, j in pairs_of(pdf, sig, split, right)]
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"])
 
-    dealt_rows = rows.repartition(shuffle_width(classes.sparkSession), "_g").sortWithinPartitions("_g", "side", "cid")
-    return dealt_rows.mapInPandas(compare, "a long, b long")
+    dealt = groups.select("_g", "side", "cid", *columns).repartition(shuffle_width(groups.sparkSession), "_g")
+    return dealt.sortWithinPartitions("_g", "side", "cid").mapInPandas(run, "a long, b long")
+
+
+def _first_meetings(members: DataFrame, payload: list[str]) -> DataFrame:
+    """Groups of _g, side, cid: in each group ``_of`` the first block meets every block. members has _of, _nb, _block, cid."""
+    alone, own = F.col("_nb") == 1, F.col("_block")
+    to = F.when(alone | (own > 0), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1))
+    side = ((own > 0) & ~alone).cast("int").alias("side")
+    return members.select("_of", side, "cid", *payload, F.explode(to).alias("_to")).select(
+        F.xxhash64("_of", "_to").alias("_g"), "side", "cid", *payload
+    )
+
+
+def _rest_meetings(members: DataFrame, edges: DataFrame, block: int, payload: list[str]) -> DataFrame | None:
+    """Groups in which what the first meetings left unconnected meets every block; None if nothing is left.
+
+    In a group that was cut, those outside its largest connected part are left.
+    """
+    cut = members.where("_nb > 1")
+    if cut.isEmpty():
+        return None
+    joined = components(edges).withColumnRenamed("node", "cid").withColumnRenamed("root", "_part")
+    placed = durable(cut.select("_of", "cid").join(joined, "cid", "left").select("_of", "cid", F.coalesce("_part", "cid").alias("_part")))
+    parts = placed.groupBy("_of", "_part").agg(F.count("*").alias("_c"))
+    main = parts.groupBy("_of").agg(F.max(F.struct("_c", "_part")).alias("_m")).select("_of", F.col("_m._part").alias("_main"))
+    left = placed.join(main, "_of").where("_part != _main").select("_of", "cid")
+    left = durable(left)
+    if left.isEmpty():
+        return None
+    sizes = left.groupBy("_of").agg(F.expr(f"(count(*) + {block - 1}) div {block}").alias("_rb"))
+    asking = left.join(sizes, "_of").join(cut, ["_of", "cid"])
+    asking = asking.withColumn("_q", F.pmod(F.xxhash64("cid"), F.col("_rb"))).withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+    asked = cut.join(sizes, "_of").withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rb") - 1))).withColumn("_to", F.col("_block"))
+    pick = lambda df, side: df.select(F.xxhash64("_of", "_q", "_to").alias("_g"), F.lit(side).alias("side"), "cid", *payload)
+    return pick(asking, 0).union(pick(asked, 1))
+
+
+def _bucket_edges(classes: DataFrame, table: dict[int, int], rows_in_band: int) -> DataFrame:
+    """A spanning forest of the surviving pairs of every bucket: columns a, b."""
+    width = 2 * rows_in_band
+    band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // rows_in_band - 1)))
+    members = classes.select("cid", "_sig", band.alias("_band")).select(
+        "cid", F.expr(f"xxhash64(_band, substring(_sig, 1 + _band * {width}, {width}))").alias("_of")
+    )
+    # the sum of hashed members tells buckets of the same members, which other bands make too
+    sizes = members.groupBy("_of").agg(
+        F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("cid"), F.lit(1 << 40))).alias("_x"), F.min("cid").alias("_y"), F.max("cid").alias("_z")
+    )
+    sizes = sizes.where("n > 1").groupBy("n", "_x", "_y", "_z").agg(F.min("_of").alias("_of"))
+    sizes = durable(sizes.select("_of", "n", F.expr(f"(n + {BUCKET_BLOCK - 1}) div {BUCKET_BLOCK}").alias("_nb")))
+    members = salted_join(members, sizes, ["_of"]).withColumn("_block", F.pmod(F.xxhash64("cid"), F.col("_nb")))
+    members = durable(members)
+
+    def pairs(pdf: pd.DataFrame, sig: np.ndarray, split: int, right: int) -> Iterator[tuple[int, int]]:
+        forest = Forest(len(pdf))
+        for a, b in surviving(sig[:split], sig[right:], table):
+            for i, j in zip(a.tolist(), (b + right).tolist(), strict=True):
+                if i != j and forest.join(i, j):
+                    yield i, j
+
+    def met(groups: DataFrame) -> DataFrame:
+        return _compared(groups.join(classes.select("cid", "_sig"), "cid"), pairs, ["_sig"])
+
+    edges = durable(met(_first_meetings(members, [])))
+    rest = _rest_meetings(members, edges, BUCKET_BLOCK, [])
+    return edges if rest is None else durable(edges.union(met(rest)))
 
 
 def _verified_links(
     documents: DataFrame, key: str, text: str, classes: DataFrame, clusters: DataFrame, table: dict[int, int], percent: int, size: int
 ) -> DataFrame:
     """A spanning forest of the pairs of each cluster whose full sets are similar enough: columns a, b."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("_m"))
-    blocks = F.expr(f"(_m + {CLUSTER_BLOCK - 1}) div {CLUSTER_BLOCK}")
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
+    sizes = durable(sizes.select("root", "n", F.expr(f"(n + {CLUSTER_BLOCK - 1}) div {CLUSTER_BLOCK}").alias("_nb")))
     members = durable(
-        clusters.join(sizes, "root")
-        .select(F.col("node").alias("cid"), "root", blocks.alias("_nb"))
+        salted_join(clusters, sizes, ["root"])
+        .select(F.col("node").alias("cid"), F.col("root").alias("_of"), "_nb")
         .withColumn("_block", F.pmod(F.xxhash64("cid"), F.col("_nb")))
-        .join(classes.select("cid", "_doc", "_f1", "_f2", "_sig"), "cid")
+        .join(classes.select("cid", "_pick", "_sig"), "cid")
     )
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [shingles(t, size) for t in pdf["t"]]
-            with np.errstate(over="ignore"):
-                own = [int(mix(s).sum(dtype=_U).astype(np.int64)) for s in found]
             out = pdf.drop(columns=["t"])
-            out["_set"] = [s.tobytes() for s in found]
-            yield out[out["_f1"].to_numpy() == np.array(own)]  # rows that only share the id are left out
+            out["_set"] = [shingles(t, size).tobytes() for t in pdf["t"]]
+            yield out
 
-    texts = documents.select(F.col(key).alias("_doc"), F.col(text).alias("t")).join(members, "_doc")
-    full = texts.select("cid", "root", "_nb", "_block", "_f1", "_sig", "t").mapInPandas(
-        sets, "cid long, root long, _nb long, _block long, _f1 long, _sig binary, _set binary"
-    )
+    texts = documents.select(_row_hash(F.col(key), F.col(text)).alias("_pick"), F.col(text).alias("t"))
+    texts = texts.join(maybe_broadcast(members), "_pick").select("cid", "_of", "_nb", "_block", "_sig", "t")
+    full = texts.mapInPandas(sets, "cid long, _of long, _nb long, _block long, _sig binary, _set binary")
     full = durable(full.dropDuplicates(["cid"]))
-    own, last = F.col("_block"), F.col("_nb") - 1
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    spread = (
-        full.withColumn("_p", F.explode(pairs))
-        .withColumn("_g", F.xxhash64("root", "_p.i", "_p.j"))
-        .withColumn("side", ((F.col("_p.i") != F.col("_p.j")) & (own == F.col("_p.j"))).cast("int"))
-        .select("_g", "side", "cid", "_sig", "_set")
-    )
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, int]] = []
-        for pdf in _groups(batches, "_g"):
-            ids = pdf["cid"].to_numpy()
-            sig = np.frombuffer(b"".join(pdf["_sig"]), dtype=np.uint16).reshape(len(pdf), HASHES)
-            found = [np.frombuffer(s, dtype=_U) for s in pdf["_set"]]
-            split = int((pdf["side"].to_numpy() == 0).sum())
-            right = 0 if split == len(pdf) else split
-            forest = Forest(len(pdf))
-            for a, b in surviving(sig[:split], sig[right:], table):
-                for i, j in zip(a.tolist(), (b + right).tolist(), strict=True):
-                    if i == j or forest.find(i) == forest.find(j):
-                        continue
-                    x, y = found[i], found[j]
-                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                        continue
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        forest.join(i, j)
-                        out.append((int(ids[i]), int(ids[j])))
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["a", "b"])
-                out = []
-        yield pd.DataFrame(out, columns=["a", "b"])
 
-    dealt = spread.repartition(shuffle_width(documents.sparkSession), "_g").sortWithinPartitions("_g", "side", "cid")
-    return dealt.mapInPandas(verify, "a long, b long")
+    def pairs(pdf: pd.DataFrame, sig: np.ndarray, split: int, right: int) -> Iterator[tuple[int, int]]:
+        found = [np.frombuffer(s, dtype=_U) for s in pdf["_set"]]
+        forest = Forest(len(pdf))
+        for a, b in surviving(sig[:split], sig[right:], table):
+            for i, j in zip(a.tolist(), (b + right).tolist(), strict=True):
+                if i == j or forest.find(i) == forest.find(j):
+                    continue
+                x, y = found[i], found[j]
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    forest.join(i, j)
+                    yield i, j
+
+    payload = ["_sig", "_set"]
+    links = durable(_compared(_first_meetings(full, payload), pairs, payload))
+    rest = _rest_meetings(full, links, CLUSTER_BLOCK, payload)
+    return links if rest is None else links.union(_compared(rest, pairs, payload))
+
+
+def _grouped(documents: DataFrame, percent: int, size: int, key: str, text: str, miss: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with a set: doc, _h, _n, _group (class id of their group's root) and _least (its least id); and the others."""
+    sketch = durable(_sketch(documents, key, text, size))
+    same = ["_n", "_f1", "_f2"]
+    classes = sketch.where("_n > 0").groupBy(*same).agg(
+        F.min("doc").alias("_doc"), F.min("_h").alias("_pick"), F.first("_sig").alias("_sig"), F.count("*").alias("n")
+    )
+    classes = durable(classes.withColumn("cid", F.xxhash64(*same)))
+    table = least_matches(percent / 100, miss)
+    clusters = components(_bucket_edges(classes, table, band_rows(percent)))
+    joined = components(_verified_links(documents, key, text, classes, clusters, table, percent, size))
+    named = durable(joined.select(F.col("node").alias("cid"), "root").join(classes.select("cid", "_doc"), "cid"))
+    least = durable(named.groupBy("root").agg(F.min("_doc").alias("_least"), F.count("*").alias("n")))
+    owner = salted_join(named.select("cid", "root"), least, ["root"])
+    roots = classes.select("cid", *same, "_doc", "n").join(owner, "cid", "left")
+    own = F.col("root").isNull()
+    roots = roots.select(*same, "n", F.coalesce("root", "cid").alias("_group"), F.when(own, F.col("_doc")).otherwise(F.col("_least")).alias("_least"))
+    rows = salted_join(sketch.where("_n > 0").drop("_sig"), durable(roots), same)
+    return rows.select("doc", "_h", "_n", "_group", "_least"), sketch.where("_n = 0").select("doc", "_h", "_n")
 
 
 def near_duplicates(
@@ -317,35 +364,34 @@ def near_duplicates(
 
     Documents are linked where 100 * intersection >= percent * union of their sets of shingles of ``size`` words. A link
     is missed only if no band agrees (about 1e-5 at the threshold) or by the chosen ``miss``; other links usually join the
-    same documents anyway. Null, empty and blank texts have no set and no links. A null id has a null component
-    and is kept. Rows that repeat an id keep their own sets, and the id may then be kept more than once.
+    same documents anyway. Null, empty and blank texts have no set and no links; texts are read whole, however long. A
+    null id has a null component and is kept. Rows that repeat an id keep their own sets, and the id may then be kept
+    more than once. An empty table gives no rows. Other columns are not used, so their names cannot clash.
     """
-    sketch = durable(_sketch(documents, key, text, size))
-    filled = sketch.where("_n > 0 AND doc IS NOT NULL")
-    same = ["_n", "_f1", "_f2"]
-    classes = filled.groupBy(*same).agg(F.min("doc").alias("_doc"), F.first("_sig").alias("_sig"))
-    classes = durable(classes.withColumn("cid", F.xxhash64(*same)))
-    table = least_matches(percent / 100, miss)
-    clusters = components(_bucket_edges(classes, table, band_rows(percent)))
-    links = _verified_links(documents, key, text, classes, clusters, table, percent, size)
-    joined = components(links)
-    named = joined.join(classes.select(F.col("cid").alias("node"), "_doc"), "node")
-    least = named.groupBy("root").agg(F.min("_doc").alias("_least"))
-    owner = named.join(least, "root").select(F.col("node").alias("cid"), "_least")
-    roots = classes.select("cid", *same, "_doc").join(owner, "cid", "left")
-    roots = roots.select(*same, F.coalesce("_least", "_doc").alias("_root"))
-    component = F.when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("_root", "doc"))
-    out = sketch.drop("_sig").join(roots, same, "left")
+    rows, bare = _grouped(documents, percent, size, key, text, miss)
+    least = F.when(F.col("doc").isNotNull(), F.col("_least"))
+    out = rows.select("doc", "_n", least.alias("_c")).union(bare.select("doc", "_n", F.col("doc").alias("_c")))
     return out.select(
         F.col("doc").alias(key),
         F.col("_n").alias("n_shingles"),
-        component.alias("component_id"),
-        (F.col("doc").isNull() | (component == F.col("doc"))).alias("kept"),
+        F.col("_c").alias("component_id"),
+        (F.col("doc").isNull() | (F.col("_c") == F.col("doc"))).alias("kept"),
     )
 
 
-def distinct_rows(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One document of each group of near-duplicates, with the columns of documents."""
-    gone = near_duplicates(documents, key=key, **options).where("NOT kept").select(F.col(key).alias("_k")).distinct()
-    rows = documents.select(F.struct("*").alias("row"))
-    return rows.join(gone, F.col(f"row.{key}") == F.col("_k"), "left_anti").select("row.*")
+def distinct_rows(
+    documents: DataFrame, key: str = "doc_id", percent: int = 80, size: int = 5, text: str = "text", miss: float = MISS
+) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of documents, whatever those are called.
+
+    The row of the least id stays (null ids last), of equal ids that of the least text hash, and of equal rows one.
+    Rows without words belong to no group and all stay; an empty table gives no rows.
+    """
+    rows, bare = _grouped(documents, percent, size, key, text, miss)
+    order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("d"), F.col("_h").alias("h"))
+    stay = durable(rows.groupBy("_group").agg(F.min(order).alias("m"), F.count("*").alias("c")).select(F.col("m.h").alias("_k"), "c"))
+    whole = documents.select(F.struct("*").alias("row")).withColumn("_own", _row_hash(F.col(f"row.{key}"), F.col(f"row.{text}")))
+    alone = stay.where("c = 1").select("_k").union(bare.select(F.col("_h").alias("_k")).distinct())
+    single = whole.join(alone, F.col("_own") == F.col("_k"), "left_semi")
+    grouped = whole.join(maybe_broadcast(stay.where("c > 1").select("_k")), F.col("_own") == F.col("_k"), "left_semi")
+    return single.select("row.*").union(grouped.dropDuplicates(["_own"]).select("row.*"))
