@@ -39,17 +39,19 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROAD
     return F.broadcast(df) if few["n"] <= rows and (few["b"] or 0) <= size else df
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], count: str = "n", share: int | None = None) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], count: str = "n", share: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Inner join of big with small, whose keys are unique and non-null and whose ``count`` says how many rows of big each has.
 
     Keys with more than one in ``share`` of the counted rows are dealt over several tasks: those are ``share`` keys at
-    most, whatever the input, so that they may be broadcast. small must be materialised; ``count`` is dropped.
+    most, whatever the input, so that they may be broadcast. ``counted`` has the keys and ``count`` where small, which
+    must be cheap to read twice, is not; ``count`` is dropped.
     """
     share = share or SALT_SHARE
-    total = small.agg(F.sum(count)).first()[0] or 0
+    counted = small if counted is None else counted
+    total = counted.agg(F.sum(count)).first()[0] or 0
     most = max(1, -(-total // share))
-    hot = small.where(F.col(count) > most).select(*on, F.expr(f"1 + {count} div {most}").cast("int").alias("_ways"))
-    rest = [c for c in big.columns if c not in on]
+    hot = counted.where(F.col(count) > most).select(*on, F.expr(f"1 + {count} div {most}").cast("int").alias("_ways"))
+    rest = [c for c, kind in big.dtypes if c not in on and "map<" not in kind]
     spread = F.when(F.col("_ways").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.col("_ways"))).cast("int")
     left = big.join(F.broadcast(hot), on, "left").withColumn("_salt", spread).drop("_ways")
     ways = F.when(F.col(count) > most, F.expr(f"1 + {count} div {most}").cast("int")).otherwise(1)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import BLANK_WORD
 from spindrift.session import durable
 
-#: Largest budget, in tokens, that the dynamic programme fits; a table of this many cells.
+#: Cells of the dynamic programme's table. More is left only where one document at most still fits.
 DP_CELLS = 1 << 18
 #: Documents of one source and length are ranked in hash buckets of about this many rows.
 BUCKET_ROWS = 4096
@@ -83,7 +83,12 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             more = min(counts[i] - taken[i], max(0, left - DP_CELLS // 4) // lengths[i])
             taken[i] += more
             left -= more * lengths[i]
-    left = min(left, DP_CELLS)
+    if left > DP_CELLS:  # documents that still fit are longer than three quarters of what is left: the longest is best
+        fits = [i for i in range(len(lengths)) if 0 < lengths[i] <= left and counts[i] > taken[i]]
+        if fits:
+            best = max(fits, key=lambda i: lengths[i])
+            taken[best] += 1
+            left -= lengths[best]
     free = [i for i in range(len(lengths)) if 0 < lengths[i] <= left and counts[i] > taken[i]]
     if free:
         found = knapsack([lengths[i] for i in free], [counts[i] - taken[i] for i in free], left)
@@ -117,7 +122,8 @@ def plan_repeats(
     Sources by code point, null last, have the weights in turn and share 100 % of all sizes. One row for each
     source reaches the driver. A source's length counts meet in one task: at most one row for each distinct
     length. Rows of size 0 are repeated as often as the whole repeats of their source. Null or equal keys are
-    told apart by their place in the input. An empty table gives an empty result.
+    told apart by their place in the input. Sizes are counted over whole texts, however long. An empty table gives an
+    empty result. Columns that are not kept may have any name.
     """
     slim = df.select(
         F.col(key).alias("_key"),
@@ -168,14 +174,24 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(BLANK_WORD)), F.lit(0)).cast("long")
 
 
-def mix_rows(df: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: each row of df as often as the mix takes it, with df's columns."""
-    placed = df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_at"))
-    names = {"key": "row." + options.pop("key", "doc_id"), "source": "row." + options.pop("source", "source")}
-    plan = plan_repeats(placed, word_count(F.col("row.text")), keep=["_at"], **names, **options)
-    copies = plan.where("repeats > 0").select("_at", F.col("repeats").alias("_copies"))
-    return (
-        placed.join(copies, "_at")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select("row.*")
-    )
+def mix_rows(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mixed corpus itself: each row of df as often as the mix takes it, with df's columns, whatever those are called.
+
+    Rows are found again by two hashes of all their columns, not by a number that a repeated scan might give to another
+    row; equal rows share the copies that the mix takes of them. Null and empty texts have size 0 and are taken as often
+    as the whole repeats of their source. Columns of map type are not supported. An empty table gives no rows.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    placed = df.select(row.alias("row")).select("row", F.xxhash64("row").alias("_a"), F.xxhash64(F.lit(1), "row").alias("_b"))
+    plan = plan_repeats(placed, word_count(F.col(f"row.{text}")), key=f"row.{key}", source=f"row.{source}", keep=["_a", "_b"], **options)
+    copies = durable(plan.groupBy("_a", "_b").agg(F.sum("repeats").alias("_copies"), F.count("*").alias("n")).where("_copies > 0"))
+    each = placed.join(copies.select("_a", "_b", F.expr("_copies div n").alias("_copies")), ["_a", "_b"]).where("_copies > 0")
+    out = each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")
+    odd = copies.select("_a", "_b", F.expr("_copies % n").alias("_more")).where("_more > 0")
+    if odd.isEmpty():
+        return out
+    # of equal rows it does not matter which is taken more often: one of them stands for all, dealt in small portions
+    one = placed.join(odd, ["_a", "_b"]).dropDuplicates(["_a", "_b"])
+    portion = one.withColumn("_p", F.explode(F.expr(f"sequence(0, (_more - 1) div {BUCKET_ROWS})"))).repartition("_a", "_p")
+    count = F.expr(f"least({BUCKET_ROWS}, _more - _p * {BUCKET_ROWS})").cast("int")
+    return out.union(portion.withColumn("_copy", F.explode(F.sequence(F.lit(1), count))).select("row.*"))

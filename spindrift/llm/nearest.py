@@ -28,29 +28,44 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, residual
 
 
+def lengths(gap: np.ndarray) -> np.ndarray:
+    """Euclidean length of each row; rows whose squares would leave the doubles are scaled by a power of two first."""
+    largest = np.abs(gap).max(axis=1)
+    far = (largest > 0) & ((largest < 1e-140) | (largest > 1e140))
+    unit = np.where(far, -np.frexp(np.where(far, largest, 1.0))[1], 0)
+    scaled = np.ldexp(gap, unit[:, None])
+    return np.ldexp(np.sqrt(np.cumsum(scaled * scaled, axis=1)[:, -1]), -unit)
+
+
 def tile_nearest(qid, qrow, q, cid, crow, c, k: int) -> list[tuple[int, int, int, float]]:
-    """(query row, query id, candidate id, distance) of each query's k nearest in one tile of candidates."""
-    qc, qs, qe = quantise(q)
-    cc, cs, ce = quantise(c)
-    # products of int8 codes stay below 2**24 for up to 1040 dimensions, where float32 is exact
-    kind = np.float32 if q.shape[1] <= 1040 else np.float64
-    dots = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64) * qs[:, None] * cs[None, :]
-    qn = (qc.astype(np.float64) ** 2).sum(axis=1) * qs**2
-    cn = (cc.astype(np.float64) ** 2).sum(axis=1) * cs**2
-    rough = np.sqrt(np.maximum(qn[:, None] + cn[None, :] - 2 * dots, 0.0))
-    slack = qe[:, None] + ce[None, :] + 1e-6 * (np.sqrt(qn)[:, None] + np.sqrt(cn)[None, :])
-    low, high = rough - slack, rough + slack
-    own = qrow[:, None] == crow[None, :]
-    high[own], low[own] = np.inf, np.inf
-    reach = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(q), np.inf)
-    out = []
-    for i in range(len(q)):
-        near = np.flatnonzero((low[i] <= reach[i]) & (low[i] < np.inf))
-        if len(near):
-            gap = c[near] - q[i]
-            exact = np.sqrt(np.cumsum(gap * gap, axis=1)[:, -1])
-            best = heapq.nsmallest(k, zip(exact.tolist(), cid[near].tolist(), strict=True))
-            out += [(int(qrow[i]), int(qid[i]), v, s) for s, v in best]
+    """(query row, query id, candidate id, distance) of each query's k nearest in one tile of candidates.
+
+    A pair whose bounds are not finite, because squares overflow, is recomputed in any case.
+    """
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        qc, qs, qe = quantise(q)
+        cc, cs, ce = quantise(c)
+        # products of int8 codes stay below 2**24 for up to 1040 dimensions, where float32 is exact
+        kind = np.float32 if q.shape[1] <= 1040 else np.float64
+        dots = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64) * qs[:, None] * cs[None, :]
+        qn = (qc.astype(np.float64) ** 2).sum(axis=1) * qs**2
+        cn = (cc.astype(np.float64) ** 2).sum(axis=1) * cs**2
+        rough = np.sqrt(np.maximum(qn[:, None] + cn[None, :] - 2 * dots, 0.0))
+        # the last term covers squares that vanish
+        slack = qe[:, None] + ce[None, :] + 1e-6 * (np.sqrt(qn)[:, None] + np.sqrt(cn)[None, :]) + 1e-150
+        low, high = rough - slack, rough + slack
+        unknown = ~(np.isfinite(low) & np.isfinite(high))
+        low[unknown], high[unknown] = 0.0, np.inf
+        own = qrow[:, None] == crow[None, :]
+        high[own], low[own] = np.inf, np.inf
+        reach = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(q), np.inf)
+        out = []
+        for i in range(len(q)):
+            near = np.flatnonzero((low[i] <= reach[i]) & (low[i] < np.inf))
+            if len(near):
+                exact = lengths(c[near] - q[i])
+                best = heapq.nsmallest(k, zip(exact.tolist(), cid[near].tolist(), strict=True))
+                out += [(int(qrow[i]), int(qid[i]), v, s) for s, v in best]
     return out
 
 
@@ -61,7 +76,8 @@ def nearest(
 
     Candidates are all rows but the query's own, of the same dimension; ties go to the smaller id. Rows with a
     null id, or whose vector is null, empty, all zero or has a null or non-finite component, take no part.
-    Repeated query rows are answered each, under one query_id.
+    Repeated query rows are answered each, under one query_id. Vectors may be as long as they are; an empty table
+    gives no rows. Columns other than key and column are only seen by is_query, so their names cannot clash.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))
     usable = (

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import salted_join
 from spindrift.llm.sharding import positioned
 from spindrift.session import durable, shuffle_width
 
@@ -51,8 +52,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     records has record_id, uri, ts, kind ('response' or 'revisit'), etag, last_modified, headers and payload. A
     revisit looks for the latest response of its canonical URL with an earlier ts (of equal ones the largest
     record_id). status is 'orphan' if there is none; 'stale' if a validator that both carry differs, and then
-    neither headers nor payload are filled in; else 'resolved'. Rows without uri or ts have no key and stay
-    orphans; other kinds are ignored. Repeated revisits are answered each. Columns of other names are ignored.
+    neither headers nor payload are filled in; else 'resolved'. ETags are compared weakly, as a 304 is: ``W/`` does not
+    count. Rows without uri or ts have no key and stay orphans; other kinds are ignored. Repeated revisits are answered
+    each. Of responses that repeat a record_id at one URL and time, that of the largest etag, last_modified and payload
+    stands. An empty payload stays empty, payloads are passed on whole; an empty table gives no rows. Columns of other
+    names are ignored, whatever they are called.
     """
     spark = records.sparkSession
     own = ("record_id", "uri", "ts", "kind", "etag", "last_modified", "headers", "payload")
@@ -69,27 +73,40 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     placed = durable(
         positioned(timeline, "ts", F.lit(1)).select("uri_key", "ts", "response", F.expr(f"_index div {width}").alias("cell"))
     )
-    passed = placed.groupBy("uri_key", "cell").agg(F.max_by("response", F.when(F.col("response").isNotNull(), F.col("ts"))).alias("held"))
+    seen = F.when(F.col("response").isNotNull(), F.struct("ts", "response"))
+    placed = placed.withColumn("seen", seen)
+    passed = placed.groupBy("uri_key", "cell").agg(F.max("seen").alias("held"))
     earlier = Window.partitionBy("uri_key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = passed.select("uri_key", "cell", F.last("held", ignorenulls=True).over(earlier).alias("carried"))
     inside = Window.partitionBy("uri_key", "cell").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     latest = (
-        placed.withColumn("near", F.last("response", ignorenulls=True).over(inside))
+        placed.withColumn("near", F.last("seen", ignorenulls=True).over(inside))
         .join(carried, ["uri_key", "cell"])
-        .select("uri_key", "ts", F.coalesce("near", "carried").alias("found"))
-        .where("found IS NOT NULL")
+        .select("uri_key", "ts", F.coalesce("near", "carried").alias("seen"))
+        .where("seen IS NOT NULL")
+        .select("uri_key", "ts", F.col("seen.response").alias("found"), F.col("seen.ts").alias("found_ts"))
     )
     asked = revisits.join(latest, ["uri_key", "ts"], "left")
-    differ = lambda name: F.coalesce(F.col(name) != F.col(f"found.{name}"), F.lit(False))
+    bare = lambda tag: F.regexp_replace(tag, "^[Ww]/", "")
+    differ = lambda name: F.coalesce(bare(F.col(name)) != bare(F.col(f"found.{name}")), F.lit(False))
     status = (
         F.when(F.col("found").isNull(), "orphan").when(differ("etag") | differ("last_modified"), "stale").otherwise("resolved")
     )
-    asked = asked.select("record_id", "uri_key", F.col("found.record_id").alias("resolved_id"), status.alias("status"), F.col("headers").alias("fresh"))
-    stored = responses.select(F.col("record_id").alias("_id"), F.col("headers").alias("stored"), "payload").dropDuplicates(["_id"])
-    fits = (F.col("resolved_id") == F.col("_id")) & (F.col("status") == "resolved")
-    out = asked.join(stored, fits, "left")
-    merged = F.when(F.col("status") == "resolved", merge_headers(F.col("stored"), F.col("fresh")))
-    return out.select("record_id", "uri_key", "resolved_id", "status", merged.alias("headers"), "payload")
+    asked = asked.select(
+        "record_id", "uri_key", F.col("found.record_id").alias("resolved_id"), F.col("found_ts"), status.alias("status"), F.col("headers").alias("fresh")
+    )
+    asked = durable(asked)
+    on = ["resolved_id", "uri_key", "found_ts"]
+    named = responses.withColumnsRenamed({"record_id": "resolved_id", "ts": "found_ts"})
+    fits = asked.where("status = 'resolved'")
+    wanted = durable(fits.groupBy(*on).agg(F.count("*").alias("n")))
+    order = F.struct("etag", "last_modified", "payload")
+    stored = named.join(wanted, on).groupBy(*on, "n").agg(F.max_by(F.struct(F.col("headers").alias("stored"), "payload"), order).alias("s"))
+    got = salted_join(fits, stored, on, counted=wanted)
+    headers = merge_headers(F.col("s.stored"), F.col("fresh")).alias("headers")
+    got = got.select("record_id", "uri_key", "resolved_id", "status", headers, F.col("s.payload").alias("payload"))
+    none = [F.lit(None).cast(got.schema[c].dataType).alias(c) for c in ("headers", "payload")]
+    return got.union(asked.where("status != 'resolved'").select("record_id", "uri_key", "resolved_id", "status", *none))
 
 
 def captures(pages: DataFrame) -> DataFrame:

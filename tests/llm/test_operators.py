@@ -311,6 +311,17 @@ def test_knapsack_is_exact():
         assert sum(n * k for n, k in taken.items()) == max(s for s in sums if s <= budget)
 
 
+def test_budgets_beyond_the_table_are_met():
+    assert mixing.fit_budget([380_000, 380_001], [1, 1], 400_000) == [0, 1]
+    assert mixing.fit_budget([700_000, 900_000, 30], [1, 1, 9], 1_000_000) == [0, 1, 9]
+    rng = random.Random(3)
+    for _ in range(30):
+        sizes = rng.sample(range(200_000, 2_000_000), 4)
+        taken = mixing.fit_budget(sizes, [1] * 4, 2_100_000)
+        spent = sum(n * k for n, k in zip(sizes, taken, strict=True))
+        assert spent <= 2_100_000 and all(spent + n > 2_100_000 for n, k in zip(sizes, taken, strict=True) if not k)
+
+
 def test_mix_meets_targets(docs, rows):
     plan = mixing.plan_repeats(docs, mixing.word_count(F.col("text"))).collect()
     sizes = Counter()
@@ -339,6 +350,20 @@ def test_mixed_rows_and_hot_lengths(spark, monkeypatch):
     n = mixed.where("source = 'hot'").count()
     assert abs(3 * n - mixing.share_targets([270, 500], [5, 2])[0]) <= 3
     assert mixing.mix_rows(make(spark, rows).where("false")).count() == 0
+    plan = mixing.plan_repeats(make(spark, rows), mixing.word_count(F.col("text"))).collect()
+    assert mixed.count() == sum(r.repeats for r in plan) and n == sum(r.repeats for r in plan if r["size"] == 3)
+
+
+def test_equal_rows_are_taken_in_portions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rows = [(7, "a b c", "hot")] * 50 + [(8, None, "hot"), (9, "", None)] + [(i, "w " * 11, "z") for i in range(100, 120)]
+    docs = make(spark, rows).withColumn("_copies", F.lit(3)).withColumn("_more", F.lit(4))
+    mixed = mixing.mix_rows(docs)
+    assert mixed.columns == docs.columns
+    want = Counter()
+    for r in mixing.plan_repeats(docs, mixing.word_count(F.col("text"))).collect():
+        want[r.doc_id] += r.repeats
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: v for k, v in want.items() if v})
 
 
 # Near duplicates ---------------------------------------------------------------------------------------------------
@@ -490,6 +515,19 @@ def test_nearest_match_brute_force(spark):
     assert nearest.nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_vectors_of_extreme_magnitude(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=4) * 10.0**e).tolist()) for e in (-170, -160, 0, 155, 160, 300) for i in range(abs(e) * 1000 + (e < 0) * 50, abs(e) * 1000 + (e < 0) * 50 + 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("x")).withColumn("score", F.lit(1))
+    got = defaultdict(list)
+    for r in nearest.nearest(df, F.lit(True), k=5, tile=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, x in rows:
+        near = sorted((math.dist(x, y), i) for i, y in rows if i != q)[:5]
+        assert [i for i, _ in got[q]] == [i for _, i in near], q
+        assert [s for _, s in got[q]] == pytest.approx([s for s, _ in near], rel=1e-12, abs=0)
+
+
 def test_few_candidates_are_all_returned(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest.nearest(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1.0)]
@@ -681,6 +719,15 @@ def test_revisits_match_brute_force(spark):
     assert revisits.resolve_revisits(df.where("false")).count() == 0
 
 
+def test_weak_etags_and_repeated_record_ids(spark, monkeypatch):
+    monkeypatch.setattr(common, "SALT_SHARE", 2)
+    rows = [(1, "http://a.b/", 5, "response", 'W/"x"', None, {"date": "1"}, body, 0, "c") for body in ("old", "zoo", "")]
+    rows += [(1, "http://a.b/other", 6, "response", "q", None, None, "else", 0, "c")]
+    rows += [(i, "http://a.b", 9, "revisit", tag, None, None, None, 0, "c") for i, tag in ((10, '"x"'), (11, "w/\"x\""), (12, None), (13, '"y"'), (10, '"x"'))]
+    got = sorted((r.record_id, r.status, r.payload) for r in revisits.resolve_revisits(spark.createDataFrame(rows, RECORD)).collect())
+    assert got == [(10, "resolved", "zoo"), (10, "resolved", "zoo"), (11, "resolved", "zoo"), (12, "resolved", "zoo"), (13, "stale", None)]
+
+
 def test_canonical_urls(spark):
     urls = ["https://www.A.com:443/x/?b=2&utm_id=1&a=1#f", "HTTP://a.com", "no url", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
