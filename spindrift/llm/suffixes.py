@@ -1,8 +1,10 @@
-"""Removal of repeated byte strings by external induced sorting of sampled suffixes.
+"""Removal of repeated byte strings by an external sort of sampled suffixes.
 
-Every window of ``length`` bytes names one suffix inside it: the one at its least gram hash. Windows of equal
-bytes name suffixes at the same place, so only those suffixes are sorted, and the order of all other windows is
-induced from them. The levels of the induction:
+This is induced sorting over a sample, not a suffix array. It departs from it in three ways, which the README gives
+figures for: only suffixes at content-chosen places are sorted, 64-bit hash names stand for lexicographic ranks, and
+two levels stand for recursion and carried common prefixes. The result is that of the whole array: every window of
+``length`` bytes names one suffix inside it, the one at its least gram hash. Windows of equal bytes name suffixes at
+the same place, so the order of the named suffixes settles which windows are equal.
 
 1. A suffix tuple carries the name of its first GRAM bytes, the name of the common stretch that its windows span,
    and its place. Tuples are sorted in external runs that a disk-backed priority queue merges. Tuples of equal
@@ -114,19 +116,6 @@ class ExternalSorter:
         return lo
 
 
-def by_name(blocks: Iterator[np.ndarray], field: str = "name") -> Iterator[np.ndarray]:
-    """Regroup sorted blocks so that no run of equal names is cut."""
-    rest = None
-    for x in blocks:
-        x = np.concatenate((rest, x)) if rest is not None and len(rest) else x
-        cut = int(np.searchsorted(x[field], x[field][-1]))
-        if cut:
-            yield x[:cut]
-        rest = x[cut:]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def sampled_suffixes(raw: np.ndarray, order: int, length: int) -> np.ndarray:
     """The suffix tuples that the windows of one text name."""
     out = [_scan(raw[i : i + SCAN + length - 1], i, order, length) for i in range(0, max(1, len(raw) - length + 1), SCAN)]
@@ -221,31 +210,65 @@ def _level_one(texts: DataFrame, parts: int, length: int) -> DataFrame:
     return texts.mapInPandas(run, BLOBS)
 
 
-def _settle_suffixes(blobs: DataFrame, parts: int, length: int, hot: int) -> DataFrame:
-    """Kind 1: spans that repeat an earlier stretch. Kind 2: stretches to be opened."""
+def _to_open(y: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """Records that ask for the windows of these stretches; those of a crowded name ask for each window by itself."""
+    out = []
+    for x, apart in ((y[~crowded], False), (y[crowded], True)):
+        n = x["lo"].astype(np.int32) - x["hi"] + 1
+        lo, name = x["at"] - x["lo"], x["name"]
+        if apart:  # one record for each window; its offset from the suffix goes into the name
+            i = np.repeat(np.arange(len(x)), n)
+            step = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            with np.errstate(over="ignore"):
+                name = mix(x["name"][i] + (x["lo"][i] - step + 1).astype(_U) * _U(0x9E3779B97F4A7C15))
+            x, lo, n = x[i], lo[i] + step, np.ones(len(i), dtype=np.int32)
+        z = np.empty(len(x), dtype=OPENED)
+        z["name"], z["ord"], z["lo"], z["n"] = name, x["ord"], lo, n
+        out.append(z)
+    return np.concatenate(out)
+
+
+def settled(blocks: Iterator[np.ndarray], length: int, hot: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From sorted suffix tuples: spans that repeat an earlier stretch, and stretches to be opened.
 
-    def settle(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    Beside a block, at most ``hot`` tuples are held: the first ones of the stretches of one name. A name with more is
+    crowded.
+    """
+    held, before, crowd = np.empty(0, dtype=SUFFIX), None, None
+    for x in blocks:
         new, spans = _repeats(x, length)
-        new_name = np.concatenate(([True], x["name"][1:] != x["name"][:-1]))
-        group = np.cumsum(new_name) - 1
-        several = np.bincount(group[new], minlength=group[-1] + 1)
-        first, count = x[new], several[group[new]]
-        opened = []
-        for y, crowded in ((first[(count > 1) & (count <= hot)], False), (first[count > hot], True)):
-            n = y["lo"].astype(np.int32) - y["hi"] + 1
-            lo = y["at"] - y["lo"]
-            if crowded:  # one record for each window; its offset from the suffix goes into the name
-                i = np.repeat(np.arange(len(y)), n)
-                step = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                with np.errstate(over="ignore"):
-                    name = mix(y["name"][i] + (y["lo"][i] - step + 1).astype(_U) * _U(0x9E3779B97F4A7C15))
-                y, lo, n = y[i], lo[i] + step, np.ones(len(i), dtype=np.int32)
-            else:
-                name = y["name"]
-            z = np.empty(len(y), dtype=OPENED)
-            z["name"], z["ord"], z["lo"], z["n"] = name, y["ord"], lo, n
-            opened.append(z)
-        return spans, np.concatenate(opened)
+        if before == (x["name"][0], x["stretch"][0]):
+            new[0], lead = False, np.empty(1, dtype=SPAN)
+            lead["ord"], lead["lo"], lead["hi"] = x["ord"][:1], x["at"][:1] - x["lo"][:1], x["at"][:1] - x["hi"][:1] + length
+            spans = np.concatenate((lead, spans))
+        before = (x["name"][-1], x["stretch"][-1])
+        first = np.concatenate((held, x[new]))
+        cut = int(np.searchsorted(first["name"], x["name"][-1]))
+        done, held = first[:cut], first[cut:]
+        opened = [_settle_names(done, crowd, hot)]
+        if len(held) and (held["name"][0] == crowd or len(held) > hot):
+            crowd = held["name"][0]
+            opened.append(_to_open(held, np.ones(len(held), dtype=bool)))
+            held = held[:0]
+        yield spans, np.concatenate(opened)
+    yield np.empty(0, dtype=SPAN), _settle_names(held, crowd, hot)
+
+
+def _settle_names(first: np.ndarray, crowd, hot: int) -> np.ndarray:
+    """What to open of whole names, given the first tuple of each stretch; crowd is a name of which more came before."""
+    if not len(first):
+        return np.empty(0, dtype=OPENED)
+    group = np.cumsum(np.concatenate(([True], first["name"][1:] != first["name"][:-1]))) - 1
+    several = np.bincount(group)[group]
+    crowded = several > hot
+    if crowd is not None:
+        crowded |= first["name"] == crowd
+    wanted = (several > 1) | crowded
+    return _to_open(first[wanted], crowded[wanted])
+
+
+def _settle_suffixes(blobs: DataFrame, parts: int, length: int, hot: int) -> DataFrame:
+    """Kind 1: spans that repeat an earlier stretch. Kind 2: stretches to be opened."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sorter = ExternalSorter(["name", "stretch", "ord", "at"])
@@ -255,8 +278,8 @@ def _settle_suffixes(blobs: DataFrame, parts: int, length: int, hot: int) -> Dat
                 yield pdf[known]
             for blob in pdf["blob"][~known]:
                 sorter.add(np.frombuffer(blob, dtype=SUFFIX))
-        for x in by_name(sorter.merged()):
-            for kind, y in enumerate(settle(x), 1):
+        for found in settled(sorter.merged(), length, hot):
+            for kind, y in enumerate(found, 1):
                 yield _frame([(kind, *r) for r in _dealt(y, _part_of(y["ord"], parts), parts)])
 
     return blobs.repartition(parts, "part").mapInPandas(run, BLOBS)
@@ -414,8 +437,10 @@ def remove_repeats(documents: DataFrame, length: int = 100, key: str = "doc_id",
 
     A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a row of smaller id,
     or in the same text. Strings are judged on the input. Null texts are empty; texts shorter than ``length`` stay
-    whole. Rows of equal or null ids follow their place in the input (nulls first). Bytes of a character that is
-    cut at a span's edge are left out of the kept text, not of its hash.
+    whole; longer ones are read whole, SCAN bytes at a time. Rows of equal or null ids follow their place in the input
+    (nulls first) and repeat each other; an empty table gives no rows. Bytes of a character that is cut at a span's
+    edge are left out of the kept text, not of its hash. Columns other than key and text are neither used nor
+    returned, so their names cannot clash.
     """
     parts = shuffle_width(documents.sparkSession)
     texts, keys = ordered_texts(documents, key, text)

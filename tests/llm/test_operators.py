@@ -133,6 +133,32 @@ def test_repeats_with_null_and_repeated_ids(spark):
     assert suffixes.remove_repeats(make(spark, rows).where("false")).count() == 0
 
 
+def test_names_that_run_over_many_blocks_are_settled_alike():
+    rng = np.random.default_rng(2)
+    x = np.zeros(3000, dtype=suffixes.SUFFIX)
+    x["name"], x["stretch"] = rng.choice([3, 5, 8, *range(100, 400)], 3000, p=[0.3, 0.2, 0.2, *[0.3 / 300] * 300]), rng.integers(0, 40, 3000)
+    x["ord"], x["at"], x["lo"], x["hi"] = rng.integers(0, 50, 3000), rng.integers(100, 900, 3000), rng.integers(3, 9, 3000), rng.integers(0, 3, 3000)
+    x = x[np.lexsort([x[f] for f in ("at", "ord", "stretch", "name")])]
+
+    def outcome(blocks, hot):
+        parts = list(suffixes.settled(iter(blocks), 100, hot))
+        return [sorted(np.concatenate([p[k] for p in parts]).tolist()) for k in (0, 1)]
+
+    for hot in (5, 1000):
+        whole = outcome([x], hot)
+        assert outcome(np.array_split(x, 70), hot) == whole and outcome(np.array_split(x, 3), hot) == whole
+    assert len(outcome([x], 5)[1]) > len(outcome([x], 1000)[1])
+
+
+def test_a_text_beyond_one_scan(spark):
+    rng = random.Random(11)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
+    passage = long[suffixes.SCAN - 300 : suffixes.SCAN + 200]
+    rows = [(1, long, "s"), (2, "q" * 50 + passage + "r" * 50, "s"), (3, long[900_000:], "s")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(make(spark, rows)).collect()}
+    assert got == {1: (1_300_000, 0, 0), 2: (600, 500, 1), 3: (400_000, 400_000, 1)}
+
+
 def test_external_sorter_spills_and_merges():
     rng = np.random.default_rng(1)
     sorter = suffixes.ExternalSorter(["ord", "p"], limit=4000, block=50)
