@@ -24,10 +24,12 @@ def build_session(app: str = "spindrift", cores: int | str = "*", shuffle: int =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir where the session names one; a temporary folder only where it is unset."""
+    """Use spark.checkpoint.dir where the session names one; a temporary folder only where it is unset, and not on a cluster."""
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
 
 
