@@ -26,6 +26,8 @@ STEMS = (4, 5)
 TRAINING_ROWS = 20_000
 #: Clean rows with rare words near a term that are believed beforehand, by the term's length; a short one has more neighbours.
 CHANCE = {3: 1.6, 4: 0.4}
+#: The bias is at most this, so that a text without a hit is not predicted toxic, however many labelled rows are.
+NO_HIT = -1.2
 #: Characters before a hit in which a reporting verb is looked for, and what a quoted hit is worth.
 CONTEXT, QUOTED = 60, 0.1
 # Quotation marks with the marks that they close, and reporting words.
@@ -243,7 +245,7 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
     train = durable(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"))
     size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
-    bias = math.log((toxic + 1) / (clean + 9)) - 0.3
+    bias = min(NO_HIT, math.log((toxic + 1) / (clean + 9)) - 0.3)
     if not toxic:
         return Scorer({}, bias)
     least = max(3, math.ceil(0.01 * toxic))
