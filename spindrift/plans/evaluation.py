@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from spindrift.functions import answers as an
+from spindrift.functions import boxes as bx
+from spindrift.functions import parsing as ps
 from spindrift.functions import geometry as geo
 from spindrift.operators import evaluation as ev
 from spindrift.operators import rewards as rw
@@ -389,49 +391,6 @@ def _series(f, kind="string"):
     return run
 
 
-@query("x1_clean_answer", "SELECT event_id AS id, event_type AS answer FROM events")
-def _(spark, d):
-    text = F.concat(F.lit("<think>a <answer>no</answer></think> <answer> "), "event_type", F.lit(" </answer>"))
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(lambda t: an.last_answer(an.clean_thought(t)))(text).alias("answer"))
-
-
-@query(
-    "x2_choice_letter",
-    "SELECT event_id AS id, chr(CAST(65 + user_id % 8 AS INTEGER)) AS letter FROM events",
-)
-def _(spark, d):
-    letter = F.char(65 + F.col("user_id") % 8)
-    n = F.col("event_id") % 5
-    text = (
-        F.when(n == 0, F.concat(F.lit("The answer is "), letter, F.lit(".")))
-        .when(n == 1, F.concat(F.lit("("), letter, F.lit(") because it fits")))
-        .when(n == 2, F.concat(letter, F.lit(". a red car")))
-        .when(n == 3, F.concat(F.lit("<think>maybe</think><answer>"), letter, F.lit("</answer>")))
-        .otherwise(F.concat(F.lit("we pick option "), letter))
-    )
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(an.choice_letter)(text).alias("letter"))
-
-
-@query("x7_time_spans", "SELECT event_id AS id, CAST(user_id AS DOUBLE) AS a, CAST(user_id + 30 AS DOUBLE) AS b FROM events")
-def _(spark, d):
-    u = F.col("user_id")
-    clock = lambda x: F.format_string("%02d:%02d", F.expr("0").cast("int") + F.floor(x / 60).cast("int"), (x % 60).cast("int"))
-    n = F.col("event_id") % 3
-    text = F.when(n == 0, F.concat(u, F.lit(" - "), u + 30)).when(n == 1, F.concat(u, F.lit(" to "), u + 30, F.lit(" seconds"))).otherwise(F.concat(F.lit("from "), clock(u), F.lit(" until "), clock(u + 30)))
-    first = _series(lambda t: ",".join(map(str, an.time_spans(t)[0])))(text)
-    parts = F.split(first, ",")
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.get(parts, F.lit(0)).cast("double").alias("a"), F.get(parts, F.lit(1)).cast("double").alias("b"))
-
-
-@query("x8_candidate_boxes", "SELECT event_id AS id, 1 AS n, CAST(user_id AS DOUBLE) AS x FROM events")
-def _(spark, d):
-    u = F.col("user_id")
-    box = F.concat_ws(",", u, u + 1, u + 2, u + 3)
-    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('<answer>{"objects":[{"bbox":['), box, F.lit("]}]}</answer>"))).otherwise(F.concat(F.lit("it is at ["), box, F.lit("]")))
-    found = _series(lambda t: [float(len(an.candidate_boxes(t))), an.candidate_boxes(t)[0][0]], "array<double>")(text)
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.get(found, F.lit(0)).cast("int").alias("n"), F.get(found, F.lit(1)).alias("x"))
-
-
 @query(
     "x14_choice_prompt",
     "SELECT event_id AS id, event_type || chr(10) || 'A. ' || user_id || chr(10) || 'B. none' || chr(10) || 'Answer.' AS prompt FROM events",
@@ -473,67 +432,165 @@ def _(spark, d):
     return ev.flatten_metrics(nested).select("metric", F.round("value", 6).alias("value"))
 
 
-@query("x3_true_letter", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'B' ELSE 'A' END AS letter FROM events")
+@query("x9_balanced_json", "SELECT event_id AS id, event_type AS kind FROM events")
 def _(spark, d):
-    answer = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), F.upper("event_type"))).otherwise("A. none of it")
-    options = F.array(F.lit("A. none of it"), F.col("event_type"))
+    text = F.concat(F.lit('so {"a": {"kind": "'), "event_type", F.lit('"}} and {'))
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(lambda t: an.balanced_object(t)["a"]["kind"])(text).alias("kind"))
+
+
+@query("x10_frame_ious", "SELECT event_id AS id, 0.5 ::DOUBLE AS strict, 1.0::DOUBLE AS common, 0.5::DOUBLE AS coverage FROM events")
+def _(spark, d):
+    box = F.array(F.col("value"), F.lit(0.0), F.col("value") + 5, F.lit(9.0))
+    target, said = F.create_map(F.lit("1"), box, F.lit("2"), box), F.create_map(F.lit("1"), box)
+    return read(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.round(geo.mean_or_zero(geo.frame_ious(said, target)), 6).alias("strict"),
+        F.round(geo.common_frame_iou(said, target), 6).alias("common"), geo.coverage(said, target).alias("coverage"),
+    )
+
+
+# Answers in many forms. The texts are built by SQL that both engines read, and the oracles parse those texts by rules of
+# their own. L and M are option letters, U and V numbers of the row.
+TEXTS = """SELECT event_id AS id, user_id % 90 AS u, user_id % 7 AS v, event_type AS kind, chr(CAST(65 + user_id % 8 AS INTEGER)) AS l, chr(CAST(65 + event_id % 5 AS INTEGER)) AS m,
+CAST(event_id % 16 AS INTEGER) AS form FROM events"""
+SAID = """CASE form WHEN 0 THEN 'The answer is ' || l || '.' WHEN 1 THEN '(' || l || ') because ' || kind WHEN 2 THEN l || '. a red car'
+WHEN 3 THEN '<think>maybe ' || m || '</think><answer>' || l || '</answer>' WHEN 4 THEN 'we pick option ' || l WHEN 5 THEN lower(l)
+WHEN 6 THEN 'perhaps (' || m || '), no, (' || l || ') it is' WHEN 7 THEN 'x ' || m || ': y ' || l || ') z' WHEN 8 THEN 'I choose ' || lower(l) || ' here, ' || m || ' never'
+WHEN 9 THEN kind WHEN 10 THEN '<answer>' || m || '</answer> or <ANSWER> (' || l || ') </ANSWER> !' WHEN 11 THEN '"' || l || '",' WHEN 12 THEN 'the answer is unclear ' || m || '-' || l || '-x'
+WHEN 13 THEN 'Best answer is ' || m || ' and the answer is ' || l || ' ok' WHEN 14 THEN l || 'bc ' || m || '.x ' ELSE '<think>' || l || '</think> ' END"""
+#: Thought and answer tags taken off, in the oracles' dialect.
+BARE = r"""trim(regexp_replace(CASE WHEN regexp_matches(said, '(?i)</think>') THEN string_split(regexp_replace(said, '(?i)</think>', chr(1), 'g'), chr(1))[-1] ELSE said END, '(?i)</?think>', '', 'g'))"""
+ANSWERED = r"""trim(coalesce(regexp_extract_all(bare, '(?is)<answer>\s*(.*?)\s*</answer>', 1)[-1], bare))"""
+STRIPPED = "trim(trim(trim(trim(trim(trim(trim(trim(answer, ','), '.'), '!'), '?'), ';'), ':'), chr(39)), '\"')"
+LETTER = r"""coalesce(
+ CASE WHEN upper(trim(t)) BETWEEN 'A' AND 'H' AND length(trim(t)) = 1 THEN upper(trim(t)) END,
+ nullif(regexp_extract(trim(t), '^([A-H])([^\pL]|$)', 1), ''), nullif(regexp_extract(trim(t), '(^|[^\pL])([A-H])$', 2), ''),
+ list_filter(behind, lambda x, i: list_position(behind, x) = i)[-1],
+ nullif(regexp_extract(p, '(?s)^.*\(([A-H])\)', 1), ''), nullif(regexp_extract(p, '(?s)^.*([A-H])\.', 1), ''), nullif(regexp_extract(p, '(?s)^.*([A-H]):', 1), ''),
+ nullif(regexp_extract(p, '(?s)^.*([A-H])\)', 1), ''), nullif(regexp_extract(p, '(?s)^.*([A-H]) ', 1), ''),
+ list_filter(alone, lambda x, i: list_position(alone, x) = i)[-1], '')"""
+LETTERS_SQL = f"""WITH a AS (SELECT *, {SAID} AS said FROM ({TEXTS})), b AS (SELECT *, {BARE} AS bare FROM a), c AS (SELECT *, {ANSWERED} AS answer FROM b),
+d AS (SELECT *, {STRIPPED} AS t, ' ' || t || ' ' AS p FROM c),
+e AS (SELECT *, list_transform(regexp_extract_all(regexp_extract(p, '(?is)^.*(?:answer is|option is|i choose|i select)(.*)$', 1), '(?i)\\b([A-H])\\b', 1), lambda x: upper(x)) AS behind,
+regexp_extract_all(p, '\\b([A-H])\\b', 1) AS alone FROM d)"""
+
+
+def _said(spark, d, text: str):
+    read(spark, d, "events").createOrReplaceTempView("_events")
+    try:
+        return spark.sql(f"SELECT *, {text} AS said FROM ({TEXTS.replace('FROM events', 'FROM _events')})")
+    finally:
+        spark.catalog.dropTempView("_events")
+
+
+@query("x1_clean_answer", f"{LETTERS_SQL} SELECT id, answer FROM c")
+def _(spark, d):
+    return _said(spark, d, SAID).select("id", ps.final_answer(F.col("said")).alias("answer"))
 
-    @F.pandas_udf("string")
-    def letter(answers: pd.Series, choices: pd.Series) -> pd.Series:
-        return pd.Series([an.true_letter(a, list(c)) for a, c in zip(answers, choices, strict=True)])
 
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), letter(answer, options).alias("letter"))
+@query("x2_choice_letter", f"{LETTERS_SQL} SELECT id, CASE WHEN trim(t) = '' THEN '' ELSE {LETTER} END AS letter FROM e")
+def _(spark, d):
+    return _said(spark, d, SAID).select("id", ps.choice_letter(F.col("said")).alias("letter"))
 
 
-@query("x4_numeric_score", "SELECT event_id AS id, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS score FROM events")
+@query(
+    "x3_true_letter",
+    f"""{LETTERS_SQL} SELECT id, CASE WHEN lower(answer) IN ('a. a red car', 'a red car') THEN 'A' WHEN lower(answer) IN (kind, 'b) ' || kind) THEN 'B'
+    WHEN trim(t) = '' THEN '' ELSE {LETTER} END AS letter FROM e""",
+)
 def _(spark, d):
-    n = F.col("user_id").cast("string")
-    said = F.concat(F.lit("<answer>"), n, F.when(F.col("event_id") % 3 == 0, ".5").otherwise(".001"), F.lit("</answer>"))
+    options = F.array(F.lit("A. a  Red car"), F.concat(F.lit("b) "), "kind"))
+    return _said(spark, d, SAID).select("id", ps.true_letter(F.col("said"), options).alias("letter"))
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([an.same_to_cents(x, y) for x, y in zip(a, b, strict=True)])
 
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), score(said, n).alias("score"))
+NUMBERS = """CASE form % 8 WHEN 0 THEN 'about ' || u || ' m' WHEN 1 THEN '<answer>' || u || '.00' || v || '</answer>' WHEN 2 THEN '1,' || (100 + u) || '.5 in all' WHEN 3 THEN 'none'
+WHEN 4 THEN '<think>' || v || '</think>The final answer is ' || u WHEN 5 THEN 'C. ' || u || '.' || v WHEN 6 THEN 'answer: B. or ' || u ELSE '-' || u || 'e1 x' END"""
+NUMBERS_SQL = f"""WITH a AS (SELECT *, {NUMBERS} AS said FROM ({TEXTS})), b AS (SELECT *, {BARE} AS bare FROM a), c AS (SELECT *, {ANSWERED} AS answer FROM b)"""
+FIRST = r"TRY_CAST(replace(nullif(regexp_extract(answer, '[-+]?[0-9]+(,[0-9]{3})*(\.[0-9]+)?([eE][-+]?[0-9]+)?'), ''), ',', '') AS DOUBLE)"
+PLAIN = r"TRY_CAST(nullif(regexp_extract(answer, '[-+]?[0-9]+(\.[0-9]+)?'), '') AS DOUBLE)"
+ANNOUNCED = r"(?i)(?:the\s+)?(?:final\s+answer|answer)\s*(?:is|=)?\s*:?\s*([-+]?[0-9]+(?:\.[0-9]+)?|[A-Da-d])\b"
 
 
-@query("x5_spatial_score", "SELECT event_id AS id, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM events")
+@query("x4_numeric_score", f"{NUMBERS_SQL} SELECT id, CAST(coalesce(round({FIRST}, 2) = u, false) AS DOUBLE) AS score FROM c")
 def _(spark, d):
-    n = (F.col("user_id") + 1).cast("string")
-    said = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("about "), n, F.lit(" m"))).otherwise("unknown")
+    return _said(spark, d, NUMBERS).select("id", ps.same_to_cents(F.col("said"), F.col("u").cast("string")).alias("score"))
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([an.spatial_score("object_abs_distance", x, y)[2] for x, y in zip(a, b, strict=True)])
 
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), score(said, n).alias("score"))
+@query(
+    "x5_spatial_score",
+    f"""{NUMBERS_SQL}, f AS (SELECT id, u, {PLAIN} AS x FROM c)
+    SELECT id, coalesce(CAST(x AS VARCHAR), '') AS answer, CASE WHEN u = 0 OR x IS NULL THEN 0.0 ELSE
+    len(list_filter({[float(t) for t in geo.even_thresholds()]} ::DOUBLE[], lambda k: abs(x - u) / u <= 1 - k)) / 10.0 END ::DOUBLE AS score FROM f""",
+)
+def _(spark, d):
+    got = ps.spatial_score(F.lit("object_counting"), F.col("said"), F.col("u").cast("string"))
+    return _said(spark, d, NUMBERS).select("id", got.alias("s")).select("id", "s.answer", "s.score")
 
 
-@query("x6_loose_parsers", "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS number, 'B' AS token FROM events")
+@query(
+    "x6_loose_parsers",
+    f"""{NUMBERS_SQL}, f AS (SELECT *, nullif(regexp_extract(answer, '{ANNOUNCED}', 1), '') AS told FROM c),
+    g AS (SELECT *, coalesce(told, regexp_replace(string_split_regex(answer, '\\s+')[1], '[.,:]+$', '')) AS token FROM f)
+    SELECT id, token, CASE WHEN regexp_matches(told, '[0-9]') THEN told ELSE
+    coalesce(nullif(regexp_extract(answer, '^[A-Da-d]\\s*[.):-]?\\s*([-+]?[0-9]+(\\.[0-9]+)?)\\b', 1), ''), nullif(regexp_extract(answer, '[-+]?[0-9]+(\\.[0-9]+)?'), ''), token) END AS number FROM g""",
+)
 def _(spark, d):
-    n = F.col("user_id").cast("string")
-    number = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("A. "), n)).otherwise(F.concat(F.lit("The final answer is "), n))
-    token = F.when(F.col("event_id") % 2 == 0, "</think> B.").otherwise("answer: B")
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(an.loose_number)(number).alias("number"), _series(an.loose_token)(token).alias("token"))
+    return _said(spark, d, NUMBERS).select("id", ps.loose_token(F.col("said")).alias("token"), ps.loose_number(F.col("said")).alias("number"))
 
 
-@query("x9_balanced_json", "SELECT event_id AS id, event_type AS kind FROM events")
+SPANS = """CASE form % 8 WHEN 0 THEN u || ' - ' || (u + 30) WHEN 1 THEN u || '.5 to ' || (u + 30) || ' seconds, 1 to ' || v WHEN 2 THEN 'from 00:0' || v || ':' || (10 + u % 50) || ' until 1:' || (10 + v) || ':00.5'
+WHEN 3 THEN 'it starts at ' || u || ' and ends at ' || (u + v) || '.25' WHEN 4 THEN '9 - 12 <answer>0' || v || ':10, ' || u || ' to ' || (u + 2) || '</answer>' WHEN 5 THEN 'no idea' WHEN 6 THEN '<answer>' || u || ' ' || v || ' 7' ELSE 'only ' || u END"""
+
+
+@query(
+    "x7_time_spans",
+    rf"""WITH a AS (SELECT *, lower({SPANS}) AS said FROM ({TEXTS})),
+    b AS (SELECT *, coalesce(regexp_extract_all(said, '<answer>\s*(.*?)\s*</answer>', 1)[-1], string_split(said, '<answer>')[-1]) AS t FROM a),
+    c AS (SELECT *, list_transform(regexp_extract_all(t, '\b([0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}})?(?:\.[0-9]+)?)\b', 1),
+        lambda k: list_reduce(list_transform(string_split(k, ':'), lambda z: CAST(z AS DOUBLE)), lambda x, y: x * 60 + y)) AS clocks,
+      regexp_extract(t, '([0-9]+\.?[0-9]*)\s*-\s*([0-9]+\.?[0-9]*)', ['x', 'y']) AS dash, regexp_extract(t, '([0-9]+\.?[0-9]*)\s+to\s+([0-9]+\.?[0-9]*)', ['x', 'y']) AS till,
+      regexp_extract_all(t, '\b[0-9]+(?:\.[0-9]+)?\b') AS bare FROM b)
+    SELECT id, TRY_CAST(CASE WHEN len(clocks) > 1 THEN CAST(clocks[1] AS VARCHAR) WHEN dash.x <> '' THEN dash.x WHEN till.x <> '' THEN till.x WHEN len(bare) > 1 THEN bare[1] END AS DOUBLE) AS a,
+    TRY_CAST(CASE WHEN len(clocks) > 1 THEN CAST(clocks[2] AS VARCHAR) WHEN dash.x <> '' THEN dash.y WHEN till.x <> '' THEN till.y WHEN len(bare) > 1 THEN bare[2] END AS DOUBLE) AS b FROM c""",
+)
 def _(spark, d):
-    text = F.concat(F.lit('so {"a": {"kind": "'), "event_type", F.lit('"}} and {'))
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(lambda t: an.balanced_object(t)["a"]["kind"])(text).alias("kind"))
+    first = F.get(ps.time_spans(F.col("said")), F.lit(0))
+    return _said(spark, d, SPANS).select("id", first["start"].alias("a"), first["end"].alias("b"))
 
 
-@query("x10_frame_ious", "SELECT event_id AS id, 0.5 ::DOUBLE AS strict, 1.0::DOUBLE AS common, 0.5::DOUBLE AS coverage FROM events")
+PLACES = """CASE form % 6 WHEN 0 THEN '<answer>{"objects":[{"bbox":[' || u || ',1,9,9]},{"bbox":[' || v || ', 2, 9.5, 9]}]}</answer>' WHEN 1 THEN 'it is at [' || u || ', 0, 3, 4], or [' || u || ',0,3.0,4]'
+WHEN 2 THEN '(' || u || ', ' || v || '), (7,8) and [1,2]' WHEN 3 THEN '{"other": [' || v || ',1,2,3], "bbox_2d": [' || u || ',1,2,3]}' WHEN 4 THEN 'corners ' || u || ' ' || v || ' 5 6 7' ELSE 'none of ' || u END"""
+
+
+@query(
+    "x8_candidate_boxes",
+    f"""WITH a AS (SELECT *, CAST(form % 6 AS INTEGER) AS f FROM ({TEXTS})),
+    b AS (SELECT id, CASE f WHEN 0 THEN [[u, 1, 9, 9], [v, 2, 9.5, 9]] WHEN 1 THEN [[u, 0, 3, 4]] WHEN 2 THEN [[u, v, 7, 8]] WHEN 3 THEN CASE WHEN u = v THEN [[u, 1, 2, 3]] ELSE [[u, 1, 2, 3], [v, 1, 2, 3]] END
+      WHEN 4 THEN [[u, v, 5, 6]] ELSE [] END AS boxes, u, v FROM a)
+    SELECT id, CAST(len(boxes) AS INTEGER) AS n, CAST(boxes[1][1] AS DOUBLE) AS x, CAST(boxes[1][2] AS DOUBLE) AS y, CAST(boxes[-1][1] AS DOUBLE) AS last_x FROM b""",
+)
 def _(spark, d):
-    box = F.array(F.col("value"), F.lit(0.0), F.col("value") + 5, F.lit(9.0))
-    target, said = F.create_map(F.lit("1"), box, F.lit("2"), box), F.create_map(F.lit("1"), box)
-    return read(spark, d, "events").select(
-        F.col("event_id").alias("id"), F.round(geo.mean_or_zero(geo.frame_ious(said, target)), 6).alias("strict"),
-        F.round(geo.common_frame_iou(said, target), 6).alias("common"), geo.coverage(said, target).alias("coverage"),
-    )
+    boxes = F.col("boxes")
+    at = lambda box, i: F.get(box, F.lit(i))
+    rows = _said(spark, d, PLACES).select("id", bx.candidate_boxes(F.col("said")).alias("boxes"))
+    first = bx.pick_box(boxes, boxes[0])
+    return rows.select("id", F.size(boxes).alias("n"), at(first, 0).alias("x"), at(first, 1).alias("y"), at(F.try_element_at(boxes, F.lit(-1)), 0).alias("last_x"))
+
+
+@query("x8_picked_boxes", f"SELECT id, CAST(v AS DOUBLE) AS first_x, CAST(CASE WHEN v = u % 7 AND v < 5 THEN v ELSE u % 7 END AS DOUBLE) AS best_x FROM ({TEXTS})")
+def _(spark, d):
+    box = lambda x: F.array(x.cast("double"), F.lit(0.0), x + 4.0, F.lit(4.0))
+    truth, boxes = box(F.col("u") % 7), F.array(box(F.col("v")), box(F.col("u") % 7 + 3), box(F.col("u") % 7))
+    rows = _said(spark, d, "'x'")
+    return rows.select("id", bx.pick_box(boxes, truth)[0].alias("first_x"), bx.pick_box(boxes, truth, best=True)[0].alias("best_x"))
 
 
-@query("x17_letters", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'A,B,C' ELSE 'A,B,C,D' END AS letters FROM events")
+LISTED = """CASE form % 4 WHEN 0 THEN kind || '? A. x B: y ' || l || ') z' WHEN 1 THEN l || '. one,' || m || ' : two' WHEN 2 THEN 'which one' ELSE 'AB. c (D) ' || m || '.' END"""
+
+
+@query(
+    "x17_letters",
+    rf"""WITH a AS (SELECT *, {LISTED} AS said FROM ({TEXTS})), b AS (SELECT id, regexp_extract_all(said, '(?:^|[\s,])([A-H])\s*[:).]', 1) AS f FROM a)
+    SELECT id, CASE WHEN len(f) = 0 THEN 'A,B,C,D' ELSE array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ',') END AS letters FROM b""",
+)
 def _(spark, d):
-    text = F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit("? A. x B. y C. z"))).otherwise("which?")
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(lambda t: ",".join(an.listed_letters(t)))(text).alias("letters"))
+    return _said(spark, d, LISTED).select("id", F.array_join(ps.listed_letters(F.col("said")), ",").alias("letters"))

@@ -6,7 +6,11 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from spindrift.functions import answers as an
+from spindrift.functions import boxes as bx
+from spindrift.functions import parsing as ps
 from spindrift.functions.masks import Mask, pack_counts, repair_rle, unpack_counts
 from spindrift.operators import rewards as rw
 
@@ -120,24 +124,64 @@ def test_scores_on_spark_keep_rows(spark):
 
 @pytest.mark.parametrize(
     ("text", "letter"),
-    [("The answer is C.", "C"), ("(B) since", "B"), ("A. red", "A"), ("<think>A</think><answer>D</answer>", "D"), ("option E", "E"), ("", ""), ("nothing", ""), ("答案是 B", "B"), ("maybe A, but finally (C)", "C")],
+    [("The answer is C.", "C"), ("(B) since", "B"), ("A. red", "A"), ("<think>A</think><answer>D</answer>", "D"), ("option E", "E"), ("", ""), ("nothing", ""), ("答案是 B", "B"), ("maybe A, but finally (C)", "C"),
+     ("The best answer is A, not B", "B"), ("I choose (D) over C.", "C"), ("the answer is E ... the answer is unknown", "E"), ("b", "B"), ("Ab", ""), ("USA. no", "A"), ("x C: y D) z", "C"), ("'F'", "F"),
+     ("<think>(A)</think><think>(B)", "B"), ("the answer is d", "D"), ("...", ""), (None, "")],
 )
-def test_choice_letters(text, letter):
-    assert an.choice_letter(text) == letter
+def test_choice_letters(spark, text, letter):
+    assert one(spark, ps.choice_letter(F.lit(text))) == letter
+
+
+def one(spark, *columns):
+    row = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return row[0] if len(columns) == 1 else tuple(row)
 
 
-def test_other_parsers():
-    assert an.time_spans("from 00:01:00 to 01:30.5") == [(60.0, 90.5)]
-    assert an.time_spans("<answer>3 - 7.5</answer>") == [(3.0, 7.5)]
-    assert an.time_spans("it starts at 4 and ends at 9") == [(4.0, 9.0)]
-    assert an.predicted_span("nothing", 5) == (15, 25, False)
-    assert an.candidate_boxes('<answer>{"bbox":[1,2,3,4]}</answer>') == [[1.0, 2.0, 3.0, 4.0]]
+def test_json_parsers():
+    assert bx.boxes_in('<answer>{"bbox":[1,2,3,4]}</answer>') == [[1.0, 2.0, 3.0, 4.0]]
+    assert bx.boxes_in('{"boxes":[[5,6,7,8],{"box":[1,2,3,4]}],"bbox":[9,9,9,9]} (1,2),(3,4)') == [[9.0] * 4, [5.0, 6.0, 7.0, 8.0], [1.0, 2.0, 3.0, 4.0]]
+    assert bx.boxes_in("from (1, 2) (3,4.5) on") == [[1.0, 2.0, 3.0, 4.5]] and bx.boxes_in("1 2 3 4 5") == [[1.0, 2.0, 3.0, 4.0]]
+    assert bx.boxes_in('```json\n[{"other":[1,2,3,4]}]\n```') == [[1.0, 2.0, 3.0, 4.0]] and bx.boxes_in(None) == bx.boxes_in("1 2 3") == []
     assert an.balanced_object('x {"a": {"b": 1}} y') == {"a": {"b": 1}}
     assert an.truncated_boxes({"1.7": [0, 0, 1, 1], "x": [1], "2": [0, 1]}) == {"1": [0.0, 0.0, 1.0, 1.0]}
     assert an.boxes_of({"1.7": [0, 0, 1, 1], "2.0": [0, 0, 1, 1]}) == {"2": [0.0, 0.0, 1.0, 1.0]}
-    assert an.same_to_cents("1,000.001", "<answer>1000.00</answer>") == 1.0
-    assert an.true_letter("a dog", ["A. a cat", "B. a dog"]) == "B"
-    assert an.loose_number("A.2") == "2" and an.loose_token("</think> B") == "B"
-    assert an.loose_score("object_counting_single", "2", "0") == 0.0
-    assert an.spatial_score("object_abs_distance", "about 10", "10") == ("MRA", "10.0", 1.0)
-    assert an.listed_letters("x A. b B. c") == ["A", "B"] and an.indexed_letter(1, ["x", "y"]) == "B"
+
+
+def test_picked_boxes(spark):
+    box = lambda *xs: F.array(*[F.lit(float(x)) for x in xs])
+    boxes = F.array(box(0, 0, 1, 1), box(0, 0, 4, 4), box(0, 0, 4, 4))
+    got = one(spark, bx.pick_box(boxes, box(0, 0, 4, 5)), bx.pick_box(boxes, box(0, 0, 4, 5), best=True), bx.pick_box(F.slice(boxes, 1, 0), box(0, 0, 1, 1), best=True))
+    assert got == ([0.0, 0.0, 1.0, 1.0], [0.0, 0.0, 4.0, 4.0], None)
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("from 00:01:00 to 01:30.5", [(60.0, 90.5)]), ("<answer>3 - 7.5</answer>", [(3.0, 7.5)]), ("it starts at 4 and ends at 9", [(4.0, 9.0)]),
+        ("1:00:30, 2:00 and 3:00", [(3630.0, 120.0)]), ("at 1:05 then 3 to 8", [(3.0, 8.0)]), ("<answer>a 1 to 2, 3 to 4", [(1.0, 2.0), (3.0, 4.0)]),
+        ("9 - 12 <answer>1.5 2</answer> 7", [(1.5, 2.0)]), ("only 5", []), (None, []),
+    ],
+)
+def test_time_spans(spark, text, spans):
+    assert [tuple(r) for r in one(spark, ps.time_spans(F.lit(text)))] == spans
+
+
+def test_free_text_parsers(spark):
+    lit = F.lit
+    assert tuple(one(spark, ps.predicted_span(lit("nothing"), lit(5)))) == (15.0, 25.0, False)
+    assert tuple(one(spark, ps.predicted_span(lit("2.5 to 3.5"), lit(5)))) == (2.0, 4.0, True)
+    assert one(spark, ps.same_to_cents(lit("1,000.001"), lit("<answer>1000.00</answer>")), ps.same_to_cents(lit("x"), lit("x"))) == (1.0, 0.0)
+    options = F.array(lit("A. a cat"), lit("B. a dog"), lit("groß"))
+    letters = [ps.true_letter(lit(t), options) for t in ("a dog", " A  CAT ", "GROSS", "(B)", None)] + [ps.true_letter(lit("(C)"), lit(None).cast("array<string>"))]
+    assert one(spark, *letters) == ("B", "A", "C", "B", "", "C")
+    assert one(spark, ps.loose_number(lit("A.2")), ps.loose_token(lit("</think> B")), ps.loose_token(lit("")), ps.loose_number(lit("none"))) == ("2", "B", "", "none")
+    scores = one(spark, ps.loose_score(lit("object_counting_single"), lit("2"), lit("0")), ps.loose_score(lit("object_counting"), lit("2"), lit("2")), ps.loose_score(lit("route"), lit("b."), lit("B")))
+    assert scores == (0.0, 1.0, 1.0)
+    spatial = [tuple(x) for x in one(spark, *[ps.spatial_score(lit(k), lit(a), lit(t)) for k, a, t in (("object_abs_distance", "about 10", "10"), ("object_counting", "none", "4"), ("route", "(A)", "A"))])]
+    assert spatial == [("MRA", "10.0", 1.0), ("MRA", "", 0.0), ("ACC", "A", 1.0)]
+    assert one(spark, ps.listed_letters(lit("x A. b B. c")), ps.listed_letters(lit("which"))) == (["A", "B"], ["A", "B", "C", "D"])
+    choices = F.array(lit("x"), lit("y"))
+    got = one(spark, *[ps.indexed_letter(lit(i).cast("long"), lit(t), choices) for i, t in ((1, None), (2, None), (None, "(C)"), (None, "zebra"))])
+    assert got == ("B", "", "C", "Z")
+
+
