@@ -203,12 +203,12 @@ def _(spark, d):
 
 @query(
     "j4_merge_shards",
-    """WITH a AS (SELECT user_id AS id, event_id AS line, value, 0 AS sh FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id, value, 1 FROM events WHERE event_id % 3 = 0)
+    """WITH a AS (SELECT user_id AS id, event_id AS line, value, 0 AS sh FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id, value, 1 FROM events WHERE event_id % 3 = 0 OR event_id % 2 = 1)
     SELECT id, line, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sh DESC, line DESC) AS k FROM a) WHERE k = 1""",
 )
 def _(spark, d):
     rows = read(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("line"), "value")
-    return ev.merge_shards([rows.where("line % 2 = 0"), rows.where("line % 3 = 0")])
+    return ev.merge_shards([rows.where("line % 2 = 0"), rows.where("line % 3 = 0 OR line % 2 = 1")])
 
 
 @query("j14_resume", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -245,7 +245,7 @@ def _(spark, d):
     return spans(spark, d).select("id", F.round(geo.interval_iou(F.col("b"), F.col("a"), F.col("c"), F.col("e")), 6).alias("iou"))
 
 
-BOXES = """b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount * 100 AS x, l_tax * 100 AS y FROM lineitem WHERE l_orderkey % 5 = 0)"""
+BOXES = """b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount * 100 AS x, l_tax * 100 AS y FROM lineitem)"""
 
 
 @query(
@@ -254,7 +254,7 @@ BOXES = """b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_disco
     SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round(inter / (81 + 9.5 * 9.5 - inter), 6) AS iou FROM i""",
 )
 def _(spark, d):
-    rows = read(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    rows = read(spark, d, "lineitem")
     x, y = F.col("l_discount") * 100, F.col("l_tax") * 100
     box = geo.box_iou(F.array(x, y, x + 9, y + 9), F.array(F.lit(3.0), F.lit(3.0), F.lit(12.5), F.lit(12.5)))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.round(box, 6).alias("iou"))
@@ -374,12 +374,12 @@ def _(spark, d):
     return samples(spark, d).select("id", infer("item").alias("family"))
 
 
-@query("r18_place_scores", "SELECT vec_id, CAST(vec_id % 16 + 8 AS INTEGER) AS at, CAST(vec_id AS DOUBLE) AS score FROM embeddings WHERE vec_id > 0")
+@query("r18_place_scores", "SELECT vec_id, CAST(vec_id % 16 + 8 AS INTEGER) AS at, CAST(vec_id + 1 AS DOUBLE) AS score FROM embeddings")
 def _(spark, d):
     from spindrift.plans.tables import token_rows
 
-    placed = rw.place_scores(F.col("row_id").cast("double"), F.col("mask"))
-    rows = token_rows(spark, d).where("row_id > 0").select(F.col("row_id").alias("vec_id"), F.posexplode(placed).alias("p", "score"))
+    placed = rw.place_scores((F.col("row_id") + 1).cast("double"), F.col("mask"))
+    rows = token_rows(spark, d).select(F.col("row_id").alias("vec_id"), F.posexplode(placed).alias("p", "score"))
     return rows.where("score <> 0").select("vec_id", (F.col("p") + 1).alias("at"), "score")
 
 

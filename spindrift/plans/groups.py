@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import tokens as tk
 from spindrift.operators import advantages as adv
 from spindrift.operators import correction, losses, metrics, selection
-from spindrift.plans.tables import FIXED, ROLLOUTS, TOKENS, exploded, fixed_groups, rollouts, token_rows
+from spindrift.plans.tables import ROLLOUTS, TOKENS, exploded, rollouts, token_rows
 
 QUERIES, SQL = {}, {}
 
@@ -184,8 +184,8 @@ def _(spark, d):
 
 @query(
     "g18_trainer_advantages",
-    f"""WITH {FIXED}, g AS (SELECT *, avg(reward) FILTER (NOT is_oracle_row) OVER w AS mu, stddev_samp(reward) FILTER (NOT is_oracle_row) OVER w AS sp,
-      stddev_samp(reward) OVER w AS sa, max(reward) FILTER (is_oracle_row) OVER w AS ro FROM f WINDOW w AS (PARTITION BY uid)),
+    f"""WITH {ROLLOUTS}, g AS (SELECT *, avg(reward) FILTER (NOT is_oracle_row) OVER w AS mu, stddev_samp(reward) FILTER (NOT is_oracle_row) OVER w AS sp,
+      stddev_samp(reward) OVER w AS sa, max(reward) FILTER (is_oracle_row) OVER w AS ro FROM r WINDOW w AS (PARTITION BY uid)),
     c AS (SELECT *, CASE WHEN NOT is_oracle_row THEN (reward - mu) / (CASE WHEN sp >= 1e-3 THEN sp ELSE coalesce(sa, 0) END + 1e-6) END AS c FROM g),
     p AS (SELECT *, c - avg(c) OVER (PARTITION BY uid) AS p FROM c),
     b AS (SELECT *, max(CASE WHEN p > 0 THEN p END) OVER (PARTITION BY uid) AS best FROM p)
@@ -193,17 +193,17 @@ def _(spark, d):
       least(1.0, greatest(0.05, coalesce(1.2 * best, 0.05)))) ELSE p END, 6) AS advantage FROM b""",
 )
 def _(spark, d):
-    return adv.oracle_advantages(fixed_groups(spark, d), trainer=True).select("uid", "row_id", *six("advantage"))
+    return adv.oracle_advantages(rollouts(spark, d), trainer=True).select("uid", "row_id", *six("advantage"))
 
 
 @query(
     "g19_pass_at_k",
-    f"""WITH {FIXED}, o AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY reward DESC, row_id) AS k,
-      lead(reward) OVER (PARTITION BY uid ORDER BY reward DESC, row_id) AS nxt, coalesce(stddev_samp(reward) OVER (PARTITION BY uid), 0) AS s FROM f)
+    f"""WITH {ROLLOUTS}, o AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY reward DESC, row_id) AS k,
+      lead(reward) OVER (PARTITION BY uid ORDER BY reward DESC, row_id) AS nxt, coalesce(stddev_samp(reward) OVER (PARTITION BY uid), 0) AS s FROM r)
     SELECT uid, row_id, round(CASE WHEN k = 1 THEN (reward - nxt) / (s + 1e-6) ELSE 0 END, 6) AS advantage FROM o""",
 )
 def _(spark, d):
-    return adv.best_of_group(fixed_groups(spark, d)).select("uid", "row_id", *six("advantage"))
+    return adv.best_of_group(rollouts(spark, d)).select("uid", "row_id", *six("advantage"))
 
 
 @query(

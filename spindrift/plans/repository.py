@@ -156,12 +156,12 @@ def _(spark, d):
 
 @query(
     "j12_append_oracles",
-    """WITH p AS (SELECT user_id AS uid, event_id AS row_id, false AS is_oracle_row FROM events WHERE event_id % 2 = 0 UNION ALL SELECT DISTINCT user_id, -user_id - 1, true FROM events),
-    o AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY is_oracle_row, row_id) - 1 AS position FROM p) SELECT uid, row_id, is_oracle_row, CAST(position AS INTEGER) AS position FROM o WHERE position <= 100""",
+    """WITH p AS (SELECT user_id AS uid, event_id AS row_id, false AS is_oracle_row FROM events UNION ALL SELECT DISTINCT user_id, -user_id - 1, true FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY is_oracle_row, row_id) - 1 AS position FROM p) SELECT uid, row_id, is_oracle_row, CAST(position AS INTEGER) AS position FROM o""",
 )
 def _(spark, d):
     events = read(spark, d, "events")
-    policy = events.where("event_id % 2 = 0").select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"))
+    policy = events.select(F.col("user_id").alias("uid"), F.col("event_id").alias("row_id"))
     oracles = events.select(F.col("user_id").alias("uid")).distinct().withColumn("row_id", -F.col("uid") - 1)
     return bt.append_oracles(policy, oracles)
 

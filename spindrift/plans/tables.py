@@ -27,15 +27,6 @@ ROLLOUTS = """r AS (SELECT user_id AS uid, event_id AS row_id, value / 500 AS re
   event_id = min(event_id) OVER (PARTITION BY user_id) AS is_oracle_row, event_type AS task FROM events)"""
 
 
-def fixed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first nine rollouts of each prompt: eight policy rows and the oracle."""
-    w = Window.partitionBy("uid").orderBy("row_id")
-    return rollouts(spark, sf_dir).withColumn("_n", F.row_number().over(w)).where("_n <= 9").drop("_n")
-
-
-FIXED = ROLLOUTS + """, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY row_id) AS n FROM r) WHERE n <= 9)"""
-
-
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as token columns: values, a mask of vec_id % 16 + 8 leading positions, and shifted copies."""
     e = read(spark, sf_dir, "embeddings")
