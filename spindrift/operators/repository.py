@@ -20,14 +20,25 @@ GROUPS = {
 }
 MEDIA_KINDS = ("images", "videos", "frames", "masks", "subtitles")
 SIZE_CLASSES = ("n<1K", "1K<n<10K", "10K<n<100K", "100K<n<1M", "1M<n<10M", "10M<n<100M", "100M<n<1B", "n>1B")
-# What must not be published.
+# What must not be published: credentials, and paths of private machines.
 SECRETS = {
-    "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
-    "access_token": r"\b(?:ghp|gho|hf|sk)_[A-Za-z0-9]{20,}",
+    "assigned_secret": r"(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)\b\s*[:=]\s*['\"]?[A-Za-z0-9_./+=-]{12,}",
     "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "home_path": r"(?:/home/|/Users/)[A-Za-z0-9._-]+/",
+    "access_token": r"\b(?:gh[pousr]|hf)_[A-Za-z0-9]{20,}\b",
+    "url_credentials": r"://[^/\s:@]+:[^@\s/]+@",
+    "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
+    "private_path": r"/(?:mnt|home|Users|data/(?:home|users?))/[A-Za-z0-9._-]+|/root(?:/|\b)",
     "address": r"\b(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.[0-9]{1,3}){2,3}\b",
 }
+# Folders that tools generate, and suffixes of files that are no source.
+GENERATED = (
+    ".nox", ".tox", ".venv", ".mypy_cache", ".pytest_cache", ".ruff_cache", "__pycache__", "artifacts", "build",
+    "cache", "checkpoints", "dist", "htmlcov", "logs", "outputs", "runs", "venv",
+)
+ARTIFACTS = (
+    ".arrow", ".avi", ".bin", ".ckpt", ".jsonl", ".mkv", ".mov", ".mp4", ".npy", ".npz", ".parquet", ".pt", ".pth",
+    ".pyc", ".safetensors", ".so", ".webm",
+)
 
 
 def _say(bad: Column, text: str | Column) -> Column:
@@ -102,18 +113,6 @@ def check_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(f, F.col("path") == F.col("_p"), "left").select("path", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def evaluation_errors(df: DataFrame) -> DataFrame:
-    """Adds ``errors`` to evaluation rows (V5)."""
-    blank = lambda n: F.col(n).isNull() | (F.trim(n) == "")
-    checks = [_say(F.coalesce(F.col("schema_version") != 1, F.lit(True)), "schema_version must be 1")]
-    checks += [_say(~is_dataset_id(F.col(n)), f"{n} must be a lowercase snake_case identifier") for n in ("eval_task", "benchmark", "split")]
-    checks += [_say(blank(n), f"{n} must be a nonempty string") for n in ("sample_id", "problem", "problem_type", "source")]
-    for n in ("images", "videos"):
-        bad = F.exists(n, lambda p: path_error(p).isNotNull())
-        checks.append(_say(F.col(n).isNull() | F.coalesce(bad, F.lit(False)), f"{n} must be repository paths"))
-    return df.withColumn("errors", errors_of(*checks))
-
-
 def evaluation_set_errors(df: DataFrame) -> DataFrame:
     """What is wrong between evaluation rows (V6): kind, value, first_row, rows."""
     ids = df.groupBy("sample_id").agg(F.min("row_id").alias("first_row"), F.count("*").alias("rows")).where("rows > 1")
@@ -125,16 +124,6 @@ def evaluation_set_errors(df: DataFrame) -> DataFrame:
     return say(ids, "duplicate_id", "sample_id").union(say(folded, "case_collision", "sample_id")).union(say(mixed, "mixed_identity", "k"))
 
 
-def manifest_errors(df: DataFrame) -> DataFrame:
-    """Adds ``errors`` to dataset records (V7)."""
-    base = layout_errors(F.col("benchmark"), F.col("split"), F.col("annotation_path"), F.col("media_paths"))
-    more = errors_of(
-        _say(F.coalesce(F.col("expected_count") < 0, F.lit(False)), "expected_count must not be negative"),
-        _say(F.col("license").isNull() | (F.trim("license") == ""), "license must be a nonempty string"),
-    )
-    return df.withColumn("errors", F.concat(base, more))
-
-
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that repeat (V7)."""
     return df.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")
@@ -146,12 +135,15 @@ def checksum_conflicts(df: DataFrame) -> DataFrame:
 
 
 def asset_errors(df: DataFrame, order: str = "row_id") -> DataFrame:
-    """Adds ``errors`` to asset records, and whether each stands behind the path before it (V8).
+    """Adds ``errors`` to asset records, and whether each stands behind the path before it in order (V8).
 
-    The order check compares neighbours through a join on the row id, so rows stay spread over tasks.
+    Neighbours are found by a global rank, so ids may have gaps and rows stay spread over tasks.
     """
-    before = df.select((F.col(order) + 1).alias(order), F.col("path").alias("_before"))
-    out = df.join(before, order, "left")
+    from spindrift.operators.dataset import global_rank
+
+    ranked = global_rank(df, [order])
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("path").alias("_before"))
+    out = ranked.join(before, "rank", "left").drop("rank")
     checks = [
         _say(path_error(F.col("path")).isNotNull(), F.concat(F.lit("path "), path_error(F.col("path")))),
         _say(F.coalesce(F.col("bytes") < 0, F.lit(True)), "bytes must not be negative"),
@@ -185,11 +177,30 @@ def profile_conflicts(df: DataFrame, key: str = "benchmark", profile: str = "pro
     return df.groupBy(key).agg(F.count_distinct(profile).alias("profiles")).where("profiles > 1")
 
 
-def hygiene(files: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
-    """Findings in (path, text) rows (V12): path, rule, hits."""
-    rules = patterns or SECRETS
-    found = F.array(*[F.struct(F.lit(n).alias("rule"), F.regexp_count("text", F.lit(p)).alias("hits")) for n, p in sorted(rules.items())])
-    return files.select("path", F.explode(F.filter(found, lambda x: x["hits"] > 0)).alias("x")).select("path", "x.*")
+def hygiene(files: DataFrame, patterns: dict[str, str] | None = None, terms: tuple[str, ...] = (), largest: int | None = None) -> DataFrame:
+    """Findings in (path, text) rows (V12): path, rule, hits, and the line of the first hit (null for rules on the path).
+
+    Rules on the path find generated folders and artifact files; ``terms`` may stand neither in path nor text, whatever
+    their case; ``largest`` bounds the bytes of a file.
+    """
+    rules = dict(SECRETS if patterns is None else patterns)
+    if terms:
+        rules["excluded_term"] = "(?i)" + "|".join(re.escape(t) for t in terms)
+    path, none = F.lower("path"), F.lit(None).cast("int")
+    finding = lambda rule, hits, line: F.struct(F.lit(rule).alias("rule"), hits.cast("int").alias("hits"), line.alias("line"))
+    line = lambda p: F.size(F.split(F.substr("text", F.lit(1), F.greatest(F.regexp_instr("text", F.lit(p)) - 1, F.lit(0))), "\n"))
+    found = [finding(n, F.regexp_count("text", F.lit(p)), line(p)) for n, p in sorted(rules.items())]
+    if patterns is None:
+        parts = F.split(path, "/")
+        made = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: x.isin(*GENERATED) | x.endswith(".egg-info"))
+        found.append(finding("generated_folder", made, none))
+        found.append(finding("artifact_file", path.rlike("(" + "|".join(re.escape(x) for x in ARTIFACTS) + ")$"), none))
+    if terms:
+        found.append(finding("excluded_term_in_path", F.regexp_count(path, F.lit(rules["excluded_term"])), none))
+    if largest is not None:
+        found.append(finding("too_large", F.octet_length("text") > largest, none))
+    hits = F.filter(F.array(*found), lambda x: x["hits"] > 0)
+    return files.select("path", F.explode_outer(hits).alias("x")).where("x IS NOT NULL").select("path", "x.*")
 
 
 def check_training(rollouts: int, prune: float, positives: int, negatives: int, prompts: int, world_size: int) -> None:
@@ -313,3 +324,18 @@ def merge_assets(*parts: DataFrame) -> DataFrame:
 def merge_repositories(base: DataFrame, update: DataFrame, key: str = "benchmark") -> DataFrame:
     """The base with whole benchmarks replaced by those of the update."""
     return base.join(update.select(key).distinct(), key, "left_anti").unionByName(update)
+
+
+def merge_repository_assets(base: DataFrame, update: DataFrame, references: DataFrame, path: str = "path") -> DataFrame:
+    """The assets of a merged repository (J6): those of both sides that a kept record refers to or that lie below a
+    referenced folder; equal definitions count once, different ones are an error, and so is a reference without asset.
+    """
+    merged = merge_assets(base, update)
+    wanted = references.select(F.col(path).alias("_r")).where("_r IS NOT NULL").distinct()
+    kept = assets_under(merged, wanted, path, "_r")
+    parts = F.split(path, "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    absent = wanted.join(kept.select(F.explode(ancestors).alias("_r")).distinct(), "_r", "left_anti")
+    if rows := absent.orderBy("_r").limit(20).collect():
+        raise ValueError("references without assets: " + ", ".join(r["_r"] for r in rows))
+    return kept

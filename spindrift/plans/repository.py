@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import batches as bt
 from spindrift.operators import metrics as mt
+from spindrift.operators import records as rc
 from spindrift.operators import repository as rp
 from spindrift.plans.tables import read, token_rows
 
@@ -230,9 +231,29 @@ def eval_rows(spark, d):
     )
 
 
-@query("v5_row_errors", "SELECT doc_id AS row_id, CAST((doc_id % 9 = 0)::INT + (doc_id % 7 = 0)::INT + (doc_id % 11 = 0)::INT AS INTEGER) AS errors FROM documents")
+def own_videos():
+    folder = F.concat(F.lit("media/"), F.col("benchmark"), F.lit("/videos/x"))
+    return F.array(F.when(F.get("videos", F.lit(0)) == "/x", "/x").otherwise(folder)).alias("videos")
+
+
+@query(
+    "v5_row_errors",
+    """SELECT doc_id AS row_id, CAST((doc_id % 9 = 0)::INT + (doc_id % 7 = 0)::INT + (doc_id % 11 = 0)::INT + (doc_id % 13 = 0)::INT + (doc_id % 17 = 0)::INT + (doc_id % 19 = 0)::INT
+      + (doc_id % 23 = 0)::INT + (doc_id % 58 = 0)::INT + (doc_id % 93 = 0)::INT + (doc_id % 37 = 0)::INT + (doc_id % 41 = 0)::INT + (doc_id % 43 = 0)::INT AS INTEGER) AS errors FROM documents""",
+)
 def _(spark, d):
-    return rp.evaluation_errors(eval_rows(spark, d)).select("row_id", F.size("errors").alias("errors"))
+    own = F.col("doc_id")
+    if_ = lambda n, bad, good: F.when(own % n == 0, bad).otherwise(good)
+    rows = eval_rows(spark, d).select(
+        "row_id", "schema_version", "eval_task", "benchmark", "split", "problem", "problem_type", "source", own_videos(), F.col("row_id").alias("doc_id"),
+    ).select(
+        "*", if_(13, " padded", "s1").alias("sample_id"), if_(17, "Bad Family", None).alias("family"), if_(19, '"  "', '{"a": 1}').alias("answer"),
+        F.array(if_(23, "media/other/images/x", F.concat(F.lit("media/"), "benchmark", F.lit("/images/x")))).alias("images"),
+        F.when(own % 2 == 0, F.array(F.lit("A"), if_(29, " ", "B"))).alias("choices"), F.when(own % 3 == 0, F.array(if_(31, "elsewhere", F.concat(F.lit("media/"), "benchmark", F.lit("/subtitles/t"))))).alias("subtitles"),
+        if_(37, "[1]", None).alias("preprocessed"), F.lit('{"x": []}').alias("task_payload"), if_(41, "text", None).alias("metadata"), F.lit("{}").alias("evaluation"),
+        F.array(if_(43, "artifacts/x/../y", F.concat(F.lit("artifacts/"), "benchmark", F.lit("/m")))).alias("artifacts"),
+    )
+    return rc.evaluation_errors(rows).select("row_id", F.size("errors").alias("errors"))
 
 
 @query(
@@ -246,15 +267,29 @@ def _(spark, d):
     return rp.evaluation_set_errors(eval_rows(spark, d))
 
 
-@query("v7_manifest_errors", "SELECT n_nationkey AS id, CAST((n_nationkey % 3 = 0)::INT + (n_nationkey % 5 = 0)::INT AS INTEGER) AS errors FROM nation")
+@query(
+    "v7_manifest_errors",
+    "SELECT c_custkey AS id, CAST(CASE WHEN c_custkey % 24 < 23 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 24 IN (1, 7, 19) THEN 1 ELSE 0 END AS INTEGER) AS errors FROM customer",
+)
 def _(spark, d):
-    own = F.col("n_nationkey")
-    rows = read(spark, d, "nation").select(
-        own.alias("id"), F.lit("vsi").alias("benchmark"), F.lit("test").alias("split"), rp.annotation_path(F.lit("vsi"), F.lit("test")).alias("annotation_path"),
-        F.array(F.lit("media/spatial_intelligence/vsi/videos")).alias("media_paths"), F.when(own % 3 == 0, -1).otherwise(5).alias("expected_count"),
-        F.when(own % 5 == 0, "").otherwise("MIT").alias("license"),
+    """Each record has one planted fault in turn; a fault of the benchmark or split also moves the annotation."""
+    own, base = F.col("c_custkey") % 24, "media/spatial_intelligence/vsi"
+    fault = lambda n, bad, good: F.when(own == n, bad).otherwise(good)
+    lit, none = F.lit, F.lit(None)
+    variable = F.create_map(
+        fault(13, "lower", "MODEL_PATH"), fault(14, "[[1]]", fault(15, '"/abs"', '"models/x"')), lit("SCALE"), fault(16, "null", "[1, 2]"),
+    )
+    summed = F.create_map(fault(17, "../x", "models/x"), fault(18, "zz", "0" * 64), fault(19, "MODELS/x", "models/y"), lit("1" * 64))
+    rows = read(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), fault(0, 2, 1).alias("schema_version"), lit("vsi").alias("benchmark"), fault(1, "Test", "test").alias("split"), fault(2, "Q A", "qa").alias("task"),
+        fault(3, "F!", none).alias("family"), fault(4, "annotations/vsi/test.jsonl", rp.annotation_path(lit("vsi"), lit("test"))).alias("annotation_path"),
+        F.when(own == 5, none).otherwise(F.array(lit(base + "/videos"), fault(6, "media/vsi/x", fault(7, base + "/VIDEOS", base + "/images")))).alias("media_paths"),
+        F.array(fault(8, "elsewhere", "artifacts/spatial_intelligence/vsi/a")).alias("artifact_paths"), fault(9, none, 5).alias("expected_count"), fault(10, " ", "MIT").alias("license"),
+        fault(11, "https://user:key@a.org/x", "https://a.org/x").alias("source_url"), fault(12, none, lit(True)).alias("redistribution_authorized"),
+        fault(20, "{}", '{"metric": "acc"}').alias("evaluation"), fault(21, "[1]", none).alias("preprocessing"), fault(22, "7", "{}").alias("metadata"),
+        variable.alias("legacy_environment"), summed.alias("checksums"),
     )
-    return rp.manifest_errors(rows).select("id", F.size("errors").alias("errors"))
+    return rc.manifest_errors(rows).select("id", F.size("errors").alias("errors"))
 
 
 @query("v7_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -267,11 +302,11 @@ def _(spark, d):
     return rp.checksum_conflicts(read(spark, d, "documents").select(F.col("source").alias("path"), F.col("lang").alias("sha256")))
 
 
-@query("v8_asset_errors", "SELECT doc_id AS row_id, CAST((doc_id % 10 = 0 AND doc_id > 0)::INT + (doc_id % 4 = 0)::INT AS INTEGER) AS errors FROM documents")
+@query("v8_asset_errors", "SELECT 3 * doc_id AS row_id, CAST((doc_id % 10 = 0 AND doc_id > 0)::INT + (doc_id % 4 = 0)::INT AS INTEGER) AS errors FROM documents")
 def _(spark, d):
     own = F.col("doc_id")
     name = F.when(own % 10 == 0, F.lit("a")).otherwise(F.format_string("b/%09d", own))
-    rows = read(spark, d, "documents").select(own.alias("row_id"), name.alias("path"), own.alias("bytes"), F.when(own % 4 == 0, "zz").alias("sha256"))
+    rows = read(spark, d, "documents").select((own * 3).alias("row_id"), name.alias("path"), own.alias("bytes"), F.when(own % 4 == 0, "zz").alias("sha256"))
     return rp.asset_errors(rows).select("row_id", F.size("errors").alias("errors"))
 
 
@@ -302,10 +337,27 @@ def _(spark, d):
     return rp.profile_conflicts(read(spark, d, "documents").select(F.col("source").alias("benchmark"), F.col("lang").alias("profile")))
 
 
-@query("v12_hygiene", "SELECT CAST(doc_id AS VARCHAR) AS path, 'address' AS rule, CAST(len(regexp_extract_all(text, '\\b(?:10|192\\.168|172\\.(?:1[6-9]|2[0-9]|3[01]))(?:\\.[0-9]{1,3}){2,3}\\b')) AS INTEGER) AS hits FROM documents WHERE regexp_matches(text, '\\b(?:10|192\\.168|172\\.(?:1[6-9]|2[0-9]|3[01]))(?:\\.[0-9]{1,3}){2,3}\\b')")
+@query("v12_addresses", "SELECT CAST(doc_id AS VARCHAR) AS path, 'address' AS rule, CAST(len(regexp_extract_all(text, '\\b(?:10|192\\.168|172\\.(?:1[6-9]|2[0-9]|3[01]))(?:\\.[0-9]{1,3}){2,3}\\b')) AS INTEGER) AS hits FROM documents WHERE regexp_matches(text, '\\b(?:10|192\\.168|172\\.(?:1[6-9]|2[0-9]|3[01]))(?:\\.[0-9]{1,3}){2,3}\\b')")
 def _(spark, d):
     files = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    return rp.hygiene(files, {"address": rp.SECRETS["address"]})
+    return rp.hygiene(files, {"address": rp.SECRETS["address"]}).select("path", "rule", "hits")
+
+
+PLANTED = """CASE doc_id % 9 WHEN 0 THEN 'api_key = abcdef0123456789' WHEN 1 THEN 'AKIA' || 'ABCDEFGHIJKLMNOP' WHEN 2 THEN 'ghs_' || 'abcdefghij0123456789' WHEN 3 THEN 'https://me:pass@host/x'
+WHEN 4 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 5 THEN 'see /Users/me/notes' WHEN 6 THEN 'The SECRETWORD' ELSE 'nothing' END"""
+
+
+@query(
+    "v12_hygiene",
+    f"""WITH f AS (SELECT doc_id, {PLANTED} AS t, CASE doc_id % 9 WHEN 7 THEN 'src/build/' || doc_id || '.py' WHEN 8 THEN 'src/' || doc_id || '.PT' ELSE 'src/' || doc_id END AS path FROM documents)
+    SELECT path, CASE doc_id % 9 WHEN 0 THEN 'assigned_secret' WHEN 1 THEN 'aws_key' WHEN 2 THEN 'access_token' WHEN 3 THEN 'url_credentials' WHEN 4 THEN 'private_key' WHEN 5 THEN 'private_path'
+      WHEN 6 THEN 'excluded_term' WHEN 7 THEN 'generated_folder' ELSE 'artifact_file' END AS rule, CAST(1 AS INTEGER) AS hits, CASE WHEN doc_id % 9 < 7 THEN CAST(2 + doc_id % 3 AS INTEGER) END AS line FROM f""",
+)
+def _(spark, d):
+    own = F.col("doc_id")
+    text = F.concat(F.repeat(F.lit("a line\n"), (own % 3 + 1).cast("int")), F.expr(PLANTED), F.lit("\nend"))
+    path = F.concat(F.lit("src/"), F.when(own % 9 == 7, "build/").otherwise(""), own.cast("string"), F.when(own % 9 == 7, ".py").when(own % 9 == 8, ".PT").otherwise(""))
+    return rp.hygiene(read(spark, d, "documents").select(path.alias("path"), text.alias("text")), terms=("secretword",))
 
 
 @query("v14_discover_paths", "SELECT event_id AS id, '$.a.video_path' AS place, event_type || '.mp4' AS path FROM events")
@@ -404,3 +456,30 @@ def _(spark, d):
     assets = docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
     under = rp.assets_under(assets, docs.select(F.col("source").alias("root")))
     return under.groupBy(F.split("path", "/")[0].alias("root")).agg(F.count("*").alias("assets"))
+
+
+@query(
+    "x12_prompts",
+    """SELECT event_id AS id, event_id % 9 IN (0, 1, 7) OR (event_id % 9 = 6 AND event_id % 2 = 1) AS valid, CASE WHEN event_id % 9 <> 2 THEN CAST(user_id AS DOUBLE) END AS x FROM events""",
+)
+def _(spark, d):
+    u, n = F.col("user_id").cast("string"), F.col("event_id") % 9
+    box = F.concat(F.lit("["), u, F.lit(",1,2,3]"))
+    boxes = F.when(n == 1, F.concat(F.lit("["), box, F.lit("]"))).when(n == 2, F.concat(F.lit("["), u, F.lit(",1,2]"))).when(n == 7, F.concat(F.lit('["'), u, F.lit('",1,"2",3]'))).otherwise(box)
+    plus = F.when(n == 3, "[]").when(n == 4, "[[1,2],[3]]").otherwise("[[1,2]]")
+    time = F.when(n == 6, '"soon"').otherwise("1.5")
+    prompt = F.concat(F.lit('{"boxes":'), boxes, F.lit(',"positive_points":'), plus, F.when(n == 5, "").otherwise(',"negative_points":[[5,6.5],[7,8]]'), F.when(n == 8, "").otherwise(F.concat(F.lit(',"time":'), time)), F.lit("}"))
+    kind = F.when(n == 8, "video").when(F.col("event_id") % 2 == 0, "video").otherwise("image")
+    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), prompt.alias("p"), kind.alias("k"))
+    return rows.select("id", rc.is_valid_prompt(F.col("p"), F.col("k")).alias("valid"), F.get(rc.segmentation_prompt(F.col("p"))["boxes"], F.lit(0)).alias("x"))
+
+
+@query(
+    "j6_merge_assets",
+    """WITH a AS (SELECT DISTINCT source || '/' || lang AS path, lang FROM documents) SELECT path FROM a WHERE lang IN ('en', 'de') OR path = 'src1/fr'""",
+)
+def _(spark, d):
+    assets = read(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("path"), "lang").distinct().withColumn("bytes", F.length("path"))
+    base, update = assets.where("lang != 'de'").drop("lang"), assets.where("lang IN ('de', 'en')").drop("lang")
+    wanted = assets.where("lang IN ('en', 'de') OR path = 'src1/fr'").select("path")
+    return rp.merge_repository_assets(base, update, wanted).select("path")
