@@ -48,8 +48,10 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], count: str = "n
     """
     share = share or SALT_SHARE
     counted = small if counted is None else counted
-    total = counted.agg(F.sum(count)).first()[0] or 0
-    most = max(1, -(-total // share))
+    total, largest = counted.agg(F.sum(count), F.max(count)).first()
+    most = max(1, -(-(total or 0) // share))
+    if (largest or 0) <= most:
+        return big.join(small.drop(count), on)
     hot = counted.where(F.col(count) > most).select(*on, F.expr(f"1 + {count} div {most}").cast("int").alias("_ways"))
     rest = [c for c, kind in big.dtypes if c not in on and "map<" not in kind]
     spread = F.when(F.col("_ways").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rest), F.col("_ways"))).cast("int")

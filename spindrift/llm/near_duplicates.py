@@ -236,32 +236,34 @@ def _first_meetings(members: DataFrame, payload: list[str]) -> DataFrame:
     )
 
 
-def _rest_meetings(members: DataFrame, edges: DataFrame, block: int, payload: list[str]) -> DataFrame | None:
-    """Groups in which what the first meetings left unconnected meets every block; None if nothing is left.
+def _connected(members: DataFrame, block: int, payload: list[str], met) -> DataFrame:
+    """Components (node, root) of what met finds in groups of members (_of, _nb, _block, cid and payload).
 
-    In a group that was cut, those outside its largest connected part are left.
+    A group that was cut is met in two steps: by its first block, and then by all members that this left outside the
+    group's largest connected part.
     """
+    joined = components(met(_first_meetings(members, payload)))
     cut = members.where("_nb > 1")
     if cut.isEmpty():
-        return None
-    joined = components(edges).withColumnRenamed("node", "cid").withColumnRenamed("root", "_part")
-    placed = durable(cut.select("_of", "cid").join(joined, "cid", "left").select("_of", "cid", F.coalesce("_part", "cid").alias("_part")))
+        return joined
+    part = joined.withColumnsRenamed({"node": "cid", "root": "_part"})
+    placed = durable(cut.select("_of", "cid").join(part, "cid", "left").select("_of", "cid", F.coalesce("_part", "cid").alias("_part")))
     parts = placed.groupBy("_of", "_part").agg(F.count("*").alias("_c"))
     main = parts.groupBy("_of").agg(F.max(F.struct("_c", "_part")).alias("_m")).select("_of", F.col("_m._part").alias("_main"))
-    left = placed.join(main, "_of").where("_part != _main").select("_of", "cid")
-    left = durable(left)
+    left = durable(placed.join(main, "_of").where("_part != _main").select("_of", "cid"))
     if left.isEmpty():
-        return None
+        return joined
     sizes = left.groupBy("_of").agg(F.expr(f"(count(*) + {block - 1}) div {block}").alias("_rb"))
     asking = left.join(sizes, "_of").join(cut, ["_of", "cid"])
     asking = asking.withColumn("_q", F.pmod(F.xxhash64("cid"), F.col("_rb"))).withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
     asked = cut.join(sizes, "_of").withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rb") - 1))).withColumn("_to", F.col("_block"))
     pick = lambda df, side: df.select(F.xxhash64("_of", "_q", "_to").alias("_g"), F.lit(side).alias("side"), "cid", *payload)
-    return pick(asking, 0).union(pick(asked, 1))
+    found = met(pick(asking, 0).union(pick(asked, 1)))
+    return components(found.union(joined.where("node != root").toDF("a", "b")))
 
 
-def _bucket_edges(classes: DataFrame, table: dict[int, int], rows_in_band: int) -> DataFrame:
-    """A spanning forest of the surviving pairs of every bucket: columns a, b."""
+def _clusters(classes: DataFrame, table: dict[int, int], rows_in_band: int) -> DataFrame:
+    """node and root of the classes that surviving pairs of some bucket connect."""
     width = 2 * rows_in_band
     band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // rows_in_band - 1)))
     members = classes.select("cid", "_sig", band.alias("_band")).select(
@@ -286,15 +288,13 @@ def _bucket_edges(classes: DataFrame, table: dict[int, int], rows_in_band: int)
     def met(groups: DataFrame) -> DataFrame:
         return _compared(groups.join(classes.select("cid", "_sig"), "cid"), pairs, ["_sig"])
 
-    edges = durable(met(_first_meetings(members, [])))
-    rest = _rest_meetings(members, edges, BUCKET_BLOCK, [])
-    return edges if rest is None else durable(edges.union(met(rest)))
+    return _connected(members, BUCKET_BLOCK, [], met)
 
 
 def _verified_links(
     documents: DataFrame, key: str, text: str, classes: DataFrame, clusters: DataFrame, table: dict[int, int], percent: int, size: int
 ) -> DataFrame:
-    """A spanning forest of the pairs of each cluster whose full sets are similar enough: columns a, b."""
+    """node and root of the classes that pairs with similar enough full sets connect; pairs lie in one cluster."""
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
     sizes = durable(sizes.select("root", "n", F.expr(f"(n + {CLUSTER_BLOCK - 1}) div {CLUSTER_BLOCK}").alias("_nb")))
     members = durable(
@@ -331,9 +331,7 @@ def _verified_links(
                     yield i, j
 
     payload = ["_sig", "_set"]
-    links = durable(_compared(_first_meetings(full, payload), pairs, payload))
-    rest = _rest_meetings(full, links, CLUSTER_BLOCK, payload)
-    return links if rest is None else links.union(_compared(rest, pairs, payload))
+    return _connected(full, CLUSTER_BLOCK, payload, lambda groups: _compared(groups, pairs, payload))
 
 
 def _grouped(documents: DataFrame, percent: int, size: int, key: str, text: str, miss: float) -> tuple[DataFrame, DataFrame]:
@@ -345,8 +343,8 @@ def _grouped(documents: DataFrame, percent: int, size: int, key: str, text: str,
     )
     classes = durable(classes.withColumn("cid", F.xxhash64(*same)))
     table = least_matches(percent / 100, miss)
-    clusters = components(_bucket_edges(classes, table, band_rows(percent)))
-    joined = components(_verified_links(documents, key, text, classes, clusters, table, percent, size))
+    clusters = _clusters(classes, table, band_rows(percent))
+    joined = _verified_links(documents, key, text, classes, clusters, table, percent, size)
     named = durable(joined.select(F.col("node").alias("cid"), "root").join(classes.select("cid", "_doc"), "cid"))
     least = durable(named.groupBy("root").agg(F.min("_doc").alias("_least"), F.count("*").alias("n")))
     owner = salted_join(named.select("cid", "root"), least, ["root"])

@@ -153,7 +153,7 @@ class Scorer:
     def misspelling(self, word: str) -> list[str]:
         """The terms that an unknown word may be a misspelling of."""
         if word not in self.seen:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > 100_000:
                 self.seen.clear()
             self.seen[word] = self.trie.near(word)
         return self.seen[word]
@@ -189,7 +189,7 @@ class Scorer:
     def hits(self, word_sets: list[set[str]]) -> list[set[str]]:
         """Words of each set that carry weight; a word is weighed once for many texts."""
         new = set().union(*word_sets) - self.weighed
-        if len(self.weighed) + len(new) > 400_000:
+        if len(self.weighed) + len(new) > 200_000:
             self.weighed, self.heavy = set(), {}
             new = set().union(*word_sets)
         self.heavy.update((w, v) for w in new if (v := self.weight(w)) > 0)

@@ -448,7 +448,9 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert near_duplicates.near_duplicates(make(spark, rows).where("false")).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_of_a_long_chain(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
