@@ -27,7 +27,8 @@ SECRETS = {
     "access_token": r"\b(?:gh[pousr]|hf)_[A-Za-z0-9]{20,}\b",
     "url_credentials": r"://[^/\s:@]+:[^@\s/]+@",
     "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
-    "private_path": r"/(?:mnt|home|Users|data/(?:home|users?))/[A-Za-z0-9._-]+|/root(?:/|\b)",
+    "home_path": r"/(?:home|Users)/[A-Za-z0-9._-]+",
+    "private_path": r"/(?:mnt|data/users?)/[A-Za-z0-9._-]+|/root(?:/|\b)",
     "address": r"\b(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.[0-9]{1,3}){2,3}\b",
 }
 # Folders that tools generate, and suffixes of files that are no source.

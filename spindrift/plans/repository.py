@@ -350,7 +350,7 @@ WHEN 4 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 5 THEN 'see /Users/me/notes'
 @query(
     "v12_hygiene",
     f"""WITH f AS (SELECT doc_id, {PLANTED} AS t, CASE doc_id % 9 WHEN 7 THEN 'src/build/' || doc_id || '.py' WHEN 8 THEN 'src/' || doc_id || '.PT' ELSE 'src/' || doc_id END AS path FROM documents)
-    SELECT path, CASE doc_id % 9 WHEN 0 THEN 'assigned_secret' WHEN 1 THEN 'aws_key' WHEN 2 THEN 'access_token' WHEN 3 THEN 'url_credentials' WHEN 4 THEN 'private_key' WHEN 5 THEN 'private_path'
+    SELECT path, CASE doc_id % 9 WHEN 0 THEN 'assigned_secret' WHEN 1 THEN 'aws_key' WHEN 2 THEN 'access_token' WHEN 3 THEN 'url_credentials' WHEN 4 THEN 'private_key' WHEN 5 THEN 'home_path'
       WHEN 6 THEN 'excluded_term' WHEN 7 THEN 'generated_folder' ELSE 'artifact_file' END AS rule, CAST(1 AS INTEGER) AS hits, CASE WHEN doc_id % 9 < 7 THEN CAST(2 + doc_id % 3 AS INTEGER) END AS line FROM f""",
 )
 def _(spark, d):
