@@ -41,14 +41,15 @@ def _lines(texts: DataFrame, *more: str) -> DataFrame:
 
 
 def _half_keys(line: Column, n: Column) -> Column:
-    """Keys of the halves, told apart by side: two lines of n and m words within one edit share one of them.
+    """Keys of the halves, heads and tails in turn: two lines of n and m words within one edit share one of them.
 
     With b = n div 2 and b = (n + 1) div 2, such lines agree on a b, and in their first or in their last b words.
     """
 
     def pair(b: Column) -> list[Column]:
-        sides = ((True, F.call_function("substring_index", line, F.lit(" "), b)), (False, F.call_function("substring_index", line, F.lit(" "), -b)))
-        return [F.struct(F.lit(head).alias("head"), F.xxhash64(F.lit(head), b, part).alias("half")) for head, part in sides]
+        first = F.call_function("substring_index", line, F.lit(" "), b)
+        last = F.call_function("substring_index", line, F.lit(" "), -b)
+        return [F.xxhash64(F.lit(1), b, first), F.xxhash64(F.lit(2), b, last)]
 
     low, high = F.expr("w div 2").cast("int"), F.expr("(w + 1) div 2").cast("int")
     return F.when(n % 2 == 0, F.array(*pair(low))).otherwise(F.array(*pair(low), *pair(high)))
@@ -67,7 +68,8 @@ def _keyed_lines(texts: DataFrame, min_words: int) -> DataFrame:
 
 def _opened(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """The words of the earliest line of each class that shares a half: h, h2, first, head, tail, words."""
-    halves = classes.where("k IS NOT NULL").select("h", "h2", F.explode("k").alias("x")).select("h", "h2", "x.head", "x.half")
+    halves = classes.where("k IS NOT NULL").select("h", "h2", F.posexplode("k").alias("place", "half"))
+    halves = halves.select("h", "h2", "half", (F.col("place") % 2 == 0).alias("head"))
     shared = durable(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"))
     paired = salted_join(halves, shared, ["half"]).groupBy("h", "h2").agg(
         F.max("head").alias("head"), F.max(~F.col("head")).alias("tail")
