@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions.text import stable_rank
+from spindrift.operators.dataset import ranked_within
+
 
 def pop_columns(df: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
     """The columns taken out, and the batch without them (B1)."""
@@ -52,11 +55,14 @@ def fold_rows(df: DataFrame, size: int, value: str, row: str = "row_id") -> Data
 
 
 def iterate(df: DataFrame, size: int, epochs: int, seed: int = 17, row: str = "row_id") -> DataFrame:
-    """Mini-batches of several epochs, each in its own stable shuffle (B6): epoch, batch."""
+    """Mini-batches of several epochs, each in its own stable shuffle (B6): epoch, batch.
+
+    The shuffle is the stable rank of a row under its epoch; places are counted by blocks, so no task holds an epoch.
+    """
     many = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    order = Window.partitionBy("epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", row), row)
-    place = many.withColumn("_k", F.row_number().over(order) - 1)
-    return place.withColumn("batch", F.expr(f"_k div {size}")).drop("_k")
+    shuffled = many.withColumn("_h", stable_rank(seed, F.concat(F.lit("epoch:"), F.col("epoch").cast("string")), F.col(row).cast("string")))
+    place = ranked_within(shuffled, ["epoch"], ["_h", row])
+    return place.withColumn("batch", F.expr(f"rank div {size}")).drop("_h", "rank")
 
 
 def reorder(df: DataFrame, order: DataFrame, row: str = "row_id") -> DataFrame:

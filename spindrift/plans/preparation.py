@@ -206,17 +206,56 @@ def _(spark, d):
     return ds.select_quota(candidates(spark, d), quotas(spark, d)).select("source", "row_id", "pick")
 
 
-@query("q1_select_train")
+def crowded(spark, d):
+    """candidates whose media files are shared by ten documents of different sources, so that the cap refuses some."""
+    path = F.concat(F.lit("media/"), F.expr("CAST(row_id div 10 AS STRING)"))
+    return candidates(spark, d).withColumn("anchors", F.array(path))
+
+
+CROWDED = "w AS (SELECT * REPLACE ('media/' || (row_id // 10) AS anchor) FROM c)"
+ORDERED = """, cs AS (SELECT source, quota, row_number() OVER (ORDER BY n - quota, lower(source)) AS so FROM q JOIN (SELECT source, count(DISTINCT identity) AS n FROM c GROUP BY source) USING (source))"""
+
+
+def one_by_one(name: str, rows: str, cap: int) -> str:
+    """The selection as it is told: row by row, with the identities and media taken so far. rows numbers them as k."""
+    return f"""{name}_n AS MATERIALIZED ({rows}),
+    {name}_o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY identity) AS idn, dense_rank() OVER (ORDER BY anchor) AS an FROM {name}_n),
+    {name}_s AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS row_id, ''::VARCHAR AS source, 0::BIGINT AS got, []::BIGINT[] AS ids, []::BIGINT[] AS used, NULL::VARCHAR AS verdict
+      UNION ALL
+      SELECT k, row_id, source, got + (v = 'taken')::BIGINT, CASE WHEN v = 'taken' THEN list_append(ids, idn) ELSE ids END, CASE WHEN v = 'taken' THEN list_append(used, an) ELSE used END, v
+      FROM (SELECT *, CASE WHEN got >= quota THEN 'quota' WHEN list_contains(ids, idn) THEN 'identity' WHEN len(list_filter(used, lambda x: x = an)) >= {cap} THEN 'cap' ELSE 'taken' END AS v
+        FROM (SELECT o.k, o.row_id, o.source, o.quota, o.idn, o.an, s.ids, s.used, CASE WHEN s.source = o.source THEN s.got ELSE 0 END AS got FROM {name}_s s JOIN {name}_o o ON o.k = s.k + 1))),
+    {name} AS MATERIALIZED (SELECT row_id, source, verdict FROM {name}_s WHERE k > 0)"""
+
+
+def train_rows(table: str) -> str:
+    rank = f"sha256('17|train:' || {table}.source || '|' || identity || '|' || digest)"
+    return f"SELECT {table}.*, quota, row_number() OVER (ORDER BY so, {rank}, digest, source_index, row_id) AS k FROM {table} JOIN cs ON {table}.source = cs.source"
+
+
+@query("q1_select_train", f"WITH RECURSIVE {CANDIDATES}, {QUOTAS}{ORDERED}, {one_by_one('t', train_rows('c'), 2)} SELECT source, row_id, verdict FROM t")
 def _(spark, d):
     return ds.select_train(candidates(spark, d), quotas(spark, d)).select("source", "row_id", "verdict")
 
 
-@query("q1_cap_rejections")
+@query(
+    "q1_cap_rejections",
+    f"WITH RECURSIVE {CANDIDATES}, {CROWDED}, {QUOTAS}{ORDERED}, {one_by_one('t', train_rows('w'), 1)} SELECT source, count(*) AS rejected FROM t WHERE verdict = 'cap' GROUP BY source",
+)
 def _(spark, d):
-    return ds.cap_rejections(ds.select_train(candidates(spark, d), quotas(spark, d), cap=1))
+    return ds.cap_rejections(ds.select_train(crowded(spark, d), quotas(spark, d), cap=1))
+
 
+CANARY_ROWS = """SELECT 'canary' AS source, row_id, identity, anchor, 40 AS quota, row_number() OVER (ORDER BY sha256('17|canary|' || identity || '|' || digest), digest, source_index, row_id) AS k
+  FROM m WHERE NOT own AND NOT media"""
 
-@query("q2_select_canary")
+
+@query(
+    "q2_select_canary",
+    f"""WITH RECURSIVE {CANDIDATES}, {QUOTAS}{ORDERED}, {one_by_one('t', train_rows('c'), 2)}, x AS (SELECT c.* FROM c JOIN t ON c.row_id = t.row_id WHERE verdict = 'taken'),
+    m AS (SELECT *, identity IN (SELECT identity FROM x) AS own, anchor IN (SELECT anchor FROM x) AS media FROM c), {one_by_one('y', CANARY_ROWS, 2)}
+    SELECT m.row_id, CASE WHEN own THEN 'train_identity' WHEN media THEN 'train_media' ELSE verdict END AS verdict FROM m LEFT JOIN y ON m.row_id = y.row_id""",
+)
 def _(spark, d):
     c = candidates(spark, d)
     train = ds.select_train(c, quotas(spark, d)).where("verdict = 'taken'")

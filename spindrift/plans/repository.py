@@ -54,10 +54,9 @@ def _(spark, d):
     return bt.fold_rows(batch(spark, d), 8, "n_chars").select("block", F.array_join(F.transform("n_chars", lambda x: x.cast("string")), ",").alias("chars"))
 
 
-@query("b6_iterate", "SELECT CAST(e AS INTEGER) AS epoch, CAST(b AS BIGINT) AS batch, CAST(least(16, n - b * 16) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM documents), range(2) t(e), range(100000) u(b) WHERE b * 16 < n")
+@query("b6_iterate", "SELECT row_id, CAST(e AS INTEGER) AS epoch, CAST((row_number() OVER (PARTITION BY e ORDER BY sha256('17|epoch:' || e || '|' || row_id), row_id) - 1) // 16 AS BIGINT) AS batch FROM (SELECT doc_id AS row_id FROM documents), range(2) t(e)")
 def _(spark, d):
-    out = bt.iterate(batch(spark, d), 16, 2)
-    return out.groupBy("epoch", F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("rows"))
+    return bt.iterate(batch(spark, d), 16, 2).select("row_id", "epoch", F.col("batch").cast("long").alias("batch"))
 
 
 @query("b7_reorder", "SELECT doc_id AS row_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS position FROM documents")
@@ -70,35 +69,66 @@ def _(spark, d):
 
 
 def lengths(spark, d):
-    return token_rows(spark, d).select(F.lit(0).alias("step"), "row_id", F.col("length").cast("long").alias("length"))
+    """Sequences in training batches of 64."""
+    return token_rows(spark, d).select(F.expr("row_id div 64").alias("step"), "row_id", F.col("length").cast("long").alias("length"))
 
 
-@query("b8_differencing")
+LENGTHS = "l AS MATERIALIZED (SELECT vec_id // 64 AS step, vec_id AS row_id, vec_id % 16 + 8 AS length, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS i FROM embeddings)"
+
+
+def differenced(parts: str, equal_size: bool = False) -> str:
+    """Largest differencing as a recursion over lists: the two states of the widest gap merge, heavy bins against light."""
+    step = "p" if equal_size else "1"
+    return f"""{LENGTHS}, z AS (SELECT step, {parts} AS p FROM l GROUP BY step),
+    g AS (SELECT l.*, p, (row_number() OVER (PARTITION BY l.step ORDER BY length, i) - 1) // {step} AS slot FROM l JOIN z ON l.step = z.step),
+    b AS (SELECT step, list_sort(list_concat(list({{'w': length, 'n': 1::BIGINT, 'items': [{{'i': i, 'v': length}}]}}), list_transform(range(any_value(p) - count(*)), lambda x: {{'w': 0::BIGINT, 'n': 0::BIGINT, 'items': []}})), 'DESC') AS bins FROM g GROUP BY step, slot),
+    s AS (SELECT step, list({{'gap': bins[1].w - bins[-1].w, 'top': bins[1], 'bins': bins}}) AS states FROM b GROUP BY step
+      UNION ALL
+      SELECT step, list_append(rest, {{'gap': bins[1].w - bins[-1].w, 'top': bins[1], 'bins': bins}}) FROM (
+        SELECT step, states[3:] AS rest, list_sort(list_transform(range(1, len(states[1].bins) + 1), lambda j: {{'w': states[1].bins[j].w + states[2].bins[len(states[1].bins) + 1 - j].w,
+          'n': states[1].bins[j].n + states[2].bins[len(states[1].bins) + 1 - j].n, 'items': list_concat(states[1].bins[j].items, states[2].bins[len(states[1].bins) + 1 - j].items)}}), 'DESC') AS bins
+        FROM (SELECT step, list_sort(states, 'DESC') AS states FROM s WHERE len(states) > 1))),
+    f AS (SELECT step, unnest(range(len(states[1].bins))) AS part, unnest(states[1].bins).items AS items FROM s WHERE len(states) = 1),
+    e AS (SELECT step, part, unnest(items) AS x FROM f), r AS (SELECT e.step, e.part, l.row_id, l.i, l.length FROM e JOIN l ON l.step = e.step AND l.i = e.x.i)"""
+
+
+@query("b8_differencing", f"WITH RECURSIVE {differenced('4')} SELECT step, row_id, CAST(part AS INTEGER) AS part FROM r")
 def _(spark, d):
     return bt.balance(lengths(spark, d), 4, "step", "length")
 
 
-@query("b8_imbalance", "SELECT CAST(sum(vec_id % 16 + 8) AS BIGINT) AS total, true AS balanced FROM embeddings")
+@query("b8_imbalance", f"WITH RECURSIVE {differenced('4')}, t AS (SELECT step * 4 + part AS bin, sum(length) AS load FROM r GROUP BY 1) SELECT CAST(min(load) AS BIGINT) AS min, CAST(max(load) AS BIGINT) AS max, avg(load) AS mean, CAST(max(load) - min(load) AS BIGINT) AS gap FROM t")
 def _(spark, d):
     rows = lengths(spark, d)
     parts = bt.balance(rows, 4, "step", "length").join(rows.select("row_id", "length"), "row_id")
-    total = rows.agg(F.sum("length").alias("total"))
-    return mt.imbalance(parts, "part", "length").crossJoin(total).select("total", (F.col("gap") <= 1).alias("balanced"))  # one row each
+    return mt.imbalance(parts.withColumn("bin", F.expr("step * 4 + part")), "bin", "length")
 
 
-@query("b9_greedy")
+@query(
+    "b9_greedy",
+    f"""WITH RECURSIVE {LENGTHS}, s AS (SELECT DISTINCT step, -1::BIGINT AS i, NULL::BIGINT AS row_id, 0::BIGINT AS part, [0, 0, 0, 0]::BIGINT[] AS loads FROM l
+      UNION ALL
+      SELECT step, i, row_id, p, list_transform(loads, lambda x, k: x + CASE WHEN k = p + 1 THEN length ELSE 0 END)
+      FROM (SELECT l.step, l.i, l.row_id, l.length, loads, list_position(loads, list_min(loads))::BIGINT - 1 AS p FROM s JOIN l ON l.step = s.step AND l.i = s.i + 1))
+    SELECT step, row_id, CAST(part AS INTEGER) AS part FROM s WHERE i >= 0""",
+)
 def _(spark, d):
     return bt.balance(lengths(spark, d), 4, "step", "length", method=bt.lightest_first)
 
 
-@query("b10_micro_batches")
+@query(
+    "b10_micro_batches",
+    f"""WITH RECURSIVE {differenced('least(count(*), CAST(ceil(sum(length) / 512) AS BIGINT))')},
+    m AS (SELECT step, part, row_number() OVER (PARTITION BY step ORDER BY sum(length * length) DESC, min(i) DESC) - 1 AS micro FROM r GROUP BY step, part)
+    SELECT r.step, row_id, CAST(micro AS INTEGER) AS micro FROM r JOIN m ON r.step = m.step AND r.part = m.part""",
+)
 def _(spark, d):
     return bt.micro_batches(lengths(spark, d), 512, "step", "length")
 
 
-@query("b12_equal_parts", "SELECT CAST(p AS INTEGER) AS part, n // 4 AS rows FROM (SELECT count(*) AS n FROM embeddings), range(4) t(p)")
+@query("b12_equal_parts", f"WITH RECURSIVE {differenced('4', equal_size=True)} SELECT step, row_id, CAST(part AS INTEGER) AS part FROM r")
 def _(spark, d):
-    return bt.balance(lengths(spark, d), 4, "step", "length", equal_size=True).groupBy("part").agg(F.count("*").alias("rows"))
+    return bt.balance(lengths(spark, d), 4, "step", "length", equal_size=True)
 
 
 @query("b11_restore", "SELECT doc_id AS row_id FROM documents")

@@ -213,3 +213,13 @@ def test_whole_build(spark, tmp_path):
     assert run(wide, allow_shortfall=True)["train"].count() == 3
     with pytest.raises(ValueError, match="target"):
         run(source, target=5)
+
+
+def test_ranks_within_keys_of_any_size(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i}", (i * 37) % 101) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, k string, v long").repartition(7)
+    got = {r.row_id: r["rank"] for r in ds.ranked_within(df, ["k"], ["v", "row_id"]).collect()}
+    for key in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
+        assert [got[r[0]] for r in own] == list(range(len(own)))
+    assert ds.ranked_within(df.where("false"), ["k"], ["v"]).count() == 0
