@@ -321,17 +321,27 @@ def _(spark, d):
 
 
 def samples(spark, d):
-    """events as samples of all seven families, with right and wrong answers."""
+    """events as samples of all seven families: spans, boxes, points, counts and letters that vary, and broken answers."""
+    h, w = F.col("user_id") % 10 + 1, F.expr("event_id div 7 % 5")
+    text = lambda pattern, *values: F.format_string(pattern, *[v.cast("int") for v in values])
+    letter = lambda n: F.char(65 + n % 8)
+    more = F.when(w == 4, ',"2":[10,10,20,20]').otherwise("")
+    points = '"negative_points":[[900,900],[700,700],[800,100]]'
     truths = [
-        ("temporal grounding", '{"time":[1,3]}', "<answer>1 to 2</answer>"),
-        ("video tracking", '{"boxes":{"1":[0,0,10,10],"2":[10,10,20,20]}}', '<answer>{"boxes":{"1":[0,0,10,10]}}</answer>'),
-        ("image segmentation", '{"boxes":[0,0,100,100],"positive_points":[[1,1],[2,2],[3,3]],"negative_points":[[9,9],[8,8],[7,7]]}', '<answer>{"boxes":[0,0,100,50],"positive_points":[[1,1],[2,2],[3,3]],"negative_points":[[9,9],[8,8],[7,7]]}</answer>'),
-        ("RefCOCO", '{"bbox_2d":[10,20,40,60]}', '```json\n[{"bbox_2d":[10,20,40,40]}]\n```'),
-        ("stvg", '{"time":[1,2],"boxes":{"1":[0,0,10,10],"2":[0,0,10,10]}}', '<answer>{"time":[1,2],"boxes":{"1":[0,0,10,10]}}</answer>'),
-        ("object_counting", '"5"', "<answer>4</answer>"),
-        ("video_qa_mc", '"H"', "<answer>h</answer>"),
-    ]
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t"), F.lit(r).alias("r")) for k, t, r in truths])
+        ("temporal grounding", text('{"time":[%d,%d]}', h, h + 4), text("<answer>%d to %d</answer>", h, h + 1 + w)),
+        ("video tracking", F.lit('{"boxes":{"1":[0,0,10,10],"2":[10,10,20,20]}}'), F.concat(text('<answer>{"boxes":{"1":[0,0,10,%d]', h), more, F.lit("}}</answer>"))),
+        (
+            "image segmentation",
+            F.lit('{"boxes":[0,0,100,100],"positive_points":[[100,100],[300,300],[500,500]],' + points + "}"),
+            text('<answer>{"boxes":[0,0,100,%d],"positive_points":[[%d,100],[%d,300],[%d,500]],' + points + "}</answer>", h * 10, w + 100, w + 300, w + 500),
+        ),
+        ("RefCOCO", F.lit('{"bbox_2d":[10,20,40,60]}'), text('```json\n[{"bbox_2d":[10,20,40,%d]}]\n```', h * 4 + 20)),
+        ("stvg", text('{"time":[%d,%d],"boxes":{"1":[0,0,10,10],"2":[0,0,10,10]}}', h, h + 1 + w), text('<answer>{"time":[%d,%d],"boxes":{"1":[0,0,10,%d]}}</answer>', h, h + 1, h)),
+        ("object_counting", text('"%d"', h), text("<answer>%d.03</answer>", h + w)),
+        ("video_qa_mc", F.concat(F.lit('"'), letter(h), F.lit('"')), F.concat(F.lit("<answer>"), F.lower(letter(h + w)), F.lit("</answer>"))),
+    ]
+    answer = lambda r: F.when(F.col("event_id") % 11 == 0, "no answer").otherwise(r)
+    table = F.array(*[F.struct(F.lit(k).alias("k"), t.alias("t"), answer(r).alias("r")) for k, t, r in truths])
     rows = read(spark, d, "events").select(F.col("event_id").alias("id"), F.get(table, (F.col("event_id") % 7).cast("int")).alias("x"))
     quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), F.lit('"'))
     item = F.concat(F.lit('{"problem_type":'), quote(F.col("x.k")), F.lit(',"ground_truth":'), F.col("x.t"), F.lit(',"response":'), quote(F.col("x.r")), F.lit("}"))
@@ -348,7 +358,11 @@ def _(spark, d):
 
 @query(
     "r_scores",
-    """SELECT event_id AS id, [0.5, 0.5, 0.75, 0.5, 0.6, 0.6, 1.0][CAST(event_id % 7 AS INTEGER) + 1]::DOUBLE AS overall FROM events""",
+    """WITH s AS (SELECT event_id AS id, event_id % 7 AS f, user_id % 10 + 1 AS h, event_id // 7 % 5 AS w, event_id % 11 = 0 AS broken FROM events)
+    SELECT id, CASE WHEN broken THEN 0.0::DOUBLE ELSE round(CAST(CASE f WHEN 0 THEN least(4, 1 + w) / greatest(4, 1 + w)::DOUBLE
+      WHEN 1 THEN h / 20.0::DOUBLE + CASE WHEN w = 4 THEN 0.5 ELSE 0 END WHEN 2 THEN 0.05::DOUBLE * h + 0.25 * exp(-w * w / 5000.0::DOUBLE) + 0.25 WHEN 3 THEN h / 10.0::DOUBLE
+      WHEN 4 THEN 0.2::DOUBLE / (1 + w) + 0.04 * h WHEN 5 THEN list_sum(list_transform(range(10), lambda i: CASE WHEN (w + 0.03) / h <= 0.5 - 0.05 * i THEN 1.0 ELSE 0.0 END)) / 10
+      ELSE CASE WHEN w = 0 THEN 1 ELSE 0 END END AS DOUBLE), 6) END AS overall FROM s""",
 )
 def _(spark, d):
     scored = rw.score(rw.route(samples(spark, d), ["problem_type"]))
