@@ -204,6 +204,64 @@ def hygiene(files: DataFrame, patterns: dict[str, str] | None = None, terms: tup
     return files.select("path", F.explode_outer(hits).alias("x")).where("x IS NOT NULL").select("path", "x.*")
 
 
+# Settings that the oracle recipe needs, and numbers that must be finite and above zero.
+RECIPE = {
+    "adv_estimator": "grpo",
+    "scale_rewards": False,
+    "oracle_injection": True,
+    "oracle_injection_mode": "append",
+    "calculate_log_probs": False,
+    "selection_keep_oracle": True,
+    "selection_strict_sign_balance": True,
+    "directional_gain": True,
+    "directional_gain_positive_only": True,
+    "directional_gain_recenter": True,
+    "detached_oracle_advantage": True,
+    "detached_oracle_use_directional_gain": False,
+    "post_selection_recenter": True,
+    "post_selection_rms_match": True,
+}
+ABOVE_ZERO = ("directional_gain_gamma", "detached_oracle_advantage_scale", "oracle_reward_gate_beta")
+
+
+def layout_faults(n: Column, prune: Column, positives: Column, negatives: Column, batch: Column, nodes: Column, devices: Column) -> Column:
+    """Batch settings that do not fit each other (V13): n rollouts and the oracle, pruned to both quotas and the oracle.
+
+    The batch with its oracles and the selected one must both divide into the workers. A null setting is a fault.
+    """
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
+    keep = F.greatest(F.lit(1), F.floor(n * (1 - prune)))
+    workers = nodes * devices
+    sized = (nodes > 0) & (devices > 0) & (batch > 0)
+    whole = lambda rows: F.when(sized, F.try_mod(rows, workers) == 0).otherwise(True)
+    return errors_of(
+        _say(bad(n > 1), "n must be above 1"),
+        _say(bad((prune > 0) & (prune < 1)), "selection_prune_ratio must lie between 0 and 1"),
+        _say(bad((positives >= 0) & (negatives >= 0)), "quotas must not be negative"),
+        _say(bad(positives + negatives + 1 == keep), "quotas and the oracle must fill the kept rows"),
+        _say(bad(sized), "nodes, devices and batch must be positive"),
+        _say(bad(whole(batch * keep)), "the selected batch must divide into the workers"),
+        _say(bad(whole(batch * (n + 1))), "the batch with oracles must divide into the workers"),
+    )
+
+
+def recipe_faults(df: DataFrame) -> Column:
+    """Settings of a run, one column each, that the oracle recipe does not allow (V13); a null setting is a fault."""
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
+    above = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0) & (F.col(c) < float("inf"))
+    fixed = [_say(bad(F.col(k) == F.lit(v)), f"{k} must be {str(v).lower()}") for k, v in RECIPE.items()]
+    positive = [_say(bad(above(k)), f"{k} must be finite and positive") for k in ABOVE_ZERO]
+    low, high = F.col("detached_oracle_match_best_min"), F.col("detached_oracle_match_best_max")
+    cap = above("detached_oracle_match_best_ratio") & (low >= 0) & (high >= low) & ~F.isnan(high) & (high < float("inf"))
+    return errors_of(
+        *fixed,
+        *positive,
+        _say(bad(F.trim("oracle_builder") != ""), "oracle_builder must be named"),
+        _say(bad(cap), "the oracle cap needs a finite positive ratio and 0 <= min <= max"),
+        _say(bad(F.col("post_selection_rms_min_scale").between(0, 1)), "post_selection_rms_min_scale must lie in [0, 1]"),
+    )
+
+
 def check_training(rollouts: int, prune: float, positives: int, negatives: int, prompts: int, world_size: int) -> None:
     """Settings that must fit each other."""
     from spindrift.operators.selection import selection_budget

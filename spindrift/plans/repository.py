@@ -513,3 +513,47 @@ def _(spark, d):
     base, update = assets.where("lang != 'de'").drop("lang"), assets.where("lang IN ('de', 'en')").drop("lang")
     wanted = assets.where("lang IN ('en', 'de') OR path = 'src1/fr'").select("path")
     return rp.merge_repository_assets(base, update, wanted).select("path")
+
+
+@query(
+    "v13_layout",
+    """WITH s AS (SELECT event_id AS id, user_id % 10 AS n, CAST(event_id % 9 - 1 AS DOUBLE) / 8 AS prune, event_id % 4 - 1 AS pos, user_id % 3 AS neg, user_id % 7 * 4 AS batch, event_id % 3 AS nodes, 4 AS devices FROM events),
+    k AS (SELECT *, greatest(1, CAST(floor(n * (1 - prune)) AS BIGINT)) AS keep, nodes > 0 AND batch > 0 AS sized FROM s)
+    SELECT id, concat_ws('; ', CASE WHEN n <= 1 THEN 'n must be above 1' END, CASE WHEN prune <= 0 OR prune >= 1 THEN 'selection_prune_ratio must lie between 0 and 1' END,
+      CASE WHEN pos < 0 THEN 'quotas must not be negative' END, CASE WHEN pos + neg + 1 <> keep THEN 'quotas and the oracle must fill the kept rows' END,
+      CASE WHEN NOT sized THEN 'nodes, devices and batch must be positive' END, CASE WHEN sized AND batch * keep % (nodes * devices) <> 0 THEN 'the selected batch must divide into the workers' END,
+      CASE WHEN sized AND batch * (n + 1) % (nodes * devices) <> 0 THEN 'the batch with oracles must divide into the workers' END) AS errors FROM k""",
+)
+def _(spark, d):
+    e, u = F.col("event_id"), F.col("user_id")
+    found = rp.layout_faults(u % 10, (e % 9 - 1).cast("double") / 8, e % 4 - 1, u % 3, u % 7 * 4, e % 3, F.lit(4))
+    return read(spark, d, "events").select(e.alias("id"), F.array_join(found, "; ").alias("errors"))
+
+
+SOUND = {**rp.RECIPE, **dict.fromkeys(rp.ABOVE_ZERO, 0.5), "oracle_builder": "module:build", "detached_oracle_match_best_ratio": 1.0, "detached_oracle_match_best_min": 0.0, "detached_oracle_match_best_max": 2.0, "post_selection_rms_min_scale": 0.5}
+#: One fault for every setting, with what is said of it; the last setting is also tried as NaN, and one as null.
+FAULTS = [
+    *[(k, "other" if isinstance(v, str) else not v, f"{k} must be {str(v).lower()}") for k, v in rp.RECIPE.items()],
+    *[(k, v, f"{k} must be finite and positive") for k, v in zip(rp.ABOVE_ZERO, (0.0, float("inf"), float("nan")), strict=True)],
+    ("oracle_builder", " ", "oracle_builder must be named"),
+    *[(f"detached_oracle_match_best_{k}", v, "the oracle cap needs a finite positive ratio and 0 <= min <= max") for k, v in (("ratio", 0.0), ("min", -1.0), ("min", 3.0), ("max", float("nan")))],
+    *[("post_selection_rms_min_scale", v, "post_selection_rms_min_scale must lie in [0, 1]") for v in (1.5, float("nan"))],
+    ("scale_rewards", None, "scale_rewards must be false"),
+]
+
+
+@query(
+    "v13_recipe",
+    f"SELECT event_id AS id, coalesce([{', '.join(repr(text) for *_, text in FAULTS)}][CAST(event_id % {len(FAULTS) + 1} AS INTEGER)], '') AS errors FROM events",
+)
+def _(spark, d):
+    which = F.col("event_id") % (len(FAULTS) + 1)
+
+    def setting(name):
+        out = F.lit(SOUND[name])
+        for i, (k, v, _) in enumerate(FAULTS, 1):
+            out = F.when(which == i, F.lit(v)).otherwise(out) if k == name else out
+        return out.alias(name)
+
+    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), *[setting(k) for k in SOUND])
+    return rows.select("id", F.array_join(rp.recipe_faults(rows), "; ").alias("errors"))
