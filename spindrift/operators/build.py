@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as tx
 from spindrift.operators import dataset as ds
 from spindrift.session import durable
-from spindrift.sources.records import read_documents
+from spindrift.sources.records import read_records
 from spindrift.sources.sinks import write_lines, write_manifest
 
 # Names that a field may go by, in order.
@@ -119,7 +119,7 @@ def load_candidates(spark: SparkSession, sources: list[Source]) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["source", "source_index", "task", "family", "identity", "digest", "anchors", "tokens", "record"])
 
         schema = "source string, source_index long, task string, family string, identity string, digest string, anchors array<string>, tokens array<string>, record string"
-        return read_documents(spark, s.input).mapInPandas(run, schema)
+        return read_records(spark, s.input).mapInPandas(run, schema)
 
     rows = reduce(DataFrame.union, [one(s) for s in sources])
     return durable(rows.withColumn("row_id", F.xxhash64("source", "source_index")))
@@ -150,7 +150,7 @@ def load_exclusions(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, D
     schema = "explicit_identity string, computed_identity string, tokens array<string>, valid boolean"
     if not paths:
         return spark.createDataFrame([], "identity string"), spark.createDataFrame([], "token string")
-    return ds.exclusions(read_documents(spark, paths).mapInPandas(run, schema))
+    return ds.exclusions(read_records(spark, paths).mapInPandas(run, schema))
 
 
 def build_dataset(

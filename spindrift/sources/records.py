@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WRAPPERS = ("records", "data", "samples", "results")
@@ -65,6 +66,34 @@ def read_documents(spark: SparkSession, path: str | list[str], parse=unwrap) ->
     return files.mapInPandas(run, "path string, ordinal long, record string")
 
 
+LINE_FILES = (".jsonl", ".ndjson")
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, ordinal, record (JSON text) of files with a JSON object in every line that is not blank.
+
+    A file is read in splits by many tasks. The ordinal counts the records of a file from 0: places inside a split and
+    the records of the splits before it; both scans cut the files alike. Any other line stops the query.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), "value")
+    lines = raw.where(F.col("value").rlike(r"\S")).withColumn("_n", F.monotonically_increasing_id())
+    splits = lines.groupBy("path", "_at").agg(F.min("_n").alias("_first"), F.count("*").alias("_rows"))
+    ahead = Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    shifts = splits.select("path", "_at", (F.coalesce(F.sum("_rows").over(ahead), F.lit(0)) - F.col("_first")).alias("_shift"))
+    out = lines.join(shifts, ["path", "_at"]).withColumn("ordinal", F.col("_n") + F.col("_shift"))
+    bad = F.raise_error(F.concat(F.lit("not a JSON object: "), F.concat_ws(":", "path", "ordinal"))).cast("string")
+    return out.select("path", "ordinal", F.when(F.col("value").rlike(r"^\s*\{"), F.col("value")).otherwise(bad).alias("record"))
+
+
+def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, ordinal, record of files by suffix (S2): lines of JSON, or whole JSON files."""
+    given = [paths] if isinstance(paths, str) else list(paths)
+    lined = [p for p in given if p.lower().endswith(LINE_FILES)]
+    whole = [p for p in given if p not in lined]
+    parts = [read(spark, files) for read, files in ((read_lines, lined), (read_documents, whole)) if files]
+    return reduce(DataFrame.union, parts)
+
+
 def read_split(spark: SparkSession, location: str) -> DataFrame:
     """A table by suffix (S4): name@split chooses the subfolder or file of a split."""
     path, _, split = location.partition("@")

@@ -223,3 +223,26 @@ def test_ranks_within_keys_of_any_size(spark):
         own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
         assert [got[r[0]] for r in own] == list(range(len(own)))
     assert ds.ranked_within(df.where("false"), ["k"], ["v"]).count() == 0
+
+
+def test_line_files_are_read_in_splits(spark, tmp_path):
+    import json
+
+    first, second = tmp_path / "a.jsonl", tmp_path / "b.NDJSON"
+    first.write_text("".join(f'{{"n": {i}}}\n' + ("\n  \n" if i % 7 == 0 else "") for i in range(300)))
+    second.write_text('{"data": [{"n": 1}]}\n{"n": 2}')
+    (tmp_path / "c.json").write_text('{"data": [{"n": 5}, {"n": 6}]}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        rows = records.read_records(spark, [str(first), str(second), str(tmp_path / "c.json")])
+        got = {(r.path.rsplit("/", 1)[1], r.ordinal): json.loads(r.record) for r in rows.collect()}
+        assert records.read_lines(spark, str(first)).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [got["a.jsonl", i]["n"] for i in range(300)] == list(range(300))
+    assert got["b.NDJSON", 0] == {"data": [{"n": 1}]} and got["b.NDJSON", 1] == {"n": 2}
+    assert got["c.json", 1] == {"n": 6} and len(got) == 304
+    second.write_text("[1]\n")
+    with pytest.raises(Exception, match="not a JSON object"):
+        records.read_lines(spark, str(second)).collect()
