@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, licenses, lines, mixing, near_duplicates, nearest, revisits, sharding, suffixes, toxicity
+from spindrift.llm import decontaminate, licenses, lines, merkle, mixing, near_duplicates, nearest, revisits, sharding, suffixes, toxicity
 from spindrift.llm.common import read
 
 
@@ -63,8 +63,23 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    made = merkle.manifest(documents, columns, tampered=[*[F.col(c) for c in columns[:-1]], text])
+    folded = merkle.fold(F.col("found_leaf"), F.col("proof"))
+    digests = made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return digests.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_mixing, op4_near_duplicates, op5_line_dedup, op6_nearest, op7_decontamination, op8_sharding, op9_licenses, op10_revisits)}
+    found = (
+        op1_suffix_dedup, op2_toxicity, op3_mixing, op4_near_duplicates, op5_line_dedup, op6_nearest, op7_decontamination,
+        op8_sharding, op9_licenses, op10_revisits, op11_merkle,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP6_SQL = """
