@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, licenses, lines, merkle, mixing, near_duplicates, nearest, revisits, sharding, suffixes, toxicity
+from spindrift.llm import decontaminate, licenses, lines, merkle, mixing, near_duplicates, nearest, periodic, revisits, sharding, suffixes, toxicity
 from spindrift.llm.common import read
 
 
@@ -74,10 +76,36 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _tail_repeated(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The texts of the contract: from a place on, the words of one row in ten repeat with a period of their own."""
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(read(spark, sf_dir, "documents"), rewrite=_tail_repeated)
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     found = (
         op1_suffix_dedup, op2_toxicity, op3_mixing, op4_near_duplicates, op5_line_dedup, op6_nearest, op7_decontamination,
-        op8_sharding, op9_licenses, op10_revisits, op11_merkle,
+        op8_sharding, op9_licenses, op10_revisits, op11_merkle, op12_periodic,
     )
     return {f.__name__: f for f in found}
 
