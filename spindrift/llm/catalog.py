@@ -7,7 +7,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, licenses, lines, merkle, mixing, near_duplicates, nearest, periodic, revisits, sharding, suffixes, toxicity
+from spindrift.llm import decontaminate, licenses, lines, merkle, mixing, near_duplicates, nearest, ngrams, periodic, revisits, sharding, suffixes, toxicity
 from spindrift.llm.common import read
 
 
@@ -102,10 +102,16 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = ngrams.score_texts(read(spark, sf_dir, "documents"), learn=F.coalesce(~held_out, F.lit(True)))
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
     found = (
         op1_suffix_dedup, op2_toxicity, op3_mixing, op4_near_duplicates, op5_line_dedup, op6_nearest, op7_decontamination,
-        op8_sharding, op9_licenses, op10_revisits, op11_merkle, op12_periodic,
+        op8_sharding, op9_licenses, op10_revisits, op11_merkle, op12_periodic, op13_ngrams,
     )
     return {f.__name__: f for f in found}
 
