@@ -1,22 +1,23 @@
-"""Boxes that a grounding answer names (X8): nested JSON, which column expressions cannot walk, read on Arrow batches."""
+"""Boxes that an answer names (X8, X11): nested JSON, which column expressions cannot walk, read on Arrow batches."""
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spindrift.functions.answers import ANSWER, number, unfence
 from spindrift.functions.geometry import box_iou
+from spindrift.functions.replies import TAGGED, containers, number, unfenced
 
 # Keys that may hold boxes, in the order in which they are read.
 BOX_KEYS = ("bbox", "bbox_2d", "box", "boxes", "bboxes", "objects", "items", "regions", "detections", "predictions")
 RANK = {key: rank for rank, key in enumerate(BOX_KEYS)}
+# Keys of a lone box, in the order in which they are read.
+OWN_RANK = {key: rank for rank, key in enumerate(("bbox_2d", "bbox", "box", "boxes"))}
 # How a coordinate is written, and boxes as two points or as a list.
 COORDINATE = r"(-?\d+(?:\.\d+)?)"
 POINTS = re.compile(r"\(C\s*,\s*C\)\s*,?\s*\(C\s*,\s*C\)".replace("C", COORDINATE))
@@ -25,29 +26,59 @@ LIST = re.compile(r"\[\s*C\s*,\s*C\s*,\s*C\s*,\s*C\s*\]".replace("C", COORDINATE
 Box = tuple[float, ...]
 
 
-def _leaves(value, path: tuple = ()) -> Iterator[tuple[tuple, Box]]:
+def _leaves(value, ranks: Mapping[str, int] = RANK, path: tuple = ()) -> Iterator[tuple[tuple, Box]]:
     """Every list of four numbers that is reached through lists and known keys, with the ranks of the way to it."""
-    if isinstance(value, list):
+    if isinstance(value, (list, tuple)):
         if len(value) == 4 and None not in (xs := tuple(map(number, value))):
             yield path, xs
         else:
-            yield from chain.from_iterable(_leaves(v, (*path, i)) for i, v in enumerate(value))
-    elif isinstance(value, dict):
-        yield from chain.from_iterable(_leaves(value[k], (*path, RANK[k])) for k in RANK.keys() & value.keys())
+            yield from chain.from_iterable(_leaves(v, ranks, (*path, i)) for i, v in enumerate(value))
+    elif isinstance(value, Mapping):
+        yield from chain.from_iterable(_leaves(value[k], ranks, (*path, ranks[k])) for k in ranks.keys() & value.keys())
 
 
-def _decoded(text: str) -> Iterator:
-    """Every JSON container of a text, those inside others too, in order."""
-    read = json.JSONDecoder().raw_decode
-    for m in re.finditer(r"[\[{]", text):
-        try:
-            yield read(text, m.start())[0]
-        except ValueError:
-            pass
+def first_box(value) -> list[float] | None:
+    """The box that stands first in a value."""
+    _, box = min(_leaves(value, OWN_RANK), default=(None, None))
+    return None if box is None else list(box)
+
+
+def cornered(box: list[float] | None) -> list[float] | None:
+    """A box from its least to its largest corner."""
+    return box and [*map(min, box[:2], box[2:]), *map(max, box[:2], box[2:])]
+
+
+def whole_frame(key) -> int | None:
+    """The frame of a key that is a whole number."""
+    x = number(key)
+    return int(x) if x is not None and x == int(x) else None
+
+
+def cut_frame(key) -> int | None:
+    """The frame of a key that evaluators cut to a whole number (X11)."""
+    try:
+        return int(float(key))
+    except (TypeError, ValueError, OverflowError):
+        return None
+
+
+def flat_box(value) -> list[float] | None:
+    """Four values in a list that are numbers or say one (X11)."""
+    try:
+        xs = [float(v) for v in value] if isinstance(value, list) else []
+    except (TypeError, ValueError):
+        return None
+    return xs if len(xs) == 4 else None
+
+
+def frame_boxes(value, frame: Callable = whole_frame, box: Callable = first_box) -> dict[str, list[float]]:
+    """Boxes by frame; entries whose key or box is none are left out."""
+    pairs = ((frame(k), box(v)) for k, v in value.items()) if isinstance(value, Mapping) else ()
+    return {str(k): b for k, b in pairs if k is not None and b is not None}
 
 
 def _named(chunk: str) -> Iterator[Box]:
-    for value in _decoded(chunk):
+    for value in containers(chunk):
         yield from (box for _, box in sorted(_leaves(value)))
     for pattern in (POINTS, LIST):
         yield from (tuple(map(float, m.groups())) for m in pattern.finditer(chunk))
@@ -56,10 +87,10 @@ def _named(chunk: str) -> Iterator[Box]:
 def boxes_in(text: str | None) -> list[list[float]]:
     """All boxes that an answer names, in order, once each to six places; without any, its first four numbers."""
     text = text or ""
-    parts = [m[1] for m in ANSWER.finditer(text)] or [text]
-    found = list(chain.from_iterable(_named(unfence(p)) for p in parts))
+    parts = [m[1] for m in TAGGED.finditer(text)] or [text]
+    found = list(chain.from_iterable(_named(unfenced(p)) for p in parts))
     if not found:
-        loose = re.findall(COORDINATE, ANSWER.sub(r"\1", text))[:4]
+        loose = re.findall(COORDINATE, TAGGED.sub(r"\1", text))[:4]
         found = [tuple(map(float, loose))] if len(loose) == 4 else []
     once = {tuple(round(x, 6) for x in box): box for box in reversed(found)}
     return [list(once.pop(k)) for box in found if (k := tuple(round(x, 6) for x in box)) in once]

@@ -2,18 +2,21 @@
 
 A rule of higher trust always beats one of lower trust, and within a rule the last place of the text wins. So a rule is
 one greedy pattern, and an answer is the first rule that finds something. No Python runs on the rows.
+
+A text that several rules read is bound once (``let``): rules that named its expression would each work it out anew.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spindrift.functions.answers import LETTERS, NUMERICAL
 from spindrift.functions.geometry import even_thresholds, relative_accuracy
+from spindrift.functions.replies import LETTERS, NUMERICAL
 
 # Phrases that announce a choice.
 PHRASES = (
@@ -31,6 +34,11 @@ CLOCK = r"[0-9]{1,2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?|[0-9]{1,2}:[0-9]{2}(?:\.[0-9
 SECONDS = r"[0-9]+\.?[0-9]*"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body's expression over a value that is worked out once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -50,60 +58,70 @@ def _last(values: Column) -> Column:
 
 def without_thought(text: Column) -> Column:
     """A response without its thought (X1): what follows the last closing tag, or the text without closed thoughts."""
-    text = _strip(F.coalesce(text, F.lit("")))
-    closed = text.rlike("(?i)</think>")
-    rest = F.when(closed, _last(F.split(text, "(?i)</think>"))).otherwise(F.regexp_replace(text, "(?is)<think>.*?</think>", ""))
-    return _strip(F.regexp_replace(rest, "(?i)</?think>", ""))
+
+    def rest(t: Column) -> Column:
+        return F.when(t.rlike("(?i)</think>"), _last(F.split(t, "(?i)</think>"))).otherwise(F.regexp_replace(t, "(?is)<think>.*?</think>", ""))
+
+    return _strip(F.regexp_replace(let(_strip(F.coalesce(text, F.lit(""))), rest), "(?i)</?think>", ""))
 
 
 def tagged(text: Column) -> Column:
     """What stands in the last answer tags, or else the text."""
-    return _strip(F.coalesce(_last(_all(text, r"(?is)<answer>\s*(.*?)\s*</answer>")), text))
+    return _strip(let(text, lambda t: F.coalesce(_last(_all(t, r"(?is)<answer>\s*(.*?)\s*</answer>")), t)))
 
 
 def final_answer(text: Column) -> Column:
     return tagged(without_thought(text))
 
 
-def _announced(padded: Column, one_of: str) -> Column:
+def _announced(padded: Column, lowered: Column, one_of: str) -> Column:
     """The letter behind an announcing phrase: behind the last place of each phrase, the letter that comes up last."""
-    lowered = F.lower(padded)
 
-    def behind(phrase: Column) -> Column:
-        place = F.position(F.reverse(phrase), F.reverse(lowered))
-        tail = F.when(place > 0, F.right(padded, place - 1)).otherwise("")
-        letters = F.array_distinct(F.transform(_all(tail, rf"(?iU)\b({one_of})\b"), lambda x: F.upper(x)))
-        return F.struct((-place).alias("nearest"), _last(letters).alias("letter"))
+    def behind(phrase: str, backwards: Column) -> Column:
+        def nearest(place: Column) -> Column:
+            letters = F.array_distinct(F.transform(_all(F.right(padded, place - 1), rf"(?iU)\b({one_of})\b"), lambda x: F.upper(x)))
+            return F.when(place > 0, F.struct((-place).alias("nearest"), _last(letters).alias("letter")))
+
+        return let(F.position(F.lit(phrase[::-1]), backwards), nearest)
 
-    tried = F.transform(F.array(*[F.lit(p) for p in PHRASES]), behind)
-    return F.array_max(F.filter(tried, lambda x: x["letter"].isNotNull()))["letter"]
+    tried = let(F.reverse(lowered), lambda backwards: F.array(*[behind(p, backwards) for p in PHRASES]))
+    said = lowered.rlike("|".join(map(re.escape, PHRASES)))
+    return F.when(said, F.array_max(F.filter(tried, lambda x: x["letter"].isNotNull()))["letter"])
+
+
+def _letter(text: Column, labels: str) -> Column:
+    """The option letter of a final answer; both marks and blanks around it are taken off."""
+    one_of = "|".join(re.escape(c) for c in labels)
+
+    def rules(core: Column, padded: Column) -> Column:
+        last = lambda token: _found(padded, f"(?s)^.*{token}")
+        letter = F.coalesce(
+            F.when(F.upper(core).isin(*labels), F.upper(core)),
+            _found(core, rf"^({one_of})(?!\p{{L}})"),
+            _found(core, rf"(?<!\p{{L}})({one_of})$"),
+            let(F.lower(padded), lambda lowered: _announced(padded, lowered, one_of)),
+            last(rf"\(({one_of})\)"),
+            last(rf"({one_of})\."),
+            last(rf"({one_of}):"),
+            last(rf"({one_of})\)"),
+            last(rf"({one_of}) "),
+            _last(F.array_distinct(_all(padded, rf"(?U)\b({one_of})\b"))),
+            F.lit(""),
+        )
+        return F.when(core == "", "").otherwise(letter)
+
+    bare = reduce(lambda t, mark: F.btrim(t, F.lit(mark)), MARKS, text)
+    around = lambda t: F.struct(_strip(t).alias("core"), F.concat(F.lit(" "), t, F.lit(" ")).alias("padded"))
+    return let(let(bare, around), lambda x: rules(x["core"], x["padded"]))
 
 
 def choice_letter(response: Column, labels: str = LETTERS) -> Column:
     """The option letter that a response most plausibly gives (X2), or an empty string. Labels are capital letters."""
-    one_of = "|".join(re.escape(c) for c in labels)
-    text = reduce(lambda t, mark: F.btrim(t, F.lit(mark)), MARKS, final_answer(response))
-    padded, core = F.concat(F.lit(" "), text, F.lit(" ")), _strip(text)
-    last = lambda token: _found(padded, f"(?s)^.*{token}")
-    letter = F.coalesce(
-        F.when(F.upper(core).isin(*labels), F.upper(core)),
-        _found(core, rf"^({one_of})(?!\p{{L}})"),
-        _found(core, rf"(?<!\p{{L}})({one_of})$"),
-        _announced(padded, one_of),
-        last(rf"\(({one_of})\)"),
-        last(rf"({one_of})\."),
-        last(rf"({one_of}):"),
-        last(rf"({one_of})\)"),
-        last(rf"({one_of}) "),
-        _last(F.array_distinct(_all(padded, rf"(?U)\b({one_of})\b"))),
-        F.lit(""),
-    )
-    return F.when(core == "", "").otherwise(letter)
+    return _letter(final_answer(response), labels)
 
 
 def _folded(text: Column, label: Column | None = None) -> Column:
-    """An option's text without tags, its own label, surplus blanks and case."""
-    text = final_answer(text)
+    """A final answer without its own label, surplus blanks and case."""
     if label is not None:
         text = F.regexp_replace(text, F.concat(F.lit(r"(?iU)^\s*\Q"), label, F.lit(r"\E\s*[.):：]\s*")), F.lit(""))
     return F.replace(F.lower(_strip(F.regexp_replace(text, r"(?U)\s+", " "))), F.lit("ß"), F.lit("ss"))
@@ -111,11 +129,18 @@ def _folded(text: Column, label: Column | None = None) -> Column:
 
 def true_letter(answer: Column, options: Column, labels: str = LETTERS) -> Column:
     """The label of the first option whose text is the answer, or the letter that the answer gives."""
-    wanted, names = _folded(answer), F.array(*[F.lit(c) for c in labels])
+    names = F.array(*[F.lit(c) for c in labels])
     listed = F.slice(F.coalesce(options, F.array().cast("array<string>")), 1, len(labels))
-    labelled = F.transform(listed, lambda o, i: F.struct(F.get(names, i).alias("label"), o.alias("text")))
-    same = F.filter(labelled, lambda o: (_folded(o["text"]) == wanted) | (_folded(o["text"], o["label"]) == wanted))
-    return F.coalesce(F.get(same, F.lit(0))["label"], choice_letter(answer, labels))
+    labelled = F.transform(listed, lambda o, i: F.struct(F.get(names, i).alias("label"), final_answer(o).alias("text")))
+
+    def find(final: Column) -> Column:
+        def matching(wanted: Column) -> Column:
+            same = F.filter(labelled, lambda o: (_folded(o["text"]) == wanted) | (_folded(o["text"], o["label"]) == wanted))
+            return F.get(same, F.lit(0))["label"]
+
+        return F.coalesce(let(_folded(final), matching), _letter(final, labels))
+
+    return let(final_answer(answer), find)
 
 
 def first_number(text: Column, commas: bool = False) -> Column:
@@ -136,28 +161,43 @@ def _accuracy(predicted: Column, target: Column) -> Column:
 def spatial_score(kind: Column, predicted: Column, truth: Column) -> Column:
     """metric, answer and score of a spatial question (X5): by number or by letter, as its type says."""
     by_number = kind.isin(*NUMERICAL)
-    x, y = first_number(predicted), tagged(truth).try_cast("double")
-    p, t = choice_letter(predicted, "ABCD"), choice_letter(truth, "ABCD")
-    number = F.struct(
-        F.lit("MRA").alias("metric"), F.when(y.isNull(), "").otherwise(F.coalesce(x.cast("string"), F.lit(""))).alias("answer"),
-        _accuracy(x, y).alias("score"),
-    )
-    letter = F.struct(F.lit("ACC").alias("metric"), p.alias("answer"), ((p != "") & (p == t)).cast("double").alias("score"))
+
+    def measured(x: Column, y: Column) -> Column:
+        said = F.when(y.isNull(), "").otherwise(F.coalesce(x.cast("string"), F.lit("")))
+        return F.struct(F.lit("MRA").alias("metric"), said.alias("answer"), _accuracy(x, y).alias("score"))
+
+    def chosen(p: Column, t: Column) -> Column:
+        return F.struct(F.lit("ACC").alias("metric"), p.alias("answer"), ((p != "") & (p == t)).cast("double").alias("score"))
+
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    number = let(pair(first_number(predicted), tagged(truth).try_cast("double")), lambda v: measured(v["a"], v["b"]))
+    letter = let(pair(choice_letter(predicted, "ABCD"), choice_letter(truth, "ABCD")), lambda v: chosen(v["a"], v["b"]))
     return F.when(by_number, number).otherwise(letter)
 
 
+def _token(text: Column, announced: Column) -> Column:
+    return F.coalesce(announced, F.regexp_replace(F.get(F.split(text, r"(?U)\s+"), F.lit(0)), "[.。,:：]+$", ""))
+
+
+def _final(predicted: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """The body's expression over the final answer and what it announces."""
+    parts = lambda t: F.struct(t.alias("text"), _found(t, FINAL).alias("announced"))
+    return let(let(final_answer(predicted), parts), lambda x: body(x["text"], x["announced"]))
+
+
 def loose_token(predicted: Column) -> Column:
     """The announced answer, or else the first word without its closing marks."""
-    text = final_answer(predicted)
-    return F.coalesce(_found(text, FINAL), F.regexp_replace(F.get(F.split(text, r"(?U)\s+"), F.lit(0)), "[.。,:：]+$", ""))
+    return _final(predicted, _token)
 
 
 def loose_number(predicted: Column) -> Column:
     """A number from an announcement, behind an option letter, or anywhere; else the loose token."""
-    text = final_answer(predicted)
-    announced = _found(text, FINAL)
-    number = F.coalesce(_found(text, OPTION_NUMBER), _found(text, r"([-+]?[0-9]+(?:\.[0-9]+)?)"), loose_token(predicted))
-    return F.when(announced.rlike("[0-9]"), announced).otherwise(number)
+
+    def number(text: Column, announced: Column) -> Column:
+        found = F.coalesce(_found(text, OPTION_NUMBER), _found(text, r"([-+]?[0-9]+(?:\.[0-9]+)?)"), _token(text, announced))
+        return F.when(announced.rlike("[0-9]"), announced).otherwise(found)
+
+    return _final(predicted, number)
 
 
 def loose_score(kind: Column, predicted: Column, truth: Column) -> Column:
@@ -181,27 +221,32 @@ def _in_pairs(values: Column) -> Column:
 
 def time_spans(text: Column) -> Column:
     """Spans (start, end) in seconds (X7). Grammars in order: clock times, a - b, a to b, any two numbers."""
-    text = F.lower(F.coalesce(text, F.lit("")))
-    body = F.coalesce(_last(_all(text, r"(?d)<answer>\s*(.*?)\s*</answer>")), _last(F.split(text, "<answer>")))
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    inside = let(lowered, lambda t: F.coalesce(_last(_all(t, r"(?d)<answer>\s*(.*?)\s*</answer>")), _last(F.split(t, "<answer>"))))
     seconds = lambda clock: F.aggregate(F.split(clock, ":"), F.lit(0.0), lambda s, part: s * 60 + part.cast("double"))
-    joined = lambda joint: _spans(*[_all(body, rf"(?U)({SECONDS}){joint}({SECONDS})", g) for g in (1, 2)])
-    grammars = [
-        _in_pairs(F.transform(_all(body, rf"(?U)\b({CLOCK})\b"), seconds)),
-        joined(r"\s*-\s*"),
-        joined(r"\s+to\s+"),
-        _in_pairs(_all(body, r"(?U)\b([0-9]+\.[0-9]+|[0-9]+)\b")),
-    ]
-    return F.coalesce(*[F.when(F.size(spans) > 0, spans) for spans in grammars], grammars[-1])
+
+    def read(body: Column) -> Column:
+        joined = lambda joint: _spans(*[_all(body, rf"(?U)({SECONDS}){joint}({SECONDS})", g) for g in (1, 2)])
+        grammars = [
+            _in_pairs(F.transform(_all(body, rf"(?U)\b({CLOCK})\b"), seconds)),
+            joined(r"\s*-\s*"),
+            joined(r"\s+to\s+"),
+            _in_pairs(_all(body, r"(?U)\b([0-9]+\.[0-9]+|[0-9]+)\b")),
+        ]
+        some = lambda spans: let(spans, lambda x: F.when(F.size(x) > 0, x))
+        return F.coalesce(*map(some, grammars), F.array().cast("array<struct<start:double,end:double>>"))
+
+    return let(inside, read)
 
 
 def predicted_span(text: Column, duration: Column) -> Column:
     """start and end of the first span in whole seconds, and whether there is one; else a span behind the end."""
-    first = F.get(time_spans(text), F.lit(0))
     end = duration.cast("double")
-    return F.struct(
+    kept = lambda first: F.struct(
         F.coalesce(F.bround(first["start"], 0), end + 10).alias("start"), F.coalesce(F.bround(first["end"], 0), end + 20).alias("end"),
         first.isNotNull().alias("parsed"),
     )
+    return let(F.get(time_spans(text), F.lit(0)), kept)
 
 
 def listed_letters(question: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from spindrift.functions import answers as an
 from spindrift.functions import boxes as bx
 from spindrift.functions import parsing as ps
 from spindrift.functions import geometry as geo
+from spindrift.functions.replies import balanced_object
 from spindrift.operators import evaluation as ev
 from spindrift.operators import rewards as rw
 from spindrift.plans.tables import read
@@ -449,7 +449,7 @@ def _(spark, d):
 @query("x9_balanced_json", "SELECT event_id AS id, event_type AS kind FROM events")
 def _(spark, d):
     text = F.concat(F.lit('so {"a": {"kind": "'), "event_type", F.lit('"}} and {'))
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(lambda t: an.balanced_object(t)["a"]["kind"])(text).alias("kind"))
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(lambda t: balanced_object(t)["a"]["kind"])(text).alias("kind"))
 
 
 @query("x10_frame_ious", "SELECT event_id AS id, 0.5 ::DOUBLE AS strict, 1.0::DOUBLE AS common, 0.5::DOUBLE AS coverage FROM events")

@@ -8,10 +8,10 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from spindrift.functions import answers as an
 from spindrift.functions import boxes as bx
 from spindrift.functions import parsing as ps
 from spindrift.functions.masks import Mask, pack_counts, repair_rle, unpack_counts
+from spindrift.functions.replies import Reply, balanced_object
 from spindrift.operators import rewards as rw
 
 BOXES = {"1": [0, 0, 10, 10], "2": [10, 10, 20, 20]}
@@ -142,9 +142,28 @@ def test_json_parsers():
     assert bx.boxes_in('{"boxes":[[5,6,7,8],{"box":[1,2,3,4]}],"bbox":[9,9,9,9]} (1,2),(3,4)') == [[9.0] * 4, [5.0, 6.0, 7.0, 8.0], [1.0, 2.0, 3.0, 4.0]]
     assert bx.boxes_in("from (1, 2) (3,4.5) on") == [[1.0, 2.0, 3.0, 4.5]] and bx.boxes_in("1 2 3 4 5") == [[1.0, 2.0, 3.0, 4.0]]
     assert bx.boxes_in('```json\n[{"other":[1,2,3,4]}]\n```') == [[1.0, 2.0, 3.0, 4.0]] and bx.boxes_in(None) == bx.boxes_in("1 2 3") == []
-    assert an.balanced_object('x {"a": {"b": 1}} y') == {"a": {"b": 1}}
-    assert an.truncated_boxes({"1.7": [0, 0, 1, 1], "x": [1], "2": [0, 1]}) == {"1": [0.0, 0.0, 1.0, 1.0]}
-    assert an.boxes_of({"1.7": [0, 0, 1, 1], "2.0": [0, 0, 1, 1]}) == {"2": [0.0, 0.0, 1.0, 1.0]}
+    assert balanced_object('x {"a": {"b": 1}} y') == {"a": {"b": 1}}
+    assert bx.frame_boxes({"1.7": [0, 0, 1, 1], "x": [1], "2": [0, 1]}, bx.cut_frame, bx.flat_box) == {"1": [0.0, 0.0, 1.0, 1.0]}
+    assert bx.frame_boxes({"1.7": [0, 0, 1, 1], "2.0": [0, 0, 1, 1]}) == {"2": [0.0, 0.0, 1.0, 1.0]}
+
+
+@pytest.mark.parametrize(
+    ("text", "payload", "answer"),
+    [
+        ("<answer> 3 </answer>", "3", "3"), ("<think>a</think> <answer>b</answer>\n", "b", "b"), ("a</think><answer>b</answer>", "b", "b"), ("x <answer>b</answer>", None, "b"), ("<answer></answer>", None, ""),
+        ("<answer>a</answer><answer>b</answer>", "a</answer><answer>b", "b"), ("<ANSWER>c</Answer> .", None, "c"), ("<answer>a", None, "<answer>a"), (None, None, ""), (5, None, "5"), ("<answer>a</think><answer>b</answer>", "b", "a</think><answer>b"),
+    ],
+)
+def test_replies(text, payload, answer):
+    assert (Reply(text).payload, Reply(text).answer) == (payload, answer)
+
+
+def test_spoken_and_values():
+    assert [Reply(t).spoken.text for t in ("<think>a</think>b", "a</think> b", "<think>a</think>b</think>c", "b<think>a", "a<think>x</think>b")] == ["b", "b", "c", "b<think>a", "ab"]
+    values = [Reply(t).value for t in ("```json\n[1]\n```", 'so {"a": [2]} and {"b": 3}', "null", "4", "words", [7], "<answer>```{}```</answer>")]
+    assert values == [[1], {"a": [2]}, None, 4, None, [7], {}]
+    assert bx.first_box({"box": [9, 9, 9, 9], "bbox": [[1, 2, 3], {"bbox_2d": ["1", 2, 3, 4]}], "other": [5, 5, 5, 5]}) == [1, 2, 3, 4]
+    assert bx.first_box([[True, 1, 2, 3], {}]) is None and bx.cornered([5, 1, 2, 4]) == [2, 1, 5, 4] and bx.cornered(None) is None
 
 
 def test_picked_boxes(spark):
