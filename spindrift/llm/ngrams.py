@@ -10,8 +10,9 @@ successor search for its word relative to its context's first value.
 Plan: texts are cut into blocks of at most BLOCK words, kept as a table of word numbers. A block asks for each different
 n-gram once, so that a word or passage that stands everywhere costs a block one request; the answers return to the block,
 which adds up its texts. A first pass counts the words; those with more tokens than an even shard, so fewer of them than
-shards, have their followers dealt over several shards, and their numbers of followers are broadcast. The model and
-the vocabulary are never in one place: all moves in packed requests by shard and block.
+shards, have their followers dealt over several shards, and their numbers of followers are broadcast. So are the names of
+at most SHORT common words, which requests then say in two bytes or less. The model and the vocabulary are never in
+one place: all moves in packed requests by shard and block.
 
 Words are named by 64-bit hashes; different words have different names but for chance.
 """
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from spindrift.llm.near_duplicates import mix
 from spindrift.session import scratch_folder, shuffle_width
 
-#: Words of a block, and common words that a shard names as candidates for splitting.
-BLOCK, COMMONEST = 2_000_000, 64
+#: Words of a block, and common words that requests say by number.
+BLOCK, SHORT = 2_000_000, 1 << 18
 DISCOUNT = 0.75
 _U = np.uint64
 
@@ -181,10 +182,7 @@ class Trie:
 
 
 class Grams:
-    """The different n-grams of a block, in order of their words' names, and where each token has them.
-
-    ``tokens`` numbers the block's words in the order of their names: each text begins with BEGIN and stops with END.
-    """
+    """The different n-grams of a block, in order of their words' numbers, and where each token has them."""
 
     def __init__(self, tokens: np.ndarray, begin: int, order: int, words: int):
         pairs = np.flatnonzero(tokens != begin)
@@ -201,20 +199,12 @@ class Grams:
             self.keys.append(keys)
             self.tokens.append(longer)
 
-    def shards(self, names: np.ndarray, shards: int, split: dict[int, int]) -> list[np.ndarray]:
-        """The shard of each n-gram: by its first word, and its second where the first word is split so many ways."""
-        root, word = np.divmod(self.keys[0], len(names))
-        where = mix(names)
-        ways = np.ones(len(names), dtype=_U)
-        hot = np.array(sorted(split), dtype=_U)
-        at = np.searchsorted(names, hot)
-        here = names[np.minimum(at, len(names) - 1)] == hot
-        ways[at[here]] = np.array([split[w] for w in sorted(split)], dtype=_U)[here]
-        with np.errstate(over="ignore"):
-            salt = where[word] % ways[root]
-            out = [(mix(where[root] + salt * _U(0x9E3779B97F4A7C15)) % _U(shards)).astype(np.int64)]
+    def shards(self, own: np.ndarray, ways: np.ndarray, shards: int) -> list[np.ndarray]:
+        """The shard of each n-gram: that of its first word, or of several by the second word's where the first has more ways."""
+        root, word = np.divmod(self.keys[0], len(own))
+        out = [(own[root] + own[word] % ways[root]) % shards]
         for keys in self.keys[1:]:
-            out.append(out[-1][keys // len(names)])
+            out.append(out[-1][keys // len(own)])
         return out
 
 
@@ -226,12 +216,16 @@ def _by(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(shard[order[lo]]), order[lo:hi]
 
 
-BLOCKS = "block long, names binary, tokens binary, learned binary, lengths binary"
+BLOCKS = "block long, names binary, dealt binary, tokens binary, learned binary, lengths binary"
 MESSAGE = "block long, shard int, kind int, data binary"
 
 
-def text_blocks(df: DataFrame, text: str, key: str, learn: Column) -> DataFrame:
-    """Cut texts into blocks: sorted names of the words, tokens as places in them, lengths and whether to learn from each text."""
+def text_blocks(df: DataFrame, text: str, key: str, learn: Column, shards: int) -> DataFrame:
+    """Cut texts into blocks: each text begins with BEGIN and stops with END.
+
+    A block's words are numbered by shard, then by name. ``names`` has their names, ``dealt`` how many each shard has and
+    then the numbers of BEGIN and END, ``tokens`` the texts as numbers, one after the other, and ``lengths`` their tokens.
+    """
     kind = dict(df.dtypes)[key]
     slim = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
@@ -240,7 +234,8 @@ def text_blocks(df: DataFrame, text: str, key: str, learn: Column) -> DataFrame:
         sizes = np.array([len(t) + 2 for t in texts])
         _, first, at = np.unique(np.fromiter(map(hash, words), np.int64, len(words)), return_index=True, return_inverse=True)
         names = np.array([_name(words[i]) for i in first] + [BEGIN, END], dtype=_U)
-        order = np.argsort(names)
+        shard = (mix(names) % _U(shards)).astype(np.int64)
+        order = np.lexsort((names, shard))
         place = np.empty(len(names), dtype=np.uint32)
         place[order] = np.arange(len(names), dtype=np.uint32)
         ends = np.cumsum(sizes)
@@ -248,12 +243,13 @@ def text_blocks(df: DataFrame, text: str, key: str, learn: Column) -> DataFrame:
         inner = np.ones(ends[-1], dtype=bool)
         inner[ends - 1] = inner[ends - sizes] = False
         tokens[ends - sizes], tokens[inner] = len(names) - 2, at
-        values = [[number], [pack(names[order])], [pack(place[tokens])], [pack(np.array(learned, dtype=np.uint8))], [pack(sizes.astype(np.uint32))]]
-        kinds = [pa.int64(), *[pa.binary()] * 4]
+        dealt = np.append(np.bincount(shard, minlength=shards), place[-2:]).astype(np.uint32)
+        values = [[number], [pack(names[order])], [pack(dealt)], [pack(place[tokens])], [pack(np.array(learned, dtype=np.uint8))], [pack(sizes.astype(np.uint32))]]
+        kinds = [pa.int64(), *[pa.binary()] * 5]
         arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
         whole = pa.concat_arrays(keys)
         arrays.append(pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole))
-        return pa.RecordBatch.from_arrays(arrays, ["block", "names", "tokens", "learned", "lengths", "keys"])
+        return pa.RecordBatch.from_arrays(arrays, ["block", "names", "dealt", "tokens", "learned", "lengths", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -292,10 +288,16 @@ def _split(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
 
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, tokens, text lengths of a block, and for each token whether it is learned from."""
-    lengths = unpack(row["lengths"], np.uint32).astype(np.int64)
-    return unpack(row["names"], _U), unpack(row["tokens"], np.uint32), lengths, np.repeat(unpack(row["learned"], np.uint8), lengths)
+class Opened:
+    """A block's arrays: tokens, the shard of each word, text lengths, and for each token whether it is learned from."""
+
+    def __init__(self, row: dict):
+        self.tokens = unpack(row["tokens"], np.uint32)
+        dealt = unpack(row["dealt"], np.uint32).astype(np.int64)
+        self.own, (self.begin, self.end) = np.repeat(np.arange(len(dealt) - 2), dealt[:-2]), dealt[-2:].tolist()
+        self.lengths = unpack(row["lengths"], np.uint32).astype(np.int64)
+        self.texts_learned = unpack(row["learned"], np.uint8)
+        self.learned = np.repeat(self.texts_learned, self.lengths)
 
 
 def _each_block(blocks: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
@@ -307,7 +309,7 @@ def _each_block(blocks: DataFrame, columns: list[str], run, schema: str) -> Data
     return blocks.select(columns).mapInArrow(over, schema)
 
 
-OPEN = ["block", "names", "tokens", "learned", "lengths"]
+OPEN = ["block", "dealt", "tokens", "learned", "lengths"]
 #: Kinds of messages.
 COUNT, PAIRS, COMMON, TOTAL = range(4)
 
@@ -316,56 +318,71 @@ def word_counts(blocks: DataFrame, shards: int) -> DataFrame:
     """Messages: how often each word of a block was learned (COUNT), each shard's tokens and words (TOTAL), common words (COMMON)."""
 
     def ask(row: dict) -> pa.RecordBatch:
-        names, tokens, _, learned = _opened(row)
-        count = np.bincount(tokens[learned > 0], minlength=len(names)).astype(np.uint32)
-        count[np.searchsorted(names, _U(BEGIN))] = 0
-        return _messages([(row["block"], s, COUNT, _joined([pack(names[at]), pack(count[at])])) for s, at in _by((mix(names) % _U(shards)).astype(np.int64))])
+        block, names = Opened(row), unpack(row["names"], _U)
+        count = np.bincount(block.tokens[block.learned > 0], minlength=len(names)).astype(np.uint32)
+        count[block.begin] = 0
+        return _messages([(row["block"], s, COUNT, _joined([pack(np.diff(names[at], prepend=_U(0))), pack(count[at])])) for s, at in _by(block.own)])
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         parts = [_split(d.as_py()) for d in table["data"]]
-        names = [unpack(p[0], _U) for p in parts]
+        names = [np.cumsum(unpack(p[0], _U)) for p in parts]
         known, at = np.unique(np.concatenate(names), return_inverse=True)
         count = np.bincount(at, weights=np.concatenate([unpack(p[1], np.uint32) for p in parts]), minlength=len(known)).astype(np.int64)
         cuts = np.cumsum([len(n) for n in names])[:-1]
         out = [(b, shard, COUNT, pack(x)) for b, x in zip(table["block"].to_pylist(), np.split(count[at], cuts), strict=True)]
-        most = np.argsort(-count)[:COMMONEST]
+        most = np.argsort(-count, kind="stable")[: max(1, SHORT // shards)]
         out.append((-1, shard, TOTAL, np.array([count.sum(), (count > 0).sum()]).tobytes()))
         out.append((-1, shard, COMMON, known[most].tobytes() + count[most].tobytes()))
         return pa.Table.from_batches([_messages(out)])
 
-    return _each_block(blocks, OPEN, ask, MESSAGE).groupBy("shard").applyInArrow(answer, MESSAGE)
+    return _each_block(blocks, [*OPEN, "names"], ask, MESSAGE).groupBy("shard").applyInArrow(answer, MESSAGE)
+
 
+def common_words(counts: DataFrame, shards: int) -> tuple[int, int, int, np.ndarray, dict[int, int]]:
+    """Number of learned tokens and words; a count, the words that have more and their counts; common words, sorted.
 
-def split_words(counts: DataFrame, shards: int) -> tuple[int, int, dict[int, int]]:
-    """Number of learned tokens and words, and the count of each word with more than an even shard of the tokens."""
-    tokens = words = 0
+    That count is an even shard of the tokens, or more if a shard could not name all such words; so those that have more
+    are fewer than shards. There are SHORT common words, or one a shard.
+    """
+    tokens = words = most = 0
     for row in counts.where(F.col("kind") == TOTAL).select("data").toLocalIterator():
         n, v = np.frombuffer(row["data"], dtype=np.int64).tolist()
         tokens, words = tokens + n, words + v
-    found = {}
+    names, number = [], []
     for row in counts.where(F.col("kind") == COMMON).select("data").toLocalIterator():
         half = len(row["data"]) // 2
-        for name, n in zip(np.frombuffer(row["data"][:half], dtype=_U).tolist(), np.frombuffer(row["data"][half:], dtype=np.int64).tolist(), strict=True):
-            if n * shards > tokens:
-                found[BEGIN if name == END else name] = n  # as many texts begin as end; nothing follows an end
-    return tokens, words, found
+        names.append(np.frombuffer(row["data"][:half], dtype=_U))
+        number.append(np.frombuffer(row["data"][half:], dtype=np.int64))
+        if len(names[-1]) >= SHORT // shards:
+            most = max(most, int(number[-1][-1]))
+    names, number = np.concatenate([np.empty(0, _U), *names]), np.concatenate([np.empty(0, np.int64), *number])
+    least = max(tokens // shards, most)
+    hot = dict(zip(names[number > least].tolist(), number[number > least].tolist(), strict=True))
+    if END in hot:
+        hot[BEGIN] = hot.pop(END)  # as many texts begin as end; nothing follows an end
+    return tokens, words, least, np.sort(names), hot
+
 
+def _ways(count: np.ndarray, least: int, tokens: int, shards: int) -> np.ndarray:
+    """Over how many shards the followers of words are dealt."""
+    return np.where(count > least, 1 + count * shards // max(tokens, 1), 1)
 
-def followers(blocks: DataFrame, split: dict[int, int], shards: int) -> dict[int, int]:
+
+def followers(blocks: DataFrame, hot: dict[int, int], shards: int) -> dict[int, int]:
     """How many different words follow each of a few words, counted in parts by the name of the follower."""
-    if not split:
+    if not hot:
         return {}
 
     def ask(row: dict) -> pa.RecordBatch:
-        names, tokens, _, learned = _opened(row)
-        grams = Grams(np.where(learned > 0, tokens, np.searchsorted(names, _U(BEGIN))), int(np.searchsorted(names, _U(BEGIN))), 2, len(names))
+        block, names = Opened(row), unpack(row["names"], _U)
+        grams = Grams(np.where(block.learned > 0, block.tokens, block.begin), block.begin, 2, len(names))
         root, word = np.divmod(grams.keys[0], len(names))
-        hot = np.isin(names[root], np.array(list(split), dtype=_U))
-        root, word = names[root[hot]], names[word[hot]]
+        few = np.isin(names[root], np.array(list(hot), dtype=_U))
+        root, word = root[few], word[few]
         out = []
-        for s, at in _by((mix(word) % _U(shards)).astype(np.int64)):
-            out.append((row["block"], s, PAIRS, _joined([pack(root[at]), pack(word[at])])))
+        for s, at in _by(block.own[word]):
+            out.append((row["block"], s, PAIRS, _joined([pack(names[root[at]]), pack(names[word[at]])])))
         return _messages(out)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -375,58 +392,78 @@ def followers(blocks: DataFrame, split: dict[int, int], shards: int) -> dict[int
         count = np.bincount(np.unique(root * len(words) + word) // len(words), minlength=len(roots))
         return pa.table({"name": pa.array(roots.view(np.int64)), "n": pa.array(count)})
 
-    found = _each_block(blocks, OPEN, ask, MESSAGE).groupBy("shard").applyInArrow(answer, "name long, n long")
+    found = _each_block(blocks, [*OPEN, "names"], ask, MESSAGE).groupBy("shard").applyInArrow(answer, "name long, n long")
     return {r["name"] % 2**64: r["n"] for r in found.groupBy("name").agg(F.sum("n").alias("n")).collect()}
 
 
-def answers(blocks: DataFrame, order: int, shards: int, split: dict[int, tuple[int, int]], ways: dict[int, int], discount: float) -> DataFrame:
-    """For each block and shard the quantised probabilities of the block's n-grams there (PAIRS)."""
+def _said(names: np.ndarray, common: np.ndarray) -> list[bytes]:
+    """Sorted names in brief: numbers of common words, and the names of others."""
+    at = np.searchsorted(common, names)
+    known = at < len(common)
+    known[known] = common[at[known]] == names[known]
+    return [pack(np.diff(at[known], prepend=0).astype(np.uint32)), pack(np.diff(names[~known], prepend=_U(0)))]
+
+
+def _understood(numbers: bytes, names: bytes, common: np.ndarray) -> np.ndarray:
+    return np.sort(np.concatenate((common[np.cumsum(unpack(numbers, np.uint32))], np.cumsum(unpack(names, _U)))))
+
+
+def answers(blocks: DataFrame, order: int, shards: int, split: dict[int, tuple[int, int]], ways: dict[int, int], common: np.ndarray, discount: float) -> DataFrame:
+    """For each block and shard the quantised probabilities of the block's n-grams there (PAIRS).
+
+    ``split`` has count and followers of each word whose followers are dealt over several shards, ``ways`` over how many.
+    """
+    hot = np.array(sorted(ways), dtype=_U)
+    dealt = np.array([ways[w] for w in sorted(ways)], dtype=np.int64)
 
     def ask(row: dict) -> pa.RecordBatch:
-        names, tokens, _, learned = _opened(row)
-        grams = Grams(tokens, int(np.searchsorted(names, _U(BEGIN))), order, len(names))
-        where = grams.shards(names, shards, ways)
-        counts = [np.bincount(a[t], weights=learned[t], minlength=len(k)).astype(np.uint32) for a, t, k in zip(grams.at, grams.tokens, grams.keys, strict=True)]
+        block, names = Opened(row), unpack(row["names"], _U)
+        grams = Grams(block.tokens, block.begin, order, len(names))
+        over = np.ones(len(names), dtype=np.int64)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
+            over = np.where(hot[at] == names, dealt[at], 1)
+        where = grams.shards(block.own, over, shards)
+        counts = [np.bincount(a[t], weights=block.learned[t], minlength=len(k)).astype(np.uint32) for a, t, k in zip(grams.at, grams.tokens, grams.keys, strict=True)]
         longer = [dict(_by(w)) for w in where[1:]]
         out = []
         for s, at in _by(where[0]):
             root, word = np.divmod(grams.keys[0][at], len(names))
-            parts, used, above = [], [root, word], at
-            levels = [(word, counts[0][at])]
-            fans = [np.unique(root, return_counts=True)]
+            roots, fan = np.unique(root, return_counts=True)
+            levels, above = [(fan, word, counts[0][at])], at
             for k, places in enumerate(longer, 1):
                 mine = places.get(s, np.empty(0, dtype=np.int64))
                 context, word = np.divmod(grams.keys[k][mine], len(names))
-                fans.append((None, np.bincount(np.searchsorted(above, context), minlength=len(above))))
-                levels.append((word, counts[k][mine]))
-                used.append(word)
+                levels.append((np.bincount(np.searchsorted(above, context), minlength=len(above)), word, counts[k][mine]))
                 above = mine
-            local = np.unique(np.concatenate(used))
-            parts = [pack(names[local]), pack(np.searchsorted(local, fans[0][0]).astype(np.uint32))]
-            for (word, count), (_, fan) in zip(levels, fans, strict=True):
-                parts += [pack(fan.astype(np.uint32)), pack(np.searchsorted(local, word).astype(np.uint32)), pack(count)]
+            local = np.sort(names[np.unique(np.concatenate([roots, *[w for _, w, _ in levels]]))])
+            said = lambda w: pack(np.searchsorted(local, names[w]).astype(np.uint32))  # noqa: E731, B023
+            parts = [*_said(local, common), said(roots)]
+            for fan, word, count in levels:
+                parts += [pack(fan.astype(np.uint32)), said(word), pack(count)]
             out.append((row["block"], s, PAIRS, _joined(parts)))
         return _messages(out)
 
     def answer(table: pa.Table) -> pa.Table:
         shard, parts = table["shard"][0].as_py(), [_split(d.as_py()) for d in table["data"]]
-        names = [unpack(p[0], _U) for p in parts]
+        names = [_understood(*p[:2], common) for p in parts]
         known = np.unique(np.concatenate(names))
         number = [np.searchsorted(known, n) for n in names]
         words = len(known)
         column = lambda k: [unpack(p[k], np.uint32) for p in parts]
-        roots = [n[r] for n, r in zip(number, column(1), strict=True)]
-        context = np.concatenate([np.repeat(r, f) for r, f in zip(roots, column(2), strict=True)])
+        roots = [n[r] for n, r in zip(number, column(2), strict=True)]
+        context = np.concatenate([np.repeat(r, f) for r, f in zip(roots, column(3), strict=True)])
         keys, counts, at, sizes = [], [], [], []
         for k in range(order - 1):
-            word = np.concatenate([n[w] for n, w in zip(number, column(3 + 3 * k), strict=True)])
-            sizes.append([len(w) for w in column(3 + 3 * k)])
+            said = column(4 + 3 * k)
+            word = np.concatenate([n[w] for n, w in zip(number, said, strict=True)])
+            sizes.append([len(w) for w in said])
             if k:
-                context = np.repeat(at[-1], np.concatenate(column(2 + 3 * k)))
+                context = np.repeat(at[-1], np.concatenate(column(3 + 3 * k)))
             key, place = np.unique(context * words + word, return_inverse=True)
             keys.append(key)
             at.append(place)
-            counts.append(np.bincount(place, weights=np.concatenate(column(4 + 3 * k)), minlength=len(key)))
+            counts.append(np.bincount(place, weights=np.concatenate(column(5 + 3 * k)), minlength=len(key)))
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:
             learned, learned_counts, new = [], [], None
             for k, (key, count) in enumerate(zip(keys, counts, strict=True)):
@@ -451,7 +488,7 @@ def answers(blocks: DataFrame, order: int, shards: int, split: dict[int, tuple[i
         out = [(b, shard, PAIRS, _joined([pack(x) for x in rows])) for b, *rows in zip(table["block"].to_pylist(), *asked, strict=True)]
         return pa.Table.from_batches([_messages(out)])
 
-    return _each_block(blocks, OPEN, ask, MESSAGE).groupBy("shard").applyInArrow(answer, MESSAGE)
+    return _each_block(blocks, [*OPEN, "names"], ask, MESSAGE).groupBy("shard").applyInArrow(answer, MESSAGE)
 
 
 def score_texts(df: DataFrame, learn: Column, text: str = "text", key: str = "doc_id", order: int = 3, discount: float = DISCOUNT) -> DataFrame:
@@ -468,15 +505,15 @@ def score_texts(df: DataFrame, learn: Column, text: str = "text", key: str = "do
     spark = df.sparkSession
     shards = 2 * shuffle_width(spark)
     folder = scratch_folder(spark, "ngrams")
-    text_blocks(df, text, key, learn).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    text_blocks(df, text, key, learn, shards).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
     word_counts(blocks, shards).write.option("compression", "zstd").parquet(f"{folder}/words")
     counts = spark.read.parquet(f"{folder}/words")
-    tokens, words, common = split_words(counts, shards)
-    number = followers(blocks, common, shards)
-    split = {w: (n, number.get(w, 0)) for w, n in common.items()}
-    ways = {w: 1 + n * shards // max(tokens, 1) for w, n in common.items()}
-    said = answers(blocks, order, shards, split, ways, discount)
+    tokens, words, least, common, hot = common_words(counts, shards)
+    number = followers(blocks, hot, shards)
+    split = {w: (n, number.get(w, 0)) for w, n in hot.items()}
+    ways = {w: int(_ways(np.array(n), least, tokens, shards)) for w, n in hot.items()}
+    said = answers(blocks, order, shards, split, ways, common, discount)
     kind = dict(blocks.dtypes)["keys"]
     empty = F.lit(None).cast("binary")
     own = blocks.select("block", F.lit(-1).alias("shard"), F.lit(TOTAL).alias("kind"), empty.alias("data"), *OPEN[1:], "keys")
@@ -488,34 +525,35 @@ def score_texts(df: DataFrame, learn: Column, text: str = "text", key: str = "do
     def finish(table: pa.Table) -> pa.Table:
         rows = table.select(["shard", "kind", "data", *OPEN[1:]]).to_pylist()
         row = next(r for r in rows if r["kind"] == TOTAL)
-        names, token, lengths, learned = _opened(row)
-        begin = int(np.searchsorted(names, _U(BEGIN)))
-        count = np.zeros(len(names), dtype=np.int64)
+        block = Opened(row)
+        token = block.tokens
+        count = np.zeros(len(block.own), dtype=np.int64)
         given = {(r["kind"], r["shard"]): r["data"] for r in rows}
-        for s, at in _by((mix(names) % _U(shards)).astype(np.int64)):
+        for s, at in _by(block.own):
             count[at] = unpack(given[COUNT, s], np.int64)
-        grams = Grams(token, begin, order, len(names))
-        where = grams.shards(names, shards, ways)
+        grams = Grams(token, block.begin, order, len(count))
+        begun = np.where(np.arange(len(count)) == block.begin, count[block.end], count)
+        where = grams.shards(block.own, _ways(begun, least, tokens, shards), shards)
         longer = [dict(_by(w)) for w in where[1:]]
         found = [np.zeros(len(k)) for k in grams.keys]
         left = [np.ones(len(k)) for k in grams.keys]
         for s, at in _by(where[0]):
             parts = [unquantised(unpack(d, np.uint16)) for d in _split(given[PAIRS, s])]
             found[0][at] = parts[1]
-            left[0][at] = parts[0][np.unique(grams.keys[0][at] // len(names), return_inverse=True)[1]]
+            left[0][at] = parts[0][np.unique(grams.keys[0][at] // len(count), return_inverse=True)[1]]
             here = at
             for k, places in enumerate(longer, 1):
-                share = parts[2 * k][np.searchsorted(here, grams.keys[k][mine := places.get(s, np.empty(0, dtype=np.int64))] // len(names))]
+                share = parts[2 * k][np.searchsorted(here, grams.keys[k][mine := places.get(s, np.empty(0, dtype=np.int64))] // len(count))]
                 found[k][mine], left[k][mine], here = parts[2 * k + 1], share, mine
         unigram = (count + 1) / (tokens + words + 1)
         p = unigram[token]
         for at, hit, f, b in zip(grams.at, grams.tokens, found, left, strict=True):
             p[hit] = f[at[hit]] + b[at[hit]] * p[hit]
-        said_so = token != begin
-        starts = np.cumsum(lengths) - lengths
+        said_so = token != block.begin
+        starts = np.cumsum(block.lengths) - block.lengths
         summed = lambda x: np.add.reduceat(np.where(said_so, x, 0), starts)
         values = [
-            unpack(row["learned"], np.uint8) > 0,
+            block.texts_learned > 0,
             summed(np.ones(len(token), dtype=np.int64)),
             summed((count[token] > 0).astype(np.int64)),
             summed(np.log10(unigram)[token]),
