@@ -93,6 +93,21 @@ def quantised(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, 1 + np.clip(np.round(-np.log2(np.maximum(p, 1e-300)) * 1023), 0, 65534), 0).astype(np.uint16)
 
 
+def beside(code: np.ndarray, fan: np.ndarray) -> list[bytes]:
+    """Codes of consecutive groups: the largest code of each, and how far from it each of its codes is; zeros stay.
+
+    Most of a context's words were seen once, so most codes are its largest.
+    """
+    heads = np.cumsum(fan, dtype=np.int64) - fan.astype(np.int64)
+    most = np.maximum.reduceat(code, heads) if len(code) else code
+    return [pack(most), pack(np.where(code > 0, 1 + np.repeat(most, fan) - code, 0).astype(np.uint16))]
+
+
+def from_beside(most: bytes, away: bytes, fan: np.ndarray) -> np.ndarray:
+    gap = unpack(away, np.uint16)
+    return np.where(gap > 0, np.repeat(unpack(most, np.uint16), fan) + 1 - gap, 0).astype(np.uint16)
+
+
 def unquantised(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, np.exp2((1 - code.astype(np.float64)) / 1023), 0.0)
 
@@ -481,11 +496,17 @@ def answers(blocks: DataFrame, order: int, shards: int, split: dict[int, tuple[i
                 context = node if k == 0 else node[key // words]
                 node, code = trie.children(k, context, key % words)
                 cuts = np.cumsum(sizes[k])[:-1]
-                asked.append(np.split(code[at[k]], cuts))
+                codes = np.split(code[at[k]], cuts)
+                if k == 0:
+                    both = [beside(c, f) for c, f in zip(codes, column(3), strict=True)]
+                    asked += [[b[0] for b in both], [b[1] for b in both]]
+                else:
+                    asked.append(codes)
                 if k + 2 < order:
                     asked.append(np.split(trie.shares(k + 1, node)[at[k]], cuts))
             del trie
-        out = [(b, shard, PAIRS, _joined([pack(x) for x in rows])) for b, *rows in zip(table["block"].to_pylist(), *asked, strict=True)]
+        as_bytes = lambda x: x if isinstance(x, bytes) else pack(x)
+        out = [(b, shard, PAIRS, _joined([as_bytes(x) for x in rows])) for b, *rows in zip(table["block"].to_pylist(), *asked, strict=True)]
         return pa.Table.from_batches([_messages(out)])
 
     return _each_block(blocks, [*OPEN, "names"], ask, MESSAGE).groupBy("shard").applyInArrow(answer, MESSAGE)
@@ -538,13 +559,15 @@ def score_texts(df: DataFrame, learn: Column, text: str = "text", key: str = "do
         found = [np.zeros(len(k)) for k in grams.keys]
         left = [np.ones(len(k)) for k in grams.keys]
         for s, at in _by(where[0]):
-            parts = [unquantised(unpack(d, np.uint16)) for d in _split(given[PAIRS, s])]
-            found[0][at] = parts[1]
-            left[0][at] = parts[0][np.unique(grams.keys[0][at] // len(count), return_inverse=True)[1]]
+            shares, most, away, *rest = _split(given[PAIRS, s])
+            _, root, fan = np.unique(grams.keys[0][at] // len(count), return_inverse=True, return_counts=True)
+            found[0][at] = unquantised(from_beside(most, away, fan))
+            left[0][at] = unquantised(unpack(shares, np.uint16))[root]
+            parts = [unquantised(unpack(d, np.uint16)) for d in rest]
             here = at
             for k, places in enumerate(longer, 1):
-                share = parts[2 * k][np.searchsorted(here, grams.keys[k][mine := places.get(s, np.empty(0, dtype=np.int64))] // len(count))]
-                found[k][mine], left[k][mine], here = parts[2 * k + 1], share, mine
+                share = parts[2 * k - 2][np.searchsorted(here, grams.keys[k][mine := places.get(s, np.empty(0, dtype=np.int64))] // len(count))]
+                found[k][mine], left[k][mine], here = parts[2 * k - 1], share, mine
         unigram = (count + 1) / (tokens + words + 1)
         p = unigram[token]
         for at, hit, f, b in zip(grams.at, grams.tokens, found, left, strict=True):
