@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as tx
 from spindrift.operators import dataset as ds
-from spindrift.session import durable
+from spindrift.session import durable, observed
 from spindrift.sources.records import read_records
-from spindrift.sources.sinks import write_lines, write_manifest
+from spindrift.sources.sinks import write_jsonl, write_manifest
 
 # Names that a field may go by, in order.
 PROBLEM = ("problem", "question", "prompt")
@@ -162,27 +163,29 @@ def build_dataset(
         raise ValueError("the target must equal the sum of the quotas")
     candidates = load_candidates(spark, sources)
     identities, tokens = (durable(x) for x in load_exclusions(spark, benchmarks))
-    marked = durable(ds.mark_leakage(candidates, identities, tokens))
+    marked, leaked = observed(ds.mark_leakage(candidates, identities, tokens), ds.leakage_measures())
     clean = durable(ds.drop_leakage(marked))
     quotas = spark.createDataFrame([(s.name, s.quota) for s in sources], "source string, quota long")
     decided = ds.select_train(clean, quotas, seed, cap)
     if not allow_shortfall:
         ds.require_no_shortfall(ds.shortfalls(decided, quotas))
-    train = durable(decided.where("verdict = 'taken'"))
-    canary = durable(ds.select_canary(clean, train, canary_size, seed, cap).where("verdict = 'taken'"))
+    rows = [F.count("*").alias("rows")]
+    train, in_train = observed(decided.where("verdict = 'taken'"), rows)
+    canary, in_canary = observed(ds.select_canary(clean, train, canary_size, seed, cap).where("verdict = 'taken'"), rows)
     leaks = durable(ds.output_leakage(train, canary, identities, tokens))
     if bad := leaks.where("rows > 0").collect():
         raise ValueError("outputs leak: " + ", ".join(r["check"] for r in bad))
-    counts = {"duplicates": ds.duplicate_stats(candidates), "leakage": ds.leakage_counts(marked)}
-    counts |= {"train": train.agg(F.count("*").alias("rows")), "canary": canary.agg(F.count("*").alias("rows"))}
-    audit = ds.audit(counts).union(leaks.select(F.lit("output_leakage"), "check", "rows"))
+    counted = [(section, metric, n) for section, x in (("leakage", leaked), ("train", in_train), ("canary", in_canary)) for metric, n in x.items()]
+    audit = ds.audit({"duplicates": ds.duplicate_stats(candidates)}).union(leaks.select(F.lit("output_leakage"), "check", "rows"))
+    audit = audit.union(spark.createDataFrame(counted, "section string, metric string, value long"))
     return {"train": ds.output_order(train, seed, "train-output"), "canary": ds.output_order(canary, seed, "canary-output"), "audit": audit}
 
 
-def write_dataset(parts: dict[str, DataFrame], folder: str) -> None:
-    """train.jsonl, canary.jsonl and manifest.json; equal inputs give equal bytes."""
+def write_dataset(parts: dict[str, DataFrame], folder: str, split: bool = False) -> None:
+    """train.jsonl, canary.jsonl and manifest.json; equal inputs give equal bytes. With ``split`` folders of part files."""
+    os.makedirs(folder, exist_ok=True)
     for name in ("train", "canary"):
-        write_lines(parts[name].select("record"), f"{folder}/{name}.jsonl")
+        write_jsonl(parts[name].select("record"), f"{folder}/{name}.jsonl", raw=True, parts=split)
     manifest: dict = {}
     for r in parts["audit"].collect():  # a few counters
         manifest.setdefault(r["section"], {})[r["metric"]] = r["value"]

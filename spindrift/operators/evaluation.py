@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators.dataset import in_blocks
+
 # Report rows of spatial benchmarks (key, metric), and the question types that make up a macro mean.
 SPACE_REPORT = (
     ("object_counting", "MRA"),
@@ -190,10 +192,42 @@ def suite_status(expected: DataFrame, summaries: DataFrame, key: str = "task") -
 
 
 def nearest_frame(frames: DataFrame, asked: DataFrame, key: str, frame: str = "frame", time: str = "time") -> DataFrame:
-    """The frame nearest to each time asked for under the same key (J8); ties go to the lower frame."""
-    joined = asked.join(frames, key)
-    gap = F.struct(F.abs(F.col(frame) - F.col(time)), F.col(frame))
-    return joined.groupBy(*asked.columns).agg(F.min_by(frame, gap).alias(frame))
+    """asked with the frame nearest to its time under the same key (J8): an as-of join to both sides.
+
+    Frames and times lie on one timeline that is cut into blocks, so a key may hold any share of the rows. A time takes
+    the last frame before it and the first behind it from its block, else from the blocks around, of which there is a
+    row for each key. Ties go to the lower frame. Times that are null or no number, and those of a key without frames,
+    are left out; repeated ones stay.
+    """
+    place = lambda name: F.col(name).cast("double").alias("_at")
+    shown = frames.select(F.col(key).alias("_key"), place(frame), F.lit(0).alias("_side"), F.col(frame).alias("_frame"))
+    times = asked.select(F.col(key).alias("_key"), place(time), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in asked.columns]).alias("_row"))
+    both = shown.unionByName(times, allowMissingColumns=True).where("_key IS NOT NULL AND _at IS NOT NULL AND NOT isnan(_at)")
+    line = in_blocks(both, ["_key", "_at", "_side"])
+    inside, order = Window.partitionBy("_key", "_b"), [F.col("_at"), F.col("_side")]
+    until = Window.unboundedPreceding
+    before = F.max("_frame").over(inside.orderBy(*order).rowsBetween(until, 0))
+    behind = F.min("_frame").over(inside.orderBy(*[c.desc() for c in order]).rowsBetween(until, 0))
+    heads = line.groupBy("_key", "_b").agg(F.min("_frame").alias("_low"), F.max("_frame").alias("_high"))
+    blocks = Window.partitionBy("_key")
+    carried = heads.select(
+        "_key", "_b", F.max("_high").over(blocks.orderBy("_b").rowsBetween(until, -1)).alias("_left"),
+        F.min("_low").over(blocks.orderBy(F.col("_b").desc()).rowsBetween(until, -1)).alias("_right"),
+    )
+    found = line.select("*", before.alias("_before"), behind.alias("_behind")).where("_side = 1").join(carried, ["_key", "_b"])
+    left, right = F.coalesce("_before", "_left"), F.coalesce("_behind", "_right")
+    nearer = F.when(right.isNull() | (F.col("_at") - left <= right - F.col("_at")), left).otherwise(right)
+    return found.select("_row.*", F.coalesce(nearer, right).alias(frame)).where(F.col(frame).isNotNull())
+
+
+def in_video_order(df: DataFrame, video: str = "videoID", question: str = "question_id") -> DataFrame:
+    """Samples by video, then question; missing values count as empty texts (Q6)."""
+    return df.orderBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (video, question)])
+
+
+def in_image_order(df: DataFrame, image: str = "image_path", expression: str = "expression") -> DataFrame:
+    """Samples by image, then referring expression (Q7)."""
+    return df.orderBy(F.col(image).asc_nulls_first(), F.col(expression).asc_nulls_first())
 
 
 # Instructions that prompts end with.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spindrift.plans import evaluation, groups, preparation, repository
+from spindrift.plans import evaluation, groups, media, preparation, repository, sources
 
-PARTS = (groups, preparation, evaluation, repository)
+PARTS = (groups, preparation, evaluation, repository, media, sources)
 
 
 def queries() -> dict:

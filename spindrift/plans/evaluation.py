@@ -217,18 +217,6 @@ def _(spark, d):
     return ev.remaining(read(spark, d, "documents").select(key), read(spark, d, "labels").select(key))
 
 
-@query(
-    "j8_nearest_frame",
-    """WITH f AS (SELECT DISTINCT user_id AS video, event_id AS frame FROM events WHERE event_id % 3 = 0), q AS (SELECT DISTINCT user_id AS video, CAST(event_id AS DOUBLE) + 0.25 AS time FROM events WHERE event_id % 7 = 0)
-    SELECT q.video, time, arg_min(frame, [abs(frame - time), frame]) AS frame FROM q JOIN f ON q.video = f.video GROUP BY q.video, time""",
-)
-def _(spark, d):
-    events = read(spark, d, "events")
-    frames = events.where("event_id % 3 = 0").select(F.col("user_id").alias("video"), F.col("event_id").alias("frame")).distinct()
-    asked = events.where("event_id % 7 = 0").select(F.col("user_id").alias("video"), (F.col("event_id").cast("double") + 0.25).alias("time")).distinct()
-    return ev.nearest_frame(frames, asked, "video")
-
-
 def spans(spark, d):
     v = F.col("value")
     return read(spark, d, "events").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "spindrift", cores: int | str = "*", shuffle: int = 8) -> SparkSession:
@@ -39,6 +39,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def observed(df: DataFrame, measures: list[Column]) -> tuple[DataFrame, dict]:
+    """durable(df) and aggregates over its rows, taken in the pass that writes them."""
+    seen = Observation()
+    return durable(df.observe(seen, *measures)), seen.get
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables beside the checkpoints, which the driver and all executors share."""
     ensure_checkpoint_dir(spark)

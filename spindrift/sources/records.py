@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WRAPPERS = ("records", "data", "samples", "results")
-CONTAINERS = ("annotations", "items", "questions")
+from spindrift.sources.containers import CONTAINERS, WRAPPERS, read_containers
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -54,16 +51,9 @@ def flatten_container(text: str) -> list[dict]:
     return value
 
 
-def read_documents(spark: SparkSession, path: str | list[str], parse=unwrap) -> DataFrame:
-    """path, ordinal, record (JSON text) of whole JSON files; each file is parsed by one task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, i, json.dumps(r, ensure_ascii=False, sort_keys=True)) for p, t in zip(pdf["path"], pdf["value"], strict=True) for i, r in enumerate(parse(t))]
-            yield pd.DataFrame(rows, columns=["path", "ordinal", "record"])
-
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.mapInPandas(run, "path string, ordinal long, record string")
+def read_documents(spark: SparkSession, path: str | list[str], members: bool = False) -> DataFrame:
+    """path, ordinal, record (JSON text) of whole JSON files (S2), or with ``members`` of containers (S8), read by ranges."""
+    return read_containers(spark, path, CONTAINERS if members else WRAPPERS, members)
 
 
 LINE_FILES = (".jsonl", ".ndjson")
@@ -86,7 +76,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, ordinal, record of files by suffix (S2): lines of JSON, or whole JSON files."""
+    """path, ordinal, record of files by suffix (S2): lines of JSON, or whole JSON files; both are read by many tasks."""
     given = [paths] if isinstance(paths, str) else list(paths)
     lined = [p for p in given if p.lower().endswith(LINE_FILES)]
     whole = [p for p in given if p not in lined]

@@ -1,4 +1,4 @@
-"""Writers (K1-K6)."""
+"""Writers (K1-K6); JSON lines are in ``jsonl``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import canonical_json
+from spindrift.sources.jsonl import write_jsonl
+
+__all__ = ["log_metrics", "write_batch", "write_jsonl", "write_manifest", "write_results"]
 
 
 def _replace(path: str, chunks) -> None:
@@ -27,16 +29,6 @@ def _replace(path: str, chunks) -> None:
         raise
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """One file of canonical JSON lines in df's order (K1). Rows stream through the driver one partition at a time."""
-    _replace(path, (canonical_json(r.asDict(recursive=True)) + "\n" for r in df.toLocalIterator()))
-
-
-def write_lines(df: DataFrame, path: str) -> None:
-    """One file of the texts of df's only column, in df's order; they are JSON already (K1)."""
-    _replace(path, (r[0] + "\n" for r in df.toLocalIterator()))
-
-
 def write_manifest(value: dict, path: str) -> None:
     """An indented JSON document with sorted keys (K2)."""
     _replace(path, [json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False) + "\n"])
