@@ -427,13 +427,15 @@ def answers(blocks: DataFrame, order: int, shards: int, split: dict[int, tuple[i
     """For each block and shard the quantised probabilities of the block's n-grams there (PAIRS).
 
     ``split`` has count and followers of each word whose followers are dealt over several shards, ``ways`` over how many.
+    Only a shard's own words need to be told apart here, so requests say the upper 48 bits of their names.
     """
+    split, common = {w >> 16: v for w, v in split.items()}, np.unique(common >> _U(16))
     hot = np.array(sorted(ways), dtype=_U)
     dealt = np.array([ways[w] for w in sorted(ways)], dtype=np.int64)
 
     def ask(row: dict) -> pa.RecordBatch:
         block, names = Opened(row), unpack(row["names"], _U)
-        grams = Grams(block.tokens, block.begin, order, len(names))
+        grams, brief = Grams(block.tokens, block.begin, order, len(names)), names >> _U(16)
         over = np.ones(len(names), dtype=np.int64)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
@@ -451,8 +453,8 @@ def answers(blocks: DataFrame, order: int, shards: int, split: dict[int, tuple[i
                 context, word = np.divmod(grams.keys[k][mine], len(names))
                 levels.append((np.bincount(np.searchsorted(above, context), minlength=len(above)), word, counts[k][mine]))
                 above = mine
-            local = np.sort(names[np.unique(np.concatenate([roots, *[w for _, w, _ in levels]]))])
-            said = lambda w: pack(np.searchsorted(local, names[w]).astype(np.uint32))  # noqa: E731, B023
+            local = np.unique(brief[np.unique(np.concatenate([roots, *[w for _, w, _ in levels]]))])
+            said = lambda w: pack(np.searchsorted(local, brief[w]).astype(np.uint32))  # noqa: E731, B023
             parts = [*_said(local, common), said(roots)]
             for fan, word, count in levels:
                 parts += [pack(fan.astype(np.uint32)), said(word), pack(count)]
