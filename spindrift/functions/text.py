@@ -84,34 +84,43 @@ def has_content(value) -> bool:
     return isinstance(value, (list, tuple)) and any(has_content(v) for v in value)
 
 
-@F.pandas_udf(T.StringType())
+def series_udf(kind):
+    """A function of columns from one of series. The UDF is made when it is called: modules travel inside plans, and a UDF that has run cannot."""
+
+    def made(f):
+        return lambda *columns: F.pandas_udf(f, kind)(*columns)
+
+    return made
+
+
+@series_udf(T.StringType())
 def fold_text_udf(values: pd.Series) -> pd.Series:
     return values.map(fold_text)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@series_udf(T.ArrayType(T.StringType()))
 def anchors_udf(paths: pd.Series) -> pd.Series:
     return paths.map(lambda ps: sorted({fold_path(p) for p in ps}) if ps is not None else [])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@series_udf(T.ArrayType(T.StringType()))
 def leakage_tokens_udf(anchors: pd.Series) -> pd.Series:
     return anchors.map(lambda a: leakage_tokens(list(a)) if a is not None else [])
 
 
-@F.pandas_udf(T.StringType())
+@series_udf(T.StringType())
 def identity_udf(problem: pd.Series, problem_type: pd.Series, anchors: pd.Series) -> pd.Series:
     rows = zip(problem, problem_type, anchors, strict=True)
     return pd.Series([identity_of(p, t, list(a) if a is not None else []) for p, t, a in rows])
 
 
-@F.pandas_udf(T.StringType())
+@series_udf(T.StringType())
 def digest_udf(records: pd.Series) -> pd.Series:
     """SHA-256 of a JSON text in canonical form."""
     return records.map(lambda r: sha256(canonical_json(json.loads(r))))
 
 
-@F.pandas_udf(T.BooleanType())
+@series_udf(T.BooleanType())
 def has_content_udf(answers: pd.Series) -> pd.Series:
     """N7 over answers given as JSON text; text that is no JSON counts as a string."""
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.operators.dataset import in_blocks
+from spindrift.operators.dataset import global_rank, in_blocks
 
 # Report rows of spatial benchmarks (key, metric), and the question types that make up a macro mean.
 SPACE_REPORT = (
@@ -220,14 +220,25 @@ def nearest_frame(frames: DataFrame, asked: DataFrame, key: str, frame: str = "f
     return found.select("_row.*", F.coalesce(nearer, right).alias(frame)).where(F.col(frame).isNotNull())
 
 
-def in_video_order(df: DataFrame, video: str = "videoID", question: str = "question_id") -> DataFrame:
-    """Samples by video, then question; missing values count as empty texts (Q6)."""
-    return df.orderBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (video, question)])
+def in_video_order(df: DataFrame, video: tuple[str, ...] = ("videoID", "video_id"), question: tuple[str, ...] = ("question_id", "id")) -> DataFrame:
+    """Samples by video, then question, with their ``place`` from 0 (Q6).
+
+    Of the names given the first with a text that is not empty counts; names that are no columns are passed over. Equal
+    samples stand in any order.
+    """
+    text = lambda names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in df.columns], F.lit(""))
+    return _placed(df, [text(video), text(question)])
 
 
 def in_image_order(df: DataFrame, image: str = "image_path", expression: str = "expression") -> DataFrame:
-    """Samples by image, then referring expression (Q7)."""
-    return df.orderBy(F.col(image).asc_nulls_first(), F.col(expression).asc_nulls_first())
+    """Samples by image, then referring expression, with their ``place`` from 0 (Q7); missing values come first."""
+    return _placed(df, [F.coalesce(F.col(c), F.lit("")) for c in (image, expression)])
+
+
+def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(names, order, strict=True)))
+    return global_rank(keyed, names).withColumnRenamed("rank", "place").drop(*names).orderBy("place")
 
 
 # Instructions that prompts end with.

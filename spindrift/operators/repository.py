@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.session import durable
+
 # Identifiers and paths of a repository.
 DATASET_ID = r"^[a-z][a-z0-9]*(_[a-z0-9]+)*$"
 SHA256 = r"^[0-9a-f]{64}$"
@@ -276,30 +276,33 @@ def check_training(rollouts: int, prune: float, positives: int, negatives: int,
         raise ValueError("; ".join(problems))
 
 
-PATH_KEY = re.compile(r"(?:^|_)(?:path|paths|image|images|video|videos|file|file_name|mask)$")
-
+# Names of fields that hold paths.
+PATH_KEY = r"(?:^|_)(?:path|paths|image|images|video|videos|file|file_name|mask)$"
 
-def discover_paths(df: DataFrame, key: str, document: str) -> DataFrame:
-    """Strings that stand under path-like keys anywhere in JSON text (V14): key, place, path."""
-    kind = dict(df.dtypes)[key]
 
-    def walk(value, place: str, named: bool) -> Iterator[tuple[str, str]]:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                yield from walk(v, f"{place}.{k}", bool(PATH_KEY.search(k)))
-        elif isinstance(value, list):
-            for i, v in enumerate(value):
-                yield from walk(v, f"{place}[{i}]", named)
-        elif named and isinstance(value, str) and value.strip():
-            yield place, value
+def discover_paths(df: DataFrame, key: str, document: str, deepest: int = 64) -> DataFrame:
+    """Strings that stand under path-like keys anywhere in JSON text (V14): key, place, path.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, p, v) for k, t in zip(pdf["key"], pdf["doc"], strict=True) if t for p, v in walk(json.loads(t), "$", False)]
-            yield pd.DataFrame(rows, columns=["key", "place", "path"])
-
-    slim = df.select(F.col(key).alias("key"), F.col(document).alias("doc"))
-    return slim.mapInPandas(run, f"key {kind}, place string, path string").withColumnRenamed("key", key)
+    Documents are opened level by level: one round explodes all containers of a depth, and those inside them go on to
+    the next. Documents that nest deeper than ``deepest`` stop the query; null documents have no paths.
+    """
+    spark = df.sparkSession
+    value = F.parse_json(F.col(document))
+    level = df.where(F.col(document).isNotNull()).select(F.col(key).alias("_key"), F.lit("$").alias("_place"), F.lit(False).alias("_named"), value.alias("_value"))
+    found = []
+    for depth in range(deepest + 1):
+        held = level.where(F.schema_of_variant("_value").rlike("^(OBJECT|ARRAY)"))
+        parts = held.lateralJoin(spark.tvf.variant_explode(F.col("_value").outer()))
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))
+        named = F.when(F.col("key").isNull(), F.col("_named")).otherwise(F.col("key").rlike(PATH_KEY))
+        parts = parts.select("_key", F.concat("_place", step).alias("_place"), named.alias("_named"), F.col("value").alias("_value"), F.schema_of_variant("value").alias("_kind"))
+        parts = durable(parts.where(F.col("_kind").rlike("^(OBJECT|ARRAY)") | (F.col("_named") & (F.col("_kind") == "STRING"))))
+        text = F.try_variant_get("_value", "$", "string")
+        found.append(parts.where((F.col("_kind") == "STRING") & text.rlike(r"(?U)\S")).select(F.col("_key").alias(key), F.col("_place").alias("place"), text.alias("path")))
+        level = parts.where("_kind <> 'STRING'").drop("_kind")
+        if level.isEmpty():
+            return reduce(DataFrame.union, found)
+    raise ValueError(f"documents nest deeper than {deepest} levels")
 
 
 def require_selection(available: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spindrift.plans import evaluation, groups, media, preparation, repository, sources
+from spindrift.plans import answers, evaluation, groups, media, preparation, repository, sources
 
-PARTS = (groups, preparation, evaluation, repository, media, sources)
+PARTS = (groups, preparation, evaluation, repository, media, sources, answers)
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -357,23 +359,54 @@ def _(spark, d):
     return scored.select("id", F.round(F.element_at("metrics", "overall"), 6).alias("overall"))
 
 
-@query("r16_oracle_responses", "SELECT event_id AS id, 1.0::DOUBLE AS overall FROM events")
+@query(
+    "r16_oracle_responses",
+    """WITH s AS (SELECT event_id AS id, event_id % 7 AS f, user_id % 10 + 1 AS h, event_id // 7 % 5 AS w FROM events)
+    SELECT id, CASE f WHEN 0 THEN '<answer>' || h || ' to ' || h + 4 || '</answer>'
+      WHEN 1 THEN '<answer>{"boxes":{"1":[0.0,0.0,10.0,10.0],"2":[10.0,10.0,20.0,20.0]}}</answer>'
+      WHEN 2 THEN '<answer>{"boxes":[0,0,100,100],"positive_points":[[100,100],[300,300],[500,500]],"negative_points":[[900,900],[700,700],[800,100]]}</answer>'
+      WHEN 3 THEN '```json' || chr(10) || '[{"bbox_2d":[10.0,20.0,40.0,60.0],"label":""}]' || chr(10) || '```'
+      WHEN 4 THEN '<answer>{"time":[' || h || '.0,' || h + 1 + w || '.0],"boxes":{"1":[0.0,0.0,10.0,10.0],"2":[0.0,0.0,10.0,10.0]}}</answer>'
+      WHEN 5 THEN '<answer>' || h || '</answer>' ELSE '<answer>' || chr(CAST(65 + h % 8 AS INTEGER)) || '</answer>' END AS response, 1.0::DOUBLE AS overall FROM s""",
+)
 def _(spark, d):
     built = rw.build_oracles(rw.route(samples(spark, d), ["problem_type"]))
-    whole = F.col("item")
-    swapped = F.concat(F.regexp_extract(whole, r'(?s)^(.*"response":)', 1), F.to_json(F.struct(F.col("oracle_response").alias("r"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("oracle_response").alias("r"))))))
-    return rw.score(built.withColumn("item", swapped)).select("id", F.round(F.element_at("metrics", "overall"), 6).alias("overall"))
+    quoted = F.to_json(F.struct(F.col("oracle_response").alias("response")))
+    swapped = F.concat(F.regexp_extract("item", r'(?s)^(.*),"response":', 1), F.lit(","), F.substr(quoted, F.lit(2)))
+    return rw.score(built.withColumn("item", swapped)).select("id", F.col("oracle_response").alias("response"), F.round(F.element_at("metrics", "overall"), 6).alias("overall"))
+
+
+# Ground truths of many shapes; {h} and {w} stand for numbers of the row.
+TRUTHS = (
+    '{{"time":[{h},{w}]}}', '{{"Start":{h},"END":{w}}}', "[{h},{w}]", '"from {h} to {w} s"', '"{h}.5 - {w}"', '{{"boxes":{{"{h}":[0,0,{w},4]}}}}', '{{"boxes":[1,2,{h},{w}]}}',
+    '{{"bbox_2d":[1,2,{h},{w}]}}', '[{{"bbox":[{h},1,{w},2]}},{{"label":"x"}}]', '"({h},1),({w},2)"', '{{"time":[{h},{w}],"boxes":{{"1":[0,0,1,1]}}}}', '{{"Positive Points":[[{h},{w}]],"boxes":[1,2,3,4]}}',
+    '"<answer>{h}</answer>"', "{h}", '"-{h}.25"', '"c"', '"<answer> H </answer>"', '"```json\\n[1,{h},2,{w}]\\n```"',
+)
+_TRUTH_SQL = ", ".join("'" + t.format(h="' || h || '", w="' || w || '") + "'" for t in TRUTHS)
 
 
-@query("r17_infer_family", "SELECT event_id AS id, ['temporal_grounding', 'tracking', 'segmentation', 'spatial_grounding', 'spatial_temporal_grounding', 'spatial_intelligence', 'video_qa'][CAST(event_id % 7 AS INTEGER) + 1] AS family FROM events")
+@query(
+    "r17_infer_family",
+    f"""WITH s AS (SELECT event_id AS id, user_id % 50 + 1 AS h, user_id % 50 + 3 + event_id % 9 AS w FROM events), t AS (SELECT id, ([{_TRUTH_SQL}])[CAST(id % {len(TRUTHS)} AS INTEGER) + 1]::JSON AS j FROM s),
+    u AS (SELECT id, CASE WHEN json_type(j) = 'VARCHAR' THEN trim(regexp_replace(regexp_replace(j->>'$', '</?answer>|```json|```', '', 'g'), chr(10), ' ', 'g')) END AS said, j FROM t),
+    v AS (SELECT id, coalesce(said, j::VARCHAR) AS said, CASE WHEN said IS NULL THEN j WHEN said[1] IN ('[', '{{') THEN said::JSON END AS j FROM u),
+    k AS (SELECT *, CASE WHEN json_type(j) = 'OBJECT' THEN list_transform(json_keys(j), lambda x: lower(replace(x, ' ', '_'))) ELSE [] END AS keys, coalesce(json_type(j), 'NONE') AS kind FROM v)
+    SELECT id, CASE WHEN list_contains(keys, 'positive_points') THEN 'segmentation' WHEN list_has_all(keys, ['boxes', 'time']) THEN 'spatial_temporal_grounding' WHEN json_type(j, '$.boxes') = 'OBJECT' THEN 'tracking'
+      WHEN (kind = 'ARRAY' AND json_array_length(j) = 4) OR json_array_length(j, '$.boxes') = 4 OR json_array_length(j, '$.bbox_2d') = 4 OR json_type(j, '$[0]') = 'OBJECT' THEN 'spatial_grounding'
+      WHEN (kind = 'ARRAY' AND json_array_length(j) = 2) OR json_array_length(j, '$.time') = 2 OR list_has_all(keys, ['start', 'end']) THEN 'temporal_grounding'
+      WHEN regexp_matches(said, '^[A-Ha-h]$') THEN 'video_qa' WHEN regexp_matches(said, '^[-+]?[0-9.]+$') THEN 'spatial_intelligence' WHEN regexp_matches(said, '[0-9]\s*(to|and|-)\s*[0-9]') THEN 'temporal_grounding'
+      WHEN regexp_matches(said, '\(.*\),\(.*\)') THEN 'spatial_grounding' END AS family FROM k""",
+)
 def _(spark, d):
-    @F.pandas_udf("string")
-    def infer(items: pd.Series) -> pd.Series:
-        import json
+    e, u = F.col("event_id"), F.col("user_id")
+    h, w = (u % 50 + 1).cast("string"), (u % 50 + 3 + e % 9).cast("string")
+    told = [F.replace(F.replace(F.lit(t.replace("{{", "{").replace("}}", "}")), F.lit("{h}"), h), F.lit("{w}"), w) for t in TRUTHS]
+    rows = read(spark, d, "events").select(e.alias("id"), F.get(F.array(*told), (e % len(TRUTHS)).cast("int")).alias("truth"))
+    return rows.select("id", F.pandas_udf(_families, "string")("truth").alias("family"))
 
-        return items.map(lambda t: rw.infer_family(json.loads(t)["ground_truth"]))
 
-    return samples(spark, d).select("id", infer("item").alias("family"))
+def _families(truths: pd.Series) -> pd.Series:
+    return truths.map(lambda t: rw.infer_family(json.loads(t)))
 
 
 @query("r18_place_scores", "SELECT vec_id, CAST(vec_id % 16 + 8 AS INTEGER) AS at, CAST(vec_id + 1 AS DOUBLE) AS score FROM embeddings")
@@ -385,14 +418,6 @@ def _(spark, d):
     return rows.where("score <> 0").select("vec_id", (F.col("p") + 1).alias("at"), "score")
 
 
-def _series(f, kind="string"):
-    @F.pandas_udf(kind)
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(f)
-
-    return run
-
-
 @query(
     "x14_choice_prompt",
     "SELECT event_id AS id, event_type || chr(10) || 'A. ' || user_id || chr(10) || 'B. none' || chr(10) || 'Answer.' AS prompt FROM events",
@@ -434,18 +459,45 @@ def _(spark, d):
     return ev.flatten_metrics(nested).select("metric", F.round("value", 6).alias("value"))
 
 
-@query("x9_balanced_json", "SELECT event_id AS id, event_type AS kind FROM events")
+BRACED = ('{"a": {"k": "@"}}', 'so {"a": {"k": "@"}} and {', 'x } {"k": "@"} y', '[{"k": "@"}]', '{"a": {"k": "@"}', "no @", '{k: "@"} {"k": "@"}', '{} {"k": "@"}')
+
+
+@query(
+    "x9_balanced_json",
+    f"""WITH s AS (SELECT event_id AS id, replace(([{", ".join("'" + t + "'" for t in BRACED)}])[CAST(event_id % {len(BRACED)} AS INTEGER) + 1], '@', event_type) AS t FROM events),
+    p AS (SELECT id, t, unnest(range(1, length(t) + 1)) AS i FROM s), n AS (SELECT id, t, i, sum(CASE t[i] WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) FILTER (WHERE i >= strpos(t, '{{')) OVER (PARTITION BY id ORDER BY i) AS depth FROM p),
+    e AS (SELECT id, t, min(i) FILTER (WHERE depth = 0 AND i > strpos(t, '{{') AND strpos(t, '{{') > 0) AS stop FROM n GROUP BY id, t),
+    j AS (SELECT id, CASE WHEN json_valid(t) THEN t ELSE substr(t, strpos(t, '{{'), stop - strpos(t, '{{') + 1) END AS j FROM e)
+    SELECT id, CASE WHEN json_valid(j) AND j[1] = '{{' THEN coalesce(json_extract_string(j, '$.a.k'), json_extract_string(j, '$.k'), 'none') END AS kind FROM j""",
+)
 def _(spark, d):
-    text = F.concat(F.lit('so {"a": {"kind": "'), "event_type", F.lit('"}} and {'))
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), _series(lambda t: balanced_object(t)["a"]["kind"])(text).alias("kind"))
+    texts = F.array(*[F.replace(F.lit(t), F.lit("@"), F.col("event_type")) for t in BRACED])
+    text = F.get(texts, (F.col("event_id") % len(BRACED)).cast("int"))
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.pandas_udf(_kinds, "string")(text).alias("kind"))
+
 
+def _kinds(texts: pd.Series) -> pd.Series:
+    found = texts.map(balanced_object)
+    return found.map(lambda x: None if x is None else (x.get("a") or x).get("k", "none"))
 
-@query("x10_frame_ious", "SELECT event_id AS id, 0.5 ::DOUBLE AS strict, 1.0::DOUBLE AS common, 0.5::DOUBLE AS coverage FROM events")
+
+@query(
+    "x10_frame_ious",
+    """WITH f AS (SELECT event_id AS id, unnest(range(1, 5)) AS k, user_id % 7 AS s FROM events),
+    i AS (SELECT id, (id + k) % 3 > 0 AND id % 10 > 0 AS there, k, s FROM f),
+    o AS (SELECT id, there, CASE WHEN there THEN greatest(0, 5 - s * (k % 2)) / (10.0::DOUBLE - greatest(0, 5 - s * (k % 2))) END AS iou FROM i)
+    SELECT id, round(sum(coalesce(iou, 0)) / 4, 6) AS strict, round(coalesce(avg(iou), 0), 6) AS common, count(*) FILTER (WHERE there) / 4.0::DOUBLE AS coverage FROM o GROUP BY id""",
+)
 def _(spark, d):
-    box = F.array(F.col("value"), F.lit(0.0), F.col("value") + 5, F.lit(9.0))
-    target, said = F.create_map(F.lit("1"), box, F.lit("2"), box), F.create_map(F.lit("1"), box)
-    return read(spark, d, "events").select(
-        F.col("event_id").alias("id"), F.round(geo.mean_or_zero(geo.frame_ious(said, target)), 6).alias("strict"),
+    e, s = F.col("event_id"), F.col("user_id") % 7
+    box = lambda shift: F.transform(F.array((F.col("event_id") % 97 + shift), F.lit(0), (F.col("event_id") % 97 + 5 + shift), F.lit(9)), lambda x: x.cast("double"))
+    target = F.create_map(*[x for k in range(1, 5) for x in (F.lit(str(k)), box(F.lit(0)))])
+    named = F.array(*[F.struct(F.lit(str(k)).alias("key"), box(s * (k % 2)).alias("value")) for k in range(1, 5)])
+    said = F.map_from_entries(F.filter(named, lambda x: ((e + x["key"].cast("int")) % 3 > 0) & (e % 10 > 0)))
+    rows = read(spark, d, "events").select(e.alias("id"), said.alias("said"), target.alias("target"))
+    said, target = F.col("said"), F.col("target")
+    return rows.select(
+        "id", F.round(geo.mean_or_zero(geo.frame_ious(said, target)), 6).alias("strict"),
         F.round(geo.common_frame_iou(said, target), 6).alias("common"), geo.coverage(said, target).alias("coverage"),
     )
 

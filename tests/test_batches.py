@@ -110,6 +110,7 @@ def test_evaluation_edges(spark):
 
 
 def test_streams(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timers would keep the query from ending
     rows = [(u, u * 10 + i, float(i), i == 0) for u in (1, 2) for i in range(4)]
     spark.createDataFrame(rows[:7], scoring.GROUP).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(scoring.GROUP).parquet(str(tmp_path / "in"))

@@ -98,7 +98,7 @@ def test_nearest_frames(spark, share):
 
 
 def test_sample_orders(spark):
-    df = spark.createDataFrame([("b", "2"), ("b", None), (None, "9"), ("a", "10")], "videoID string, question_id string")
-    assert [tuple(r) for r in ev.in_video_order(df).collect()] == [(None, "9"), ("a", "10"), ("b", None), ("b", "2")]
-    df = spark.createDataFrame([("b", "x"), ("a", "z"), ("a", "y")], "image_path string, expression string")
-    assert [r.expression for r in ev.in_image_order(df).collect()] == ["y", "z", "x"]
+    df = spark.createDataFrame([("b", None, "2"), ("", "b", None), (None, None, "9"), ("a", "z", "10")], "videoID string, video_id string, question_id string")
+    assert [(r.question_id, r.place) for r in ev.in_video_order(df).collect()] == [("9", 0), ("10", 1), (None, 2), ("2", 3)]
+    df = spark.createDataFrame([("b", "x"), ("a", "z"), (None, "y"), ("a", "y")], "image_path string, expression string")
+    assert [(r.image_path, r.expression) for r in ev.in_image_order(df).collect()] == [(None, "y"), ("a", "y"), ("a", "z"), ("b", "x")]
