@@ -347,6 +347,40 @@ def card(rows: DataFrame) -> DataFrame:
     return out.select("benchmark", "split", "rows", "bytes", size_class(F.col("rows")).alias("size"), human_bytes(F.col("bytes")).alias("volume"), F.array_join("_l", ", ").alias("license"))
 
 
+def card_splits(datasets: DataFrame, assets: DataFrame) -> DataFrame:
+    """Splits of a card (A18): benchmark, split, annotation_path, the bytes of its annotation file (0 if none) and its rows."""
+    files = assets.where("kind = 'annotations'").groupBy(F.col("path").alias("annotation_path")).agg(F.max("bytes").alias("num_bytes"))
+    out = datasets.join(files, "annotation_path", "left")
+    return out.select("benchmark", "split", "annotation_path", F.coalesce("num_bytes", F.lit(0)).alias("num_bytes"), F.col("expected_count").alias("num_examples"))
+
+
+def card_benchmarks(datasets: DataFrame, assets: DataFrame) -> DataFrame:
+    """Benchmarks of a card (A18): the distinct tasks, families, licences and addresses of each, its splits, and its sizes.
+
+    Lists are sorted; ``one_or_many`` says one of a single value as itself. A missing family is the task.
+    """
+    many = lambda c: F.array_sort(F.collect_set(c))
+    sizes = card_splits(datasets, assets).groupBy("benchmark").agg(F.sum("num_bytes").alias("dataset_size"), F.sum("num_examples").alias("row_count"))
+    told = datasets.groupBy("benchmark").agg(
+        many("task").alias("task"), many(F.coalesce("family", "task")).alias("family"), many("license").alias("license"),
+        many("source_url").alias("source_url"), F.array_sort(F.collect_list("split")).alias("splits"),
+    )
+    held = assets.groupBy("benchmark").agg(F.count("*").alias("asset_count"), F.sum("bytes").alias("byte_count"))
+    return told.join(sizes, "benchmark").join(held, "benchmark", "left").fillna(0, ["asset_count", "byte_count"])
+
+
+def card_totals(datasets: DataFrame, assets: DataFrame) -> DataFrame:
+    """One row of totals of a card (A18), with the size class of all rows."""
+    rows = datasets.agg(F.count_distinct("benchmark").alias("benchmark_count"), F.count("*").alias("split_count"), F.coalesce(F.sum("expected_count"), F.lit(0)).alias("row_count"))
+    held = assets.agg(F.count("*").alias("asset_count"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("byte_count"))
+    return rows.join(held).withColumn("size_category", size_class(F.col("row_count")))  # one row each
+
+
+def one_or_many(values: Column) -> Column:
+    """JSON text of a list's only value, or of the list."""
+    return F.when(F.size(values) == 1, F.regexp_extract(F.to_json(values), r"(?s)^\[(.*)\]$", 1)).otherwise(F.to_json(values))
+
+
 def size_class(n: Column) -> Column:
     """One of eight classes by powers of ten."""
     out = F.when(n < 1000, SIZE_CLASSES[0])

@@ -13,6 +13,7 @@ from spindrift.functions.replies import Reply
 from spindrift.operators import build
 from spindrift.operators import evaluation as ev
 from spindrift.operators import registry
+from spindrift.operators import repository as rp
 from spindrift.operators import rewards as rw
 from spindrift.plans.tables import ROLLOUTS, read, rollouts
 
@@ -171,3 +172,65 @@ def _(spark, d):
     text = F.format_string('{"items": {"b": {"v": %d}, "a": {"v": %d}}}', F.col("event_id") + 1, F.col("event_id"))
     rows = read(spark, d, "events").select("event_id", text.alias("text"))
     return spark.sql("SELECT event_id, t.ordinal, t.record FROM {rows}, LATERAL container_records(text) AS t", rows=rows)
+
+
+BOXED = (
+    '{"label":"all","objects":[{"bbox":[@,1,9,9],"name":"k"},{"bbox":[@,2,9,9]}]}', '[{"box":[1,@,3,4],"label":"","category":"c"}]', "(@,1),(5,6)", '{"regions":[{"name":"r","boxes":[[@,0,1,1],[@,0,2,2]]}]}',
+)
+
+
+@query(
+    "x8_labels",
+    f"""WITH t AS (SELECT event_id AS id, event_id % 4 AS f, replace({_listed(list(BOXED), "event_id")}, '@', CAST(user_id AS VARCHAR)) AS t FROM events), j AS (SELECT id, f, CASE WHEN f <> 2 THEN t::JSON END AS j FROM t)
+    SELECT id, CASE f WHEN 0 THEN coalesce(json_extract_string(j, '$.objects[0].name'), json_extract_string(j, '$.label')) || ',' || coalesce(json_extract_string(j, '$.objects[1].name'), json_extract_string(j, '$.label'))
+      WHEN 1 THEN coalesce(nullif(json_extract_string(j, '$[0].label'), ''), json_extract_string(j, '$[0].category')) WHEN 2 THEN '-' ELSE json_extract_string(j, '$.regions[0].name') || ',' || json_extract_string(j, '$.regions[0].name') END AS labels,
+      CASE f WHEN 0 THEN json_extract_string(j, '$.label') WHEN 1 THEN json_extract_string(j, '$[0].category') WHEN 3 THEN json_extract_string(j, '$.regions[0].name') END AS best FROM j""",
+)
+def _(spark, d):
+    u = F.col("user_id").cast("string")
+    said = F.replace(_pick(list(BOXED), F.col("event_id")), F.lit("@"), u)
+    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), bx.candidates(said).alias("found"), F.array(F.col("user_id").cast("double"), F.lit(2.0), F.lit(9.0), F.lit(9.0)).alias("truth"))
+    first_of = F.array_join(F.transform("found", lambda c: F.coalesce(c["label"], F.lit("-"))), ",")
+    second = F.when((F.size("found") > 1) & (F.col("id") % 4 == 0), F.col("found")[1]["label"]).otherwise(bx.pick_candidate(F.col("found"), F.col("truth"))["label"])
+    return rows.select("id", first_of.alias("labels"), second.alias("best"))
+
+
+CARD = """d AS (SELECT DISTINCT source AS benchmark, lang AS split, source || '/' || lang AS annotation_path, CASE WHEN lang IN ('en', 'de') THEN 'qa' ELSE 'grounding' END AS task, CASE WHEN lang = 'fr' THEN 'f' END AS family,
+  CASE WHEN source < 'src2' THEN 'MIT' ELSE 'CC-' || lang END AS license, length(source) * 100 + length(lang) AS expected_count FROM documents),
+a AS (SELECT doc_id, source AS benchmark, CASE WHEN doc_id % 50 < 4 THEN source || '/' || lang ELSE 'media/' || doc_id END AS path, CASE WHEN doc_id % 50 < 4 THEN 'annotations' ELSE 'videos' END AS kind, n_chars AS bytes FROM documents)"""
+
+
+def _card(spark, d):
+    docs = read(spark, d, "documents")
+    own = F.concat_ws("/", "source", "lang")
+    datasets = docs.select("source", "lang").distinct().select(
+        F.col("source").alias("benchmark"), F.col("lang").alias("split"), own.alias("annotation_path"), F.when(F.col("lang").isin("en", "de"), "qa").otherwise("grounding").alias("task"),
+        F.when(F.col("lang") == "fr", "f").alias("family"), F.when(F.col("source") < "src2", "MIT").otherwise(F.concat(F.lit("CC-"), "lang")).alias("license"),
+        F.concat(F.lit("https://"), "source").alias("source_url"), (F.length("source") * 100 + F.length("lang")).cast("long").alias("expected_count"),
+    )
+    told = F.col("doc_id") % 50 < 4
+    assets = docs.select(F.col("source").alias("benchmark"), F.when(told, own).otherwise(F.concat(F.lit("media/"), "doc_id")).alias("path"), F.when(told, "annotations").otherwise("videos").alias("kind"), F.col("n_chars").alias("bytes"))
+    return datasets, assets
+
+
+@query(
+    "a18_card_benchmarks",
+    f"""WITH {CARD}, f AS (SELECT path, max(bytes) AS b FROM a WHERE kind = 'annotations' GROUP BY path), h AS (SELECT benchmark, count(*) AS n, sum(bytes) AS b FROM a GROUP BY benchmark),
+    g AS (SELECT d.benchmark, list_sort(list(DISTINCT task)) AS task, list_sort(list(DISTINCT coalesce(family, task))) AS family, list_sort(list(DISTINCT license)) AS license, list_sort(list(split)) AS splits, CAST(sum(coalesce(f.b, 0)) AS BIGINT) AS dataset_size, CAST(sum(expected_count) AS BIGINT) AS row_count
+      FROM d LEFT JOIN f ON d.annotation_path = f.path GROUP BY d.benchmark)
+    SELECT g.benchmark, CASE WHEN len(task) = 1 THEN to_json(task[1]) ELSE to_json(task) END::VARCHAR AS task, array_to_string(family, ',') AS family, array_to_string(license, ',') AS license, to_json('https://' || g.benchmark)::VARCHAR AS source_url, array_to_string(splits, ',') AS splits,
+      row_count, dataset_size, h.n AS asset_count, CAST(h.b AS BIGINT) AS byte_count FROM g JOIN h ON g.benchmark = h.benchmark""",
+)
+def _(spark, d):
+    out = rp.card_benchmarks(*_card(spark, d))
+    joined = [F.array_join(c, ",").alias(c) for c in ("family", "license", "splits")]
+    return out.select("benchmark", *[rp.one_or_many(F.col(c)).alias(c) for c in ("task", "source_url")], *joined, "row_count", "dataset_size", "asset_count", "byte_count")
+
+
+@query(
+    "a18_card_totals",
+    f"""WITH {CARD}, r AS (SELECT count(DISTINCT benchmark) AS benchmark_count, count(*) AS split_count, CAST(sum(expected_count) AS BIGINT) AS row_count FROM d)
+    SELECT r.*, (SELECT count(*) FROM a) AS asset_count, (SELECT CAST(sum(bytes) AS BIGINT) FROM a) AS byte_count, CASE WHEN row_count < 1000 THEN 'n<1K' WHEN row_count < 10000 THEN '1K<n<10K' WHEN row_count < 100000 THEN '10K<n<100K' ELSE 'more' END AS size_category FROM r""",
+)
+def _(spark, d):
+    return rp.card_totals(*_card(spark, d))
