@@ -394,8 +394,8 @@ _TRUTH_SQL = ", ".join("'" + t.format(h="' || h || '", w="' || w || '") + "'" fo
     SELECT id, CASE WHEN list_contains(keys, 'positive_points') THEN 'segmentation' WHEN list_has_all(keys, ['boxes', 'time']) THEN 'spatial_temporal_grounding' WHEN json_type(j, '$.boxes') = 'OBJECT' THEN 'tracking'
       WHEN (kind = 'ARRAY' AND json_array_length(j) = 4) OR json_array_length(j, '$.boxes') = 4 OR json_array_length(j, '$.bbox_2d') = 4 OR json_type(j, '$[0]') = 'OBJECT' THEN 'spatial_grounding'
       WHEN (kind = 'ARRAY' AND json_array_length(j) = 2) OR json_array_length(j, '$.time') = 2 OR list_has_all(keys, ['start', 'end']) THEN 'temporal_grounding'
-      WHEN regexp_matches(said, '^[A-Ha-h]$') THEN 'video_qa' WHEN regexp_matches(said, '^[-+]?[0-9.]+$') THEN 'spatial_intelligence' WHEN regexp_matches(said, '[0-9]\s*(to|and|-)\s*[0-9]') THEN 'temporal_grounding'
-      WHEN regexp_matches(said, '\(.*\),\(.*\)') THEN 'spatial_grounding' END AS family FROM k""",
+      WHEN regexp_matches(said, '^[A-Ha-h]$') THEN 'video_qa' WHEN regexp_matches(said, '^[-+]?[0-9.]+$') THEN 'spatial_intelligence' WHEN regexp_matches(said, '[0-9]\\s*(to|and|-)\\s*[0-9]') THEN 'temporal_grounding'
+      WHEN regexp_matches(said, '\\(.*\\),\\(.*\\)') THEN 'spatial_grounding' END AS family FROM k""",
 )
 def _(spark, d):
     e, u = F.col("event_id"), F.col("user_id")
