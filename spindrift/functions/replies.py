@@ -59,7 +59,10 @@ class Reply:
 
     def __init__(self, said):
         self.said = said
-        self.text = str(said or "").strip()
+
+    @cached_property
+    def text(self) -> str:
+        return str(self.said or "").strip()
 
     @cached_property
     def payload(self) -> str | None:
