@@ -47,12 +47,11 @@ class JsonlWriter(DataSourceWriter):
         if not overwrite and os.path.exists(self.path):
             raise FileExistsError(f"{self.path} is there already; overwrite it or choose another path")
         self.staging = f"{os.path.dirname(self.path)}/.partial-{uuid.uuid4().hex}"
-        os.makedirs(os.path.dirname(self.path), exist_ok=True)
+        os.makedirs(self.staging)
 
     def write(self, iterator: Iterator) -> Part:
         task = TaskContext.get()
         file, rows = f"{self.staging}/{task.partitionId():08d}-{task.taskAttemptId()}", 0
-        os.makedirs(self.staging, exist_ok=True)
         with open(file, "w", encoding="utf-8", newline="\n") as out:
             for row in iterator:
                 out.write((row[0] if self.raw else canonical_json(row.asDict(recursive=True))) + "\n")
@@ -60,7 +59,6 @@ class JsonlWriter(DataSourceWriter):
         return Part(task.partitionId(), file, rows)
 
     def commit(self, messages: list) -> None:
-        os.makedirs(self.staging, exist_ok=True)
         full = sorted((m for m in messages if m and m.rows), key=lambda m: m.place)
         ready = f"{self.staging}/ready"
         if self.parts:
@@ -77,10 +75,17 @@ class JsonlWriter(DataSourceWriter):
         if os.path.isdir(self.path) or self.parts and os.path.exists(self.path):
             os.replace(self.path, f"{self.staging}/old")
         os.replace(ready, self.path)
-        shutil.rmtree(self.staging)
+        self._remove()
 
     def abort(self, messages: list) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        if os.path.isdir(self.staging):
+            self._remove()
+
+    def _remove(self) -> None:
+        """Remove the parts. The folder gets another name first: a task that is still running then finds no place to write."""
+        gone = f"{self.staging}-gone"
+        os.rename(self.staging, gone)
+        shutil.rmtree(gone)
 
 
 class CanonicalJsonl(DataSource):
