@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.operators import dataset as ds
+from spindrift.operators import loading
 from spindrift.plans.tables import read
 from spindrift.session import scratch_folder
 from spindrift.sources import containers, jsonl, records
@@ -69,6 +70,44 @@ def _(spark, d):
     return containers.read_containers(spark, path, containers.CONTAINERS, members=True, size=1 << 16).select("ordinal", row.alias("x")).select("x.id", "ordinal", "x.event_type")
 
 
+@query(
+    "s9_samples",
+    """SELECT doc_id, '"/data/' || CASE WHEN doc_id % 4 = 0 THEN 'media/' || lang ELSE source END || '/' || doc_id || '.mp4"' AS video, '"' || lang || '"' AS question, CASE WHEN doc_id % 3 = 0 THEN '"own"' ELSE '"s' || doc_id || '"' END AS id,
+    CASE WHEN doc_id % 5 = 0 THEN '[' || doc_id || ',9]' END AS span FROM documents WHERE doc_id % 7 > 0 UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN doc_id % 3 = 0 THEN '"own"' END, NULL FROM documents WHERE doc_id % 7 = 0""",
+)
+def _(spark, d):
+    """All documents as samples in a line file; one in seven is not canonical and stays as it is."""
+    own = F.col("doc_id")
+    video = F.concat(F.when(own % 4 == 0, F.concat(F.lit("./media/"), "lang")).otherwise(F.col("source")), F.lit("/"), own.cast("string"), F.lit(".mp4"))
+    rows = read(spark, d, "documents").select(
+        "doc_id", F.when(own % 7 > 0, 1).otherwise(2).alias("schema_version"), F.lit("t").alias("eval_task"), F.concat(F.lit("s"), own.cast("string")).alias("sample_id"), F.col("source").alias("benchmark"),
+        F.lit("test").alias("split"), F.col("lang").alias("problem"), F.lit("qa").alias("problem_type"), "source", F.array().cast("array<string>").alias("images"), F.array(F.struct(video.alias("path"))).alias("videos"),
+        F.when(own % 3 == 0, "own").alias("id"), F.when(own % 5 == 0, F.struct(F.array(own, F.lit(9)).alias("span"))).alias("metadata"), F.lit("A").alias("answer"),
+    )
+    path = f"{scratch_folder(spark, 'samples')}/rows.jsonl"
+    jsonl.write_jsonl(rows.select(F.to_json(F.struct("*")).alias("record")), path, raw=True)
+    fields = loading.load_samples(spark, path, "/data").select("fields")
+    named = [F.try_element_at("fields", F.lit(n)).alias(n) for n in ("video", "question", "id", "span")]
+    return fields.select(F.try_element_at("fields", F.lit("doc_id")).cast("long").alias("doc_id"), *named)
+
+
+@query(
+    "s10_evaluation_rows",
+    "SELECT doc_id, lang AS problem, '\"' || source || '\"' AS answer, 'media/video_qa/lvbench/videos/' || doc_id AS video FROM documents",
+)
+def _(spark, d):
+    """All documents as the rows of one evaluation file, which must all be valid to be loaded."""
+    own = F.col("doc_id").cast("string")
+    rows = read(spark, d, "documents").select(
+        F.lit(1).alias("schema_version"), *[F.lit("lvbench").alias(n) for n in ("eval_task", "benchmark")], F.lit("test").alias("split"), own.alias("sample_id"), F.col("lang").alias("problem"), F.lit("qa").alias("problem_type"),
+        "source", F.array(F.concat(F.lit("media/video_qa/lvbench/videos/"), own)).alias("videos"), F.array().cast("array<string>").alias("images"), F.col("source").alias("answer"),
+    )
+    path = f"{scratch_folder(spark, 'rows')}/rows.jsonl"
+    jsonl.write_jsonl(rows, path)
+    loaded = loading.load_evaluation(spark, path, benchmark="lvbench", split="test")
+    return loaded.select(F.col("sample_id").cast("long").alias("doc_id"), "problem", "answer", F.get("videos", F.lit(0)).alias("video"))
+
+
 def _container(rows, key: str, head: str, tail: str, spark) -> str:
     """Rows of JSON texts as one JSON file, a line each, between two more lines."""
     path = f"{scratch_folder(spark, 'container')}/all.json"
