@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from spindrift.functions import boxes as bx
+from spindrift.functions import prompts as pr
 from spindrift.functions import text as tx
 from spindrift.functions.replies import Reply
 from spindrift.operators import build
@@ -234,3 +235,22 @@ def _(spark, d):
 )
 def _(spark, d):
     return rp.card_totals(*_card(spark, d))
+
+
+_NAMES = list(pr.TEMPLATES)
+_TEMPLATE_SQL = ", ".join("'" + t.replace("'", "''") + "'" for t in pr.TEMPLATES.values())
+
+
+@query(
+    "x14_templates",
+    f"""WITH e AS (SELECT event_id AS id, ([{_TEMPLATE_SQL}])[CAST(event_id % {len(_NAMES)} AS INTEGER) + 1] AS t, CASE event_id % 5 WHEN 0 THEN 'a {{options}} dog' WHEN 1 THEN '  red car? ' WHEN 2 THEN '' WHEN 3 THEN event_type || '.' ELSE 'the ' || user_id END AS q,
+      'A. ' || event_type || chr(10) || 'B. ' || user_id AS o, event_id % {len(_NAMES)} = {_NAMES.index("spatial_grounding")} AS spatial FROM events),
+    s AS (SELECT id, t, o, CASE WHEN spatial THEN CASE WHEN trim(q) = '' OR regexp_matches(trim(q), '[.?!]$') THEN trim(q) ELSE trim(q) || '.' END ELSE q END AS q FROM e)
+    SELECT id, md5(replace(replace(replace(t, '{{question}}', chr(1)), '{{options}}', o), chr(1), q)) AS prompt FROM s""",
+)
+def _(spark, d):
+    e, u = F.col("event_id"), F.col("user_id").cast("string")
+    q = F.when(e % 5 == 0, "a {options} dog").when(e % 5 == 1, "  red car? ").when(e % 5 == 2, "").when(e % 5 == 3, F.concat("event_type", F.lit("."))).otherwise(F.concat(F.lit("the "), u))
+    rows = read(spark, d, "events").select(e.alias("id"), _pick(_NAMES, e).alias("name"), q.alias("q"), F.array(F.concat(F.lit("A. "), "event_type"), F.concat(F.lit("B. "), u)).alias("options"))
+    asked = F.when(F.col("name") == "spatial_grounding", pr.sentence(F.col("q"))).otherwise(F.col("q"))
+    return rows.select("id", F.md5(pr.fill(F.col("name"), asked, F.col("options"))).alias("prompt"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import boxes as bx
+from spindrift.functions import prompts as pr
 from spindrift.operators import registry
 
 
@@ -43,3 +44,18 @@ def test_labels_come_from_the_nearest_name(spark):
     truth = F.array(*[F.lit(x) for x in (5.0, 6.0, 7.0, 9.0)])
     row = spark.range(1).select(bx.pick_candidate(found, truth).alias("first"), bx.pick_candidate(found, truth, best=True).alias("best")).first()
     assert (row.first.label, row.best.label, row.best.box) == ("cat", "outer", [5.0, 6.0, 7.0, 8.0])
+
+
+def test_prompts_are_filled(spark):
+    lit = F.lit
+    options = F.array(lit("A. x"), lit("B. y"))
+    row = spark.range(1).select(
+        pr.fill("video_qa", lit("Which {options}?"), options), pr.fill("space_integer", lit("How many?")), pr.fill("spatial_grounding", pr.sentence(lit(" a dog "))), pr.fill("temporal_grounding_official", lit(None)),
+        pr.sentence(lit("")), pr.sentence(lit("is it?")),
+    ).first()
+    assert row[0] == "Which {options}?\nOptions:\nA. x\nB. y\nAnswer with the option letter only within <answer>...</answer> tags. Example: <answer>A</answer>"
+    assert row[1] == "How many?\nAnswer with an integer within <answer>...</answer> tags. Example: <answer>3</answer>"
+    assert row[2].startswith('Locate "a dog." in the image.') and "sentence ''" in row[3] and row[4:] == ("", "is it?")
+    assert set(pr.MEASURES.values()) < set(pr.TEMPLATES)
+    with pytest.raises(Exception, match="no prompt template nothing"):
+        spark.range(1).select(pr.fill("nothing", lit("x"))).collect()
