@@ -488,19 +488,33 @@ def _(spark, d):
     return under.groupBy(F.split("path", "/")[0].alias("root")).agg(F.count("*").alias("assets"))
 
 
+PROMPT_BOXES = ("[@,1,2,3]", "[[@,1,2,3]]", "[@,1,2]", '["@",1,"2",3]', "[[1,2,3,4],[5,6,7,8]]", "null", '[@,1,"x",3]')
+PROMPT_POINTS = ("[[1,2]]", "[]", "[[1,2],[3]]", '[[1,"x"],[2,3]]', '[["4",5.5],[6,7]]', "[[1,2],[3,4],[5,6]]", "null")
+PROMPT_TIMES = ("1.5", '"soon"', '"2"', "null")
+
+
+def _listed(items: tuple[str, ...], at: str) -> str:
+    return f"([{', '.join(chr(39) + x + chr(39) for x in items)}])[CAST({at} % {len(items)} AS INTEGER) + 1]"
+
+
+_NUMERIC = "TRY_CAST(json_extract_string({0}, '$[' || {1} || ']') AS DOUBLE) IS NOT NULL"
+_PAIRS = f"(coalesce(json_array_length(j, '$.{{0}}'), 0) > 0 AND list_bool_and(list_transform(range(CAST(coalesce(json_array_length(j, '$.{{0}}'), 0) AS BIGINT)), lambda i: json_array_length(j, '$.{{0}}[' || i || ']') = 2 AND {_NUMERIC.format("json_extract(j, '$.{0}[' || i || ']')", 0)} AND {_NUMERIC.format("json_extract(j, '$.{0}[' || i || ']')", 1)})))"
+
+
 @query(
     "x12_prompts",
-    """SELECT event_id AS id, event_id % 9 IN (0, 1, 7) OR (event_id % 9 = 6 AND event_id % 2 = 1) AS valid, CASE WHEN event_id % 9 <> 2 THEN CAST(user_id AS DOUBLE) END AS x FROM events""",
+    f"""WITH p AS (SELECT event_id AS id, ('{{"boxes":' || replace({_listed(PROMPT_BOXES, "event_id")}, '@', CAST(user_id AS VARCHAR)) || ',"positive_points":' || {_listed(PROMPT_POINTS, "event_id // 7")} || ',"negative_points":' || {_listed(PROMPT_POINTS, "user_id")} || ',"time":' || {_listed(PROMPT_TIMES, "event_id // 3")} || '}}')::JSON AS j, event_id % 2 = 0 AS video FROM events),
+    b AS (SELECT *, CASE json_array_length(j, '$.boxes') WHEN 4 THEN json_extract(j, '$.boxes') WHEN 1 THEN json_extract(j, '$.boxes[0]') END AS box FROM p),
+    c AS (SELECT *, coalesce(json_array_length(box) = 4 AND list_bool_and(list_transform(range(4), lambda i: {_NUMERIC.format("box", "i")})), false) AS boxed, TRY_CAST(json_extract_string(j, '$.time') AS DOUBLE) IS NOT NULL AS timed FROM b)
+    SELECT id, boxed AND {_PAIRS.format("positive_points")} AND {_PAIRS.format("negative_points")} AND (timed OR NOT video) AS valid, CASE WHEN boxed THEN CAST(json_extract_string(box, '$[0]') AS DOUBLE) END AS x FROM c""",
 )
 def _(spark, d):
-    u, n = F.col("user_id").cast("string"), F.col("event_id") % 9
-    box = F.concat(F.lit("["), u, F.lit(",1,2,3]"))
-    boxes = F.when(n == 1, F.concat(F.lit("["), box, F.lit("]"))).when(n == 2, F.concat(F.lit("["), u, F.lit(",1,2]"))).when(n == 7, F.concat(F.lit('["'), u, F.lit('",1,"2",3]'))).otherwise(box)
-    plus = F.when(n == 3, "[]").when(n == 4, "[[1,2],[3]]").otherwise("[[1,2]]")
-    time = F.when(n == 6, '"soon"').otherwise("1.5")
-    prompt = F.concat(F.lit('{"boxes":'), boxes, F.lit(',"positive_points":'), plus, F.when(n == 5, "").otherwise(',"negative_points":[[5,6.5],[7,8]]'), F.when(n == 8, "").otherwise(F.concat(F.lit(',"time":'), time)), F.lit("}"))
-    kind = F.when(n == 8, "video").when(F.col("event_id") % 2 == 0, "video").otherwise("image")
-    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), prompt.alias("p"), kind.alias("k"))
+    e, u = F.col("event_id"), F.col("user_id")
+    pick = lambda items, at: F.get(F.array(*[F.lit(x) for x in items]), (at % len(items)).cast("int"))
+    boxes = F.replace(pick(PROMPT_BOXES, e), F.lit("@"), u.cast("string"))
+    parts = [("boxes", boxes), ("positive_points", pick(PROMPT_POINTS, F.expr("event_id div 7"))), ("negative_points", pick(PROMPT_POINTS, u)), ("time", pick(PROMPT_TIMES, F.expr("event_id div 3")))]
+    prompt = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), x) for n, x in parts]), F.lit("}"))
+    rows = read(spark, d, "events").select(e.alias("id"), prompt.alias("p"), F.when(e % 2 == 0, "video").otherwise("image").alias("k"))
     return rows.select("id", rc.is_valid_prompt(F.col("p"), F.col("k")).alias("valid"), F.get(rc.segmentation_prompt(F.col("p"))["boxes"], F.lit(0)).alias("x"))
 
 
