@@ -24,9 +24,12 @@ def slice_rows(df: DataFrame, start: int, stop: int, row: str = "row_id") -> Dat
     return df.where((F.col(row) >= start) & (F.col(row) < stop))
 
 
-def chunk(df: DataFrame, size: int, total: int, row: str = "row_id") -> DataFrame:
-    """Adds ``chunk`` over dense row ids from 0 (B3); the rows must divide into chunks of that size."""
-    if total % size:
+def chunk(df: DataFrame, size: int, total: int, row: str = "row_id", ragged: bool = False) -> DataFrame:
+    """Adds ``chunk`` over dense row ids from 0 (B3); the rows must divide into chunks of that size.
+
+    With ``ragged`` any number of rows will do, and the last chunk has what remains.
+    """
+    if total % size and not ragged:
         raise ValueError(f"{total} rows do not divide into chunks of {size}")
     return df.withColumn("chunk", F.expr(f"`{row}` div {size}"))
 

@@ -40,7 +40,7 @@ def _(spark, d):
 @query("b3_chunk", "SELECT doc_id AS row_id, doc_id // 50 AS chunk FROM documents")
 def _(spark, d):
     rows = batch(spark, d)
-    return bt.chunk(rows, 50, rows.count()).select("row_id", "chunk")
+    return bt.chunk(rows, 50, rows.count(), ragged=True).select("row_id", "chunk")
 
 
 @query("b4_pad", "WITH n AS (SELECT count(*) AS n FROM documents) SELECT doc_id AS row_id, false AS is_pad FROM documents UNION ALL SELECT doc_id + n, true FROM documents, n WHERE doc_id < (64 - n % 64) % 64")
