@@ -83,12 +83,13 @@ def prompt_major(df: DataFrame, prompt: str, rank: str) -> DataFrame:
     return df.withColumn("position", F.row_number().over(Window.partitionBy(prompt).orderBy(rank)) - 1)
 
 
-def largest_differencing(lengths: list[int], parts: int, equal_size: bool = False) -> list[list[int]]:
+def largest_differencing(lengths: list[int], parts: int, equal_size: bool = False, ragged: bool = False) -> list[list[int]]:
     """k-way largest differencing (B8): indices of each part.
 
-    A state holds k bins from heavy to light; the two states of the widest spread merge heavy against light.
+    A state holds k bins from heavy to light; the two states of the widest spread merge heavy against light. Equal
+    sizes need rows that divide into the parts; with ``ragged`` any number will do, and sizes differ by one at most.
     """
-    if equal_size and len(lengths) % parts:
+    if equal_size and len(lengths) % parts and not ragged:
         raise ValueError(f"{len(lengths)} rows do not divide into {parts} equal parts")
     by_length = sorted((n, i) for i, n in enumerate(lengths))
     step = parts if equal_size else 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from spindrift.operators import batches as bt
@@ -128,7 +130,7 @@ def _(spark, d):
 
 @query("b12_equal_parts", f"WITH RECURSIVE {differenced('4', equal_size=True)} SELECT step, row_id, CAST(part AS INTEGER) AS part FROM r")
 def _(spark, d):
-    return bt.balance(lengths(spark, d), 4, "step", "length", equal_size=True)
+    return bt.balance(lengths(spark, d), 4, "step", "length", equal_size=True, method=partial(bt.largest_differencing, ragged=True))
 
 
 @query("b11_restore", "SELECT doc_id AS row_id FROM documents")

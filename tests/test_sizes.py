@@ -13,3 +13,15 @@ def test_ragged_chunks_keep_the_rest(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.queries()["b3_chunk"](spark, str(tmp_path)).collect()
     assert sorted((r.row_id, r.chunk) for r in got) == [(i, i // 50) for i in range(101)]
+
+
+def test_ragged_parts_differ_by_one_row_at_most(spark, tmp_path):
+    for n in range(1, 12):
+        parts = bt.largest_differencing([7 * i % 5 + 1 for i in range(n)], 4, True, ragged=True)
+        assert sorted(i for p in parts for i in p) == list(range(n))
+        assert max(map(len, parts)) - min(map(len, parts)) == (1 if n % 4 else 0)
+    rows = spark.range(70).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("embedding"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["b12_equal_parts"](spark, str(tmp_path)).collect()
+    assert sorted(r.row_id for r in got) == list(range(70))
+    assert sorted(sum(r.part == p for r in got if r.step == 1) for p in range(4)) == [1, 1, 2, 2]
