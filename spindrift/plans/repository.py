@@ -442,7 +442,7 @@ def _(spark, d):
 
 @query("a19_size_class", "SELECT o_orderkey AS id, CASE WHEN x < 1000 THEN 'n<1K' WHEN x < 10000 THEN '1K<n<10K' WHEN x < 100000 THEN '10K<n<100K' WHEN x < 1000000 THEN '100K<n<1M' WHEN x < 10000000 THEN '1M<n<10M' WHEN x < 100000000 THEN '10M<n<100M' WHEN x < 1000000000 THEN '100M<n<1B' ELSE 'n>1B' END AS size FROM (SELECT o_orderkey, CAST(pow(o_orderkey, 3) AS BIGINT) AS x FROM orders)")
 def _(spark, d):
-    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), rp.size_class(F.pow("o_orderkey", F.lit(3)).cast("long")).alias("size"))
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), rp.size_class(F.pow("o_orderkey", F.lit(3))).alias("size"))
 
 
 @query("a20_family_table", "SELECT lang AS family, count(*) AS rows, CAST(row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 ELSE 3 END, lang) AS INTEGER) AS position FROM documents GROUP BY lang")

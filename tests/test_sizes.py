@@ -25,3 +25,9 @@ def test_ragged_parts_differ_by_one_row_at_most(spark, tmp_path):
     got = catalog.queries()["b12_equal_parts"](spark, str(tmp_path)).collect()
     assert sorted(r.row_id for r in got) == list(range(70))
     assert sorted(sum(r.part == p for r in got if r.step == 1) for p in range(4)) == [1, 1, 2, 2]
+
+
+def test_size_classes_of_cubes_beyond_a_long(spark, tmp_path):
+    keys = {9: "n<1K", 10: "1K<n<10K", 999: "100M<n<1B", 1000: "n>1B", 9_000_000: "n>1B"}
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.id: r.size for r in catalog.queries()["a19_size_class"](spark, str(tmp_path)).collect()} == keys
