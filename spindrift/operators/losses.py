@@ -33,13 +33,17 @@ def penalized_reward(score: Column, log_prob: Column, ref_log_prob: Column, beta
 def adaptive_coefficients(steps: DataFrame, start: float, target: float, horizon: int) -> DataFrame:
     """The adaptive penalty coefficient before and after each step (L3): columns step, kl, n get ``beta`` and ``next``.
 
-    The update is a product of factors that depend on their own step only, so a running product of logs gives the
-    sequential state. Steps are few: they share one window.
+    The update is a product of factors that depend on their own step only, multiplied in the order of the steps as the
+    sequential state is. A factor is negative or zero where n is many times the horizon. Steps are few: they share one
+    window.
     """
     factor = 1 + clip(F.col("kl") / F.lit(float(target)) - 1, -0.2, 0.2) * F.col("n") / F.lit(float(horizon))
-    upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    after = F.lit(float(start)) * F.exp(F.sum(F.log(factor)).over(upto))
-    return steps.withColumn("next", after).withColumn("beta", after / factor)
+    order = Window.orderBy("step")
+    first = F.row_number().over(order) == 1
+    scaled = steps.withColumn("_f", F.when(first, F.lit(float(start)) * factor).otherwise(factor))
+    after = F.product("_f").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    out = scaled.withColumn("next", after).drop("_f")
+    return out.withColumn("beta", F.coalesce(F.lag("next").over(order), F.lit(float(start))))
 
 
 def policy_token_loss(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spindrift.operators import batches as bt
+from spindrift.operators import losses
 from spindrift.plans import catalog
 
 
@@ -31,3 +32,13 @@ def test_size_classes_of_cubes_beyond_a_long(spark, tmp_path):
     keys = {9: "n<1K", 10: "1K<n<10K", 999: "100M<n<1B", 1000: "n>1B", 9_000_000: "n>1B"}
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert {r.id: r.size for r in catalog.queries()["a19_size_class"](spark, str(tmp_path)).collect()} == keys
+
+
+def test_coefficients_of_steps_longer_than_the_horizon(spark):
+    rows = [(1, 0.1, 60_000), (2, 0.1, 50_000), (3, 0.9, 7_000), (4, 0.1, 200_000)]
+    out = losses.adaptive_coefficients(spark.createDataFrame(rows, "step long, kl double, n long"), 0.05, 0.4, 10_000)
+    beta = 0.05
+    for r, (step, kl, n) in zip(out.orderBy("step").collect(), rows, strict=True):
+        after = beta * (1 + min(0.2, max(-0.2, kl / 0.4 - 1)) * n / 10_000)
+        assert (r.step, r.beta, r.next) == (step, beta, after)
+        beta = after
