@@ -149,9 +149,19 @@ def first_number(text: Column, commas: bool = False) -> Column:
     return F.replace(_found(final_answer(text), pattern), F.lit(","), F.lit("")).try_cast("double")
 
 
+def cents(x: Column) -> Column:
+    """A double at two places: its hundredfold, a double too, at the nearest integer, halves away from zero.
+
+    ``round(x, 2)`` rounds the shortest decimal that names x instead, which makes 1.01 of 1.005 (100.49999999999999 cents).
+    """
+    whole = F.round(x * 100)
+    return F.when(F.abs(whole) == F.lit(float("inf")), x).otherwise(whole / 100)
+
+
 def same_to_cents(a: Column, b: Column) -> Column:
     """1 if the first numbers of two texts agree after rounding to two places."""
-    return F.coalesce((F.round(first_number(a, True), 2) == F.round(first_number(b, True), 2)).cast("double"), F.lit(0.0))
+    same = lambda x: let(x, cents)
+    return F.coalesce((same(first_number(a, True)) == same(first_number(b, True))).cast("double"), F.lit(0.0))
 
 
 def _accuracy(predicted: Column, target: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from spindrift.functions import parsing as ps
 from spindrift.operators import batches as bt
 from spindrift.operators import losses
 from spindrift.plans import catalog
@@ -42,3 +43,9 @@ def test_coefficients_of_steps_longer_than_the_horizon(spark):
         after = beta * (1 + min(0.2, max(-0.2, kl / 0.4 - 1)) * n / 10_000)
         assert (r.step, r.beta, r.next) == (step, beta, after)
         beta = after
+
+
+def test_cents_are_those_of_the_hundredfold(spark):
+    cases = {("1.005", "1"): 1.0, ("0.005", "0"): 0.0, ("2.005", "2.01"): 1.0, ("-0.005", "-0.01"): 1.0, ("3.004", "3"): 1.0, ("1e307", "1e307"): 1.0, ("1e307", "1e306"): 0.0, ("none", "1"): 0.0}
+    rows = spark.createDataFrame(list(cases), "a string, b string").select("a", "b", ps.same_to_cents(F.col("a"), F.col("b")).alias("s")).collect()
+    assert {(r.a, r.b): r.s for r in rows} == cases
