@@ -390,12 +390,12 @@ def size_class(n: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes with a binary unit."""
+    """Bytes with a binary unit (A19); halves of the last place go to the even digit."""
     x = n.cast("double")
     out = F.when(x < 1024, F.format_string("%.0f B", x))
     for i, unit in enumerate(("KiB", "MiB", "GiB"), 1):
-        out = out.when(x < 1024 ** (i + 1), F.format_string(f"%.1f {unit}", x / 1024**i))
-    return out.otherwise(F.format_string("%.1f TiB", x / 1024**4))
+        out = out.when(x < 1024 ** (i + 1), F.format_string(f"%.1f {unit}", F.bround(x / 1024**i, 1)))
+    return out.otherwise(F.format_string("%.1f TiB", F.bround(x / 1024**4, 1)))
 
 
 def family_table(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import parsing as ps
 from spindrift.operators import batches as bt
 from spindrift.operators import losses
+from spindrift.operators import repository as rp
 from spindrift.plans import catalog
 
 
@@ -49,3 +50,9 @@ def test_cents_are_those_of_the_hundredfold(spark):
     cases = {("1.005", "1"): 1.0, ("0.005", "0"): 0.0, ("2.005", "2.01"): 1.0, ("-0.005", "-0.01"): 1.0, ("3.004", "3"): 1.0, ("1e307", "1e307"): 1.0, ("1e307", "1e306"): 0.0, ("none", "1"): 0.0}
     rows = spark.createDataFrame(list(cases), "a string, b string").select("a", "b", ps.same_to_cents(F.col("a"), F.col("b")).alias("s")).collect()
     assert {(r.a, r.b): r.s for r in rows} == cases
+
+
+def test_volumes_round_halves_to_even(spark):
+    cases = {0: "0 B", 1023: "1023 B", 1024: "1.0 KiB", 1280: "1.2 KiB", 1792: "1.8 KiB", 2304: "2.2 KiB", 5 << 18: "1.2 MiB", 5 << 28: "1.2 GiB", 5 << 38: "1.2 TiB", 1 << 53: "8192.0 TiB"}
+    rows = spark.createDataFrame([(n,) for n in cases], "n long").select("n", rp.human_bytes(F.col("n")).alias("v")).collect()
+    assert {r.n: r.v for r in rows} == cases
