@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import parsing as ps
 from spindrift.operators import batches as bt
+from spindrift.operators import dataset as ds
 from spindrift.operators import losses, metrics
 from spindrift.operators import repository as rp
 from spindrift.plans import catalog
@@ -85,3 +86,23 @@ def test_token_diversity_of_one_large_group(spark):
     rows = spark.range(40_000).select(F.lit(1).alias("uid"), F.col("id").alias("row_id"), F.array_repeat((F.col("id") % 2).cast("int"), 8).alias("tokens"), mask.alias("mask"))
     got = metrics.token_diversity(rows).first()  # 799,980,000 pairs
     assert (got.groups, round(got.pair_agreement, 9)) == (1, round((2 * 20_000 * 19_999 / 2) / (40_000 * 39_999 / 2), 9))
+
+
+def test_greedy_rounds_are_few_and_carry_no_texts(spark, monkeypatch):
+    """Sources that wait for each other's repeats; what a round writes is numbers, whatever the rows hold."""
+    rng = random.Random(3)
+    rows = [(i, f"s{i % 8}", i // 8 if i % 5 else i % 40, [f"m{rng.randint(0, 150)}"], "x" * 50, i % 8, rng.random()) for i in range(800)]
+    df = spark.createDataFrame([(i, s, f"id{n}", a, t, o, r, 30) for i, s, n, a, t, o, r in rows], "row_id long, source string, identity string, anchors array<string>, text string, so int, r double, quota int")
+    written = []
+    monkeypatch.setattr(ds, "durable", lambda d, real=ds.durable: written.append(d.columns) or real(d))
+    got = {r.row_id: r.verdict for r in ds.capped_greedy(df, 2, ["so", "r", "row_id"]).collect()}
+    want, taken, ids, used = {}, {}, set(), {}
+    for i, s, n, (a,), *_ in sorted(rows, key=lambda x: (x[5], x[6], x[0])):
+        want[i] = "quota" if taken.get(s, 0) >= 30 else "identity" if n in ids else "cap" if used.get(a, 0) >= 2 else "taken"
+        if want[i] == "taken":
+            taken[s], used[a] = taken.get(s, 0) + 1, used.get(a, 0) + 1
+            ids.add(n)
+    assert got == want
+    assert not any("text" in columns for columns in written)
+    assert all(not {"identity", "anchors", "r"} & set(columns) for columns in written[1:])
+    assert len(written) < 20  # 13: six or so rounds, not as many as sources wait for each other
