@@ -14,8 +14,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from spindrift.session import durable
 
@@ -177,7 +179,7 @@ class Scorer:
     def weight(self, word: str) -> float:
         best = self.learned(word)
         if not best and word not in self.ordinary:
-            best = max((self.misspelt(term) for term in self.misspelling(word)), default=0.0)
+            best = max((self.misspelt(term) for term in self.trie.near(word)), default=0.0)
         return best
 
     def context(self, text: str, start: int, quoted: list[tuple[int, int]]) -> float:
@@ -189,7 +191,7 @@ class Scorer:
     def hits(self, word_sets: list[set[str]]) -> list[set[str]]:
         """Words of each set that carry weight; a word is weighed once for many texts."""
         new = set().union(*word_sets) - self.weighed
-        if len(self.weighed) + len(new) > 200_000:
+        if len(self.weighed) + len(new) > WEIGHED:
             self.weighed, self.heavy = set(), {}
             new = set().union(*word_sets)
         self.heavy.update((w, v) for w in new if (v := self.weight(w)) > 0)
@@ -197,13 +199,11 @@ class Scorer:
         heavy = self.heavy.keys()
         return [words & heavy for words in word_sets]
 
-    def score_all(self, texts: list[str], step: int = 200) -> list[float]:
-        out = []
-        for i in range(0, len(texts), step):
-            lowered = [t.lower() for t in texts[i : i + step]]
-            found = self.hits([set(WORD.findall(t)) for t in lowered])
-            out += [self.score(t, h) for t, h in zip(lowered, found, strict=True)]
-        return out
+    def score_all(self, texts: list[str]) -> list[float]:
+        """Scores of as many texts as fit well into memory at once."""
+        lowered = [t.lower() for t in texts]
+        found = self.hits([set(WORD.findall(t)) for t in lowered])
+        return [self.score(t, h) for t, h in zip(lowered, found, strict=True)]
 
     def score(self, lowered: str, hits: set[str]) -> float:
         total = 0.0
@@ -286,24 +286,29 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
 
 #: A text is predicted toxic from this score.
 CUT = 0.3
+#: Texts that are scored at once, and words whose weights are remembered meanwhile.
+STEP, WEIGHED = 200, 50_000
 
 
 def _scored(documents: DataFrame, model: Scorer, keep: list[str]) -> tuple[DataFrame, list[Column]]:
-    """score beside the columns keep under other names, and those columns under their own."""
+    """score beside the columns keep under other names, and those columns under their own.
+
+    Arrow batches go through as they are, and only the texts of one step become Python strings at a time.
+    """
     names = [f"k{i}" for i in range(len(keep))]
-    fields = {f.name: f.dataType.simpleString() for f in documents.schema}
     source = names[keep.index("text")] if "text" in keep else "_text"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[names].copy()
-            out["score"] = model.score_all([t if isinstance(t, str) else "" for t in pdf[source]])
-            yield out
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, values = batch.column(source), []
+            for lo in range(0, len(texts), STEP):
+                values += model.score_all([t or "" for t in texts.slice(lo, STEP).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(values, pa.float64())], names=[*names, "score"])
 
     own = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)]
     slim = documents.select(*own, *([] if "text" in keep else [F.col("text").alias("_text")]))
-    schema = ", ".join(f"{n} {fields[c]}" for c, n in zip(keep, names, strict=True)) + ", score double"
-    return slim.mapInPandas(score, schema), [F.col(n).alias(c) for c, n in zip(keep, names, strict=True)]
+    schema = StructType([slim.schema[n] for n in names]).add("score", DoubleType())
+    return slim.mapInArrow(score, schema), [F.col(n).alias(c) for c, n in zip(keep, names, strict=True)]
 
 
 def score_toxicity(documents: DataFrame, model: Scorer, keep: list[str] | None = None) -> DataFrame:

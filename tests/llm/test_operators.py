@@ -298,6 +298,16 @@ def test_verdicts_on_misspellings_need_the_automaton(judged, monkeypatch):
     assert {r.predicted for r in toxicity.score_toxicity(bent, blind).collect()} == {0}
 
 
+def test_few_texts_of_a_batch_are_scored_at_once(spark):
+    class Counting(toxicity.Scorer):
+        def score_all(self, texts):
+            return [float(len(texts))] * len(texts)
+
+    docs = spark.range(1, 1001, numPartitions=1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a b").alias("text"))
+    scored = toxicity.score_toxicity(docs, Counting({}, -2.0)).agg(F.count("*").alias("n"), F.max("score").alias("most")).first()
+    assert scored["n"] == 1000 and scored["most"] <= 200
+
+
 def test_nothing_is_learned_without_toxic_labels(judged):
     docs, labels, _ = judged
     model = toxicity.learn(docs, labels.where("toxic = 0"))
