@@ -75,7 +75,7 @@ def find_passages(
 
     Returns ``words`` (one row a document: key, _h, n_words), ``exact`` (key, _h, item, word positions covered)
     and ``near`` (key, _h, item: the item's rarest terms stand within slop words of their places). ``_h`` is a
-    hash of key and text: rows that repeat both share their matches. Null, empty or blank texts have no words and
+    hash of key and text: rows that repeat both share their matches. Without slop nothing is near. Null, empty or blank texts have no words and
     match nothing; an item of fewer words than the window is one window; items without words are left out, and a
     null item id counts as an empty one. Texts are read whole, however long; an empty table on either side matches
     nothing. Other columns of documents are not used, so their names cannot clash.
@@ -130,7 +130,8 @@ def find_passages(
         )
 
     step = F.lit(slop + 1)
-    first = shifted("_pa", "_ta", "_da").withColumn("_cell", F.explode(F.array(*[F.floor(F.col("_da") / step) + d for d in (-1, 0, 1)])))
+    cells = [F.floor(F.col("_da") / step) + d for d in ((-1, 0, 1) if slop else (0,))]
+    first = shifted("_pa", "_ta", "_da").withColumn("_cell", F.explode(F.array(*cells)))
     second = shifted("_pb", "_tb", "_db").withColumn("_cell", F.floor(F.col("_db") / step))
     on = ["_h", "_i", "_pa", "_pb", "_cell"]
     met = (
@@ -185,10 +186,16 @@ def find_passages(
         .where(F.size("_s") > 0)
         .select(key, "_h", "_item", covered.alias("_covered"))
     )
-    near = met.where("NOT _same").join(_maybe_broadcast(items.select("_i", "_item")), "_i").select(key, "_h", "_item").distinct()
+    names = items.select("_i", "_item")
+    near = met.where("NOT _same").join(_maybe_broadcast(names) if slop else names, "_i").select(key, "_h", "_item").distinct()
     return {"words": words, "exact": durable(exact), "near": near}
 
 
+def _hit_words(exact: DataFrame, key: str) -> DataFrame:
+    """_hit: how many words of each key and _h lie inside occurrences."""
+    return exact.select(key, "_h", F.explode("_covered").alias("_p")).distinct().groupBy(key, "_h").agg(F.count("*").alias("_hit"))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", share: int = 20, **options) -> DataFrame:
     """One row a document: n_words, n_hit, n_items, items_sha256, n_near_items, contaminated.
 
@@ -199,7 +206,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     """
     found = find_passages(documents, benchmark, key=key, **options)
     exact = found["exact"]
-    hits = exact.select(key, "_h", F.explode("_covered").alias("_p")).distinct().groupBy(key, "_h").agg(F.count("*").alias("_hit"))
+    hits = _hit_words(exact, key)
     names = exact.groupBy(key, "_h").agg(F.array_sort(F.collect_set("_item")).alias("_names"))
     near = found["near"].groupBy(key, "_h").agg(F.count("*").alias("_near"))
     out = found["words"]
@@ -221,10 +228,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     )
 
 
-def clean_rows(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, with their own columns, repeated rows as often as they come."""
-    bad = contamination(documents, benchmark, key=key, **options).where("contaminated")
-    bad = bad.select(F.col(key).alias("_k"), F.col("_h").alias("_kh"))
+def clean_rows(
+    documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: int = 20, **options
+) -> DataFrame:
+    """The documents that are not contaminated, with their own columns, repeated rows as often as they come.
+
+    Hit words alone decide, so that near matches and the names of items are not looked for.
+    """
+    found = find_passages(documents, benchmark, key=key, text=text, **options | {"slop": 0})
+    hits = _hit_words(found["exact"], key).select(F.col(key).alias("_k"), F.col("_h").alias("_kh"), "_hit")
+    same = (F.col("_h") == F.col("_kh")) & F.col(key).eqNullSafe(F.col("_k"))
+    bad = found["words"].join(hits, same).where(share * F.col("_hit") >= F.col("n_words")).select("_k", "_kh")
     rows = documents.select(F.struct("*").alias("row"))
     own = _row_hash(F.col(f"row.{key}"), F.col(f"row.{text}"))
     same = F.col(f"row.{key}").eqNullSafe(F.col("_k")) & (own == F.col("_kh"))

@@ -458,6 +458,17 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert near_duplicates.near_duplicates(make(spark, rows).where("false")).count() == 0
 
 
+def test_distinct_rows_are_the_kept_ones(spark, docs, rows):
+    kept = near_duplicates.near_duplicates(docs, 80, 5).where("kept")
+    least = near_duplicates.distinct_rows(docs, percent=80, size=5)
+    assert sorted(r.doc_id for r in least.collect()) == sorted(r.doc_id for r in kept.collect())
+    assert least.count() < docs.count() and near_duplicates.distinct_rows(docs.where("false")).count() == 0
+    one = "one two three four five six"
+    rows = [(7, one, "s"), (7, one.upper(), "s"), (None, one, "s"), (9, one + " seven", "s")]
+    got = near_duplicates.distinct_rows(make(spark, rows), percent=60, size=3).collect()
+    assert len(got) == 1 and got[0].doc_id == 7
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_components_of_a_long_chain(spark, monkeypatch, small):
     monkeypatch.setattr(components, "SMALL", small)
@@ -607,6 +618,17 @@ def test_contamination_matches_brute_force(spark, docs, rows):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, e in expected.items() if not e[4])
 
 
+def test_clean_rows_of_other_columns_and_shares(spark):
+    text = " ".join(f"w{i}" for i in range(14))
+    benchmark = spark.createDataFrame([(5, text)], "item_id long, text string")
+    rows = [(1, text), (1, text), (None, text + " tail"), (2, text + " x" * 26), (3, "alpha"), (4, None)]
+    docs = spark.createDataFrame(rows, "nr long, body string")
+    kept = decontaminate.clean_rows(docs, benchmark.withColumnRenamed("text", "body"), key="nr", text="body", share=2)
+    assert sorted(r.nr for r in kept.collect()) == [2, 3, 4]
+    kept = decontaminate.clean_rows(docs, benchmark.withColumnRenamed("text", "body"), key="nr", text="body", slop=2)
+    assert sorted(r.nr for r in kept.collect()) == [3, 4]
+
+
 def test_contamination_without_broadcasts_and_with_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"

@@ -104,3 +104,18 @@ def test_an_empty_table_gives_an_empty_result(spark, odd, tmp_path):
 def test_run_writes_and_rereads_every_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"shard", "slot", "lang", "source"} <= set(out.columns)
+
+
+@pytest.mark.parametrize(("name", "most"), [("near_duplicates", 85), ("decontamination", 90)])
+def test_filters_take_few_stages(spark, stages, name, most):
+    """Each Spark stage costs the driver memory, which the many tasks of a skewed input multiply."""
+    before, after = stages[name]
+    spark.sparkContext.setJobGroup(f"stages of {name}", name)
+    try:
+        result = dict(corpus_pipeline.STAGES)[name](spark, before, SF)
+        assert ids(result) == ids(after)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    took = sum(len(tracker.getJobInfo(job).stageIds) for job in tracker.getJobIdsForGroup(f"stages of {name}"))
+    assert took <= most, took
